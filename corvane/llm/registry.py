@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import secrets
+from corvane.llm import decontam, secrets
 
-_MODULES = (secrets,)
+_MODULES = (secrets, decontam)
 
 
 def queries() -> dict:
