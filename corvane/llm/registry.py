@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontam, secrets
+from corvane.llm import decontam, near_dup, secrets
 
-_MODULES = (secrets, decontam)
+_MODULES = (secrets, decontam, near_dup)
 
 
 def queries() -> dict:
