@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontam, lang_id, near_dup, secrets
+from corvane.llm import decontam, lang_id, lm_score, near_dup, secrets
 
-_MODULES = (secrets, decontam, near_dup, lang_id)
+_MODULES = (secrets, decontam, near_dup, lang_id, lm_score)
 
 
 def queries() -> dict:
