@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontam, lang_id, lm_score, near_dup, secrets
+from corvane.llm import decontam, lang_id, lm_score, mixing, near_dup, secrets, warc
 
-_MODULES = (secrets, decontam, near_dup, lang_id, lm_score)
+_MODULES = (secrets, decontam, near_dup, lang_id, lm_score, warc, mixing)
 
 
 def queries() -> dict:
