@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontam, lang_id, lm_score, mixing, mtree, near_dup, secrets, warc
+from corvane.llm import decontam, html_main, lang_id, licenses, lm_score, mixing, mtree, near_dup, secrets, warc
 
-_MODULES = (secrets, decontam, near_dup, lang_id, lm_score, warc, mixing, mtree)
+_MODULES = (secrets, decontam, near_dup, lang_id, lm_score, warc, mixing, mtree, html_main, licenses)
 
 
 def queries() -> dict:
