@@ -8,13 +8,16 @@
    unless they are most of a text.
 3. Union sketches estimate the similarity and drop hopeless pairs; the rest is
    confirmed on full shingle sets, rebuilt from the texts.
-4. Only components matter, so a list first links its members to one of them.
-   What is then still apart within a list is compared in full: short lists by
-   a join, long ones in blocks against all but the list's largest component.
+4. Only components matter, so a list first compares its members with its center,
+   the one whose values occur most.  Members at a quarter of similarity or more are
+   the center's family; how they differ from it gives all their intersections, so
+   links within a family are found exactly, in blocks.  A pair of a list with a
+   member outside the family is a candidate of its own: short lists are joined
+   with themselves, long ones compared sketch by sketch in blocks.
 
 Sketches of sets up to ``k`` values are whole, where the filters are exact.
-Beyond, a pair at the threshold is missed if fewer than ``LEAST_SHARED`` of 32
-draws at 0.8 hit: some 3e-10.
+Beyond, a pair at the threshold is missed if fewer than ``LEAST_SHARED`` of 48
+draws at 0.8 hit: some 5e-9.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from corvane.llm.graph import components
 from corvane.llm.kernel import BLANK_WORDS, Words, blocks, mix
 
 #: Values that a sketch retains, and those that a pair of partial sketches must share.
-SKETCH, LEAST_SHARED = 32, 10
+SKETCH, LEAST_SHARED = 48, 20
+#: Percent of similarity from which a text is of the family of its list's center.
+FAMILY = 25
+#: Values of the union's sketch that a list's center and a member share before they are compared.
+KIN_SHARED = 4
 #: Lists up to this length are joined with themselves; longer ones are compared in blocks.
 SHORT_LIST, BLOCK, CHUNK = 64, 512, 4096
 #: Parts into which the pairs of one class are dealt.
@@ -99,40 +106,50 @@ def _needed(percent: int):
 
 
 def _postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, cls, n): the inverted lists of the rarest retained values, lists of one left out."""
+    """(value, cls, n, weight): the inverted lists of the rarest retained values, lists of one left out.
+
+    weight: how often the class's retained values occur in all, which is most
+    for the text that a group of near copies comes from.
+    """
     values = classes.select("cls", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(often, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
     size = F.least(F.col("n"), F.lit(SKETCH))
     prefix = (size - _needed(percent) + 1) - (size - F.size("by_df"))  # values that no other class has come first
-    lists = held.select("cls", "n", F.explode(F.slice("by_df", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))).alias("x"))
-    return lists.select("x.value", "cls", "n")
+    rarest = F.slice("by_df", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))
+    held = held.select("cls", "n", F.aggregate("by_df", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"), F.transform(rarest, lambda x: x["value"]).alias("prefix"))
+    return held.select(F.explode("prefix").alias("value"), "cls", "n", "weight")
 
 
-def _similar(percent: int):
+def _similar(percent: int, least: int):
     """Whether the union sketch of a and b leaves hope; exact where both sketches are whole."""
     union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
     both = F.array_intersect("sketch_a", "sketch_b")
     in_union = F.size(F.array_intersect(F.slice(union, 1, SKETCH), both))
     whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
-    return F.when(whole, F.size(both) * 100 >= F.size(union) * percent).otherwise(in_union >= LEAST_SHARED)
+    return F.when(whole, F.size(both) * 100 >= F.size(union) * percent).otherwise(in_union >= least)
 
 
 def _sizes_fit(percent: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _estimate(pairs: DataFrame, classes: DataFrame, percent: int, least: int = LEAST_SHARED) -> DataFrame:
     """The pairs (a, b) that pass the union-sketch filter; a may be in very many."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     heads = salted.select("a", "salt").distinct().join(side("a"), "a")
     met = salted.join(side("b"), "b").join(heads, ["a", "salt"])
-    return met.where(_sizes_fit(percent) & _similar(percent)).select("a", "b")
+    return met.where(_sizes_fit(percent) & _similar(percent, least)).select("a", "b")
 
 
-def _comparer(size: int, percent: int, schema: pa.Schema):
-    """Streams rows sorted by (a, salt), the text of a first: compares it with each b."""
+def _comparer(size: int, schema: pa.Schema):
+    """Streams rows sorted by (a, salt), the text of a first: compares it with each b.
+
+    Gives the pairs at FAMILY percent or more: the size of each set, of the
+    intersection, and how b differs from a: the places of the values of a that
+    it lacks, and its own values.
+    """
 
     def run(batches):
         head, values = None, None
@@ -141,91 +158,177 @@ def _comparer(size: int, percent: int, schema: pa.Schema):
                 cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 for lo, hi, words in blocks(cols["text"], BLANK_WORDS):
                     a_ids, b_ids = cols["a"].slice(lo, hi - lo).to_pylist(), cols["b"].slice(lo, hi - lo).to_pylist()
-                    out_a, out_b = [], []
+                    out = []
                     for a, b, found in zip(a_ids, b_ids, shingle_sets(words, hi - lo, size)):
                         if not len(found) or fingerprint(found) != (b or a):
                             continue  # another text with the same document id
                         if b is None:
                             head, values = a, found
                         elif head == a:
-                            common = len(np.intersect1d(values, found, assume_unique=True))
-                            if 100 * common >= percent * (len(values) + len(found) - common):
-                                out_a.append(a)
-                                out_b.append(b)
-                    if out_a:
-                        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], schema=schema)
+                            at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                            same = values[at] == found
+                            common = int(same.sum())
+                            if 100 * common >= FAMILY * (len(values) + len(found) - common):
+                                lacks = np.ones(len(values), dtype=bool)
+                                lacks[at[same]] = False
+                                out.append((a, b, len(values), len(found), common, np.flatnonzero(lacks), found[~same].view(np.int64)))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar."""
+_PAIR = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
+_COMPARED = T.StructType([*_PAIR.fields]).add("n_a", T.LongType()).add("n_b", T.LongType()).add("common", T.LongType()).add("lacks", T.ArrayType(T.IntegerType())).add("own", T.ArrayType(T.LongType()))
+
+
+def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have FAMILY percent of similarity or more, with what ``_comparer`` gives."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     heads = salted.select("a", F.lit(None).cast("binary").alias("b"), "salt", F.col("a").alias("cls")).distinct()
     wanted = heads.union(salted.select("a", "b", "salt", F.col("b").alias("cls")))
     wanted = wanted.join(classes.select("cls", "doc"), "cls").drop("cls")
     texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("a", "b", "salt", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
-    return dealt.mapInArrow(_comparer(size, percent, to_arrow_schema(schema)), schema).distinct()
+    return dealt.mapInArrow(_comparer(size, to_arrow_schema(_COMPARED)), _COMPARED)
+
+
+def _linked(percent: int):
+    return F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
+
+
+def _gather(column, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows of a list column, and the row of each."""
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    size = offsets[rows + 1] - offsets[rows]
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[rows], size)
+    return flat[at], np.repeat(np.arange(len(rows)), size)
+
+
+def _shared(left: tuple, right: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """How many values rows of the left and of the right have in common."""
+    out = np.zeros(shape, dtype=np.int32)
+    (lv, lr), (rv, rr) = left, right
+    by = np.argsort(lv, kind="stable")
+    lv, lr = lv[by], lr[by]
+    lo = np.searchsorted(lv, rv)
+    size = np.searchsorted(lv, rv, side="right") - lo
+    for k in range(0, len(rv), 1 << 16):
+        s = size[k : k + (1 << 16)]
+        rows = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + np.repeat(lo[k : k + (1 << 16)], s)
+        np.add.at(out, (lr[rows], np.repeat(rr[k : k + (1 << 16)], s)), 1)
+    return out
+
 
+def _pairs_table(pairs: list, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[0] for x in pairs], pa.binary()), pa.array([x[1] for x in pairs], pa.binary())], schema=schema)
 
-def _block_pairs(percent: int, schema: pa.Schema):
-    """Compares the sketches of one block of a long list with one chunk of it."""
-    need = LEAST_SHARED
+
+def _sides(table: pa.Table):
+    left = table["left"].to_numpy()
+    return table["cls"].to_pylist(), table["n"].to_numpy(), np.unique(np.array(table["comp"].to_pylist(), dtype=object), return_inverse=True)[1], np.flatnonzero(left), np.flatnonzero(~left)
+
+
+def _sketch_block(percent: int, schema: pa.Schema):
+    """Of a block of a long list and a chunk of it: the pairs whose sketches leave hope, unless both are of the center's family."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, n, comp = table["cls"].to_pylist(), table["n"].to_numpy(), table["comp"].to_pylist()
-        left = np.flatnonzero(table["left"].to_numpy())
-        right = np.flatnonzero(~table["left"].to_numpy())
-        sketch = table["sketch"].combine_chunks()
-        flat, offsets = sketch.values.to_numpy(), sketch.offsets.to_numpy()
-        gather = lambda rows: (np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in rows]), np.repeat(rows, offsets[rows + 1] - offsets[rows]))
-        shared: dict[tuple[int, int], int] = {}
-        if len(left) and len(right):
-            lv, lr = gather(left)
-            by = np.argsort(lv, kind="stable")
-            lv, lr = lv[by], lr[by]
-            for k in range(0, len(right), 64):
-                rv, rr = gather(right[k : k + 64])
-                lo, hi = np.searchsorted(lv, rv), np.searchsorted(lv, rv, side="right")
-                size = hi - lo
-                rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-                code, times = np.unique(np.repeat(rr, size) * len(cls) + lr[rows], return_counts=True)
-                for c, t in zip(code, times):
-                    shared[(int(c // len(cls)), int(c % len(cls)))] = int(t)
+        cls, n, comp, left, right = _sides(table)
+        kin, sketch = table["kin"].to_numpy(), table["sketch"].combine_chunks()
         out = set()
-        for (i, j), t in shared.items():
-            small, large = sorted((int(n[i]), int(n[j])))
-            least = min(need, -(-small * percent // 100))
-            if t >= least and small * 100 >= large * percent and comp[i] != comp[j]:
-                out.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
-        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
+        if len(left) and len(right):
+            shared = _shared(_gather(sketch, left), _gather(sketch, right), (len(left), len(right)))
+            small = np.minimum(n[left][:, None], n[right][None, :])
+            large = np.maximum(n[left][:, None], n[right][None, :])
+            least = np.minimum(LEAST_SHARED, -(-small * percent // 100))
+            good = (shared >= least) & (small * 100 >= large * percent) & (comp[left][:, None] != comp[right][None, :]) & ~(kin[left][:, None] & kin[right][None, :])
+            for i, j in np.argwhere(good):
+                x, y = cls[left[i]], cls[right[j]]
+                out.add((min(x, y), max(x, y)))
+        return _pairs_table(list(out), schema)
+
+    return run
+
+
+def _family_block(percent: int, schema: pa.Schema):
+    """Of a block of a family and a chunk of it: links enough to join what is linked.
+
+    Members differ from the center by what they lack and their own values, so
+    the size of each intersection is known exactly.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, n, comp, left, right = _sides(table)
+        lacks, own = table["lacks"].combine_chunks(), table["own"].combine_chunks()
+        n_center = int(table["n_center"][0].as_py())
+        out, parent = [], np.arange(comp.max() + 1)
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for k in range(0, len(right), 512):
+            part = right[k : k + 512]
+            if not len(left):
+                break
+            has_l, has_r = (np.ones((len(rows), n_center), dtype=np.float32) for rows in (left, part))
+            for has, rows in ((has_l, left), (has_r, part)):
+                place, row = _gather(lacks, rows)
+                has[row, place] = 0
+            common = (has_l @ has_r.T).astype(np.int64) + _shared(_gather(own, left), _gather(own, part), (len(left), len(part)))
+            union = n[left][:, None] + n[part][None, :] - common
+            for i, j in np.argwhere((100 * common >= percent * union) & (comp[left][:, None] != comp[part][None, :])):
+                x, y = root(comp[left[i]]), root(comp[part[j]])
+                if x != y:
+                    parent[x] = y
+                    out.append((cls[left[i]], cls[part[j]]))
+        return _pairs_table(out, schema)
 
     return run
 
 
-def _rest(lists: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a list."""
-    placed = lists.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select("value", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    apart = placed.groupBy("value", "comp").agg(F.count("*").alias("members"))
-    apart = apart.groupBy("value").agg(F.sum("members").alias("long"), F.count("*").alias("comps"), F.max(F.struct("members", "comp"))["comp"].alias("main")).where("comps > 1")
-    placed = placed.join(apart, "value")
-    short = placed.where(F.col("long") <= SHORT_LIST).select("value", "cls", "n", "comp")
-    x = short.select("value", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    y = short.select("value", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = x.join(y, (x["value"] == y["value"]) & (x["a"] < y["b"]) & (x["comp_a"] != y["comp_b"]) & _sizes_fit(percent)).select("a", "b").distinct()
-    long = placed.where(F.col("long") > SHORT_LIST).join(classes.select("cls", "sketch"), "cls")
-    n_blocks = F.ceil(F.col("others") / BLOCK).cast("int")
-    n_chunks = F.ceil(F.col("long") / CHUNK).cast("int")
-    others = apart.where(F.col("long") > SHORT_LIST).join(placed.where("comp <> main").groupBy("value").agg(F.count("*").alias("others")), "value").select("value", n_blocks.alias("blocks"), n_chunks.alias("chunks"))
-    long = long.join(others, "value")
-    chosen = F.xxhash64("cls", F.lit(1))
-    lefts = long.where("comp <> main").select("value", F.pmod(chosen, F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(True).alias("left"), "cls", "n", "comp", "sketch")
-    rights = long.select("value", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(chosen, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left"), "cls", "n", "comp", "sketch")
-    schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
-    by_block = lefts.union(rights).groupBy("value", "block", "chunk").applyInArrow(_block_pairs(percent, to_arrow_schema(schema)), schema)
-    return pairs.union(by_block).distinct()
+def _dealt(members: DataFrame, key: str, left, extra: list[str]) -> DataFrame:
+    """Rows of each key in groups of at most some BLOCK of the left rows and CHUNK of all rows: (key, block, chunk, left, ...)."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("all_rows"), F.sum(left.cast("int")).alias("left_rows")).where("left_rows > 0")
+    sizes = sizes.select(key, F.ceil(F.col("left_rows") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all_rows") / CHUNK).cast("int").alias("chunks"))
+    sized, place = members.join(sizes, key), F.xxhash64("cls", F.lit(1))
+    lefts = sized.where(left).select(key, F.pmod(place, F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(True).alias("left"), *extra)
+    rights = sized.select(key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(place, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left"), *extra)
+    return lefts.union(rights).groupBy(key, "block", "chunk")
+
+
+def _component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+
+
+def _within_families(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a center's family that are still apart."""
+    members = _component(compared.select(F.col("a").alias("center"), F.col("n_a").alias("n_center"), F.col("b").alias("cls"), F.col("n_b").alias("n"), "lacks", "own"), comps)
+    apart = members.groupBy("center", "comp").agg(F.count("*").alias("rows"))
+    apart = apart.groupBy("center").agg(F.count("*").alias("comps"), F.max(F.struct("rows", "comp"))["comp"].alias("main")).where("comps > 1").select("center", "main")
+    members = store.publish(members.join(apart, "center"), "members")
+    schema = to_arrow_schema(_PAIR)
+    return _dealt(members, "center", F.col("comp") != F.col("main"), ["n_center", "cls", "n", "comp", "lacks", "own"]).applyInArrow(_family_block(percent, schema), _PAIR)
+
+
+def _outside_families(lists: DataFrame, heads: DataFrame, compared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list that are still apart and not both of the family of its center."""
+    kin = compared.select("a", F.col("b").alias("cls"), F.lit(True).alias("found"))
+    placed = _component(lists.select("value", "cls", "n").join(heads, "value").join(kin, ["a", "cls"], "left"), comps)
+    placed = placed.select("value", "cls", "n", "comp", (F.coalesce("found", F.lit(False)) | (F.col("a") == F.col("cls"))).alias("kin"))
+    apart = placed.groupBy("value").agg(F.count("*").alias("long"), F.sum((~F.col("kin")).cast("int")).alias("strangers"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    placed = store.publish(placed.join(apart.where("strangers > 0 AND low <> high").select("value", "long"), "value"), "placed")
+    short = placed.where(F.col("long") <= SHORT_LIST).select("value", "cls", "n", "comp", "kin")
+    x = short.select("value", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("kin").alias("kin_a"))
+    y = short.select("value", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("kin").alias("kin_b"))
+    open_pair = (x["a"] < y["b"]) & (x["comp_a"] != y["comp_b"]) & ~(x["kin_a"] & y["kin_b"]) & _sizes_fit(percent)
+    pairs = x.join(y, (x["value"] == y["value"]) & open_pair).select("a", "b").distinct()
+    long = placed.where(F.col("long") > SHORT_LIST).drop("long").join(classes.select("cls", "sketch"), "cls")
+    schema = to_arrow_schema(_PAIR)
+    in_blocks = _dealt(long, "value", ~F.col("kin"), ["cls", "n", "comp", "kin", "sketch"]).applyInArrow(_sketch_block(percent, schema), _PAIR)
+    return pairs.union(in_blocks).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -241,16 +344,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     drawn = store.publish(sketches(docs, text, key, words), "sketches")
     classes = store.publish(drawn.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     lists = store.publish(_postings(classes, percent), "lists")
-    heads = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls").alias("by"), "cls"))["cls"].alias("a"), F.count("*").alias("long")).where("long > 1").select("value", "a")
-    pairs = lists.join(heads, "value").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    tested = store.publish(_estimate(pairs, classes, percent), "pairs")
-    links = store.publish(_confirm(tested, classes, plain, words, percent), "links")
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", "cls"))["cls"].alias("a"), F.count("*").alias("long")).where("long > 1").select("value", "a")
+    pairs = store.publish(lists.join(heads, "value").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
+    pairs = store.publish(_estimate(pairs, classes, FAMILY, KIN_SHARED), "pairs")
+    compared = store.publish(_compare(pairs, classes, plain, words), "compared")
+    links = compared.where(_linked(percent)).select("a", "b")
     comps = components(links)
-    ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = store.publish(_estimate(_rest(lists, classes, comps, percent).join(ordered, ["a", "b"], "left_anti"), classes, percent), "pairs")
-    further = store.publish(_confirm(more, classes, plain, words, percent), "links")
-    if further.limit(1).count():
-        comps = components(links.union(further))
+    among = store.publish(_within_families(compared, comps, percent), "links")
+    across = store.publish(_outside_families(lists, heads, compared, classes, comps, percent), "pairs")
+    across = store.publish(_estimate(across, classes, percent), "pairs")
+    across = store.publish(_compare(across, classes, plain, words).where(_linked(percent)).select("a", "b"), "links")
+    comps = components(links.union(among).union(across))
     least = classes.select("cls", "doc").join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "doc")
     ids = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
     by_class = least.join(ids, "comp").select("cls", "component_id")
