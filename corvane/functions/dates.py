@@ -6,9 +6,10 @@ import email.utils
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import TimestampType
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(TimestampType())
 def mail_date(text: pd.Series) -> pd.Series:
     """RFC 2822 dates as UTC; null if they can't be read."""
 

@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 
 def pad_to(values: Column, n: Column | int, fill) -> Column:
@@ -76,7 +77,7 @@ def unflatten(pairs: dict[str, object]) -> object:
     return settle(root)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unflatten_json(pairs: pd.Series) -> pd.Series:
     """JSON of ``unflatten`` for JSON objects of dotted keys."""
     return pairs.map(lambda x: None if x is None else json.dumps(unflatten(json.loads(x)), ensure_ascii=False))

@@ -4,29 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.runtime import materialize
+
 
 def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, level): 0 without dependencies in the set, else one more than the deepest dependency.
 
-    edges: (node, needs); edges to nodes outside the set don't count. One join a
-    level over a frontier that only shrinks; a cycle or more than ``most`` levels
+    edges: (node, needs); edges to nodes outside the set don't count. One round a
+    level over nodes that only get fewer, each cut from its lineage by a checkpoint; a cycle or more than ``most`` levels
     raises an error.
     """
-    inside = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").distinct()
-    left, out, level = nodes, None, 0
-    while True:
-        left = left.persist()
-        if not left.limit(1).count():
-            break
+    inside = materialize(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct())
+    left, done, level = materialize(nodes.select("node").distinct()), [], 0
+    while left.limit(1).count():
         blocked = inside.join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
-        ready = left.join(blocked, "node", "left_anti")
+        ready = materialize(left.join(blocked, "node", "left_anti"))
         if level >= most or not ready.limit(1).count():
             raise ValueError("the graph has a cycle")
-        at = ready.select("node", F.lit(level).alias("level"))
-        out = at if out is None else out.unionByName(at)
-        left = left.join(ready, "node", "left_anti")
+        done.append(ready.select("node", F.lit(level).alias("level")))
+        left = materialize(left.join(ready, "node", "left_anti"))
         level += 1
-    return out if out is not None else nodes.select("node", F.lit(0).alias("level"))
+    out = nodes.select("node", F.lit(0).alias("level")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def call_chain(spark, calls: DataFrame, starts: DataFrame, most: int = 90, follow_argument: bool = True) -> DataFrame:

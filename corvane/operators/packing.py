@@ -119,5 +119,5 @@ def visible_pairs(tokens: DataFrame, cache_tokens: int) -> DataFrame:
     q = tokens.select("batch", F.col("pos").alias("q"), F.col("element_id").alias("e"))
     k = tokens.select("batch", F.col("pos").alias("k"), F.col("element_id").alias("e"))
     own = q.join(k, ["batch", "e"]).where("k <= q").select("batch", "q", "k")
-    cache = q.select("batch", "q", F.explode(F.sequence(F.lit(-cache_tokens), F.lit(-1))).cast("bigint").alias("k")) if cache_tokens else own.limit(0)
+    cache = q.select("batch", "q", F.explode(F.sequence(F.lit(-cache_tokens).cast("bigint"), F.lit(-1).cast("bigint"))).alias("k")) if cache_tokens else own.limit(0)
     return own.unionByName(cache.select("batch", "q", "k"))

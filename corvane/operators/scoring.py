@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType
 
 from corvane.functions.nested import same_set
 from corvane.functions.text import list_answers, tagged_answer
@@ -71,7 +72,10 @@ def chrf(pairs: DataFrame, hypothesis: str, reference: str, key: str, orders: in
     the corpus; precision and recall are averaged over orders that occur.
     """
     def grams(column: str, name: str) -> DataFrame:
-        each = F.flatten(F.array(*(F.transform(ngrams(F.col(column), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, orders + 1))))
+        def order(n: int) -> Column:
+            return F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+        each = F.flatten(F.array(*(order(n) for n in range(1, orders + 1))))
         return pairs.select(key, F.explode(each).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias(name))
 
     met = grams(hypothesis, "h").join(grams(reference, "r"), [key, "n", "g"], "full")
@@ -83,7 +87,7 @@ def chrf(pairs: DataFrame, hypothesis: str, reference: str, key: str, orders: in
     return both.select(F.when(F.col("p") + F.col("q") > 0, 100 * (1 + b2) * F.col("p") * F.col("q") / (b2 * F.col("p") + F.col("q"))).otherwise(0.0).alias("chrf"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def nearest_option(answer: pd.Series, options: pd.Series) -> pd.Series:
     """Index of the option most like the answer by matching blocks (Ratcliff-Obershelp), the first of equals; 0 without an answer."""
 

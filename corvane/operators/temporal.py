@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def rank_batches(df: DataFrame, time: str, key: str, size: int, most: int | None = None) -> DataFrame:
+def rank_batches(df: DataFrame, time: str, key: str, size: int, most: int | None = None, unit: str = "day") -> DataFrame:
     """batch_id: every ``size`` rows in time order, rows without a time dropped, ``most`` batches at most.
 
-    The order of all rows is found by range partitions: counts of each range
-    (few rows) give its offset, so no task sorts everything.
+    Rows are ranked within each ``unit`` of time; the counts of the units before
+    (a row a unit) give the offset, so no task sorts everything.
     """
-    rows = df.where(F.col(time).isNotNull())
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = rows.repartitionByRange(n, F.col(time), F.col(key)).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(time, key)
-    w = Window.partitionBy("__part").orderBy(time, key)
-    local = ranged.withColumn("__rn", F.row_number().over(w))
-    counts = local.groupBy("__part").agg(F.count("*").alias("__n"), F.min(time).alias("__low"))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__low", "__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = local.join(F.broadcast(offsets.select("__part", "__before")), "__part")  # one row a partition
+    rows = df.where(F.col(time).isNotNull()).withColumn("__unit", F.date_trunc(unit, F.col(time)))
+    before = Window.orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = rows.groupBy("__unit").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = rows.join(units, "__unit").withColumn("__rn", F.row_number().over(Window.partitionBy("__unit").orderBy(time, key)))
     out = placed.withColumn("batch_id", F.floor((F.col("__before") + F.col("__rn") - 1) / size).cast("bigint"))
     out = out if most is None else out.where(F.col("batch_id") < most)
-    return out.drop("__part", "__rn", "__before")
+    return out.drop("__unit", "__rn", "__before")
 
 
 def batch_metadata(batched: DataFrame, time: str, key: str, user: str) -> DataFrame:

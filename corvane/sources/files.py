@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corvane.functions.text import frame_file, strip_latex_comments
 from corvane.operators.temporal import joined_text
@@ -70,7 +71,7 @@ def imports_of(source: str) -> list[str]:
     return sorted(names)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def python_imports(source: pd.Series) -> pd.Series:
     return source.map(lambda s: imports_of(s or ""))
 

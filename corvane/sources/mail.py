@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType
 
 from corvane.functions.dates import mail_date
 
@@ -77,7 +78,7 @@ def body_of_payload(payload: dict) -> str:
     return max(dict.fromkeys(found), key=len, default="")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def payload_body(payload: pd.Series) -> pd.Series:
     """``body_of_payload`` of JSON texts; '' if they can't be read."""
 
