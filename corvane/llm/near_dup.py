@@ -41,6 +41,8 @@ FAMILY = 25
 KIN_SHARED = 4
 #: Lists up to this length are joined with themselves; longer ones are compared in blocks.
 SHORT_LIST, BLOCK, CHUNK = 64, 512, 4096
+#: Wanted texts, of some 100 bytes each without the text, that are broadcast to find them.
+BROADCAST_TEXTS = 200_000
 #: Parts into which the pairs of one class are dealt.
 SALTS = 16
 
@@ -187,7 +189,9 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     heads = salted.select("a", F.lit(None).cast("binary").alias("b"), "salt", F.col("a").alias("cls")).distinct()
     wanted = heads.union(salted.select("a", "b", "salt", F.col("b").alias("cls")))
-    wanted = wanted.join(classes.select("cls", "doc"), "cls").drop("cls")
+    wanted = store.publish(wanted.join(classes.select("cls", "doc"), "cls").drop("cls"), "wanted")
+    if wanted.count() <= BROADCAST_TEXTS:  # else the texts are dealt by document
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("a", "b", "salt", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(_comparer(size, to_arrow_schema(_COMPARED)), _COMPARED)
