@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from corvane.llm import store
 from corvane.llm.fm_index import FMIndex, mask_spans, merge
-from corvane.llm.kernel import ALNUM_WORDS, blocks
+from corvane.llm.kernel import ALNUM_WORDS, blocks, tidy
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             source = store.publish(out, "decontam")
         block = spark.sparkContext.broadcast(phrases)
         fields = T.StructType([*(f for f in source.schema.fields if f.name not in added), *ADDED.fields])
-        out = source.mapInArrow(_pass(block, text, [f.name for f in fields], first, to_arrow_schema(fields)), fields)
+        out = source.mapInArrow(tidy(_pass(block, text, [f.name for f in fields], first, to_arrow_schema(fields))), fields)
         first = False
     return out.select(*kept, *added)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
+from corvane.llm.kernel import tidy
 
 #: Hosts whose winning paths are broadcast (some 200 bytes each); beyond, they are joined.
 BROADCAST_HOSTS = 100_000
@@ -211,7 +212,7 @@ def winning_paths(pages: DataFrame, url: str = "url", source: str = "html") -> D
     store.ship(pages.sparkSession)
     schema = T.StructType().add("host", T.StringType()).add("path", T.StringType()).add("n", T.LongType())
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(source), F.lit("")).alias("html"))
-    votes = rows.mapInArrow(_voter(to_arrow_schema(schema)), schema).where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    votes = rows.mapInArrow(tidy(_voter(to_arrow_schema(schema))), schema).where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("n").alias("n"))
     return votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("order"), "path"))["path"].alias("path"))
 
 
@@ -247,7 +248,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", keep: list
         salted = named.withColumn("__cv_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("__cv_salt", F.pmod(F.xxhash64("__cv_html"), F.lit(SALTS)).cast("int")).join(salted, ["__cv_host", "__cv_salt"], "left")
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return joined.mapInArrow(_extractor(schema.names, to_arrow_schema(schema)), schema)
+    return joined.mapInArrow(tidy(_extractor(schema.names, to_arrow_schema(schema))), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

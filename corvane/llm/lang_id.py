@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
-from corvane.llm.kernel import byte_blocks, runs
+from corvane.llm.kernel import byte_blocks, runs, tidy
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -58,7 +58,7 @@ def _counter(schema: pa.Schema):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for a, b, low, offsets in byte_blocks(batch.column(0)):
+            for a, b, low, offsets in byte_blocks(batch.column(0), block_bytes=1 << 20):
                 text, bucket, count = trigrams(low, offsets)
                 names = sorted(set(langs[a:b]))
                 code = {x: i for i, x in enumerate(names)}
@@ -93,7 +93,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     store.ship(labelled.sparkSession)
     schema = T.StructType().add("lang", T.StringType()).add("bucket", T.IntegerType()).add("n", T.LongType())
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = store.publish(rows.mapInArrow(_counter(to_arrow_schema(schema)), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    sums = store.publish(rows.mapInArrow(tidy(_counter(to_arrow_schema(schema))), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(r[0] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; the model's size is bounded")
@@ -181,7 +181,7 @@ def _predictor(block, fields: list[str], schema: pa.Schema):
     def run(batches):
         model = Model.__new__(Model)
         model.__dict__.update(block.value)
-        size = max(1 << 18, (1 << 24) // max(4, len(model.languages)))
+        size = max(1 << 16, (1 << 22) // max(4, len(model.languages)))
         for batch in batches:
             letters = batch.column(batch.schema.get_field_index("__cv_letter")).to_pylist()
             for a, b, low, offsets in byte_blocks(batch.column(batch.schema.get_field_index("__cv_text")), block_bytes=size):
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     source = docs.select(*kept, body.alias("__cv_text"), body.rlike(r"\p{L}").alias("__cv_letter"))
     schema = T.StructType([*(source.schema[c] for c in kept), *added.fields])
     block = spark.sparkContext.broadcast(model.__dict__)
-    return source.mapInArrow(_predictor(block, schema.names, to_arrow_schema(schema)), schema)
+    return source.mapInArrow(tidy(_predictor(block, schema.names, to_arrow_schema(schema))), schema)
 
 
 def remainder(key: str, by: int):

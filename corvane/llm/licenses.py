@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
-from corvane.llm.kernel import ALNUM_WORDS, blocks
+from corvane.llm.kernel import ALNUM_WORDS, blocks, tidy
 
 #: Percent of a template's words that a license needs.
 COVERAGE = 80
@@ -178,7 +178,7 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__cv_text"))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("licenses", T.ArrayType(hit))])
     block = spark.sparkContext.broadcast(_Prepared(templates).__dict__)
-    return source.mapInArrow(_scanner(block, coverage, schema.names, to_arrow_schema(schema)), schema)
+    return source.mapInArrow(tidy(_scanner(block, coverage, schema.names, to_arrow_schema(schema))), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
-from corvane.llm.kernel import BLANK_WORDS, blocks, hash_word, runs
+from corvane.llm.kernel import BLANK_WORDS, blocks, hash_word, runs, tidy
 
 #: The token after each text; no word holds a blank.
 END = hash_word(b" end ")
@@ -76,7 +76,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(h, c) of every word of ``text``, and of the end of each text."""
     store.ship(docs.sparkSession)
     schema = T.StructType().add("h", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(_counter(to_arrow_schema(schema)), schema).groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(_counter(to_arrow_schema(schema))), schema).groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -268,11 +268,11 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
     block = spark.sparkContext.broadcast(vocab.__dict__)
     schema = T.StructType().add("tokens", T.LongType()).add("data", T.BinaryType())
     arrow = to_arrow_schema(schema)
-    sums = store.publish(docs.select("text").mapInArrow(_trainer(block, arrow), schema), "lbl")
+    sums = store.publish(docs.select("text").mapInArrow(tidy(_trainer(block, arrow)), schema), "lbl")
     left = sums.count()
     while left > 1:
         left = math.ceil(left / 32)
-        sums = store.publish(sums.repartition(left).mapInArrow(_adder(arrow), schema), "lbl")
+        sums = store.publish(sums.repartition(left).mapInArrow(tidy(_adder(arrow)), schema), "lbl")
         left = sums.count()
     model, row = Model(vocab.n_classes, vocab.class_counts), sums.first()
     if row is not None:
@@ -352,7 +352,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
         schema = schema.add("__cv_rare", T.ArrayType(T.LongType()))
     params = {x: getattr(model, x) for x in (*Model.NAMES, "n")}
     block = spark.sparkContext.broadcast((vocab.__dict__, params))
-    scored = source.mapInArrow(_scorer(block, uuid.uuid4().hex, whole_head, schema.names, to_arrow_schema(schema)), schema)
+    scored = source.mapInArrow(tidy(_scorer(block, uuid.uuid4().hex, whole_head, schema.names, to_arrow_schema(schema))), schema)
     if not whole_head:  # a table, so that row numbers are the same in both uses
         scored = store.publish(scored, "scored")
         rare = scored.select("__cv_row", F.explode("__cv_rare").alias("h")).join(counts, "h")

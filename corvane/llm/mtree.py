@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
+from corvane.llm.kernel import tidy
 
 #: Vectors in a tree, entries in a leaf and in an inner node.
 TREE_ROWS, LEAF, FANOUT = 8192, 128, 16
@@ -227,7 +228,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector
     rows, asked = take(candidates), take(queries).distinct()
     width = max(int(rows.agg(F.max(F.size("v"))).first()[0] or 0), int(asked.agg(F.max(F.size("v"))).first()[0] or 0))
     schema = T.StructType().add("n", T.LongType()).add("tree", T.BinaryType())
-    trees = store.publish(rows.mapInArrow(_builder(width, to_arrow_schema(schema)), schema), "mtree")
+    trees = store.publish(rows.mapInArrow(tidy(_builder(width, to_arrow_schema(schema))), schema), "mtree")
     n_trees = max(1, trees.count())
     # One task a few trees: a query's bound carries over from tree to tree.
     trees = trees.repartition(max(1, min(n_trees, -(-n_trees // 4) + spark.sparkContext.defaultParallelism)))
@@ -240,7 +241,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector
         for i, row in enumerate(block):
             vectors[i, : len(row["v"])] = row["v"]
         held = spark.sparkContext.broadcast((np.array([row["id"] for row in block], dtype=np.int64), vectors))
-        part = trees.mapInArrow(_searcher(held, k, to_arrow_schema(found_schema)), found_schema).withColumn("query", F.col("query") + number)
+        part = trees.mapInArrow(tidy(_searcher(held, k, to_arrow_schema(found_schema))), found_schema).withColumn("query", F.col("query") + number)
         number += len(block)
         found = part if found is None else found.union(part)
 

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
 from corvane.llm.graph import components
-from corvane.llm.kernel import BLANK_WORDS, Words, blocks, mix
+from corvane.llm.kernel import BLANK_WORDS, Words, blocks, mix, tidy
 
 #: Values that a sketch retains, and those that a pair of partial sketches must share.
 SKETCH, LEAST_SHARED = 48, 20
@@ -63,10 +63,10 @@ def shingle_sets(words: Words, n_texts: int, size: int) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(whole[a : b - size + 1])
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.array([b - a], dtype=np.uint64)
             for x in w[a:b]:
-                short = mix(np.array([short * _ODD[7] ^ x]))[0]
-            yield np.array([short], dtype=np.uint64)
+                short = mix(short * _ODD[7] ^ x)
+            yield short
         else:
             yield np.zeros(0, dtype=np.uint64)
 
@@ -98,7 +98,7 @@ def _sketcher(text: str, size: int, schema: pa.Schema):
 def sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     """(doc, n_shingles, cls, sketch) of every row; cls is null without shingles."""
     schema = T.StructType().add("doc", docs.schema[key].dataType).add("n_shingles", T.LongType()).add("cls", T.BinaryType()).add("sketch", T.ArrayType(T.LongType()))
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_sketcher("text", size, to_arrow_schema(schema)), schema)
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(tidy(_sketcher("text", size, to_arrow_schema(schema))), schema)
 
 
 def _needed(percent: int):
@@ -194,7 +194,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("a", "b", "salt", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_comparer(size, to_arrow_schema(_COMPARED)), _COMPARED)
+    return dealt.mapInArrow(tidy(_comparer(size, to_arrow_schema(_COMPARED))), _COMPARED)
 
 
 def _linked(percent: int):

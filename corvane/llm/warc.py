@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
-from corvane.llm.kernel import byte_blocks
+from corvane.llm.kernel import byte_blocks, tidy
 
 #: Payloads under this size are never written as revisits.
 LEAST_REVISIT = 100
@@ -196,14 +196,14 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
     rows = dealt.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", refers.alias("refers"), "digest", "html")
     schema = T.StructType().add("path", T.StringType()).add("records", T.LongType())
-    return store.publish(rows.mapInArrow(_writer(folder, to_arrow_schema(schema)), schema), "archives")
+    return store.publish(rows.mapInArrow(tidy(_writer(folder, to_arrow_schema(schema))), schema), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the archives, one row each; ``problem`` is null where framing and digests hold."""
     store.ship(archives.sparkSession)
     n = max(1, archives.count())
-    return archives.select("path").repartition(n, "path").mapInArrow(_reader(folder, with_payload, to_arrow_schema(RECORD)), RECORD)
+    return archives.select("path").repartition(n, "path").mapInArrow(tidy(_reader(folder, with_payload, to_arrow_schema(RECORD))), RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
