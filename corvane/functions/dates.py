@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import email.utils
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +15,7 @@ def mail_date(text: pd.Series) -> pd.Series:
 
     def parse(x):
         try:
-            t = pd.Timestamp(email.utils.parsedate_to_datetime(x))
+            t = pd.Timestamp(parsedate_to_datetime(x))
             return (t.tz_convert("UTC") if t.tzinfo else t.tz_localize("UTC")).tz_localize(None)
         except (TypeError, ValueError, IndexError):
             return pd.NaT

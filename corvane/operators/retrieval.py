@@ -4,31 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.runtime import materialize
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def index_terms(chunks: DataFrame, terms: Column, key: str) -> DataFrame:
-    """Postings (term, key, tf, dl)."""
-    rows = chunks.select(key, terms.alias("terms"))
-    return rows.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+def term_statistics(chunks: DataFrame, terms: Column) -> DataFrame:
+    """(term, df, total): in how many chunks each term occurs; the row of the empty term has the number of chunks and all their terms.
+
+    Counted from distinct terms, so tasks sum up before the shuffle.
+    """
+    per = chunks.select(terms.alias("terms")).select(F.concat(F.array_distinct("terms"), F.array(F.lit(""))).alias("each"), F.size("terms").alias("dl"))
+    rows = per.select(F.explode("each").alias("term"), "dl")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total"))
 
 
-def bm25(postings: DataFrame, documents: DataFrame, queries: DataFrame, key: str, query_key: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def bm25(chunks: DataFrame, terms: Column, queries: DataFrame, key: str, query_key: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(query_key, key, score) of chunks that share a term with the query, Okapi weights.
 
-    documents: (key, dl) of all chunks, empty ones too. queries: (query_key,
-    term), repeated terms count again. A negative idf becomes epsilon times the
-    mean idf. The corpus-wide numbers are one row, the idf table one row a term.
+    queries: (query_key, term); repeated terms count again. A negative idf
+    becomes epsilon times the mean idf over all terms. Only terms that are
+    asked for are shuffled with their chunks.
     """
-    totals = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals), how="cross")  # one row
-    idf = idf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = materialize(term_statistics(chunks, terms))
+    whole = stats.where("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    idf = stats.where("term <> ''").join(F.broadcast(whole), how="cross").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = F.broadcast(idf.agg(F.avg("idf").alias("mean_idf")))  # one row
     asked = queries.groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    idf = idf.join(asked.select("term").distinct(), "term", "left_semi").join(mean, how="cross").withColumn("w", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
-    hit = asked.join(idf.select("term", "w", "avgdl"), "term").join(postings, "term")
+    weight = F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
+    wanted = idf.join(asked.select("term").distinct(), "term", "left_semi").join(mean, how="cross").select("term", weight.alias("w"), "avgdl")
+    held = chunks.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    postings = held.join(wanted, "term").groupBy(key, "dl", "term", "w", "avgdl").agg(F.count("*").alias("tf"))
     part = F.col("qtf") * F.col("w") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    return hit.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    return asked.join(postings, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
 def top_per_query(scores: DataFrame, query_key: str, key: str, k: int, digits: int = 6) -> DataFrame:

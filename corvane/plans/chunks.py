@@ -144,9 +144,8 @@ top AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER
 def _bm25(t: Tables) -> tuple[DataFrame, DataFrame]:
     chunks = chunking.fixed_chunks(t.documents, "text", 2000, ["doc_id"]).withColumn("id", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
     terms = tx.retrieval_terms(F.col("chunk"))
-    documents = chunks.select("id", F.size(terms).alias("dl"))
     queries = t.benchmark.select("item_id", F.explode(tx.retrieval_terms(F.col("text"))).alias("term"))
-    scores = retrieval.bm25(retrieval.index_terms(chunks, terms, "id"), documents, queries, "id", "item_id")
+    scores = retrieval.bm25(chunks, terms, queries, "id", "item_id")
     return chunks, retrieval.top_per_query(scores, "item_id", "id", 5)
 
 
