@@ -20,8 +20,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.llm import store
+
 #: Alternatives that a derived query may have before a class counts as a gap.
 MAX_ALTERNATIVES = 64
+#: Candidates, of some 60 bytes each, that are broadcast to the texts.
+BROADCAST_CANDIDATES = 300_000
 #: Trigrams that one AND keeps: any subset of mandatory trigrams is sound.
 MAX_TRIGRAMS = 6
 
@@ -174,7 +178,9 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
         small = docs.select(F.col(key).alias("__cv_key"), F.xxhash64(body).alias("__cv_khash"), F.col(text).alias("__cv_text"))
         trigrams = sorted({t for r in by_index for ts in trigram_query(r.pattern) for t in ts})
         index = postings(small, "__cv_text", ["__cv_key", "__cv_khash"], trigrams)
-        found = candidates(index, ["__cv_key", "__cv_khash"], rules)
+        found = store.publish(candidates(index, ["__cv_key", "__cv_khash"], rules), "candidates")
+        if found.count() <= BROADCAST_CANDIDATES:  # else texts and candidates are dealt by document
+            found = F.broadcast(found)
         same = keyed[key].eqNullSafe(found["__cv_key"]) & (keyed["__cv_hash"] == found["__cv_khash"])
         keyed = keyed.join(found, same, "left").drop("__cv_key", "__cv_khash")
     else:
