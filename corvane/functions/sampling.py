@@ -30,13 +30,23 @@ def choose(df: DataFrame, seed: int, keys: list[str], by: list[str] | None = Non
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
 
 
-def shuffled(df: DataFrame, seed: int, keys: list[str], name: str = "position") -> DataFrame:
-    """The place of each row in a seeded permutation, from 0.
+def rank_by_draw(df: DataFrame, draw: Column, ties: list[str], name: str = "position", buckets: int = 256) -> DataFrame:
+    """The place of each row, from 0, in the order of a draw on [0, 1), then ``ties``.
 
-    The window has one partition: a permutation is one total order. It holds
-    keys only if ``df`` does; join the rest back by key.
+    Rows are ranked within buckets of the draw; the counts of the buckets before
+    (a row a bucket) give the offset, so no task sorts everything.
     """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(uniform(seed, *keys), *keys)) - 1)
+    rows = df.withColumn("__draw", draw).withColumn("__bucket", F.floor(F.col("__draw") * buckets))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    local = F.row_number().over(Window.partitionBy("__bucket").orderBy("__draw", *ties))
+    placed = rows.join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__before") + local - 1)  # ``buckets`` rows
+    return placed.drop("__draw", "__bucket", "__before")
+
+
+def shuffled(df: DataFrame, seed: int, keys: list[str], name: str = "position") -> DataFrame:
+    """The place of each row in a seeded permutation, from 0."""
+    return rank_by_draw(df, uniform(seed, *keys), keys, name)
 
 
 def weighted_choice(df: DataFrame, weight: Column, seed: int, keys: list[str], k: int = 1) -> DataFrame:

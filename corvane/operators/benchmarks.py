@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions.sampling import uniform
+from corvane.functions.sampling import rank_by_draw, uniform
 from corvane.operators.synthesis import Client
 from corvane.operators.temporal import joined_text
 
@@ -52,7 +52,7 @@ def interleave(df: DataFrame, group: str, order: str, key: list[str], seed: int)
     """
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     drawn = df.withColumn("__u", uniform(seed, *key)).withColumn("__s", F.max("__u").over(w))
-    return drawn.withColumn("place", F.row_number().over(Window.orderBy("__s", group, order)) - 1).drop("__u", "__s")
+    return rank_by_draw(drawn, F.col("__s"), [group, order], "place").drop("__u", "__s")
 
 
 def result_rows(results: DataFrame, scores: Column) -> DataFrame:

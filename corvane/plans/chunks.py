@@ -63,7 +63,7 @@ def seed_prompt_draws(t: Tables) -> DataFrame:
     return synthesis.draw_seed_prompts(t.documents, "doc_id", 3, 9).drop("prompt")
 
 
-@query(f"SELECT doc_id, (row_number() OVER (ORDER BY {_U(10, 'doc_id')}, doc_id) - 1)::INTEGER AS position FROM documents")
+@query(f"SELECT doc_id, (row_number() OVER (ORDER BY {_U(10, 'doc_id')}, doc_id) - 1)::BIGINT AS position FROM documents")
 def shuffle_order(t: Tables) -> DataFrame:
     return sampling.shuffled(t.documents.select("doc_id"), 10, ["doc_id"])
 

@@ -50,7 +50,7 @@ def question_shuffle(t: Tables) -> DataFrame:
     return bm.first_shuffled(t.benchmark.select("item_id"), "item_id", 70, 15)
 
 
-@query(f"WITH s AS (SELECT conv_id, turn, max({sql_uniform(71, 'conv_id', 'turn')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) SELECT conv_id, turn, (row_number() OVER (ORDER BY s, conv_id, turn) - 1)::INTEGER AS place FROM s")
+@query(f"WITH s AS (SELECT conv_id, turn, max({sql_uniform(71, 'conv_id', 'turn')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) SELECT conv_id, turn, row_number() OVER (ORDER BY s, conv_id, turn) - 1 AS place FROM s")
 def random_interleave(t: Tables) -> DataFrame:
     return bm.interleave(t.conversations.select("conv_id", "turn"), "conv_id", "turn", ["conv_id", "turn"], 71)
 
