@@ -41,7 +41,9 @@ FAMILY = 25
 KIN_SHARED = 4
 #: Lists up to this length are joined with themselves; longer ones are compared in blocks.
 SHORT_LIST, BLOCK, CHUNK = 64, 512, 4096
-#: Wanted texts, of some 100 bytes each without the text, that are broadcast to find them.
+#: Values of all rows of a block or chunk (32 MB), and values of a center that are compared at a time.
+VALUES, WIDTH = 4_000_000, 4096
+#: Rows, of some 100 bytes each, that are broadcast rather than joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 #: Parts into which the pairs of one class are dealt.
 SALTS = 16
@@ -189,9 +191,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     heads = salted.select("a", F.lit(None).cast("binary").alias("b"), "salt", F.col("a").alias("cls")).distinct()
     wanted = heads.union(salted.select("a", "b", "salt", F.col("b").alias("cls")))
-    wanted = store.publish(wanted.join(classes.select("cls", "doc"), "cls").drop("cls"), "wanted")
-    if wanted.count() <= BROADCAST_TEXTS:  # else the texts are dealt by document
-        wanted = F.broadcast(wanted)
+    wanted = _small(store.publish(wanted.join(classes.select("cls", "doc"), "cls").drop("cls"), "wanted"))  # else texts are dealt by document
     texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("a", "b", "salt", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(tidy(_comparer(size, to_arrow_schema(_COMPARED))), _COMPARED)
@@ -277,11 +277,16 @@ def _family_block(percent: int, schema: pa.Schema):
             part = right[k : k + 512]
             if not len(left):
                 break
-            has_l, has_r = (np.ones((len(rows), n_center), dtype=np.float32) for rows in (left, part))
-            for has, rows in ((has_l, left), (has_r, part)):
-                place, row = _gather(lacks, rows)
-                has[row, place] = 0
-            common = (has_l @ has_r.T).astype(np.int64) + _shared(_gather(own, left), _gather(own, part), (len(left), len(part)))
+            common, gone = np.zeros((len(left), len(part)), dtype=np.int64), [_gather(lacks, rows) for rows in (left, part)]
+            for low in range(0, n_center, WIDTH):  # so that very long texts fit
+                has = []
+                for (place, row), rows in zip(gone, (left, part)):
+                    one = np.ones((len(rows), min(WIDTH, n_center - low)), dtype=np.float32)
+                    some = (place >= low) & (place < low + WIDTH)
+                    one[row[some], place[some] - low] = 0
+                    has.append(one)
+                common += (has[0] @ has[1].T).astype(np.int64)
+            common += _shared(_gather(own, left), _gather(own, part), (len(left), len(part)))
             union = n[left][:, None] + n[part][None, :] - common
             for i, j in np.argwhere((100 * common >= percent * union) & (comp[left][:, None] != comp[part][None, :])):
                 x, y = root(comp[left[i]]), root(comp[part[j]])
@@ -293,10 +298,17 @@ def _family_block(percent: int, schema: pa.Schema):
     return run
 
 
-def _dealt(members: DataFrame, key: str, left, extra: list[str]) -> DataFrame:
-    """Rows of each key in groups of at most some BLOCK of the left rows and CHUNK of all rows: (key, block, chunk, left, ...)."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("all_rows"), F.sum(left.cast("int")).alias("left_rows")).where("left_rows > 0")
-    sizes = sizes.select(key, F.ceil(F.col("left_rows") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all_rows") / CHUNK).cast("int").alias("chunks"))
+def _small(table: DataFrame) -> DataFrame:
+    """A published table of short rows, broadcast while it has few, so that a hot key's rows stay where they are."""
+    return F.broadcast(table) if table.count() <= BROADCAST_TEXTS else table
+
+
+def _dealt(members: DataFrame, key: str, left, weight, extra: list[str]) -> DataFrame:
+    """Rows of each key in groups of some BLOCK left rows and CHUNK rows of all, or of VALUES by weight, if those are fewer: (key, block, chunk, left, ...)."""
+    total = lambda c: F.sum(c.cast("bigint"))
+    sizes = members.groupBy(key).agg(F.count("*").alias("rows"), total(left).alias("lefts"), total(weight).alias("values"), total(F.when(left, weight).otherwise(0)).alias("left_values")).where("lefts > 0")
+    parts = lambda rows, values, most: F.greatest(F.ceil(F.col(rows) / most), F.ceil(F.col(values) / VALUES)).cast("int")
+    sizes = _small(store.publish(sizes.select(key, parts("lefts", "left_values", BLOCK).alias("blocks"), parts("rows", "values", CHUNK).alias("chunks")), "sizes"))
     sized, place = members.join(sizes, key), F.xxhash64("cls", F.lit(1))
     lefts = sized.where(left).select(key, F.pmod(place, F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(True).alias("left"), *extra)
     rights = sized.select(key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(place, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left"), *extra)
@@ -312,9 +324,10 @@ def _within_families(compared: DataFrame, comps: DataFrame, percent: int) -> Dat
     members = _component(compared.select(F.col("a").alias("center"), F.col("n_a").alias("n_center"), F.col("b").alias("cls"), F.col("n_b").alias("n"), "lacks", "own"), comps)
     apart = members.groupBy("center", "comp").agg(F.count("*").alias("rows"))
     apart = apart.groupBy("center").agg(F.count("*").alias("comps"), F.max(F.struct("rows", "comp"))["comp"].alias("main")).where("comps > 1").select("center", "main")
+    apart = _small(store.publish(apart, "apart"))
     members = store.publish(members.join(apart, "center"), "members")
     schema = to_arrow_schema(_PAIR)
-    return _dealt(members, "center", F.col("comp") != F.col("main"), ["n_center", "cls", "n", "comp", "lacks", "own"]).applyInArrow(_family_block(percent, schema), _PAIR)
+    return _dealt(members, "center", F.col("comp") != F.col("main"), F.size("lacks") + F.size("own"), ["n_center", "cls", "n", "comp", "lacks", "own"]).applyInArrow(_family_block(percent, schema), _PAIR)
 
 
 def _outside_families(lists: DataFrame, heads: DataFrame, compared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -331,7 +344,7 @@ def _outside_families(lists: DataFrame, heads: DataFrame, compared: DataFrame, c
     pairs = x.join(y, (x["value"] == y["value"]) & open_pair).select("a", "b").distinct()
     long = placed.where(F.col("long") > SHORT_LIST).drop("long").join(classes.select("cls", "sketch"), "cls")
     schema = to_arrow_schema(_PAIR)
-    in_blocks = _dealt(long, "value", ~F.col("kin"), ["cls", "n", "comp", "kin", "sketch"]).applyInArrow(_sketch_block(percent, schema), _PAIR)
+    in_blocks = _dealt(long, "value", ~F.col("kin"), F.size("sketch"), ["cls", "n", "comp", "kin", "sketch"]).applyInArrow(_sketch_block(percent, schema), _PAIR)
     return pairs.union(in_blocks).distinct()
 
 

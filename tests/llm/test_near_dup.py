@@ -61,7 +61,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,size,small", [(1, 4, False), (2, 5, False), (3, 4, True)])
 def test_all_links_against_brute_force(spark, monkeypatch, seed, size, small):
     if small:  # the paths of long lists and large families
-        for name, value in (("SHORT_LIST", 3), ("BLOCK", 4), ("CHUNK", 5), ("BROADCAST_TEXTS", 0), ("SALTS", 3)):
+        for name, value in (("SHORT_LIST", 3), ("BLOCK", 4), ("CHUNK", 5), ("BROADCAST_TEXTS", 0), ("SALTS", 3), ("WIDTH", 50), ("VALUES", 500)):
             monkeypatch.setattr(near_dup, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame([(t, "x", d) for d, t in rows], "text string, cls string, doc_id long").repartition(3)
