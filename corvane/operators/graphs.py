@@ -15,15 +15,17 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     raises an error.
     """
     inside = materialize(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct())
-    left, done, level = materialize(nodes.select("node").distinct()), [], 0
-    while left.limit(1).count():
+    left, done = materialize(nodes.select("node").distinct()), []
+    n_left = left.count()
+    while n_left:
         blocked = inside.join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
         ready = materialize(left.join(blocked, "node", "left_anti"))
-        if level >= most or not ready.limit(1).count():
+        n_ready = ready.count()
+        if len(done) >= most or not n_ready:
             raise ValueError("the graph has a cycle")
-        done.append(ready.select("node", F.lit(level).alias("level")))
-        left = materialize(left.join(ready, "node", "left_anti"))
-        level += 1
+        done.append(ready.select("node", F.lit(len(done)).alias("level")))
+        n_left -= n_ready
+        left = materialize(left.join(ready, "node", "left_anti")) if n_left else left
     out = nodes.select("node", F.lit(0).alias("level")).limit(0)
     for part in done:
         out = out.unionByName(part)
