@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -44,6 +45,7 @@ HEADER = frozenset("header masthead".split())
 CONTENT = frozenset("article articlebody content post entry story main body text blog".split())
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>|<[!?/][^>]*+>", re.S)
+_CUT = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -89,6 +91,7 @@ class Page:
         stack = [_Open("", False, 0, False)]
         piece: list[str] = []
         linked, in_link, at, n = 0, 0, 0, len(source)
+        last_end, opened = source.rfind(">"), Counter()  # no tag ends beyond; how often each tag is open
 
         def flush():
             nonlocal linked
@@ -107,11 +110,10 @@ class Page:
                     linked += len(text)
 
         while at < n:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at) if at <= last_end else None
             if m is None:
-                rest = source[at:]
-                cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-                keep(rest[: cut.start()] if cut else rest)
+                cut = _CUT.search(source, max(at, last_end + 1))  # a tag that the page's end cuts off
+                keep(source[at : cut.start()] if cut else source[at:])
                 break
             keep(source[at : m.start()])
             at = m.end()
@@ -123,10 +125,11 @@ class Page:
                     flush()
                 if tag == "a":
                     in_link = 0
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[i].tag == tag:
                         if tag not in BLOCKS and any(x.dropped != stack[i].dropped for x in stack[i + 1 :]):
                             break
+                        opened.subtract(x.tag for x in stack[i:])
                         del stack[i:]
                         break
                 continue
@@ -142,7 +145,7 @@ class Page:
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
                 continue
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and top.tag == tag:
-                stack.pop()
+                opened[stack.pop().tag] -= 1
                 top = stack[-1]
             words, shown, hidden = _marks(m[3]) if m[3].strip() else (set(), "", False)
             named = tag in ("article", "main") or bool(words & CONTENT)
@@ -156,6 +159,7 @@ class Page:
                 container = len(self.containers) - 1
             if tag in BLOCKS or tag in CONTAINERS or dropped != top.dropped:
                 stack.append(_Open(tag, dropped, container, in_article))
+                opened[tag] += 1
         flush()
 
     def best(self) -> int:

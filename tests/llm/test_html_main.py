@@ -28,6 +28,8 @@ def test_odd_pages():
     assert text_of("<script>never closed <p>x</p>") == ""
     assert text_of("<div hidden><p>no</p></div><div style='display: none'>no</div><p>yes</p>") == "yes"
     assert text_of("<p>" + "w " * 100_000 + "</p>") == ("w " * 100_000).strip()
+    for hostile in ("<a" * 200_000, "<a " * 200_000 + ">", "<div>" * 2000 + "</b></div x" * 20_000, "<p x='" * 50_000, "<!--" * 100_000, "&" * 300_000):
+        text_of(hostile)  # in linear time
     assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
