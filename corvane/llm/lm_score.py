@@ -1,13 +1,18 @@
 """Language-model scores: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
 Counts: every training token is counted, by a 64-bit hash of the word, with
-partial sums per task.  The most frequent words are classes of their own, all
-others share one class; inside it a word has (c + 1) / Z.
-
-Model: the two words before predict a vector, r = u1[w1] * a1 + u2[w2] * a2;
-class k has the score r . q[k] + b[k].  Each task trains from the same start
-over all its training texts, in mini-batches with noise drawn from the class
-frequencies; a tree of sums averages the tasks' parameters by their tokens.
+partial sums per task.  The most frequent words are classes of their own; the
+class of all others is split into subclasses of equal weight, more of them the
+more words there are, so that all but its rare words are alone in theirs.
+Words that are not broadcast, and unseen ones, have subclasses by their hash.
+Inside a subclass a word has (c + 1) / Z.
+
+Model: the two words before predict a vector, r = u1[w1] * a1 + u2[w2] * a2,
+where a subclass adds its own part to the vector of its class; class k has the
+score r . q[k] + b[k].  The groups of subclasses and the subclasses of a group
+are scored alike, each with vectors of its own.  Each task trains from the same
+start over all its training texts, in mini-batches with noise drawn from the
+class frequencies; a tree of sums averages the tasks' parameters by their tokens.
 
 Scores: batched matrix products give the normaliser of every context that
 occurs, so token log-probabilities are normalised over all words.
@@ -30,6 +35,8 @@ from corvane.llm.kernel import BLANK_WORDS, blocks, hash_word, runs, tidy
 END = hash_word(b" end ")
 #: Classes with one word each, and one for the rest.
 CLASSES = 1024
+#: Subclasses of the rest for each root of the number of distinct words; noise draws of one token in its group.
+SUBCLASSES, MEMBER_NOISE = 16, 4
 #: Words whose counts are broadcast (16 MB); the counts of rarer words are joined.
 HEAD_WORDS = 1 << 20
 #: Vector size, tokens in a mini-batch, noise draws shared by a batch, step.
@@ -82,7 +89,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Counts of the head words, the classes, and the totals; arrays only, so that it can be broadcast."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, classes: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, classes: int, rare: np.ndarray | None = None):
+        """rare: tokens and words of each hashed subclass."""
         by = np.argsort(hashes)
         self.hashes, self.counts = hashes[by], counts[by].astype(np.int64)
         self.total, self.distinct = int(total), int(distinct)
@@ -96,6 +104,18 @@ class Vocabulary:
         self.class_counts = np.append(self.counts[place], self.total - own_tokens)
         #: Weight of the shared class: c + 1 of each of its words, and 1 for all unknown words.
         self.rest = (self.total - own_tokens) + (self.distinct - len(own)) + 1
+        tail = np.flatnonzero(self.class_of == len(own))
+        tail = tail[np.lexsort((self.hashes[tail], -self.counts[tail]))]
+        weight = self.counts[tail] + 1
+        rare = np.zeros((2, 1), dtype=np.int64) if rare is None else rare
+        wanted = max(1, subclasses(self.distinct) - rare.shape[1])
+        bins, which = np.unique((np.cumsum(weight) - weight) * wanted // max(1, int(weight.sum())), return_inverse=True)
+        self.n_binned, self.n_sub = len(bins), len(bins) + rare.shape[1]
+        #: Subclass of each head word; n_sub: it has a class of its own.
+        self.sub_of = np.full(len(self.hashes), self.n_sub, dtype=np.int32)
+        self.sub_of[tail] = which
+        #: Weight of each subclass: c + 1 of each of its words, and in a hashed one 1 for unknown words.
+        self.sub_rest = np.concatenate((np.bincount(which, weights=weight, minlength=len(bins)), rare.sum(axis=0) + 1.0))
         self.shift = np.uint64(64 - (max(1, len(hashes)).bit_length() + 2))
         self.bucket = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
@@ -117,6 +137,11 @@ class Vocabulary:
         return found
 
 
+def subclasses(distinct: int) -> int:
+    """How many subclasses the rest of so many words has."""
+    return math.ceil(SUBCLASSES * math.sqrt(distinct))
+
+
 def vocabulary(counts: DataFrame, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> Vocabulary:
     """Totals over all counts; the head is the words at or above the least count that at most ``head_words`` reach."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -127,11 +152,19 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, head_words: int = HEAD
         fits = np.flatnonzero(reach <= head_words)
         least = int(c[fits[-1]]) if len(fits) else int(c[0]) + 1
     head = counts.where(F.col("c") >= least).toArrow()
-    return Vocabulary(head["h"].to_numpy().view(np.uint64), head["c"].to_numpy(), total, distinct, classes)
+    hashes, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
+    rare = None
+    if len(c) < distinct:
+        rest = total - int(np.sort(c)[::-1][: classes - 1].sum())
+        n = max(1, round(subclasses(distinct) * (total - int(c.sum())) / rest))
+        cells = counts.where(F.col("c") < least).groupBy((F.shiftrightunsigned("h", 33) % n).alias("i")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+        rare = np.zeros((2, n), dtype=np.int64)
+        rare[:, cells["i"].to_numpy()] = cells["c"].to_numpy(), cells["n"].to_numpy()
+    return Vocabulary(hashes, c, total, distinct, classes, rare)
 
 
 def token_table(words, n: int, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
-    """For all tokens of a block, ends included: text, index in the head (-1: not there), class, and the two classes before (n_classes before the text)."""
+    """For all tokens of a block, ends included: text, hash, index in the head (-1: not there), class, the two classes before (n_classes before the text); the same of subclasses (n_sub: none)."""
     length = np.diff(words.first)
     text = np.repeat(np.arange(n), length + 1)
     end = np.cumsum(length + 1) - 1
@@ -141,28 +174,41 @@ def token_table(words, n: int, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     h[is_word] = words.hash
     index = vocab.find(h)
     cls = np.where(index >= 0, vocab.class_of[index] if len(vocab.class_of) else 0, vocab.n_classes - 1).astype(np.int64)
-    begin, none = end - length, vocab.n_classes
-    one = np.concatenate(([none], cls[:-1]))
-    one[begin] = none
-    two = np.concatenate(([none], one[:-1]))
-    two[begin] = none
-    return text, h, index, cls, one, two
+    hashed = vocab.n_binned + ((h >> np.uint64(33)) % np.uint64(vocab.n_sub - vocab.n_binned)).astype(np.int64)
+    sub = np.where(index >= 0, vocab.sub_of[index] if len(vocab.sub_of) else 0, hashed).astype(np.int64)
+    begin, out = end - length, []
+    for own, none in ((cls, vocab.n_classes), (sub, vocab.n_sub)):
+        one = np.concatenate(([none], own[:-1]))
+        one[begin] = none
+        two = np.concatenate(([none], one[:-1]))
+        two[begin] = none
+        out += [own, one, two]
+    return text, h, index, *out
 
 
 class Model:
     """Parameters of the log-bilinear model."""
 
-    NAMES = ("u1", "u2", "a1", "a2", "q", "b")
+    NAMES = ("u1", "u2", "d1", "d2", "a1", "a2", "q", "b", "qg", "bg", "qs", "bs")
+    SIZES = ("n", "n_sub", "per")
 
-    def __init__(self, n_classes: int, class_counts: np.ndarray, seed: int = 1):
+    def __init__(self, vocab: Vocabulary, seed: int = 1):
         rng = np.random.default_rng(seed)
         normal = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        self.n = n_classes
-        self.share = (class_counts + 1.0) / (class_counts.sum() + n_classes)
-        self.u1, self.u2 = normal(n_classes + 1, DIMENSION), normal(n_classes + 1, DIMENSION)
+        zeros = lambda n: np.zeros((n, DIMENSION), dtype=np.float32)
+        self.n, self.n_sub = vocab.n_classes, vocab.n_sub
+        #: Subclasses in a group.
+        self.per = math.isqrt(self.n_sub - 1) + 1
+        self.share = (vocab.class_counts + 1.0) / (vocab.class_counts.sum() + self.n)
+        groups = np.add.reduceat(vocab.sub_rest, np.arange(0, self.n_sub, self.per))
+        self.group_share = groups / groups.sum()
+        self.u1, self.u2 = normal(self.n + 1, DIMENSION), normal(self.n + 1, DIMENSION)
+        self.d1, self.d2 = zeros(self.n_sub + 1), zeros(self.n_sub + 1)
         self.a1, self.a2 = np.ones(DIMENSION, dtype=np.float32), np.full(DIMENSION, 0.5, dtype=np.float32)
-        self.q = normal(n_classes, DIMENSION) * np.float32(0.3)
+        self.q = normal(self.n, DIMENSION) * np.float32(0.3)
         self.b = np.log(self.share).astype(np.float32)
+        self.qg, self.bg = zeros(len(groups)), np.log(self.group_share).astype(np.float32)
+        self.qs, self.bs = zeros(self.n_sub), np.log(vocab.sub_rest / groups[np.arange(self.n_sub) // self.per]).astype(np.float32)
         self.squares = {x: np.full(getattr(self, x).shape, 1e-6, dtype=np.float32) for x in self.NAMES}
         self.rng = np.random.default_rng(seed + 1)
 
@@ -176,8 +222,11 @@ class Model:
             setattr(self, x, data[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.u1[one] * self.a1 + self.u2[two] * self.a2
+    def predict(self, one: np.ndarray, two: np.ndarray, sub_one: np.ndarray | None = None, sub_two: np.ndarray | None = None) -> np.ndarray:
+        x1, x2 = self.u1[one], self.u2[two]
+        if sub_one is not None:
+            x1, x2 = x1 + self.d1[sub_one], x2 + self.d2[sub_two]
+        return x1 * self.a1 + x2 * self.a2
 
     def _move(self, name: str, gradient: np.ndarray, rows=None) -> None:
         value, square = getattr(self, name), self.squares[name]
@@ -193,39 +242,93 @@ class Model:
         start, _ = runs(rows[by])
         self._move(name, np.add.reduceat(gradient[by], start, axis=0), rows[by][start])
 
-    def step(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """One ascent step of noise-contrastive estimation with NOISE draws for each token."""
+    def _contrast(self, q: str, b: str, share: np.ndarray, r: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
+        """Moves the targets' vectors by NOISE draws for each token; the gradient of ``r``."""
+        vectors, bias = getattr(self, q), getattr(self, b)
+        noise = self.rng.choice(len(share), NOISE, p=share)
+        log_noise = np.log(NOISE * share).astype(np.float32)
+        qw = vectors[target]
+        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, qw) + bias[target] - log_noise[target]))
+        down = -1 / (1 + np.exp(-(r @ vectors[noise].T + bias[noise] - log_noise[noise])))
+        up, down = up.astype(np.float32) * scale, down.astype(np.float32) * scale
+        dr = up[:, None] * qw + down @ vectors[noise]
+        self._scatter(q, np.concatenate((target, noise)), np.concatenate((up[:, None] * r, down.T @ r)))
+        self._scatter(b, np.concatenate((target, noise)), np.concatenate((up, down.sum(axis=0))))
+        return dr
+
+    def _contrast_members(self, r: np.ndarray, sub: np.ndarray, scale: np.float32) -> np.ndarray:
+        """The same for subclasses, with MEMBER_NOISE even draws from each token's group."""
+        first = sub // self.per * self.per
+        size = np.minimum(self.per, self.n_sub - first)
+        noise = first[:, None] + (self.rng.random((len(sub), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
+        log_noise = np.log(MEMBER_NOISE / size).astype(np.float32)
+        qw, qn = self.qs[sub], self.qs[noise]
+        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, qw) + self.bs[sub] - log_noise))
+        down = -1 / (1 + np.exp(-(np.einsum("td,tkd->tk", r, qn) + self.bs[noise] - log_noise[:, None])))
+        up, down = up.astype(np.float32) * scale, down.astype(np.float32) * scale
+        dr = up[:, None] * qw + np.einsum("tk,tkd->td", down, qn)
+        rows = np.concatenate((sub, noise.ravel()))
+        self._scatter("qs", rows, np.concatenate((up[:, None] * r, (down[:, :, None] * r[:, None]).reshape(-1, DIMENSION))))
+        self._scatter("bs", rows, np.concatenate((up, down.ravel())))
+        return dr
+
+    def step(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, sub: np.ndarray, sub_one: np.ndarray, sub_two: np.ndarray) -> None:
+        """One ascent step of noise-contrastive estimation."""
         scale = np.float32(1 / len(cls))
-        noise = self.rng.choice(self.n, NOISE, p=self.share)
-        x1, x2 = self.u1[one], self.u2[two]
+        x1, x2 = self.u1[one] + self.d1[sub_one], self.u2[two] + self.d2[sub_two]
         r = x1 * self.a1 + x2 * self.a2
-        log_noise = np.log(NOISE * self.share).astype(np.float32)
-        qw = self.q[cls]
-        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, qw) + self.b[cls] - log_noise[cls]))
-        down = -1 / (1 + np.exp(-(r @ self.q[noise].T + self.b[noise] - log_noise[noise])))
-        up, down = up.astype(np.float32) * scale, down.astype(np.float32) * scale
-        dr = up[:, None] * qw + down @ self.q[noise]
-        self._scatter("q", np.concatenate((cls, noise)), np.concatenate((up[:, None] * r, down.T @ r)))
-        self._scatter("b", np.concatenate((cls, noise)), np.concatenate((up, down.sum(axis=0))))
-        self._scatter("u1", one, dr * self.a1)
-        self._scatter("u2", two, dr * self.a2)
-        self._move("a1", np.einsum("td,td->d", dr, x1))
-        self._move("a2", np.einsum("td,td->d", dr, x2))
-
-    def log_normaliser(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        out = np.empty(len(one), dtype=np.float64)
-        for i in range(0, len(one), 4096):
-            s = self.predict(one[i : i + 4096], two[i : i + 4096]) @ self.q.T + self.b
-            top = s.max(axis=1, keepdims=True)
-            out[i : i + 4096] = np.log(np.exp(s - top).sum(axis=1, dtype=np.float64)) + top[:, 0]
+        dr = self._contrast("q", "b", self.share, r, cls, scale)
+        tail = np.flatnonzero(sub < self.n_sub)
+        if len(tail):
+            rt, st = r[tail], sub[tail]
+            dr[tail] += self._contrast("qg", "bg", self.group_share, rt, st // self.per, scale)
+            dr[tail] += self._contrast_members(rt, st, scale)
+        for u, d, a, context, inner, x in (("u1", "d1", "a1", one, sub_one, x1), ("u2", "d2", "a2", two, sub_two, x2)):
+            g = dr * getattr(self, a)
+            self._scatter(u, context, g)
+            if len(rare := np.flatnonzero(inner < self.n_sub)):
+                self._scatter(d, inner[rare], g[rare])
+            self._move(a, np.einsum("td,td->d", dr, x))
+
+    def log_sub(self, r: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        """Log-probability of each subclass among all, after the rest class."""
+        group = sub // self.per
+        out = (np.einsum("td,td->t", r, self.qg[group]) + self.bg[group]).astype(np.float64) - _log_sums(r, self.qg, self.bg)
+        by = np.argsort(group)
+        start, count = runs(group[by])
+        for at, n in zip(start.tolist(), count.tolist()):
+            rows = by[at : at + n]
+            members = slice(group[rows[0]] * self.per, (group[rows[0]] + 1) * self.per)
+            q, b = self.qs[members], self.bs[members]
+            out[rows] += np.einsum("td,td->t", r[rows], self.qs[sub[rows]]) + self.bs[sub[rows]] - _log_sums(r[rows], q, b)
         return out
 
+    def log_normaliser(self, *context: np.ndarray) -> np.ndarray:
+        """Of the classes after each context, which is what ``predict`` takes."""
+        return np.concatenate([_log_sums(self.predict(*(x[i : i + 65536] for x in context)), self.q, self.b) for i in range(0, max(1, len(context[0])), 65536)])
+
+
+def _log_sums(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of exp(r . q[k] + b[k]) over all k, shifted by the largest where that is out of range."""
+    out = np.empty(len(r), dtype=np.float64)
+    turned = np.ascontiguousarray(np.column_stack((q, b)).T)
+    for i in range(0, len(r), 512):
+        rows = np.column_stack((r[i : i + 512], np.ones(len(r[i : i + 512]), dtype=np.float32)))
+        s = rows @ turned
+        with np.errstate(over="ignore", divide="ignore"):
+            out[i : i + 512] = np.log(np.exp(s, out=s).sum(axis=1))
+        if len(odd := np.flatnonzero(~np.isfinite(out[i : i + 512]))):
+            s = rows[odd] @ turned
+            top = s.max(axis=1, keepdims=True)
+            out[i + odd] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+    return out
+
 
 def _trainer(block, schema: pa.Schema):
     def run(batches):
         vocab = Vocabulary.__new__(Vocabulary)
         vocab.__dict__.update(block.value)
-        model, tokens, held = Model(vocab.n_classes, vocab.class_counts), 0, []
+        model, tokens, held = Model(vocab), 0, []
 
         def steps(rows, whole):
             at = 0
@@ -243,8 +346,7 @@ def _trainer(block, schema: pa.Schema):
             if held:
                 steps(held, False)
         if tokens:
-            weighted = np.frombuffer(model.pack(), dtype=np.float32).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([weighted.tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([model.pack()], pa.binary())], schema=schema)
 
     return run
 
@@ -254,10 +356,10 @@ def _adder(schema: pa.Schema):
         tokens, total = 0, None
         for batch in batches:
             for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(data, dtype=np.float64)
+                x = np.frombuffer(data, dtype=np.float32) * np.float64(n)
                 tokens, total = tokens + n, x if total is None else total + x
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([total.tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -274,9 +376,9 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
         left = math.ceil(left / 32)
         sums = store.publish(sums.repartition(left).mapInArrow(tidy(_adder(arrow)), schema), "lbl")
         left = sums.count()
-    model, row = Model(vocab.n_classes, vocab.class_counts), sums.first()
+    model, row = Model(vocab), sums.first()
     if row is not None:
-        model.unpack(np.frombuffer(row["data"], dtype=np.float64) / row["tokens"])
+        model.unpack(np.frombuffer(row["data"], dtype=np.float32))
     return model
 
 
@@ -296,23 +398,35 @@ def _scorer(block, mark: str, whole_head: bool, fields: list[str], schema: pa.Sc
             _NORMALISERS[mark] = np.full(width * width, np.nan)
         z = _NORMALISERS[mark]
         head_log = np.log10(vocab.counts + 1.0)
-        per_token, log_rest = math.log10(vocab.total + vocab.distinct + 1), math.log10(vocab.rest)
+        per_token, log_rest = math.log10(vocab.total + vocab.distinct + 1), np.log10(vocab.sub_rest)
         for batch in batches:
             for a, b, words in blocks(batch.column(batch.schema.get_field_index("__cv_text")), BLANK_WORDS):
                 n = b - a
-                text, h, index, cls, one, two = token_table(words, n, vocab)
+                text, h, index, cls, one, two, sub, sub_one, sub_two = token_table(words, n, vocab)
+                plain = (sub_one == vocab.n_sub) & (sub_two == vocab.n_sub)  # contexts of classes only are kept
                 context = two * width + one
-                new = np.unique(context)
+                new = np.unique(context[plain])
                 new = new[np.isnan(z[new])]
-                z[new] = model.log_normaliser(new % width, new // width)
+                none = np.full(len(new), vocab.n_sub)
+                z[new] = model.log_normaliser(new % width, new // width, none, none)
+                log_z = z[context]
+                split = np.flatnonzero(~plain)
+                wide = width + vocab.n_sub
+                pair = np.where(sub_two < vocab.n_sub, width + sub_two, two)[split] * wide + np.where(sub_one < vocab.n_sub, width + sub_one, one)[split]
+                _, at, back = np.unique(pair, return_index=True, return_inverse=True)
+                at = split[at]
+                log_z[split] = model.log_normaliser(one[at], two[at], sub_one[at], sub_two[at])[back]
                 log_p = np.empty(len(cls))
                 for i in range(0, len(cls), 1 << 17):
                     s = slice(i, i + (1 << 17))
-                    log_p[s] = np.einsum("td,td->t", model.predict(one[s], two[s]), model.q[cls[s]]) + model.b[cls[s]]
-                log_p = (log_p - z[context]) / math.log(10)
+                    r = model.predict(one[s], two[s], sub_one[s], sub_two[s])
+                    log_p[s] = np.einsum("td,td->t", r, model.q[cls[s]]) + model.b[cls[s]]
+                    tail = np.flatnonzero(sub[s] < vocab.n_sub)
+                    log_p[i + tail] += model.log_sub(r[tail], sub[i + tail])
+                log_p = (log_p - log_z) / math.log(10)
                 known = index >= 0
                 log_c = np.where(known, head_log[index] if len(head_log) else 0.0, 0.0)
-                log_p += np.where(cls == vocab.n_classes - 1, log_c - log_rest, 0.0)
+                log_p += np.where(sub < vocab.n_sub, log_c - log_rest[np.minimum(sub, vocab.n_sub - 1)], 0.0)
                 start = np.concatenate(([0], np.cumsum(np.diff(words.first) + 1)[:-1]))
                 made = {
                     "n_tokens": pa.array(np.diff(words.first) + 1, pa.int64()),
@@ -339,7 +453,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
     keep: the columns to return (all by default); columns named as the added
     ones are replaced.  Null counts as the empty text, which has one token, its
     end.  Repeated rows score alike.  Without training texts all words are
-    unknown and equally likely.
+    unknown and equally likely but for their subclass.
     """
     spark = docs.sparkSession
     store.ship(spark)
@@ -350,7 +464,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
     schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType()).add("base_score", T.DoubleType()).add("score", T.DoubleType())
     if not whole_head:
         schema = schema.add("__cv_rare", T.ArrayType(T.LongType()))
-    params = {x: getattr(model, x) for x in (*Model.NAMES, "n")}
+    params = {x: getattr(model, x) for x in (*Model.NAMES, *Model.SIZES)}
     block = spark.sparkContext.broadcast((vocab.__dict__, params))
     scored = source.mapInArrow(tidy(_scorer(block, uuid.uuid4().hex, whole_head, schema.names, to_arrow_schema(schema))), schema)
     if not whole_head:  # a table, so that row numbers are the same in both uses

@@ -62,3 +62,19 @@ def test_empty_training_and_empty_tables(spark):
     row = lm_score.score_texts(df, *fitted).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.base_score == 0
     assert lm_score.score_texts(df.limit(0), *fitted).count() == 0
+
+
+@pytest.mark.parametrize("head", [1 << 20, 0])
+def test_words_without_a_class_predict_and_are_predicted(spark, head):
+    df = spark.createDataFrame([(i, " ".join(f"k{(i + j) % 40}" for j in range(400))) for i in range(400)], "doc_id long, text string").coalesce(2)
+    counts, vocab, model = lm_score.fit(df, classes=4, head_words=head)
+    r = lm_score.score_texts(df, counts, vocab, model).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert r.s > 0.8 * r.b  # closer to 0
+    none = np.full(vocab.n_sub, vocab.n_classes)
+    after = model.predict(none, none, np.arange(vocab.n_sub), np.arange(vocab.n_sub))
+    assert len(np.unique(after, axis=0)) > 30
+    for x in after[:3]:
+        assert np.exp(model.log_sub(np.tile(x, (vocab.n_sub, 1)), np.arange(vocab.n_sub))).sum() == pytest.approx(1, rel=1e-4)
+    own = vocab.class_of < vocab.n_classes - 1
+    rest = vocab.total - vocab.counts[own].sum() + vocab.distinct - own.sum()
+    assert vocab.sub_rest.sum() == rest + vocab.n_sub - vocab.n_binned
