@@ -80,7 +80,7 @@ def conversation_preview(t: Tables) -> DataFrame:
     from corvane.operators.conversations import nest
     from corvane.sources.conversations import preview
 
-    p = preview(nest(t.conversations), "conv_id", "messages", rows=1_000_000, width=2)
+    p = preview(nest(t.conversations), "conv_id", "messages", rows=None, width=2)
     return p.withColumn("n_messages", F.col("n_messages").cast("bigint"))
 
 

@@ -63,10 +63,11 @@ def read_many(spark: SparkSession, sources: list[dict], fetch: Callable[[dict],
     return out
 
 
-def preview(nested: DataFrame, key: str, messages: str, seed: int = 0, rows: int = 256, width: int = 4) -> DataFrame:
-    """At most ``rows`` random rows with message_0.. as columns."""
+def preview(nested: DataFrame, key: str, messages: str, seed: int = 0, rows: int | None = 256, width: int = 4) -> DataFrame:
+    """At most ``rows`` random rows (None: all, in no order) with message_0.. as columns."""
     m = F.col(messages)
-    return nested.orderBy(uniform(seed, key), key).limit(rows).select(key, F.size(m).alias("n_messages"), *(F.get(m, F.lit(i))["content"].alias(f"message_{i}") for i in range(width)))
+    shown = nested if rows is None else nested.orderBy(uniform(seed, key), key).limit(rows)
+    return shown.select(key, F.size(m).alias("n_messages"), *(F.get(m, F.lit(i))["content"].alias(f"message_{i}") for i in range(width)))
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -111,3 +111,10 @@ def test_stream_upsert(spark, tmp_path):
     events.upsert_each_batch(source, f"{tmp_path}/out", ["k"], [F.desc("t")], f"{tmp_path}/cp")
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
     assert {r.k: r.v for r in spark.read.parquet(str(last)).collect()} == {1: "c", 2: "b"}
+
+
+def test_preview_of_all_conversations_has_no_limit(spark):
+    from corvane.plans import catalog
+
+    plan = catalog.QUERIES["conversation_preview"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort [" not in plan
