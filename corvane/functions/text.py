@@ -118,7 +118,7 @@ def section_between(text: Column, start: str, end: str) -> Column:
 
 def capitalize(text: Column) -> Column:
     """First letter upper, the rest lower, separators to spaces."""
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.translate(F.lower(F.substring(text, 2, 1_000_000)), "_-", "  "))
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.translate(F.lower(F.substring(text, F.lit(2), F.length(text))), "_-", "  "))
 
 
 def choice_prompt(question: Column, options: Column) -> Column:

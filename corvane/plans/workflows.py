@@ -36,9 +36,9 @@ def json_unflatten(t: Tables) -> DataFrame:
 @query()
 def fuzzy_choice(t: Tables) -> DataFrame:
     """The option most like a garbled answer."""
-    options = F.array(F.left("text", F.lit(40)), F.substring("text", 20, 40), F.reverse(F.left("text", F.lit(40))))
-    said = F.concat(F.lit("<answer>"), F.translate(F.substring("text", 20, 40), "e", "3"), F.lit("</answer>"))
-    rows = t.benchmark.select("item_id", options.alias("options"), said.alias("said"), F.substring("text", 20, 40).alias("right"))
+    options = F.array(F.substring("text", F.lit(20), F.length("text")), F.col("text"), F.reverse("text"))
+    said = F.concat(F.lit("<answer>"), F.translate("text", "e", "3"), F.lit("</answer>"))
+    rows = t.benchmark.select("item_id", options.alias("options"), said.alias("said"), F.col("text").alias("right"))
     return rows.select("item_id", scoring.multiple_choice(F.col("said"), F.col("options"), F.col("right")).alias("correct"))
 
 

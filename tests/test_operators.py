@@ -192,3 +192,11 @@ def test_analytics(spark):
     assert one(spark, analytics.number_in(F.col("s")), s="cache-step120.pt") == 120 and one(spark, analytics.number_in(F.col("s")), s="final") == 0
     assert arithmetic.grid_ticks(0.5, 200) == [0.1, 1.0, 10.0, 100.0, 1000.0] and arithmetic.back_off(9) == 60
     assert nested.config_hash({"a": 1, "t": 2}, ("t",)) == nested.config_hash({"t": 3, "a": 1}, ("t",))
+
+
+def test_whole_texts(spark):
+    assert one(spark, F.length(tx.capitalize(F.col("s"))), s="a" * 1_000_010) == 1_000_010
+    from corvane.plans import catalog
+
+    plan = catalog.QUERIES["fuzzy_choice"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "left(" not in plan and ", 40)" not in plan
