@@ -32,22 +32,25 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     return out
 
 
-def call_chain(spark, calls: DataFrame, starts: DataFrame, most: int = 90, follow_argument: bool = True) -> DataFrame:
+def call_chain(spark, calls: DataFrame, starts: DataFrame, follow_argument: bool = True) -> DataFrame:
     """(start, input, literal, depth) of each start's chain of calls.
 
     calls: (method, input, kind, target, arg, literal), one row a method and
     input. A call goes on with the stored argument, or with the first input if
-    ``follow_argument`` is off. Chains beyond ``most`` calls are left out.
+    ``follow_argument`` is off. Each round doubles how far a call points, so a
+    chain takes log2 of its depth rounds; chains that end without a literal
+    have no row, and a start that runs into a cycle raises an error.
     """
-    calls.createOrReplaceTempView("__cv_calls")
-    starts.createOrReplaceTempView("__cv_starts")
-    following = "c.arg" if follow_argument else "w.first_input"
-    return spark.sql(f"""
-        WITH RECURSIVE w(start, first_input, kind, target, arg, literal, depth) AS (
-          SELECT s.method, s.input, c.kind, c.target, c.arg, c.literal, 0
-          FROM __cv_starts s JOIN __cv_calls c ON c.method = s.method AND c.input = s.input
-          UNION ALL
-          SELECT w.start, w.first_input, n.kind, n.target, n.arg, n.literal, w.depth + 1
-          FROM w JOIN __cv_calls n ON n.method = w.target AND n.input = {following.replace('c.arg', 'w.arg')}
-          WHERE w.kind = 'call' AND w.depth < {most})
-        SELECT start, first_input AS input, literal, depth FROM w WHERE kind = 'literal'""")
+    following = "arg" if follow_argument else "input"
+    call = F.col("kind") == "call"
+    start = calls.select("method", "input", "kind", F.when(call, F.col("target")).alias("to"), F.when(call, F.col(following)).alias("to_input"), "literal", F.when(call, 1).otherwise(0).alias("depth"))
+    links = materialize(start.where(call | (F.col("kind") == "literal")))
+    n, reach = links.count(), 1
+    while reach <= n and not links.where(call).isEmpty():
+        ends = links.select(F.col("method").alias("to"), F.col("input").alias("to_input"), F.col("kind").alias("end_kind"), F.col("to").alias("next"), F.col("to_input").alias("next_input"), F.col("literal").alias("end"), F.col("depth").alias("more"))
+        on = links.where(call).join(ends, ["to", "to_input"]).select("method", "input", F.col("end_kind").alias("kind"), F.col("next").alias("to"), F.col("next_input").alias("to_input"), F.col("end").alias("literal"), (F.col("depth") + F.col("more")).alias("depth"))
+        links, reach = materialize(links.where(~call).unionByName(on)), reach * 2
+    found = starts.join(links, ["method", "input"])
+    if not found.where(call).isEmpty():
+        raise ValueError("a chain of calls has a cycle")
+    return found.select(F.col("method").alias("start"), "input", "literal", "depth")

@@ -200,3 +200,15 @@ def test_whole_texts(spark):
 
     plan = catalog.QUERIES["fuzzy_choice"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "left(" not in plan and ", 40)" not in plan
+
+
+def test_deep_call_chains_and_cycles(spark):
+    schema = "method string, input string, kind string, target string, arg string, literal string"
+    rows = [(f"m{i}", "x", "call", f"m{i + 1}", "x", None) for i in range(150)] + [("m150", "x", "literal", None, None, "end"), ("lost", "x", "call", "none", "x", None), ("c", "x", "call", "d", "x", None), ("d", "x", "call", "c", "x", None)]
+    calls = spark.createDataFrame(rows, schema)
+    starts = spark.createDataFrame([("m0", "x"), ("m149", "x"), ("m150", "x"), ("lost", "x")], "method string, input string")
+    for follow in (True, False):
+        got = {r.start: (r.literal, r.depth) for r in graphs.call_chain(spark, calls, starts, follow_argument=follow).collect()}
+        assert got == {"m0": ("end", 150), "m149": ("end", 1), "m150": ("end", 0)}
+    with pytest.raises(ValueError):
+        graphs.call_chain(spark, calls, spark.createDataFrame([("c", "x")], "method string, input string"))
