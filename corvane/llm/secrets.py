@@ -104,7 +104,7 @@ def _walk(tree) -> list[tuple]:
                 for _ in range(low):
                     step = _join(step, once)
             elif low:
-                step = [x + (_GAP,) + x for x in once]
+                step = _join([x + (_GAP,) for x in once], once)  # the last one may be another alternative
             else:
                 step = [(_GAP,)]
         else:

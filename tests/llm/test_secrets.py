@@ -53,3 +53,10 @@ def test_queries_hold_for_every_match():
 def test_no_python_in_the_plan(spark):
     plan = secrets.find_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and F is not None
+
+
+def test_repeats_may_end_with_another_alternative():
+    for pattern, text in (("xy[ab]{2,}cd", "xyabcd"), ("xy(ab|cd|ef)+gh", "xyabefgh"), ("xy[abcdefgh]{2,}[abcdefgh]{2,}zzz", "xyahbgzzz")):
+        assert re.search(pattern, text)
+        query = secrets.trigram_query(pattern)
+        assert query is None or any(all(t in text for t in ands) for ands in query)
