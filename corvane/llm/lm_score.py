@@ -1,21 +1,29 @@
 """Language-model scores: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
 Counts: every training token is counted, by a 64-bit hash of the word, with
-partial sums per task.  The most frequent words are classes of their own; the
-class of all others is split into subclasses of equal weight, more of them the
-more words there are, so that all but its rare words are alone in theirs.
-Words that are not broadcast, and unseen ones, have subclasses by their hash.
-Inside a subclass a word has (c + 1) / Z.
-
-Model: the two words before predict a vector, r = u1[w1] * a1 + u2[w2] * a2,
-where a subclass adds its own part to the vector of its class; class k has the
-score r . q[k] + b[k].  The groups of subclasses and the subclasses of a group
-are scored alike, each with vectors of its own.  Each task trains from the same
-start over all its training texts, in mini-batches with noise drawn from the
-class frequencies; a tree of sums averages the tasks' parameters by their tokens.
-
-Scores: batched matrix products give the normaliser of every context that
-occurs, so token log-probabilities are normalised over all words.
+partial sums per task; beside the hash goes the word's spelling, four hashed
+trigrams.
+
+Words: each of the ``head_words`` most frequent words is an event of its own.
+Rarer words share one event for each suffix; in it a word has (c + 1) / Z, and
+all words that training never saw have 1 / Z together.
+
+Model: a word's vector is the sum of the vectors of its trigrams and, for the
+most frequent words (their number grows with the vocabulary), one of its own,
+apart for words that predict and words that are predicted.  The two words
+before, and the mean of the words before, predict r = a1 x1 + a2 x2 + a3 m.
+The most frequent words are classes of their own, all others are dealt to
+classes of about sqrt(V) events; P(word) = P(class | r) P(word | class, r), each
+by scores r . q + b and each trained by noise contrast against draws from the
+counts.
+
+Training: each token is used once, in ``ROUNDS`` of growing parts of the texts.
+In a round tasks start from the same parameters and train apart; a tree of sums
+averages each row of the parameters by the gradient that it met in each task.
+A task has ``TASK_TOKENS`` or more, so the result hardly hangs on how the table is cut.
+
+Scores: batched matrix products give both normalisers for every token, so its
+log-probabilities are normalised over all words.
 """
 
 from __future__ import annotations
@@ -33,90 +41,140 @@ from corvane.llm.kernel import BLANK_WORDS, blocks, hash_word, runs, tidy
 
 #: The token after each text; no word holds a blank.
 END = hash_word(b" end ")
-#: Classes with one word each, and one for the rest.
-CLASSES = 1024
-#: Subclasses of the rest for each root of the number of distinct words; noise draws of one token in its group.
-SUBCLASSES, MEMBER_NOISE = 16, 4
-#: Words whose counts are broadcast (16 MB); the counts of rarer words are joined.
-HEAD_WORDS = 1 << 20
-#: Vector size, tokens in a mini-batch, noise draws shared by a batch, step.
-DIMENSION, BATCH, NOISE, RATE = 16, 8192, 64, 0.15
+#: Words that are events of their own; the counts of rarer ones are joined.
+HEAD_WORDS = 1 << 19
+#: Words that are classes of their own; words with vectors of their own for each root of the number of words.
+TOP, OWN = 256, 16
+#: Hashed trigrams; hashed suffixes, each the event of the rare words that end so.
+TRIGRAMS, SUFFIXES = 1 << 13, 1 << 10
+#: Vector size, tokens in a mini-batch, noise draws shared by a batch, noise draws of one token in its class, step.
+DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 16, 4096, 64, 2, 0.1
+#: Words before that the mean takes.
+WINDOW = 64
+#: Parts (of 8) of the texts in each round of training; tokens of a training task at least.
+ROUNDS, TASK_TOKENS = (1, 2, 5), 1_000_000
+
+_SPELL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
+def spelling(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 4): three trigrams from the first on, evenly placed, and the suffix, all hashed; words of fewer than three bytes are one."""
+    out = np.zeros((len(start), 4), dtype=np.int64)
+    if not len(start):
+        return out
+    eight = np.ndarray(shape=(len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+    spare = np.maximum(end - start - 3, 0)
+    mask = (np.uint64(1) << (np.minimum(end - start, 3) * 8).astype(np.uint64)) - np.uint64(1)
+    for i in range(3):
+        out[:, i] = ((eight[start + spare * i // 3] & mask) * _SPELL[0] >> np.uint64(40)) % np.uint64(TRIGRAMS)
+    out[:, 3] = TRIGRAMS + (((eight[start + spare] & mask) * _SPELL[1] >> np.uint64(40)) % np.uint64(SUFFIXES)).astype(np.int64)
+    return out
+
+
+#: Spelling of the end of a text.
+_END_SPELLING = np.array([0, 0, 0, TRIGRAMS])
+
+
+def _packed(f: np.ndarray) -> np.ndarray:
+    return f[:, 0] | f[:, 1] << 16 | f[:, 2] << 32 | f[:, 3] << 48
+
+
+def _unpacked(p: np.ndarray) -> np.ndarray:
+    return np.column_stack([p >> (16 * i) & 0xFFFF for i in range(4)])
+
+
 def _counter(schema: pa.Schema):
-    """Partial (h, c): sums over runs of blocks."""
+    """Partial (h, s, c): sums over runs of blocks."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            both = np.concatenate([h for h, _ in held])
-            times = np.concatenate([c for _, c in held])
-            by = np.argsort(both)
-            start, _ = runs(both[by])
-            return both[by][start], np.add.reduceat(times[by], start)
-
-        for batch in batches:
-            for a, b, words in blocks(batch.column(0), BLANK_WORDS):
-                h = np.sort(words.hash)
-                start, count = runs(h)
-                held += [(h[start], count), (np.array([END], dtype=np.uint64), np.array([b - a]))]
-                size += len(start) + 1
-                if size > 1_500_000:
-                    held, before = [flush()], size
-                    size = len(held[0][0])
-                    if size > 750_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(_signed(held[0][0])), pa.array(held[0][1])], schema=schema)
-                        held, size = [], 0
-        if held:
-            h, c = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(c)], schema=schema)
+            h, s, c = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(h)
+            start, _ = runs(h[by])
+            return h[by][start], s[by][start], np.add.reduceat(c[by], start)
+
+        def rows(h, s, c):
+            return pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(s), pa.array(c)], schema=schema)
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for a, b, words in blocks(batch.column(0), BLANK_WORDS):
+                    by = np.argsort(words.hash)
+                    start, count = runs(words.hash[by])
+                    some = by[start]
+                    held += [(words.hash[some], _packed(spelling(words.low, words.start[some], words.end[some])), count)]
+                    held += [(np.array([END], dtype=np.uint64), _packed(_END_SPELLING[None]), np.array([b - a]))]
+                    size += len(start) + 1
+                    if size > 1_500_000:
+                        held = [flush()]
+                        size = len(held[0][0])
+                        if size > 750_000:
+                            yield rows(*held[0])
+                            held, size = [], 0
+            if held:
+                yield rows(*flush())
 
     return run
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c) of every word of ``text``, and of the end of each text."""
+    """(h, s, c) of every word of ``text``, and of the end of each text; s is the packed spelling."""
     store.ship(docs.sparkSession)
-    schema = T.StructType().add("h", T.LongType()).add("c", T.LongType())
-    return docs.select("text").mapInArrow(tidy(_counter(to_arrow_schema(schema))), schema).groupBy("h").agg(F.sum("c").alias("c"))
+    schema = T.StructType().add("h", T.LongType()).add("s", T.LongType()).add("c", T.LongType())
+    return docs.select("text").mapInArrow(tidy(_counter(to_arrow_schema(schema))), schema).groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
 
 
 class Vocabulary:
-    """Counts of the head words, the classes, and the totals; arrays only, so that it can be broadcast."""
+    """The head words, the events and their classes, and the totals; arrays only, so that it can be broadcast.
+
+    Events below ``n_head`` are the head words by their place in ``hashes``;
+    the others are suffixes.  Members are the events that share classes, class
+    by class.
+    """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, classes: int, rare: np.ndarray | None = None):
-        """rare: tokens and words of each hashed subclass."""
+    def __init__(self, hashes: np.ndarray, spelled: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare: np.ndarray | None = None, top: int = TOP):
+        """rare: tokens and words of each suffix that aren't in the head."""
         by = np.argsort(hashes)
         self.hashes, self.counts = hashes[by], counts[by].astype(np.int64)
         self.total, self.distinct = int(total), int(distinct)
-        top = np.lexsort((hashes, -counts.astype(np.int64)))[: classes - 1]
-        own = np.sort(hashes[top])
-        self.class_of = np.full(len(self.hashes), len(own), dtype=np.int32)
-        place = np.searchsorted(self.hashes, own)
-        self.class_of[place] = np.arange(len(own))
-        self.n_classes = len(own) + 1
-        own_tokens = int(self.counts[place].sum())
-        self.class_counts = np.append(self.counts[place], self.total - own_tokens)
-        #: Weight of the shared class: c + 1 of each of its words, and 1 for all unknown words.
-        self.rest = (self.total - own_tokens) + (self.distinct - len(own)) + 1
-        tail = np.flatnonzero(self.class_of == len(own))
-        tail = tail[np.lexsort((self.hashes[tail], -self.counts[tail]))]
-        weight = self.counts[tail] + 1
-        rare = np.zeros((2, 1), dtype=np.int64) if rare is None else rare
-        wanted = max(1, subclasses(self.distinct) - rare.shape[1])
-        bins, which = np.unique((np.cumsum(weight) - weight) * wanted // max(1, int(weight.sum())), return_inverse=True)
-        self.n_binned, self.n_sub = len(bins), len(bins) + rare.shape[1]
-        #: Subclass of each head word; n_sub: it has a class of its own.
-        self.sub_of = np.full(len(self.hashes), self.n_sub, dtype=np.int32)
-        self.sub_of[tail] = which
-        #: Weight of each subclass: c + 1 of each of its words, and in a hashed one 1 for unknown words.
-        self.sub_rest = np.concatenate((np.bincount(which, weights=weight, minlength=len(bins)), rare.sum(axis=0) + 1.0))
-        self.shift = np.uint64(64 - (max(1, len(hashes)).bit_length() + 2))
+        n = self.n_head = len(by)
+        rare = np.zeros((2, SUFFIXES), dtype=np.int64) if rare is None else rare
+        #: c + 1 of each word; in a suffix 1 for unknown words.
+        weight = np.concatenate((self.counts + 1, rare.sum(axis=0) + 1)).astype(np.float64)
+        suffix = np.arange(SUFFIXES)
+        #: Trigrams and suffix of each event; a suffix has its own vector four times.
+        self.spelled = np.concatenate((_unpacked(spelled[by]), np.repeat(TRIGRAMS + suffix[:, None], 4, axis=1))).astype(np.int32)
+        rank = np.lexsort((self.hashes, -self.counts))
+        own = min(n, math.ceil(OWN * math.sqrt(max(1, distinct))))
+        self.n_own = own
+        #: Own vector of each event; n_own: none.
+        self.own = np.full(len(weight), own, dtype=np.int32)
+        self.own[rank[:own]] = np.arange(own)
+        tops, rest = rank[:top], np.concatenate((rank[top:], n + suffix))
+        self.n_top, self.n_shared = len(tops), max(1, round(math.sqrt(0.6 * len(rest))))
+        #: Class of each event, and its place among the members (-1: a class of its own).
+        self.cls, self.place = np.empty(len(weight), dtype=np.int32), np.full(len(weight), -1, dtype=np.int32)
+        self.cls[tops] = np.arange(len(tops))
+        shared = np.arange(len(rest)) % self.n_shared
+        self.cls[rest] = len(tops) + shared
+        order = np.argsort(shared, kind="stable")
+        #: Events of the members, the bounds of each shared class, and their weights summed from the first on.
+        self.members = rest[order].astype(np.int32)
+        self.bounds = np.searchsorted(shared[order], np.arange(self.n_shared + 1))
+        self.place[self.members] = np.arange(len(rest))
+        self.reach = np.concatenate(([0.0], np.cumsum(weight[self.members])))
+        per_class = np.concatenate((weight[tops], np.diff(self.reach[self.bounds])))
+        self.class_share = per_class / per_class.sum()
+        self.class_reach = np.cumsum(self.class_share)
+        self.member_log = np.log(weight[self.members] / np.repeat(per_class[len(tops) :], np.diff(self.bounds))).astype(np.float32)
+        self.suffix_weight = weight[n:]
+        self.shift = np.uint64(64 - (max(1, n).bit_length() + 2))
         self.bucket = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -136,13 +194,14 @@ class Vocabulary:
             todo, at, end, want = todo[more], at[more] + 1, end[more], want[more]
         return found
 
+    @classmethod
+    def of(cls, parts: dict) -> Vocabulary:
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        return made
 
-def subclasses(distinct: int) -> int:
-    """How many subclasses the rest of so many words has."""
-    return math.ceil(SUBCLASSES * math.sqrt(distinct))
 
-
-def vocabulary(counts: DataFrame, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> Vocabulary:
+def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, top: int = TOP) -> Vocabulary:
     """Totals over all counts; the head is the words at or above the least count that at most ``head_words`` reach."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = 0
@@ -152,160 +211,181 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, head_words: int = HEAD
         fits = np.flatnonzero(reach <= head_words)
         least = int(c[fits[-1]]) if len(fits) else int(c[0]) + 1
     head = counts.where(F.col("c") >= least).toArrow()
-    hashes, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
-    rare = None
-    if len(c) < distinct:
-        rest = total - int(np.sort(c)[::-1][: classes - 1].sum())
-        n = max(1, round(subclasses(distinct) * (total - int(c.sum())) / rest))
-        cells = counts.where(F.col("c") < least).groupBy((F.shiftrightunsigned("h", 33) % n).alias("i")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
-        rare = np.zeros((2, n), dtype=np.int64)
+    rare = np.zeros((2, SUFFIXES), dtype=np.int64)
+    if head.num_rows < distinct:
+        cells = counts.where(F.col("c") < least).groupBy((F.shiftrightunsigned("s", 48) - TRIGRAMS).alias("i")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
         rare[:, cells["i"].to_numpy()] = cells["c"].to_numpy(), cells["n"].to_numpy()
-    return Vocabulary(hashes, c, total, distinct, classes, rare)
-
-
-def token_table(words, n: int, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
-    """For all tokens of a block, ends included: text, hash, index in the head (-1: not there), class, the two classes before (n_classes before the text); the same of subclasses (n_sub: none)."""
-    length = np.diff(words.first)
-    text = np.repeat(np.arange(n), length + 1)
-    end = np.cumsum(length + 1) - 1
-    h = np.full(len(words.hash) + n, np.uint64(END), dtype=np.uint64)
-    is_word = np.ones(len(h), dtype=bool)
-    is_word[end] = False
-    h[is_word] = words.hash
-    index = vocab.find(h)
-    cls = np.where(index >= 0, vocab.class_of[index] if len(vocab.class_of) else 0, vocab.n_classes - 1).astype(np.int64)
-    hashed = vocab.n_binned + ((h >> np.uint64(33)) % np.uint64(vocab.n_sub - vocab.n_binned)).astype(np.int64)
-    sub = np.where(index >= 0, vocab.sub_of[index] if len(vocab.sub_of) else 0, hashed).astype(np.int64)
-    begin, out = end - length, []
-    for own, none in ((cls, vocab.n_classes), (sub, vocab.n_sub)):
-        one = np.concatenate(([none], own[:-1]))
-        one[begin] = none
-        two = np.concatenate(([none], one[:-1]))
-        two[begin] = none
-        out += [own, one, two]
-    return text, h, index, *out
+    return Vocabulary(head["h"].to_numpy().view(np.uint64), head["s"].to_numpy(), head["c"].to_numpy(), total, distinct, rare, top)
+
+
+class Tokens:
+    """The tokens of a block, ends included: place in their text, hash, index in the head (-1: not there), event, spelling, own vector."""
+
+    __slots__ = ("within", "hash", "index", "event", "spelled", "own", "first", "text")
+
+    def __init__(self, words, n: int, vocab: Vocabulary):
+        length = np.diff(words.first)
+        end = np.cumsum(length + 1) - 1
+        self.first, self.text = end - length, np.repeat(np.arange(n), length + 1)
+        total = len(words.hash) + n
+        self.within = np.arange(total) - np.repeat(self.first, length + 1)
+        is_word = np.ones(total, dtype=bool)
+        is_word[end] = False
+        self.hash = np.full(total, np.uint64(END), dtype=np.uint64)
+        self.hash[is_word] = words.hash
+        self.spelled = np.tile(_END_SPELLING, (total, 1))
+        self.spelled[is_word] = spelling(words.low, words.start, words.end)
+        self.index = vocab.find(self.hash)
+        self.event = np.where(self.index >= 0, self.index, vocab.n_head + self.spelled[:, 3] - TRIGRAMS)
+        self.own = vocab.own[self.event]
 
 
 class Model:
-    """Parameters of the log-bilinear model."""
+    """Parameters of the log-bilinear model; the last row of ``eu`` and ``eq`` (no own vector) stays zero."""
 
-    NAMES = ("u1", "u2", "d1", "d2", "a1", "a2", "q", "b", "qg", "bg", "qs", "bs")
-    SIZES = ("n", "n_sub", "per")
+    #: Contexts, position weights, classes, targets; of each the rows move together.
+    NAMES = ("u", "eu", "a", "q", "b", "t", "eq", "eb")
 
     def __init__(self, vocab: Vocabulary, seed: int = 1):
         rng = np.random.default_rng(seed)
-        normal = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        zeros = lambda n: np.zeros((n, DIMENSION), dtype=np.float32)
-        self.n, self.n_sub = vocab.n_classes, vocab.n_sub
-        #: Subclasses in a group.
-        self.per = math.isqrt(self.n_sub - 1) + 1
-        self.share = (vocab.class_counts + 1.0) / (vocab.class_counts.sum() + self.n)
-        groups = np.add.reduceat(vocab.sub_rest, np.arange(0, self.n_sub, self.per))
-        self.group_share = groups / groups.sum()
-        self.u1, self.u2 = normal(self.n + 1, DIMENSION), normal(self.n + 1, DIMENSION)
-        self.d1, self.d2 = zeros(self.n_sub + 1), zeros(self.n_sub + 1)
-        self.a1, self.a2 = np.ones(DIMENSION, dtype=np.float32), np.full(DIMENSION, 0.5, dtype=np.float32)
-        self.q = normal(self.n, DIMENSION) * np.float32(0.3)
-        self.b = np.log(self.share).astype(np.float32)
-        self.qg, self.bg = zeros(len(groups)), np.log(self.group_share).astype(np.float32)
-        self.qs, self.bs = zeros(self.n_sub), np.log(vocab.sub_rest / groups[np.arange(self.n_sub) // self.per]).astype(np.float32)
-        self.squares = {x: np.full(getattr(self, x).shape, 1e-6, dtype=np.float32) for x in self.NAMES}
-        self.rng = np.random.default_rng(seed + 1)
-
-    def pack(self) -> bytes:
-        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES]).astype(np.float32).tobytes()
-
-    def unpack(self, data: np.ndarray) -> None:
-        at = 0
+        normal = lambda n, s: (rng.standard_normal((n, DIMENSION)) * s).astype(np.float32)
+        zeros = lambda n, d=DIMENSION: np.zeros((n, d), dtype=np.float32)
+        spelled, classes = TRIGRAMS + SUFFIXES, vocab.n_top + vocab.n_shared
+        self.u, self.eu = normal(spelled, 0.15), zeros(vocab.n_own + 1)
+        self.a = np.array([[0.3], [0.3], [1.0]], dtype=np.float32) * np.ones(DIMENSION, dtype=np.float32)
+        self.q, self.b = normal(classes, 0.1), np.log(vocab.class_share).astype(np.float32)[:, None]
+        self.t, self.eq, self.eb = normal(spelled, 0.05), zeros(vocab.n_own + 1), zeros(vocab.n_own + 1, 1)
+        self.energy = {x: np.full(len(getattr(self, x)), 1e-6, dtype=np.float32) for x in self.NAMES}
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
+
+    def energies(self) -> np.ndarray:
+        return np.concatenate([self.energy[x] for x in self.NAMES])
+
+    def widths(self) -> np.ndarray:
+        """Values of each row."""
+        return np.concatenate([np.full(len(getattr(self, x)), getattr(self, x).shape[1]) for x in self.NAMES])
+
+    def load(self, values: np.ndarray, energies: np.ndarray) -> None:
+        at = row = 0
         for x in self.NAMES:
             old = getattr(self, x)
-            setattr(self, x, data[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-
-    def predict(self, one: np.ndarray, two: np.ndarray, sub_one: np.ndarray | None = None, sub_two: np.ndarray | None = None) -> np.ndarray:
-        x1, x2 = self.u1[one], self.u2[two]
-        if sub_one is not None:
-            x1, x2 = x1 + self.d1[sub_one], x2 + self.d2[sub_two]
-        return x1 * self.a1 + x2 * self.a2
-
-    def _move(self, name: str, gradient: np.ndarray, rows=None) -> None:
-        value, square = getattr(self, name), self.squares[name]
-        if rows is None:
-            square += gradient * gradient
-            value += np.float32(RATE) * gradient / np.sqrt(square)
-        else:
-            square[rows] += gradient * gradient
-            value[rows] += np.float32(RATE) * gradient / np.sqrt(square[rows])
-
-    def _scatter(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        by = np.argsort(rows)
-        start, _ = runs(rows[by])
-        self._move(name, np.add.reduceat(gradient[by], start, axis=0), rows[by][start])
-
-    def _contrast(self, q: str, b: str, share: np.ndarray, r: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
-        """Moves the targets' vectors by NOISE draws for each token; the gradient of ``r``."""
-        vectors, bias = getattr(self, q), getattr(self, b)
-        noise = self.rng.choice(len(share), NOISE, p=share)
-        log_noise = np.log(NOISE * share).astype(np.float32)
-        qw = vectors[target]
-        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, qw) + bias[target] - log_noise[target]))
-        down = -1 / (1 + np.exp(-(r @ vectors[noise].T + bias[noise] - log_noise[noise])))
-        up, down = up.astype(np.float32) * scale, down.astype(np.float32) * scale
-        dr = up[:, None] * qw + down @ vectors[noise]
-        self._scatter(q, np.concatenate((target, noise)), np.concatenate((up[:, None] * r, down.T @ r)))
-        self._scatter(b, np.concatenate((target, noise)), np.concatenate((up, down.sum(axis=0))))
-        return dr
-
-    def _contrast_members(self, r: np.ndarray, sub: np.ndarray, scale: np.float32) -> np.ndarray:
-        """The same for subclasses, with MEMBER_NOISE even draws from each token's group."""
-        first = sub // self.per * self.per
-        size = np.minimum(self.per, self.n_sub - first)
-        noise = first[:, None] + (self.rng.random((len(sub), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
-        log_noise = np.log(MEMBER_NOISE / size).astype(np.float32)
-        qw, qn = self.qs[sub], self.qs[noise]
-        up = 1 / (1 + np.exp(np.einsum("td,td->t", r, qw) + self.bs[sub] - log_noise))
-        down = -1 / (1 + np.exp(-(np.einsum("td,tkd->tk", r, qn) + self.bs[noise] - log_noise[:, None])))
-        up, down = up.astype(np.float32) * scale, down.astype(np.float32) * scale
-        dr = up[:, None] * qw + np.einsum("tk,tkd->td", down, qn)
-        rows = np.concatenate((sub, noise.ravel()))
-        self._scatter("qs", rows, np.concatenate((up[:, None] * r, (down[:, :, None] * r[:, None]).reshape(-1, DIMENSION))))
-        self._scatter("bs", rows, np.concatenate((up, down.ravel())))
-        return dr
-
-    def step(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, sub: np.ndarray, sub_one: np.ndarray, sub_two: np.ndarray) -> None:
-        """One ascent step of noise-contrastive estimation."""
-        scale = np.float32(1 / len(cls))
-        x1, x2 = self.u1[one] + self.d1[sub_one], self.u2[two] + self.d2[sub_two]
-        r = x1 * self.a1 + x2 * self.a2
-        dr = self._contrast("q", "b", self.share, r, cls, scale)
-        tail = np.flatnonzero(sub < self.n_sub)
-        if len(tail):
-            rt, st = r[tail], sub[tail]
-            dr[tail] += self._contrast("qg", "bg", self.group_share, rt, st // self.per, scale)
-            dr[tail] += self._contrast_members(rt, st, scale)
-        for u, d, a, context, inner, x in (("u1", "d1", "a1", one, sub_one, x1), ("u2", "d2", "a2", two, sub_two, x2)):
-            g = dr * getattr(self, a)
-            self._scatter(u, context, g)
-            if len(rare := np.flatnonzero(inner < self.n_sub)):
-                self._scatter(d, inner[rare], g[rare])
-            self._move(a, np.einsum("td,td->d", dr, x))
-
-    def log_sub(self, r: np.ndarray, sub: np.ndarray) -> np.ndarray:
-        """Log-probability of each subclass among all, after the rest class."""
-        group = sub // self.per
-        out = (np.einsum("td,td->t", r, self.qg[group]) + self.bg[group]).astype(np.float64) - _log_sums(r, self.qg, self.bg)
-        by = np.argsort(group)
-        start, count = runs(group[by])
-        for at, n in zip(start.tolist(), count.tolist()):
-            rows = by[at : at + n]
-            members = slice(group[rows[0]] * self.per, (group[rows[0]] + 1) * self.per)
-            q, b = self.qs[members], self.bs[members]
-            out[rows] += np.einsum("td,td->t", r[rows], self.qs[sub[rows]]) + self.bs[sub[rows]] - _log_sums(r[rows], q, b)
-        return out
+            setattr(self, x, values[at : at + old.size].reshape(old.shape).astype(np.float32))
+            self.energy[x] = energies[row : row + len(old)].astype(np.float32)
+            at, row = at + old.size, row + len(old)
+
+    def vectors(self, spelled: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of words that predict."""
+        return _composed(self.u, self.eu, spelled, own)
+
+    def slots(self, x: np.ndarray, within: np.ndarray) -> list[np.ndarray]:
+        """For each token the vectors of the word before, of the one before that, and the mean of those before; zero before the text."""
+        one, two = np.zeros_like(x), np.zeros_like(x)
+        one[1:] = x[:-1]
+        one[within < 1] = 0
+        two[2:] = x[:-2]
+        two[within < 2] = 0
+        sums = np.concatenate((np.zeros((1, DIMENSION)), np.cumsum(x, axis=0, dtype=np.float64)))
+        at = np.arange(len(x))
+        taken = np.minimum(np.minimum(within, WINDOW), at)
+        mean = ((sums[at] - sums[at - taken]) / np.maximum(taken, 1)[:, None]).astype(np.float32)
+        return [one, two, mean]
+
+    def predict(self, x: np.ndarray, within: np.ndarray) -> np.ndarray:
+        one, two, mean = self.slots(x, within)
+        return one * self.a[0] + two * self.a[1] + mean * self.a[2]
+
+    def targets(self, vocab: Vocabulary, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vector and bias of members by their place."""
+        events = vocab.members[members]
+        own = vocab.own[events]
+        return _composed(self.t, self.eq, vocab.spelled[events], own), vocab.member_log[members] + self.eb[own, 0]
+
+    def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Adds the gradients of each row up and takes one step there.  rows: one of each gradient, or four."""
+        value, energy = getattr(self, name), self.energy[name]
+        at, g = _row_sums(rows, gradient, len(value))
+        energy[at] += np.einsum("rd,rd->r", g, g) / g.shape[1]
+        value[at] += np.float32(RATE) * g / np.sqrt(energy[at])[:, None]
+
+    def step(self, vocab: Vocabulary, within: np.ndarray, event: np.ndarray, spelled: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> None:
+        """One ascent step of noise-contrastive estimation on consecutive tokens."""
+        n = len(event)
+        scale = np.float32(1 / n)
+        slots = self.slots(self.vectors(spelled, own), within)
+        r = sum(s * a for s, a in zip(slots, self.a))
+        # Classes: NOISE draws for the whole batch.
+        target = vocab.cls[event]
+        noise = np.searchsorted(vocab.class_reach, rng.random(NOISE) * vocab.class_reach[-1], side="right").clip(max=len(self.q) - 1)
+        log_noise = np.log(NOISE * vocab.class_share).astype(np.float32)
+        qw, qn = self.q[target], self.q[noise]
+        up = _sigmoid(log_noise[target] - np.einsum("td,td->t", r, qw) - self.b[target, 0]) * scale
+        down = -_sigmoid(r @ qn.T + self.b[noise, 0] - log_noise[noise]) * scale
+        dr = up[:, None] * qw + down @ qn
+        rows = np.concatenate((target, noise))
+        moves = [("q", rows, np.concatenate((up[:, None] * r, down.T @ r))), ("b", rows, np.concatenate((up, down.sum(axis=0)))[:, None])]
+        # Members: MEMBER_NOISE draws for each token in its class.
+        inner = np.flatnonzero(vocab.place[event] >= 0)
+        if len(inner):
+            ri, real = r[inner], vocab.place[event[inner]]
+            bounds = vocab.bounds[target[inner] - vocab.n_top], vocab.bounds[target[inner] - vocab.n_top + 1]
+            low, high = vocab.reach[bounds[0]], vocab.reach[bounds[1]]
+            fake = np.searchsorted(vocab.reach, low[:, None] + rng.random((len(inner), MEMBER_NOISE)) * (high - low)[:, None], side="right") - 1
+            both = np.concatenate((real[:, None], np.clip(fake, bounds[0][:, None], bounds[1][:, None] - 1)), axis=1).ravel()
+            vector, bias = self.targets(vocab, both)
+            vector, bias = vector.reshape(len(inner), -1, DIMENSION), (bias - vocab.member_log[both]).reshape(len(inner), -1)
+            over = np.einsum("td,tkd->tk", ri, vector) + bias - np.float32(math.log(MEMBER_NOISE))
+            pull = -_sigmoid(over) * scale
+            pull[:, 0] += scale
+            dr[inner] += np.einsum("tk,tkd->td", pull, vector)
+            g, events = (pull[:, :, None] * ri[:, None]).reshape(-1, DIMENSION), vocab.members[both]
+            moves.append(("t", vocab.spelled[events], g))
+            some = np.flatnonzero(vocab.own[events] < vocab.n_own)
+            moves += [("eq", vocab.own[events[some]], g[some]), ("eb", vocab.own[events[some]], pull.reshape(-1, 1)[some])]
+        # Contexts: each word is the one before, two before, and in the means of those that follow.
+        dx, g = np.zeros_like(r), dr * self.a[0]
+        g[within < 1] = 0
+        dx[:-1] += g[1:]
+        g = dr * self.a[1]
+        g[within < 2] = 0
+        dx[:-2] += g[2:]
+        at = np.arange(n)
+        taken = np.minimum(np.minimum(within, WINDOW), at)
+        sums = np.concatenate((np.zeros((1, DIMENSION)), np.cumsum(dr * self.a[2] * (taken > 0)[:, None] / np.maximum(taken, 1)[:, None], axis=0)))
+        dx += (sums[np.searchsorted(at - taken, at, side="right")] - sums[at + 1]).astype(np.float32)
+        some = np.flatnonzero(own < vocab.n_own)
+        moves += [("a", np.arange(3), np.stack([np.einsum("td,td->d", dr, s) for s in slots])), ("u", spelled, dx), ("eu", own[some], dx[some])]
+        for name, rows, g in moves:
+            if len(rows):
+                self._move(name, rows, g)
+
+    def class_log(self, r: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Log-probability of each token's class."""
+        return (np.einsum("td,td->t", r, self.q[cls]) + self.b[cls, 0]) - _log_sums(r, self.q, self.b[:, 0])
+
+
+def _composed(shared: np.ndarray, own: np.ndarray, spelled: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = own[rows]
+    for i in range(4):
+        out += shared[spelled[:, i]]
+    return out
+
+
+def _row_sums(rows: np.ndarray, gradient: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a table of ``n`` that are met, and the sum of each one's gradients.  rows: one of each gradient, or four."""
+    if n <= 4 * rows.size:
+        columns = rows.reshape(len(gradient), -1).T.astype(np.intp)
+        met = np.flatnonzero(np.bincount(columns.ravel(), minlength=n))
+        weights = np.tile(gradient.T.astype(np.float64), len(columns))
+        return met, np.stack([np.bincount(columns.ravel(), w, n)[met] for w in weights], axis=1).astype(np.float32)
+    by = np.argsort(rows.ravel())
+    start, _ = runs(rows.ravel()[by])
+    return rows.ravel()[by][start], np.add.reduceat(gradient[by // (rows.size // len(gradient))], start, axis=0)
 
-    def log_normaliser(self, *context: np.ndarray) -> np.ndarray:
-        """Of the classes after each context, which is what ``predict`` takes."""
-        return np.concatenate([_log_sums(self.predict(*(x[i : i + 65536] for x in context)), self.q, self.b) for i in range(0, max(1, len(context[0])), 65536)])
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-x))).astype(np.float32)
 
 
 def _log_sums(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -324,122 +404,147 @@ def _log_sums(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trainer(block, schema: pa.Schema):
-    def run(batches):
-        vocab = Vocabulary.__new__(Vocabulary)
-        vocab.__dict__.update(block.value)
-        model, tokens, held = Model(vocab), 0, []
+class Scorer:
+    """A model with the vectors of all members composed once."""
+
+    def __init__(self, vocab: Vocabulary, model: Model):
+        self.vocab, self.model = vocab, model
+        self.vector, self.bias = model.targets(vocab, np.arange(len(vocab.members)))
+
+    def log_p(self, tokens: Tokens) -> np.ndarray:
+        """Natural log-probability of each token's event."""
+        vocab, model = self.vocab, self.model
+        x = np.empty((len(tokens.event), DIMENSION), dtype=np.float32)
+        for i in range(0, len(x), 1 << 15):
+            x[i : i + (1 << 15)] = model.vectors(tokens.spelled[i : i + (1 << 15)], tokens.own[i : i + (1 << 15)])
+        return self.log_event(model.predict(x, tokens.within), tokens.event)
+
+    def log_event(self, r: np.ndarray, event: np.ndarray) -> np.ndarray:
+        """The same after given predictions."""
+        vocab = self.vocab
+        cls, place = vocab.cls[event], vocab.place[event]
+        out = self.model.class_log(r, cls)
+        by = np.flatnonzero(place >= 0)
+        by = by[np.argsort(cls[by], kind="stable")]
+        start, count = runs(cls[by])
+        for at, n in zip(start.tolist(), count.tolist()):
+            rows = by[at : at + n]
+            k = cls[rows[0]] - vocab.n_top
+            members = slice(vocab.bounds[k], vocab.bounds[k + 1])
+            here = place[rows]
+            out[rows] += np.einsum("td,td->t", r[rows], self.vector[here]) + self.bias[here] - _log_sums(r[rows], self.vector[members], self.bias[members])
+        return out
 
-        def steps(rows, whole):
-            at = 0
-            while len(rows[0]) - at >= (BATCH if whole else 1):
-                model.step(*(x[at : at + BATCH] for x in rows))
-                at += BATCH
-            return [x[at:] for x in rows]
 
+def _trainer(vocab_block, start_block, seed: int, schema: pa.Schema):
+    def run(batches):
+        vocab = Vocabulary.of(vocab_block.value)
+        model, rng = Model(vocab), np.random.default_rng(seed)
+        if start_block is not None:
+            model.load(*start_block.value)
+        before, seen = model.energies(), False
         with np.errstate(over="ignore"):
             for batch in batches:
                 for a, b, words in blocks(batch.column(0), BLANK_WORDS):
-                    fresh = token_table(words, b - a, vocab)[3:]
-                    tokens += len(fresh[0])
-                    held = steps([np.concatenate(x) for x in zip(held, fresh)] if held else list(fresh), True)
-            if held:
-                steps(held, False)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([model.pack()], pa.binary())], schema=schema)
+                    tokens = Tokens(words, b - a, vocab)
+                    seen = True
+                    for i in range(0, len(tokens.event), BATCH):
+                        s = slice(i, i + BATCH)
+                        model.step(vocab, tokens.within[s], tokens.event[s], tokens.spelled[s], tokens.own[s], rng)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([model.values().tobytes()], pa.binary()), pa.array([(model.energies() - before).tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
-def _adder(schema: pa.Schema):
+def _averages(tasks, values, energies, widths) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of parts: the number of tasks, the mean of each row by the energy it met, and the energies' sum."""
+    total = weight = None
+    count = 0
+    for n, v, e in zip(tasks, values, energies):
+        e = np.frombuffer(e, dtype=np.float32).astype(np.float64)
+        x = np.frombuffer(v, dtype=np.float32) * np.repeat(e + 1e-12, widths)
+        count, total, weight = count + n, x if total is None else total + x, e + 1e-12 if weight is None else weight + e + 1e-12
+    return count, (total / np.repeat(weight, widths)).astype(np.float32), weight.astype(np.float32)
+
+
+def _adder(widths_block, schema: pa.Schema):
     def run(batches):
-        tokens, total = 0, None
-        for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(data, dtype=np.float32) * np.float64(n)
-                tokens, total = tokens + n, x if total is None else total + x
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], schema=schema)
+        held = [(n, v, e) for batch in batches for n, v, e in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+        if held:
+            count, values, energies = _averages(*zip(*held), widths_block.value)
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([values.tobytes()], pa.binary()), pa.array([energies.tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """A model of all texts of ``docs``; tasks train apart, a tree of at most 32 to 1 sums them up."""
+    """A model of all texts of ``docs``; in each round tasks train apart and a tree of at most 32 to 1 averages them."""
     spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(vocab.__dict__)
-    schema = T.StructType().add("tokens", T.LongType()).add("data", T.BinaryType())
+    model = Model(vocab)
+    widths = model.widths()
+    vocab_block, widths_block = spark.sparkContext.broadcast(vocab.__dict__), spark.sparkContext.broadcast(widths)
+    schema = T.StructType().add("tasks", T.LongType()).add("data", T.BinaryType()).add("energy", T.BinaryType())
     arrow = to_arrow_schema(schema)
-    sums = store.publish(docs.select("text").mapInArrow(tidy(_trainer(block, arrow)), schema), "lbl")
-    left = sums.count()
-    while left > 1:
-        left = math.ceil(left / 32)
-        sums = store.publish(sums.repartition(left).mapInArrow(tidy(_adder(arrow)), schema), "lbl")
+    part, low, start = F.pmod(F.xxhash64("text"), F.lit(sum(ROUNDS))), 0, None
+    for number, size in enumerate(ROUNDS):
+        texts = docs.select("text").where((part >= low) & (part < low + size))
+        texts = texts.coalesce(max(1, math.ceil(vocab.total / TASK_TOKENS)))
+        low += size
+        sums = store.publish(texts.mapInArrow(tidy(_trainer(vocab_block, start, number, arrow)), schema), "lbl")
         left = sums.count()
-    model, row = Model(vocab), sums.first()
-    if row is not None:
-        model.unpack(np.frombuffer(row["data"], dtype=np.float32))
+        while left > 1:
+            left = math.ceil(left / 32)
+            wider = sums
+            sums = store.publish(wider.repartition(left).mapInArrow(tidy(_adder(widths_block, arrow)), schema), "lbl")
+            store.discard(wider)
+            left = sums.count()
+        row = sums.first()
+        store.discard(sums)
+        if row is not None:
+            energies = model.energies() + np.frombuffer(row["energy"], dtype=np.float32) / row["tasks"]
+            model.load(np.frombuffer(row["data"], dtype=np.float32), energies)
+        start = spark.sparkContext.broadcast((model.values(), model.energies()))
     return model
 
 
-#: Normalisers by model, kept while a Python worker lives.
-_NORMALISERS: dict[str, np.ndarray] = {}
+#: The scorer of one model, kept while a Python worker lives.
+_SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(block, mark: str, whole_head: bool, fields: list[str], schema: pa.Schema):
+def _scorer(vocab_block, values_block, mark: str, whole_head: bool, fields: list[str], schema: pa.Schema):
     def run(batches):
-        parts, params = block.value
-        vocab, model = Vocabulary.__new__(Vocabulary), Model.__new__(Model)
-        vocab.__dict__.update(parts)
-        model.__dict__.update(params)
-        width = vocab.n_classes + 1
-        if mark not in _NORMALISERS:
-            _NORMALISERS.clear()
-            _NORMALISERS[mark] = np.full(width * width, np.nan)
-        z = _NORMALISERS[mark]
+        if mark not in _SCORERS:
+            _SCORERS.clear()
+            vocab = Vocabulary.of(vocab_block.value)
+            model = Model(vocab)
+            model.load(values_block.value, model.energies())
+            _SCORERS[mark] = Scorer(vocab, model)
+        scorer = _SCORERS[mark]
+        vocab = scorer.vocab
         head_log = np.log10(vocab.counts + 1.0)
-        per_token, log_rest = math.log10(vocab.total + vocab.distinct + 1), np.log10(vocab.sub_rest)
-        for batch in batches:
-            for a, b, words in blocks(batch.column(batch.schema.get_field_index("__cv_text")), BLANK_WORDS):
-                n = b - a
-                text, h, index, cls, one, two, sub, sub_one, sub_two = token_table(words, n, vocab)
-                plain = (sub_one == vocab.n_sub) & (sub_two == vocab.n_sub)  # contexts of classes only are kept
-                context = two * width + one
-                new = np.unique(context[plain])
-                new = new[np.isnan(z[new])]
-                none = np.full(len(new), vocab.n_sub)
-                z[new] = model.log_normaliser(new % width, new // width, none, none)
-                log_z = z[context]
-                split = np.flatnonzero(~plain)
-                wide = width + vocab.n_sub
-                pair = np.where(sub_two < vocab.n_sub, width + sub_two, two)[split] * wide + np.where(sub_one < vocab.n_sub, width + sub_one, one)[split]
-                _, at, back = np.unique(pair, return_index=True, return_inverse=True)
-                at = split[at]
-                log_z[split] = model.log_normaliser(one[at], two[at], sub_one[at], sub_two[at])[back]
-                log_p = np.empty(len(cls))
-                for i in range(0, len(cls), 1 << 17):
-                    s = slice(i, i + (1 << 17))
-                    r = model.predict(one[s], two[s], sub_one[s], sub_two[s])
-                    log_p[s] = np.einsum("td,td->t", r, model.q[cls[s]]) + model.b[cls[s]]
-                    tail = np.flatnonzero(sub[s] < vocab.n_sub)
-                    log_p[i + tail] += model.log_sub(r[tail], sub[i + tail])
-                log_p = (log_p - log_z) / math.log(10)
-                known = index >= 0
-                log_c = np.where(known, head_log[index] if len(head_log) else 0.0, 0.0)
-                log_p += np.where(sub < vocab.n_sub, log_c - log_rest[np.minimum(sub, vocab.n_sub - 1)], 0.0)
-                start = np.concatenate(([0], np.cumsum(np.diff(words.first) + 1)[:-1]))
-                made = {
-                    "n_tokens": pa.array(np.diff(words.first) + 1, pa.int64()),
-                    "n_known": pa.array(np.add.reduceat(known.astype(np.int64), start)),
-                    "base_score": pa.array(np.add.reduceat(log_c - per_token, start)),
-                    "score": pa.array(np.add.reduceat(log_p, start)),
-                }
-                if not whole_head:
-                    rare = np.flatnonzero(~known)
-                    offsets = np.concatenate(([0], np.cumsum(np.bincount(text[rare], minlength=n)))).astype(np.int32)
-                    made["__cv_rare"] = pa.ListArray.from_arrays(offsets, pa.array(_signed(h[rare]))).cast(schema.field("__cv_rare").type)
-                part = batch.slice(a, n)
-                yield pa.RecordBatch.from_arrays([made[f] if f in made else part.column(f).cast(schema.field(f).type) for f in fields], schema=schema)
+        per_token, log_suffix = math.log10(vocab.total + vocab.distinct + 1), np.log10(vocab.suffix_weight)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for a, b, words in blocks(batch.column(batch.schema.get_field_index("__cv_text")), BLANK_WORDS):
+                    n = b - a
+                    tokens = Tokens(words, n, vocab)
+                    known = tokens.index >= 0
+                    log_c = np.where(known, head_log[tokens.index] if len(head_log) else 0.0, 0.0)
+                    log_p = scorer.log_p(tokens) / math.log(10)
+                    log_p -= np.where(known, 0.0, log_suffix[np.where(known, 0, tokens.event - vocab.n_head)])
+                    made = {
+                        "n_tokens": pa.array(np.diff(words.first) + 1, pa.int64()),
+                        "n_known": pa.array(np.add.reduceat(known.astype(np.int64), tokens.first)),
+                        "base_score": pa.array(np.add.reduceat(log_c - per_token, tokens.first)),
+                        "score": pa.array(np.add.reduceat(log_p, tokens.first)),
+                    }
+                    if not whole_head:
+                        rare = np.flatnonzero(~known)
+                        offsets = np.concatenate(([0], np.cumsum(np.bincount(tokens.text[rare], minlength=n)))).astype(np.int32)
+                        made["__cv_rare"] = pa.ListArray.from_arrays(offsets, pa.array(_signed(tokens.hash[rare]))).cast(schema.field("__cv_rare").type)
+                    part = batch.slice(a, n)
+                    yield pa.RecordBatch.from_arrays([made[f] if f in made else part.column(f).cast(schema.field(f).type) for f in fields], schema=schema)
 
     return run
 
@@ -453,23 +558,22 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
     keep: the columns to return (all by default); columns named as the added
     ones are replaced.  Null counts as the empty text, which has one token, its
     end.  Repeated rows score alike.  Without training texts all words are
-    unknown and equally likely but for their subclass.
+    unknown.
     """
     spark = docs.sparkSession
     store.ship(spark)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
-    whole_head = vocab.distinct <= len(vocab.hashes)
+    whole_head = vocab.distinct <= vocab.n_head
     source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__cv_text"), *([] if whole_head else [F.monotonically_increasing_id().alias("__cv_row")]))
     schema = T.StructType([source.schema[c] for c in source.columns if c != "__cv_text"])
     schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType()).add("base_score", T.DoubleType()).add("score", T.DoubleType())
     if not whole_head:
         schema = schema.add("__cv_rare", T.ArrayType(T.LongType()))
-    params = {x: getattr(model, x) for x in (*Model.NAMES, *Model.SIZES)}
-    block = spark.sparkContext.broadcast((vocab.__dict__, params))
-    scored = source.mapInArrow(tidy(_scorer(block, uuid.uuid4().hex, whole_head, schema.names, to_arrow_schema(schema))), schema)
+    blocks_sent = spark.sparkContext.broadcast(vocab.__dict__), spark.sparkContext.broadcast(model.values())
+    scored = source.mapInArrow(tidy(_scorer(*blocks_sent, uuid.uuid4().hex, whole_head, schema.names, to_arrow_schema(schema))), schema)
     if not whole_head:  # a table, so that row numbers are the same in both uses
         scored = store.publish(scored, "scored")
-        rare = scored.select("__cv_row", F.explode("__cv_rare").alias("h")).join(counts, "h")
+        rare = scored.select("__cv_row", F.explode("__cv_rare").alias("h")).join(counts.select("h", "c"), "h")
         sums = rare.groupBy("__cv_row").agg(F.count("*").alias("__cv_n"), F.sum(F.log10(F.col("c") + 1)).alias("__cv_s"))
         scored = scored.drop("__cv_rare").join(sums, "__cv_row", "left").withColumns({
             "n_known": F.col("n_known") + F.coalesce("__cv_n", F.lit(0)),
@@ -479,11 +583,11 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Mo
     return scored.select(*kept, "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def fit(training: DataFrame, text: str = "text", classes: int = CLASSES, head_words: int = HEAD_WORDS) -> tuple[DataFrame, Vocabulary, Model]:
+def fit(training: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, top: int = TOP) -> tuple[DataFrame, Vocabulary, Model]:
     """Counts, vocabulary and model of all rows of ``training``; null counts as the empty text."""
     plain = training.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = store.publish(count_words(plain), "counts")
-    vocab = vocabulary(counts, classes, head_words)
+    vocab = vocabulary(counts, head_words, top)
     return counts, vocab, train(plain, vocab)
 
 

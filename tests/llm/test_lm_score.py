@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,11 +15,11 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")) + [None]
 
 
-@pytest.mark.parametrize("classes,head", [(1024, 1 << 20), (4, 1 << 20), (4, 3), (3, 0)])
-def test_base_scores_against_brute_force(spark, classes, head):
+@pytest.mark.parametrize("top,head", [(256, 1 << 20), (4, 1 << 20), (4, 3), (3, 0)])
+def test_base_scores_against_brute_force(spark, top, head):
     df = spark.createDataFrame([(d, t, -1.0) for d, t in TEXTS], "doc_id long, text string, score double")
     training = df.where("doc_id IS NULL OR doc_id <> 2")
-    counts, vocab, model = lm_score.fit(training, classes=classes, head_words=head)
+    counts, vocab, model = lm_score.fit(training, top=top, head_words=head)
     count = Counter(x for d, t in TEXTS if d != 2 for x in tokens(t))
     total, distinct = sum(count.values()), len(count)
     assert (vocab.total, vocab.distinct) == (total, distinct)
@@ -32,49 +33,91 @@ def test_base_scores_against_brute_force(spark, classes, head):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def test_probabilities_of_all_words_sum_to_one(spark):
-    words = [f"w{i}" for i in range(9)]
+@pytest.mark.parametrize("top,head", [(3, 1 << 20), (3, 5), (256, 1 << 20), (3, 0)])
+def test_probabilities_of_all_events_sum_to_one(spark, top, head):
+    words = [f"word{i}" for i in range(9)]
     df = spark.createDataFrame([(i, " ".join(words[j % 9] for j in range(i, 2 * i + 2))) for i in range(12)], "doc_id long, text string")
-    counts, vocab, model = lm_score.fit(df, classes=5)
-    # One more token after a fixed start: each known word, the end, and an unknown word, which stands for all of them.
-    tails = [(n, "w1 w2 " + w) for n, w in enumerate([*words, "unseen"])]
-    scored = {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame(tails, "doc_id long, text string"), counts, vocab, model).collect()}
-    one, two = np.array([vocab.n_classes]), np.array([vocab.n_classes])
-    logits = model.predict(one, two) @ model.q.T + model.b
-    p = np.exp(logits - model.log_normaliser(one, two)[:, None])
-    assert p.sum() == pytest.approx(1, rel=1e-4)
-    rest = sum(c + 1 for c in Counter(dict(zip(vocab.hashes.tolist(), vocab.counts.tolist()))).values()) + 1
-    own = [i for i, c in enumerate(vocab.class_of) if c < vocab.n_classes - 1]
-    assert vocab.rest == rest - sum(int(vocab.counts[i]) + 1 for i in own)
-    assert len(scored) == 10
-
-
-def test_it_learns_more_than_frequencies(spark):
-    df = spark.createDataFrame([(i, " ".join(f"k{(i + j) % 40}" for j in range(400))) for i in range(60)], "doc_id long, text string").coalesce(2)
-    fitted = lm_score.fit(df, classes=64)
-    r = lm_score.score_texts(df, *fitted).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    counts, vocab, model = lm_score.fit(df, top=top, head_words=head)
+    scorer = lm_score.Scorer(vocab, model)
+
+    class All:  # every event after the same two words
+        event = np.arange(vocab.n_head + lm_score.SUFFIXES)
+
+    rng = np.random.default_rng(3)
+    r = np.tile(rng.standard_normal(lm_score.DIMENSION).astype(np.float32), (len(All.event), 1))
+    assert np.exp(scorer.log_event(r, All.event)).sum() == pytest.approx(1, rel=1e-4)
+    # Inside the event of a suffix: c + 1 of each rare word and 1 for unknown ones, over their sum.
+    rare = {x.h: x.c for x in counts.collect()}
+    for h in vocab.hashes.view(np.int64).tolist():
+        del rare[h]
+    assert vocab.suffix_weight.sum() == sum(c + 1 for c in rare.values()) + lm_score.SUFFIXES
+
+
+def test_a_score_is_the_sum_of_its_tokens(spark):
+    """Scores of all prefixes by hand: class and member probabilities of each token, from plain loops."""
+    df = spark.createDataFrame([(i, " ".join(f"k{(i + j) % 40}" for j in range(90))) for i in range(30)], "doc_id long, text string")
+    counts, vocab, model = lm_score.fit(df, top=8)
+    text = "k1 k2 k3 nothing k4 k5"
+    got = lm_score.score_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts, vocab, model).first().score
+    place = {int(h): i for i, h in enumerate(vocab.hashes)}
+    vectors, want = [], 0.0
+    for w in tokens(text):
+        h = lm_score.END if w is None else lm_score.hash_word(w.encode())
+        low = np.frombuffer((w or "").encode() + bytes(8), dtype=np.uint8)
+        s = lm_score._END_SPELLING if w is None else lm_score.spelling(low, np.array([0]), np.array([len(w)]))[0]
+        e = place.get(h, vocab.n_head + s[3] - lm_score.TRIGRAMS)
+        none = np.zeros(lm_score.DIMENSION)
+        past = vectors[::-1]
+        r = model.a[0] * (past[0] if past else none) + model.a[1] * (past[1] if len(past) > 1 else none) + model.a[2] * (np.mean(past[: lm_score.WINDOW], axis=0) if past else none)
+        logits = model.q @ r + model.b[:, 0]
+        want += logits[vocab.cls[e]] - np.log(np.exp(logits).sum())
+        if vocab.place[e] >= 0:
+            k = vocab.cls[e] - vocab.n_top
+            members = range(vocab.bounds[k], vocab.bounds[k + 1])
+            inner = []
+            for m in members:
+                event = vocab.members[m]
+                q = model.t[vocab.spelled[event]].sum(axis=0) + model.eq[vocab.own[event]]
+                inner.append(q @ r + vocab.member_log[m] + model.eb[vocab.own[event], 0])
+            want += inner[vocab.place[e] - vocab.bounds[k]] - np.log(np.exp(inner).sum())
+        if h not in place:
+            want -= math.log(vocab.suffix_weight[s[3] - lm_score.TRIGRAMS])
+        vectors.append(model.u[s].sum(axis=0) + model.eu[vocab.own[e]])
+    assert got == pytest.approx(want / math.log(10), rel=1e-4)
+
+
+@pytest.mark.parametrize("head", [1 << 20, 5, 0])
+def test_it_learns_more_than_frequencies(spark, head):
+    df = spark.createDataFrame([(i, " ".join(f"k{(i + j) % 40}" for j in range(400))) for i in range(400)], "doc_id long, text string").coalesce(2)
+    fitted = lm_score.fit(df.where("doc_id % 5 > 0"), top=16, head_words=head)
+    r = lm_score.score_texts(df.where("doc_id % 5 = 0"), *fitted).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert r.s > 0.8 * r.b  # closer to 0
 
 
+def test_the_query_gains_on_held_out_texts_however_the_table_is_cut(spark, tmp_path):
+    """Over the query itself: contract columns by brute force, and the held-out gain over base per token from 1 and from 32 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(x for d, t in rows if not held(d) for x in tokens(t))
+    total, distinct = sum(count.values()), len(count)
+    gains = []
+    for n in (1, 32):
+        docs.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = {r.doc_id: r for r in lm_score.query(spark, f"{tmp_path}/{n}").collect()}
+        assert len(got) == len(rows)
+        for d, t in rows:
+            r, want = got[d], tokens(t)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(want), sum(count[x] > 0 for x in want), total)
+            assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (total + distinct + 1)) for x in want))
+        out = [r for r in got.values() if r.held_out]
+        gains.append(sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out))
+    assert min(gains) > 0.1 and max(gains) < 1.1 * min(gains)
+
+
 def test_empty_training_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     fitted = lm_score.fit(df.limit(0))
     row = lm_score.score_texts(df, *fitted).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.base_score == 0
     assert lm_score.score_texts(df.limit(0), *fitted).count() == 0
-
-
-@pytest.mark.parametrize("head", [1 << 20, 0])
-def test_words_without_a_class_predict_and_are_predicted(spark, head):
-    df = spark.createDataFrame([(i, " ".join(f"k{(i + j) % 40}" for j in range(400))) for i in range(400)], "doc_id long, text string").coalesce(2)
-    counts, vocab, model = lm_score.fit(df, classes=4, head_words=head)
-    r = lm_score.score_texts(df, counts, vocab, model).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
-    assert r.s > 0.8 * r.b  # closer to 0
-    none = np.full(vocab.n_sub, vocab.n_classes)
-    after = model.predict(none, none, np.arange(vocab.n_sub), np.arange(vocab.n_sub))
-    assert len(np.unique(after, axis=0)) > 30
-    for x in after[:3]:
-        assert np.exp(model.log_sub(np.tile(x, (vocab.n_sub, 1)), np.arange(vocab.n_sub))).sum() == pytest.approx(1, rel=1e-4)
-    own = vocab.class_of < vocab.n_classes - 1
-    rest = vocab.total - vocab.counts[own].sum() + vocab.distinct - own.sum()
-    assert vocab.sub_rest.sum() == rest + vocab.n_sub - vocab.n_binned
