@@ -17,7 +17,7 @@
 
 Sketches of sets up to ``k`` values are whole, where the filters are exact.
 Beyond, a pair at the threshold is missed if fewer than ``LEAST_SHARED`` of 48
-draws at 0.8 hit: some 5e-9.
+draws at 0.8 hit: some 1e-9.
 """
 
 from __future__ import annotations
@@ -92,15 +92,20 @@ def _sketcher(text: str, size: int, schema: pa.Schema):
                         kept.append(values[:SKETCH].view(np.int64))
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists.cast(schema.field(3).type)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists.cast(schema.field(4).type)], schema=schema)
 
     return run
 
 
+def _plain(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, mark, text): id and mark together find a text, whatever ids repeat or are null."""
+    return docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+
+
 def sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(doc, n_shingles, cls, sketch) of every row; cls is null without shingles."""
-    schema = T.StructType().add("doc", docs.schema[key].dataType).add("n_shingles", T.LongType()).add("cls", T.BinaryType()).add("sketch", T.ArrayType(T.LongType()))
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(tidy(_sketcher("text", size, to_arrow_schema(schema))), schema)
+    """(doc, mark, n_shingles, cls, sketch) of every row; mark is a hash of the text, cls is null without shingles."""
+    schema = T.StructType().add("doc", docs.schema[key].dataType).add("mark", T.LongType()).add("n_shingles", T.LongType()).add("cls", T.BinaryType()).add("sketch", T.ArrayType(T.LongType()))
+    return _plain(docs, text, key).mapInArrow(tidy(_sketcher("text", size, to_arrow_schema(schema))), schema)
 
 
 def _needed(percent: int):
@@ -156,7 +161,7 @@ def _comparer(size: int, schema: pa.Schema):
     """
 
     def run(batches):
-        head, values = None, None
+        head = values = last = None
         with np.errstate(over="ignore"):
             for batch in batches:
                 cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -165,10 +170,11 @@ def _comparer(size: int, schema: pa.Schema):
                     out = []
                     for a, b, found in zip(a_ids, b_ids, shingle_sets(words, hi - lo, size)):
                         if not len(found) or fingerprint(found) != (b or a):
-                            continue  # another text with the same document id
+                            continue  # another text of the same id and mark
                         if b is None:
-                            head, values = a, found
-                        elif head == a:
+                            head, values, last = a, found, None
+                        elif head == a and b != last:  # repeated rows come one after the other
+                            last = b
                             at = np.minimum(np.searchsorted(values, found), len(values) - 1)
                             same = values[at] == found
                             common = int(same.sum())
@@ -186,13 +192,28 @@ _PAIR = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
 _COMPARED = T.StructType([*_PAIR.fields]).add("n_a", T.LongType()).add("n_b", T.LongType()).add("common", T.LongType()).add("lacks", T.ArrayType(T.IntegerType())).add("own", T.ArrayType(T.LongType()))
 
 
+def _once(batches):
+    """Of repeated rows, which give the same (a, b, salt) each, the first of a task."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        fresh = []
+        for i, k in enumerate(keys):
+            if k not in seen:
+                seen.add(k)
+                fresh.append(i)
+        if fresh:
+            yield batch if len(fresh) == len(keys) else batch.take(pa.array(fresh))
+
+
 def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have FAMILY percent of similarity or more, with what ``_comparer`` gives."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     heads = salted.select("a", F.lit(None).cast("binary").alias("b"), "salt", F.col("a").alias("cls")).distinct()
     wanted = heads.union(salted.select("a", "b", "salt", F.col("b").alias("cls")))
-    wanted = _small(store.publish(wanted.join(classes.select("cls", "doc"), "cls").drop("cls"), "wanted"))  # else texts are dealt by document
-    texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"])).select("a", "b", "salt", "text")
+    wanted = _small(store.publish(wanted.join(classes.select("cls", "doc", "mark"), "cls").drop("cls"), "wanted"))  # else texts are dealt by document
+    texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["doc"]) & (docs["mark"] == wanted["mark"])).select("a", "b", "salt", "text")
+    texts = texts.mapInArrow(tidy(_once), texts.schema)
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(tidy(_comparer(size, to_arrow_schema(_COMPARED))), _COMPARED)
 
@@ -348,38 +369,77 @@ def _outside_families(lists: DataFrame, heads: DataFrame, compared: DataFrame, c
     return pairs.union(in_blocks).distinct()
 
 
+def _grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (cls, component_id, keeper) of all classes: keeper is the (doc, mark) that a component keeps."""
+    store.ship(docs.sparkSession)
+    plain, made = _plain(docs, text, key), []
+
+    def publish(df: DataFrame, name: str) -> DataFrame:
+        made.append(store.publish(df, name))
+        return made[-1]
+
+    drawn = store.publish(sketches(docs, text, key, words), "sketches")
+    first = F.min(F.struct(F.col("doc").isNull().alias("without"), "doc", "mark")).alias("first")
+    classes = drawn.where("cls IS NOT NULL").groupBy("cls").agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = publish(classes.select("cls", "first.doc", "first.mark", "n", "sketch"), "classes")
+    lists = publish(_postings(classes, percent), "lists")
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", "cls"))["cls"].alias("a"), F.count("*").alias("long")).where("long > 1").select("value", "a")
+    pairs = publish(lists.join(heads, "value").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
+    pairs = publish(_estimate(pairs, classes, FAMILY, KIN_SHARED), "pairs")
+    compared = publish(_compare(pairs, classes, plain, words), "compared")
+    comps = components(compared.where(_linked(percent)).select("a", "b"))
+    among = publish(_within_families(compared, comps, percent), "links")
+    across = publish(_outside_families(lists, heads, compared, classes, comps, percent), "pairs")
+    across = publish(_estimate(across, classes, percent), "pairs")
+    across = publish(_compare(across, classes, plain, words).where(_linked(percent)).select("a", "b"), "links")
+    # The later links join whole components of the earlier ones.
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp"))
+    later = among.union(across).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(later.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    least = classes.select("cls", "doc", "mark").join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc", "mark", F.coalesce("component", "cls").alias("comp"))
+    least = least.join(joined, F.col("comp") == F.col("node"), "left").select("cls", "doc", "mark", F.coalesce("component", "comp").alias("comp"))
+    ids = least.groupBy("comp").agg(first).select("comp", F.col("first.doc").alias("component_id"), F.struct("first.doc", "first.mark").alias("keeper"))
+    by_class = store.publish(least.join(ids, "comp").select("cls", "component_id", "keeper"), "by_class")
+    for table in (*made, comps, joined):
+        store.discard(table)
+    return drawn, by_class
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; links are 100 * intersection >= percent * union.
 
     Null, empty and wordless texts have no shingles and stay alone.  Repeated
     rows share a class.  component_id is the least non-null id that a row
     reaches, its own for a row without shingles; kept is whether both are the
-    same (two nulls are).  Other columns play no part.
+    same (two nulls are), so rows that share an id may all be kept:
+    ``keep_one`` decides by row.  Other columns play no part.
     """
-    store.ship(docs.sparkSession)
-    plain = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    drawn = store.publish(sketches(docs, text, key, words), "sketches")
-    classes = store.publish(drawn.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = store.publish(_postings(classes, percent), "lists")
-    heads = lists.groupBy("value").agg(F.max(F.struct("weight", "cls"))["cls"].alias("a"), F.count("*").alias("long")).where("long > 1").select("value", "a")
-    pairs = store.publish(lists.join(heads, "value").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
-    pairs = store.publish(_estimate(pairs, classes, FAMILY, KIN_SHARED), "pairs")
-    compared = store.publish(_compare(pairs, classes, plain, words), "compared")
-    links = compared.where(_linked(percent)).select("a", "b")
-    comps = components(links)
-    among = store.publish(_within_families(compared, comps, percent), "links")
-    across = store.publish(_outside_families(lists, heads, compared, classes, comps, percent), "pairs")
-    across = store.publish(_estimate(across, classes, percent), "pairs")
-    across = store.publish(_compare(across, classes, plain, words).where(_linked(percent)).select("a", "b"), "links")
-    comps = components(links.union(among).union(across))
-    least = classes.select("cls", "doc").join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "doc")
-    ids = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    by_class = least.join(ids, "comp").select("cls", "component_id")
-    out = drawn.drop("sketch").join(by_class, "cls", "left")
+    drawn, by_class = _grouped(docs, text, key, words, percent)
+    out = drawn.select("doc", "n_shingles", "cls").join(by_class.select("cls", "component_id"), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group: that of the least non-null id.
+
+    Decisions go by id and text together, so rows that repeat an id, or have
+    none, with other texts are decided on their own.  Of an id with several
+    texts of one group the least hash of the text stays; of rows with the same
+    id and text the one of the least hash of all columns stays.  All rows
+    without shingles stay.
+    """
+    drawn, by_class = _grouped(docs, text, key, words, percent)
+    rows = drawn.where("cls IS NOT NULL").groupBy("doc", "mark", "cls").agg(F.count("*").alias("times")).join(by_class.select("cls", "keeper"), "cls")
+    same = F.col("doc").eqNullSafe(F.col("keeper.doc")) & (F.col("mark") == F.col("keeper.mark"))
+    rows = store.publish(rows.where(~same | (F.col("times") > 1)).select(F.col("doc").alias("__cv_doc"), F.col("mark").alias("__cv_mark"), same.alias("__cv_stays")), "not_alone")
+    on = docs[key].eqNullSafe(F.col("__cv_doc")) & (F.xxhash64(docs[text]) == F.col("__cv_mark"))
+    alone = docs.join(_small(rows), on, "left_anti")
+    repeated = docs.join(_small(rows.where("__cv_stays")), on, "left_semi")
+    one = repeated.groupBy(F.col(key).alias("cv_id"), F.xxhash64(F.col(text)).alias("cv_mark")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("cv_row"))
+    return alone.union(one.select("cv_row.*"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
 

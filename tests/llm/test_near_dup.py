@@ -83,3 +83,56 @@ def test_a_very_long_text(spark):
     long = " ".join(f"z{i % 5000}" for i in range(120_000))
     df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "b" * 300_000)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def odd_ids(seed):
+    """Texts of ``corpus`` whose ids repeat or are null, with repeated rows."""
+    rng = random.Random(seed)
+    rows = [(rng.choice((None, 1, 2, d)), t, rng.randrange(3)) for d, t in corpus(seed)]
+    return rows + rng.sample(rows, 30)
+
+
+@pytest.mark.parametrize("seed,bound", [(4, 200_000), (5, 0)])
+def test_one_row_of_each_group_stays_whatever_ids_repeat(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(near_dup, "BROADCAST_TEXTS", bound)
+    rows = odd_ids(seed)
+    groups = {i: g for i, (_, g) in brute([(i, t) for i, (_, t, _) in enumerate(rows)], 5).items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls int").repartition(3)
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(df).collect()]
+    members, of_text = {}, {}
+    for i, (d, t, _) in enumerate(rows):
+        members.setdefault(groups[i], []).append((d, t))
+        of_text[t] = groups[i]
+    wordless = [x for x in rows if not shingles(x[1], 5)]
+    assert sum(not shingles(t, 5) for _, t in kept) == len(wordless)
+    with_words = [(d, t) for d, t in kept if shingles(t, 5)]
+    want = {g for g, m in members.items() if shingles(m[0][1], 5)}
+    assert sorted(of_text[t] for _, t in with_words) == sorted(want)
+    for d, t in with_words:
+        ids = [x for x, _ in members[of_text[t]] if x is not None]
+        assert d == (min(ids) if ids else None)
+
+
+def test_an_id_shared_by_texts_of_two_groups(spark):
+    text, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(3, text), (5, text + "z"), (5, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dup.keep_one(df).collect()) == [(3, text), (5, other)]
+
+
+def test_texts_of_null_ids_meet_only_their_own_class(spark, monkeypatch):
+    """Rows that the comparison reads grow with the wanted texts, not with their square."""
+    read = []
+    texts = [" ".join(f"t{i}x{j}" for j in range(60)) + f" end{k}" for i in range(100) for k in range(2)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    original = near_dup.store.publish
+
+    def watched(frame, name):
+        out = original(frame, name)
+        if name == "wanted":
+            plain = near_dup._plain(df, "text", "doc_id")
+            read.append((out.count(), plain.join(out, plain["doc"].eqNullSafe(out["doc"]) & (plain["mark"] == out["mark"])).count()))
+        return out
+
+    monkeypatch.setattr(near_dup.store, "publish", watched)
+    assert near_dup.keep_one(df).count() == 100
+    assert read and all(wanted == joined for wanted, joined in read)
