@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corvane.llm import decontam, lang_id, mixing, near_dup, secrets, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids of dropped documents that are broadcast (16 bytes each).
-BROADCAST_IDS = 500_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +21,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each near-duplicate group, once."""
-    found = store.publish(near_dup.near_duplicates(docs).select(F.col("doc_id").alias("id"), "kept"), "kept")
-    kept = found.where("kept").select("id")
-    dropped = store.publish(found.where("NOT kept").select("id").distinct().exceptAll(kept.distinct()), "dropped")
-    if dropped.count() <= BROADCAST_IDS:  # else the texts are dealt by document
-        dropped = F.broadcast(dropped)
-    out = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("id")), "left_anti").select(*COLUMNS)
-    if kept.groupBy("id").count().where("count > 1").limit(1).count():  # rows that repeat an id
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    """Keeps one row of each near-duplicate group: that of the least id."""
+    return near_dup.keep_one(docs.select(*COLUMNS))
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
