@@ -1,10 +1,13 @@
 """License scans by patience alignment of whole texts with license templates.
 
 A text is a candidate for a template if it holds enough of its words, which a
-table of word hashes tells for a block of texts at once.  Around the rare words
-of the template the text is then aligned: words unique to both sides anchor
-the longest increasing subsequence, gaps are aligned the same way, and the
-share of template words matched is the coverage.
+table of word hashes tells for a block of texts at once.  The text is then
+aligned with the template: words unique to both sides anchor the longest
+increasing subsequence, gaps are aligned the same way, a gap without such words
+by its longest common subsequence, and the share of template words matched is
+the coverage.  Copies that stand together are sought around the rare words of
+the template first; then each stretch between them is aligned as a whole, so
+that any number of foreign words may stand inside an occurrence.
 """
 
 from __future__ import annotations
@@ -27,27 +30,74 @@ COVERAGE = 80
 
 @dataclass(frozen=True)
 class Template:
-    """must: words without which a match doesn't count."""
+    """must, never: words without which, or with which inside it, a match doesn't count.
+
+    phrase: a notice of few and common words, which must stand together: within
+    half its length more of foreign words.
+    """
 
     name: str
     text: str
     must: tuple[str, ...] = ()
+    never: tuple[str, ...] = ()
+    phrase: bool = False
 
 
 #: License notices and texts.
 TEMPLATES = (
-    Template("MIT-notice", "Released under the MIT License.", ("mit",)),
-    Template("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0.", ("apache",)),
-    Template("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3.", ("gnu",)),
-    Template("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0.", ("cc", "nc")),
+    Template("MIT-notice", "Released under the MIT License.", ("mit",), phrase=True),
+    Template("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0.", ("apache",), phrase=True),
+    Template("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "2"), ("lesser", "affero", "3"), phrase=True),
+    Template("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3"), ("lesser", "affero", "2"), phrase=True),
+    Template("LGPL-notice", "This work is licensed under the GNU Lesser General Public License.", ("gnu", "lesser"), phrase=True),
+    Template("AGPL-notice", "This work is licensed under the GNU Affero General Public License.", ("gnu", "affero"), phrase=True),
+    Template("CC-BY-4.0-notice", "Licensed under CC BY 4.0.", ("cc", "by", "4"), ("nc", "sa", "nd"), phrase=True),
+    Template("CC-BY-SA-4.0-notice", "Licensed under CC BY-SA 4.0.", ("cc", "sa", "4"), ("nc", "nd"), phrase=True),
+    Template("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0.", ("cc", "nc"), ("sa", "nd"), phrase=True),
+    Template("CC-BY-ND-4.0-notice", "Licensed under CC BY-ND 4.0.", ("cc", "nd", "4"), ("nc", "sa"), phrase=True),
+    Template("CC-BY-NC-SA-4.0-notice", "Licensed under CC BY-NC-SA 4.0.", ("cc", "nc", "sa"), phrase=True),
+    Template("CC-BY-NC-ND-4.0-notice", "Licensed under CC BY-NC-ND 4.0.", ("cc", "nc", "nd"), phrase=True),
+    Template("CC0-1.0-notice", "Dedicated to the public domain under CC0 1.0 Universal.", ("cc0",), phrase=True),
+    Template("MPL-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("mozilla",)),
     Template("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     Template("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    Template("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    Template("GPL-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("BSD-3-Clause-endorsement", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered",)),
+    Template("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    Template("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ("apache",)),
+    Template("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("2", "gnu"), ("lesser", "affero")),
+    Template("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("3", "gnu"), ("lesser", "affero")),
+    Template("LGPL-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("lesser", "gnu")),
+    Template("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("affero", "gnu")),
 )
 
 
+def common(text: list, template: list, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of text[a:b] and template[c:d]: one bit row of steps for each text word that the template has."""
+    at: dict = {}
+    for j in range(c, d):
+        at[template[j]] = at.get(template[j], 0) | 1 << (j - c)
+    full = (1 << (d - c)) - 1
+    row, places, rows = full, [], []
+    for i in range(a, b):
+        if hit := at.get(text[i], 0):
+            both = row & hit
+            row = ((row + both) | (row - both)) & full
+            places.append(i)
+            rows.append(row)
+    out, k, j = [], len(rows), d - c
+    while k and j:
+        if rows[k - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            k -= 1
+            if not k or rows[k - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((places[k], c + j))
+    return out
+
+
 def align(text: list, template: list) -> list[tuple[int, int]]:
     """Matched (text place, template place), both increasing: patience alignment."""
     out: list[tuple[int, int]] = []
@@ -79,6 +129,7 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
             k = before[k]
         chain.reverse()
         if not chain:
+            out += common(text, template, a, b, c, d)
             continue
         out += chain
         edges = [(a - 1, c - 1), *chain, (b, d)]
@@ -92,12 +143,13 @@ class _Prepared:
     def __init__(self, templates: tuple[Template, ...]):
         self.names = [t.name for t in templates]
         lists = []
-        for column in ([t.text for t in templates], [" ".join(t.must) for t in templates]):
+        for column in ([t.text for t in templates], [" ".join(t.must) for t in templates], [" ".join(t.never) for t in templates]):
             found = []
             for a, b, words in blocks(pa.array(column, pa.string()), ALNUM_WORDS):
                 found += [words.hash[words.first[i] : words.first[i + 1]] for i in range(b - a)]
             lists.append(found)
-        self.words, self.must = [x.tolist() for x in lists[0]], [set(x.tolist()) for x in lists[1]]
+        self.words, self.must, self.never = [x.tolist() for x in lists[0]], *([set(x.tolist()) for x in y] for y in lists[1:])
+        self.phrase = [t.phrase for t in templates]
         self.vocabulary = np.unique(np.concatenate(lists[0])) if templates else np.zeros(0, dtype=np.uint64)
         self.places = np.zeros((len(self.vocabulary), len(templates)), dtype=np.int32)
         for i, words in enumerate(lists[0]):
@@ -124,11 +176,35 @@ class _Prepared:
             matched = align(region, template)
             if len(matched) < need and (repeat := self._tighter(region, template, s - lo, m)):
                 matched = repeat
-            if len(matched) >= need and self.must[which] <= {template[j] for _, j in matched}:
-                out.append((lo + matched[0][0], lo + matched[-1][0] + 1, len(matched)))
-                free = out[-1][1]
+            while len(matched) >= need and len(matched) < m and not self.phrase[which]:  # grow while that helps
+                first, last = max(free, lo - (hi - lo)), hi + (hi - lo)
+                wider = align(hashes[first:last], template)
+                if len(wider) <= len(matched):
+                    break
+                lo, hi, matched = first, last, wider
+            if hit := self._hit(hashes, lo, matched, which, need):
+                out.append(hit)
+                free = hit[1]
+        if self.phrase[which]:
+            return out
+        edges = [0, *(x for hit in out for x in hit[:2]), len(hashes)]
+        todo = list(zip(edges[::2], edges[1::2]))
+        while todo:  # what stands between, each as a whole
+            lo, hi = todo.pop()
+            here = set(hashes[lo:hi]) if hi - lo >= need else ()
+            if sum(w in here for w in template) < need:
+                continue
+            if hit := self._hit(hashes, lo, align(hashes[lo:hi], template), which, need):
+                out.append(hit)
+                todo += [(lo, hit[0]), (hit[1], hi)]
         return out
 
+    def _hit(self, hashes: list, lo: int, matched: list[tuple[int, int]], which: int, need: int) -> tuple[int, int, int] | None:
+        if len(matched) < need or not self.must[which] <= {self.words[which][j] for _, j in matched}:
+            return None
+        a, b = lo + matched[0][0], lo + matched[-1][0] + 1
+        return None if self.never[which] and self.never[which] & set(hashes[a:b]) else (a, b, len(matched))
+
     @staticmethod
     def _tighter(region: list, template: list, at: int, m: int) -> list[tuple[int, int]]:
         """Without what surrounds the expected place, where words may repeat."""
@@ -169,7 +245,9 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
 
     keep: the columns to return (all by default); a column named licenses is
     replaced.  Null and empty texts have none; repeated rows are scanned alike;
-    occurrences of one template don't overlap, those of several may.
+    occurrences of one template don't overlap, those of several may.  Foreign
+    words inside an occurrence don't lower its coverage, however many they are;
+    only the notices marked as phrases must stand together.
     """
     spark = docs.sparkSession
     store.ship(spark)

@@ -1,4 +1,5 @@
 import random
+import re
 
 from corvane.llm import licenses
 from corvane.llm.licenses import TEMPLATES, Template, align
@@ -27,6 +28,15 @@ def test_alignment_is_a_common_subsequence():
     assert align(whole[:12] + [99] + whole[13:], whole) == [(i, i) for i in range(30) if i != 12]
 
 
+def test_gaps_without_unique_words_are_aligned_in_full():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = [[rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2)]
+        pairs = licenses.common(a, b, 0, len(a), 0, len(b))
+        assert len(pairs) == longest_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] > q[0] and p[1] > q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def scan(spark, texts):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id int, text string, licenses int")
     rows = licenses.find_licenses(df).orderBy("doc_id").collect()
@@ -58,3 +68,59 @@ def test_empty_table_and_own_templates(spark):
     assert [len(r.licenses) for r in licenses.find_licenses(df, templates=own).collect()] == [1, 1]
     assert licenses.find_licenses(df.limit(0)).count() == 0
     assert [r.licenses for r in licenses.find_licenses(df, templates=()).collect()] == [[], []]
+
+
+def test_any_number_of_foreign_words_may_stand_inside(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghklm") for _ in range(7))
+    texts = []
+    for n in (0, 5, 20, 40, 60, 120, 500):
+        for spread in (False, True):
+            words = BY_NAME["BSD-2-Clause"].split()
+            for _ in range(n):
+                words.insert(rng.randrange(1, len(words)) if spread else 30, word())
+            texts.append(" ".join([word() for _ in range(200)] + words + [word() for _ in range(200)]))
+    texts.append(texts[-1] + " " + BY_NAME["BSD-2-Clause"] + " " + texts[3])
+    got = scan(spark, texts)
+    assert all([(x[0], x[2]) for x in g] == [("BSD-2-Clause", 1.0)] for g in got[:-1])
+    assert [x[0] for x in got[-1]] == ["BSD-2-Clause"] * 3
+
+
+def test_recall_against_longest_common_subsequences(spark):
+    """Edited, interrupted and interleaved templates among prose; a scan by brute force tells which reach the coverage."""
+    rng = random.Random(4)
+    prose = "the of and to in a this is be that or for with not may any by all at use software copy license".split()
+    texts, want = [], []
+    long = [t for t in TEMPLATES if not t.phrase]
+    for k in range(120):
+        template = rng.choice(long)
+        words = [w for w in template.text.split() if rng.random() > rng.choice((0, 0.05, 0.1, 0.2, 0.3))]
+        for _ in range(rng.choice((0, 3, 30, 150))):
+            words.insert(rng.randrange(len(words)), rng.choice(prose))
+        if k % 4 == 0:
+            other, mixed = rng.choice(long).text.split(), []
+            while words or other:
+                for x in (words, other):
+                    take = rng.randrange(1, 9)
+                    mixed += x[:take]
+                    del x[:take]
+            words = mixed
+        texts.append(" ".join([rng.choice(prose) for _ in range(rng.randrange(60))] + words + [rng.choice(prose) for _ in range(rng.randrange(60))]))
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    for t in texts:
+        reached = set()
+        for x in long:
+            a, b = split(t), split(x.text)
+            if 100 * longest_common(a, b) >= licenses.COVERAGE * len(b) and set(x.must) <= set(a) and not set(x.never) & set(a):
+                reached.add(x.name)
+        want.append(reached)
+    got = [{x[0] for x in g} for g in scan(spark, texts)]
+    names = {t.name for t in long}
+    found = sum(len(g & w) for g, w in zip(got, want))
+    assert found >= 0.9 * sum(map(len, want)) > 50
+    assert all((g & names) <= w for g, w in zip(got, want) if not any(t.never for t in long if t.name in g - w))
+
+
+def test_versions_and_kinds_are_told_apart(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0.", BY_NAME["GPL-2.0-header"], BY_NAME["LGPL-header"]]
+    assert [[x[0] for x in g] for g in scan(spark, texts)] == [["GPL-2.0-notice"], ["CC-BY-SA-4.0-notice"], ["CC-BY-4.0-notice"], ["CC-BY-NC-4.0-notice"], ["GPL-2.0-header"], ["LGPL-header"]]
