@@ -13,9 +13,11 @@ most frequent words (their number grows with the vocabulary), one of its own,
 apart for words that predict and words that are predicted.  The two words
 before, and the mean of the words before, predict r = a1 x1 + a2 x2 + a3 m.
 The most frequent words are classes of their own, all others are dealt to
-classes of about sqrt(V) events; P(word) = P(class | r) P(word | class, r), each
-by scores r . q + b and each trained by noise contrast against draws from the
-counts.
+``SHARED`` classes, and those to groups of about ``MEMBERS`` events, as many as
+the vocabulary needs: P(word) = P(class | r) P(group | class) P(word | group, r).
+Class and word have scores r . q + b, each trained by noise contrast against
+draws from the counts; groups are dealt at random, so that no context prefers
+one, and have their share.
 
 Training: each token is used once, in ``ROUNDS`` of growing parts of the texts.
 In a round tasks start from the same parameters and train apart; a tree of sums
@@ -43,12 +45,14 @@ from corvane.llm.kernel import BLANK_WORDS, blocks, hash_word, runs, tidy
 END = hash_word(b" end ")
 #: Words that are events of their own; the counts of rarer ones are joined.
 HEAD_WORDS = 1 << 19
-#: Words that are classes of their own; words with vectors of their own for each root of the number of words.
-TOP, OWN = 256, 16
+#: Words that are classes of their own, classes of the others, events of a group of these.
+TOP, SHARED, MEMBERS = 192, 64, 256
+#: Words with vectors of their own for each root of the number of words.
+OWN = 16
 #: Hashed trigrams; hashed suffixes, each the event of the rare words that end so.
 TRIGRAMS, SUFFIXES = 1 << 13, 1 << 10
-#: Vector size, tokens in a mini-batch, noise draws shared by a batch, noise draws of one token in its class, step.
-DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 16, 4096, 64, 2, 0.1
+#: Vector size, tokens in a mini-batch, noise draws shared by a batch, noise draws of one token in its group, step.
+DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 16, 4096, 64, 1, 0.1
 #: Words before that the mean takes.
 WINDOW = 64
 #: Parts (of 8) of the texts in each round of training; tokens of a training task at least.
@@ -134,8 +138,8 @@ class Vocabulary:
     """The head words, the events and their classes, and the totals; arrays only, so that it can be broadcast.
 
     Events below ``n_head`` are the head words by their place in ``hashes``;
-    the others are suffixes.  Members are the events that share classes, class
-    by class.
+    the others are suffixes.  Members are the events that share classes, group
+    by group.
     """
 
     def __init__(self, hashes: np.ndarray, spelled: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare: np.ndarray | None = None, top: int = TOP):
@@ -149,7 +153,7 @@ class Vocabulary:
         weight = np.concatenate((self.counts + 1, rare.sum(axis=0) + 1)).astype(np.float64)
         suffix = np.arange(SUFFIXES)
         #: Trigrams and suffix of each event; a suffix has its own vector four times.
-        self.spelled = np.concatenate((_unpacked(spelled[by]), np.repeat(TRIGRAMS + suffix[:, None], 4, axis=1))).astype(np.int32)
+        self.spelled = np.concatenate((_unpacked(spelled[by]), np.repeat(TRIGRAMS + suffix[:, None], 4, axis=1))).astype(np.uint16)
         rank = np.lexsort((self.hashes, -self.counts))
         own = min(n, math.ceil(OWN * math.sqrt(max(1, distinct))))
         self.n_own = own
@@ -157,22 +161,26 @@ class Vocabulary:
         self.own = np.full(len(weight), own, dtype=np.int32)
         self.own[rank[:own]] = np.arange(own)
         tops, rest = rank[:top], np.concatenate((rank[top:], n + suffix))
-        self.n_top, self.n_shared = len(tops), max(1, round(math.sqrt(0.6 * len(rest))))
+        self.n_top, groups = len(tops), math.ceil(len(rest) / MEMBERS)
+        self.n_shared = min(SHARED, groups)
         #: Class of each event, and its place among the members (-1: a class of its own).
         self.cls, self.place = np.empty(len(weight), dtype=np.int32), np.full(len(weight), -1, dtype=np.int32)
         self.cls[tops] = np.arange(len(tops))
-        shared = np.arange(len(rest)) % self.n_shared
-        self.cls[rest] = len(tops) + shared
-        order = np.argsort(shared, kind="stable")
-        #: Events of the members, the bounds of each shared class, and their weights summed from the first on.
+        group = np.arange(len(rest)) % groups
+        self.cls[rest] = len(tops) + group % self.n_shared
+        order = np.argsort(group, kind="stable")
+        #: Events of the members, the bounds of each group, and their weights summed from the first on.
         self.members = rest[order].astype(np.int32)
-        self.bounds = np.searchsorted(shared[order], np.arange(self.n_shared + 1))
+        self.bounds = np.searchsorted(group[order], np.arange(groups + 1))
         self.place[self.members] = np.arange(len(rest))
+        self.group = group[order].astype(np.int32)
         self.reach = np.concatenate(([0.0], np.cumsum(weight[self.members])))
-        per_class = np.concatenate((weight[tops], np.diff(self.reach[self.bounds])))
+        per_group = np.diff(self.reach[self.bounds])
+        per_class = np.concatenate((weight[tops], np.bincount(np.arange(groups) % self.n_shared, per_group)))
         self.class_share = per_class / per_class.sum()
         self.class_reach = np.cumsum(self.class_share)
-        self.member_log = np.log(weight[self.members] / np.repeat(per_class[len(tops) :], np.diff(self.bounds))).astype(np.float32)
+        self.group_log = np.log(per_group / per_class[len(tops) + np.arange(groups) % self.n_shared])
+        self.member_log = np.log(weight[self.members] / per_group[self.group]).astype(np.float32)
         self.suffix_weight = weight[n:]
         self.shift = np.uint64(64 - (max(1, n).bit_length() + 2))
         self.bucket = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
@@ -233,10 +241,10 @@ class Tokens:
         is_word[end] = False
         self.hash = np.full(total, np.uint64(END), dtype=np.uint64)
         self.hash[is_word] = words.hash
-        self.spelled = np.tile(_END_SPELLING, (total, 1))
+        self.spelled = np.tile(_END_SPELLING.astype(np.uint16), (total, 1))
         self.spelled[is_word] = spelling(words.low, words.start, words.end)
         self.index = vocab.find(self.hash)
-        self.event = np.where(self.index >= 0, self.index, vocab.n_head + self.spelled[:, 3] - TRIGRAMS)
+        self.event = np.where(self.index >= 0, self.index, vocab.n_head + self.spelled[:, 3].astype(np.int64) - TRIGRAMS)
         self.own = vocab.own[self.event]
 
 
@@ -325,11 +333,11 @@ class Model:
         dr = up[:, None] * qw + down @ qn
         rows = np.concatenate((target, noise))
         moves = [("q", rows, np.concatenate((up[:, None] * r, down.T @ r))), ("b", rows, np.concatenate((up, down.sum(axis=0)))[:, None])]
-        # Members: MEMBER_NOISE draws for each token in its class.
+        # Members: MEMBER_NOISE draws for each token in its group.
         inner = np.flatnonzero(vocab.place[event] >= 0)
         if len(inner):
             ri, real = r[inner], vocab.place[event[inner]]
-            bounds = vocab.bounds[target[inner] - vocab.n_top], vocab.bounds[target[inner] - vocab.n_top + 1]
+            bounds = vocab.bounds[vocab.group[real]], vocab.bounds[vocab.group[real] + 1]
             low, high = vocab.reach[bounds[0]], vocab.reach[bounds[1]]
             fake = np.searchsorted(vocab.reach, low[:, None] + rng.random((len(inner), MEMBER_NOISE)) * (high - low)[:, None], side="right") - 1
             both = np.concatenate((real[:, None], np.clip(fake, bounds[0][:, None], bounds[1][:, None] - 1)), axis=1).ravel()
@@ -352,7 +360,8 @@ class Model:
         dx[:-2] += g[2:]
         at = np.arange(n)
         taken = np.minimum(np.minimum(within, WINDOW), at)
-        sums = np.concatenate((np.zeros((1, DIMENSION)), np.cumsum(dr * self.a[2] * (taken > 0)[:, None] / np.maximum(taken, 1)[:, None], axis=0)))
+        share = ((taken > 0) / np.maximum(taken, 1)).astype(np.float32)
+        sums = np.concatenate((np.zeros((1, DIMENSION)), np.cumsum(dr * self.a[2] * share[:, None], axis=0, dtype=np.float64)))
         dx += (sums[np.searchsorted(at - taken, at, side="right")] - sums[at + 1]).astype(np.float32)
         some = np.flatnonzero(own < vocab.n_own)
         moves += [("a", np.arange(3), np.stack([np.einsum("td,td->d", dr, s) for s in slots])), ("u", spelled, dx), ("eu", own[some], dx[some])]
@@ -425,14 +434,14 @@ class Scorer:
         cls, place = vocab.cls[event], vocab.place[event]
         out = self.model.class_log(r, cls)
         by = np.flatnonzero(place >= 0)
-        by = by[np.argsort(cls[by], kind="stable")]
-        start, count = runs(cls[by])
+        by = by[np.argsort(place[by])]
+        start, count = runs(vocab.group[place[by]])
         for at, n in zip(start.tolist(), count.tolist()):
             rows = by[at : at + n]
-            k = cls[rows[0]] - vocab.n_top
-            members = slice(vocab.bounds[k], vocab.bounds[k + 1])
             here = place[rows]
-            out[rows] += np.einsum("td,td->t", r[rows], self.vector[here]) + self.bias[here] - _log_sums(r[rows], self.vector[members], self.bias[members])
+            k = vocab.group[here[0]]
+            members = slice(vocab.bounds[k], vocab.bounds[k + 1])
+            out[rows] += np.einsum("td,td->t", r[rows], self.vector[here]) + self.bias[here] - _log_sums(r[rows], self.vector[members], self.bias[members]) + vocab.group_log[k]
         return out
 
 
@@ -442,16 +451,24 @@ def _trainer(vocab_block, start_block, seed: int, schema: pa.Schema):
         model, rng = Model(vocab), np.random.default_rng(seed)
         if start_block is not None:
             model.load(*start_block.value)
-        before, seen = model.energies(), False
+        before, held = model.energies(), None
+
+        def steps(rows, least):
+            i = 0
+            while len(rows[0]) - i >= least:
+                model.step(vocab, *(x[i : i + BATCH] for x in rows), rng)
+                i += BATCH
+            return [x[i:] for x in rows]
+
         with np.errstate(over="ignore"):
             for batch in batches:
-                for a, b, words in blocks(batch.column(0), BLANK_WORDS):
+                for a, b, words in blocks(batch.column(0), BLANK_WORDS, block_bytes=1 << 20):
                     tokens = Tokens(words, b - a, vocab)
-                    seen = True
-                    for i in range(0, len(tokens.event), BATCH):
-                        s = slice(i, i + BATCH)
-                        model.step(vocab, tokens.within[s], tokens.event[s], tokens.spelled[s], tokens.own[s], rng)
-        if seen:
+                    fresh = [tokens.within, tokens.event, tokens.spelled, tokens.own]
+                    held = steps([np.concatenate(x) for x in zip(held, fresh)] if held else fresh, BATCH)
+            if held:
+                steps(held, 1)
+        if held:
             yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([model.values().tobytes()], pa.binary()), pa.array([(model.energies() - before).tobytes()], pa.binary())], schema=schema)
 
     return run
@@ -526,7 +543,7 @@ def _scorer(vocab_block, values_block, mark: str, whole_head: bool, fields: list
         per_token, log_suffix = math.log10(vocab.total + vocab.distinct + 1), np.log10(vocab.suffix_weight)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for a, b, words in blocks(batch.column(batch.schema.get_field_index("__cv_text")), BLANK_WORDS):
+                for a, b, words in blocks(batch.column(batch.schema.get_field_index("__cv_text")), BLANK_WORDS, block_bytes=1 << 20):
                     n = b - a
                     tokens = Tokens(words, n, vocab)
                     known = tokens.index >= 0

@@ -72,14 +72,14 @@ def test_a_score_is_the_sum_of_its_tokens(spark):
         logits = model.q @ r + model.b[:, 0]
         want += logits[vocab.cls[e]] - np.log(np.exp(logits).sum())
         if vocab.place[e] >= 0:
-            k = vocab.cls[e] - vocab.n_top
+            k = vocab.group[vocab.place[e]]
             members = range(vocab.bounds[k], vocab.bounds[k + 1])
             inner = []
             for m in members:
                 event = vocab.members[m]
                 q = model.t[vocab.spelled[event]].sum(axis=0) + model.eq[vocab.own[event]]
                 inner.append(q @ r + vocab.member_log[m] + model.eb[vocab.own[event], 0])
-            want += inner[vocab.place[e] - vocab.bounds[k]] - np.log(np.exp(inner).sum())
+            want += vocab.group_log[k] + inner[vocab.place[e] - vocab.bounds[k]] - np.log(np.exp(inner).sum())
         if h not in place:
             want -= math.log(vocab.suffix_weight[s[3] - lm_score.TRIGRAMS])
         vectors.append(model.u[s].sum(axis=0) + model.eu[vocab.own[e]])
@@ -96,7 +96,7 @@ def test_it_learns_more_than_frequencies(spark, head):
 
 def test_the_query_gains_on_held_out_texts_however_the_table_is_cut(spark, tmp_path):
     """Over the query itself: contract columns by brute force, and the held-out gain over base per token from 1 and from 32 partitions."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     count = Counter(x for d, t in rows if not held(d) for x in tokens(t))
@@ -112,7 +112,7 @@ def test_the_query_gains_on_held_out_texts_however_the_table_is_cut(spark, tmp_p
             assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (total + distinct + 1)) for x in want))
         out = [r for r in got.values() if r.held_out]
         gains.append(sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out))
-    assert min(gains) > 0.1 and max(gains) < 1.1 * min(gains)
+    assert min(gains) > 0.2 and max(gains) < 1.1 * min(gains)
 
 
 def test_empty_training_and_empty_tables(spark):
