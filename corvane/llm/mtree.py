@@ -7,14 +7,17 @@ products, in a metric space.  A tree holds up to TREE_ROWS vectors in paged
 nodes; an entry has a routing point, a covering radius and the distance to its
 parent, all stored.  Bounds take a slack above rounding; scores are exact.
 
-Every row is in a tree; queries go to all trees in blocks of bounded size, each
-broadcast, and the best k of every task are merged by a window over few rows.
+Candidates are dealt to groups of some GROUP_ROWS; every group also gets all
+queries, which are few beside the candidates.  A task streams a group: it builds
+the trees from the candidates as they come, then searches each query in them.
+So there is one plan for any number of queries, nothing is broadcast or passes
+through the driver, and a task holds one group's trees.  The k best of each
+query and group are merged by a window that keeps k per task first.
 """
 
 from __future__ import annotations
 
 import heapq
-import io
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
-from corvane.llm.kernel import tidy
+from corvane.llm.kernel import runs, tidy
 
 #: Vectors in a tree, entries in a leaf and in an inner node.
 TREE_ROWS, LEAF, FANOUT = 8192, 128, 16
-#: Queries in a block: 16384 * 64 longs are 8 MB.
-QUERY_BLOCK = 16_384
+#: Candidates of a group, unless fewer keep all cores busy: 131072 * 64 longs are 64 MB.
+GROUP_ROWS = 131_072
 #: Greatest component for which double products of 1024 dimensions are whole.
 SAFE = 1 << 21
 
@@ -49,8 +52,6 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class MTree:
     """Pages of entries over points; arrays only."""
 
-    FIELDS = ("ids", "points", "lift", "largest", "page_start", "entry_point", "entry_radius", "entry_up", "entry_child", "page_router")
-
     @classmethod
     def build(cls, ids: np.ndarray, points: np.ndarray) -> MTree:
         self = cls()
@@ -59,6 +60,7 @@ class MTree:
         squares = np.einsum("nd,nd->n", real, real)
         self.largest = np.array(squares.max(initial=0.0))
         self.lift = np.sqrt(np.maximum(self.largest - squares, 0.0))
+        self.real, self.whole, self.computed = real, np.abs(points).max(initial=0) < SAFE, 0
         lifted = np.column_stack((real, self.lift))
         pages: list[tuple] = []
         rng = np.random.default_rng(7)
@@ -87,28 +89,12 @@ class MTree:
             return place
 
         page(np.arange(len(ids)), -1)
-        self.page_router = np.array([p[0] for p in pages])
         self.page_start = np.concatenate(([0], np.cumsum([len(p[1]) for p in pages])))
         self.entry_point, self.entry_radius, self.entry_up, self.entry_child = (np.concatenate([p[i] for p in pages]) for i in (1, 2, 3, 4))
         return self
 
-    def pack(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **{f: getattr(self, f) for f in self.FIELDS})
-        return out.getvalue()
-
-    @classmethod
-    def unpack(cls, data: bytes) -> MTree:
-        self = cls()
-        with np.load(io.BytesIO(data), allow_pickle=False) as z:
-            for f in cls.FIELDS:
-                setattr(self, f, z[f])
-        self.real = self.points.astype(np.float64)
-        self.whole = np.abs(self.points).max(initial=0) < SAFE
-        return self
-
     def search(self, query_id: int, q: np.ndarray, best: Best) -> None:
-        """Adds this tree's candidates for the query to ``best``; stops when no page can hold a better one."""
+        """Adds this tree's candidates for the query to ``best``; stops when no page can hold a better one.  ``computed`` counts the products."""
         real = q.astype(np.float64)
         base = float(real @ real) + float(self.largest)
         slack = 1e-6 + 1e-9 * np.sqrt(base)
@@ -131,6 +117,7 @@ class MTree:
                 point, radius, child = point[some], radius[some], child[some]
             if not len(point):
                 continue
+            self.computed += len(point)
             product = self.real[point] @ real
             if child[0] < 0:
                 score = product.astype(np.int64) if whole else _scores(self.points[point], q)
@@ -164,52 +151,56 @@ class Best:
         self.scores, self.ids = scores[by], ids[by]
 
 
-def _rows(ids, vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and a matrix of the vectors; missing trailing components are 0."""
+def _matrix(vectors, width: int) -> np.ndarray:
+    """The vectors as rows; missing trailing components are 0."""
     offsets = vectors.offsets.to_numpy()
     flat = vectors.values.to_numpy(zero_copy_only=False)
     size = np.diff(offsets)
-    out = np.zeros((len(ids), width), dtype=np.int64)
-    row = np.repeat(np.arange(len(ids)), size)
+    out = np.zeros((len(vectors), width), dtype=np.int64)
+    row = np.repeat(np.arange(len(vectors)), size)
     out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat[offsets[0] : offsets[-1]]
-    return ids.to_numpy(zero_copy_only=False), out
+    return out
 
 
-def _builder(width: int, schema: pa.Schema):
-    def run(batches):
-        held, size = [], 0
+def _searcher(width: int, k: int, schema: pa.Schema):
+    """Streams rows sorted by group, candidates first: builds trees, then answers queries."""
 
-        def tree():
-            ids, points = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([MTree.build(ids, points).pack()], pa.binary())], schema=schema)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, TREE_ROWS):
-                part = batch.slice(at, TREE_ROWS)
-                held.append(_rows(part.column(0), part.column(1), width))
-                size += part.num_rows
-                if size >= TREE_ROWS:
-                    yield tree()
-                    held, size = [], 0
-        if size:
-            yield tree()
-
-    return run
+    def run(batches):
+        current, trees, held, size = None, [], [], 0
 
+        def plant():
+            nonlocal held, size
+            if size:
+                trees.append(MTree.build(*(np.concatenate(x) for x in zip(*held))))
+            held, size = [], 0
 
-def _searcher(block, k: int, schema: pa.Schema):
-    def run(batches):
-        ids, vectors = block.value
-        best = [Best(k) for _ in ids]
         for batch in batches:
-            for data in batch.column(1):
-                tree = MTree.unpack(data.as_py())
-                for i, q, b in zip(ids, vectors, best):
-                    tree.search(int(i), q, b)
-        rows = [len(b.ids) for b in best]
-        if sum(rows):
-            number = np.repeat(np.arange(len(ids)), rows)
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(np.repeat(ids, rows)), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.scores for b in best]))], schema=schema)
+            group, asks, mark, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            points = _matrix(batch.column(4), width)
+            start, length = runs(group * 2 + asks)
+            for a, n in zip(start.tolist(), length.tolist()):
+                if group[a] != current:
+                    current, trees, held, size = group[a], [], [], 0
+                if not asks[a]:
+                    i = a
+                    while i < a + n:
+                        j = min(i + TREE_ROWS - size, a + n)
+                        held.append((ids[i:j], points[i:j]))
+                        size += j - i
+                        i = j
+                        if size == TREE_ROWS:
+                            plant()
+                    continue
+                plant()
+                found = []
+                for i in range(a, a + n):
+                    best = Best(k)  # a query's bound carries over from tree to tree
+                    for tree in trees:
+                        tree.search(int(ids[i]), points[i], best)
+                    found.append(best)
+                counts = [len(x.ids) for x in found]
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mark[a : a + n], counts)), pa.array(np.repeat(ids[a : a + n], counts)), pa.array(np.concatenate([x.ids for x in found])), pa.array(np.concatenate([x.scores for x in found]))], schema=schema)
 
     return run
 
@@ -217,44 +208,25 @@ def _searcher(block, k: int, schema: pa.Schema):
 def top_k(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "vector", k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all candidates, ties to the smaller id.
 
-    Both tables have an integer id and an array of longs.  Rows with a null id
-    or vector take no part.  A query never meets rows of its own id; queries
-    that repeat are asked once.  Missing trailing components count as 0.  Scores
-    beyond the range of a long are its end.
+    Both tables have an integer id and an array of longs; other columns play no
+    part.  Rows with a null id or vector take no part.  A query never meets rows
+    of its own id; queries that repeat are asked once.  Missing trailing
+    components count as 0.  Scores beyond the range of a long are its end.
     """
     spark = candidates.sparkSession
     store.ship(spark)
-    take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("mark", F.xxhash64("v"))
     rows, asked = take(candidates), take(queries).distinct()
-    width = max(int(rows.agg(F.max(F.size("v"))).first()[0] or 0), int(asked.agg(F.max(F.size("v"))).first()[0] or 0))
-    schema = T.StructType().add("n", T.LongType()).add("tree", T.BinaryType())
-    trees = store.publish(rows.mapInArrow(tidy(_builder(width, to_arrow_schema(schema))), schema), "mtree")
-    n_trees = max(1, trees.count())
-    # One task a few trees: a query's bound carries over from tree to tree.
-    trees = trees.repartition(max(1, min(n_trees, -(-n_trees // 4) + spark.sparkContext.defaultParallelism)))
-    found_schema = T.StructType().add("query", T.LongType()).add("query_id", T.LongType()).add("vec_id", T.LongType()).add("score", T.LongType())
-    found, block, number = None, [], 0
-
-    def ask(block):
-        nonlocal found, number
-        vectors = np.zeros((len(block), width), dtype=np.int64)
-        for i, row in enumerate(block):
-            vectors[i, : len(row["v"])] = row["v"]
-        held = spark.sparkContext.broadcast((np.array([row["id"] for row in block], dtype=np.int64), vectors))
-        part = trees.mapInArrow(tidy(_searcher(held, k, to_arrow_schema(found_schema))), found_schema).withColumn("query", F.col("query") + number)
-        number += len(block)
-        found = part if found is None else found.union(part)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            ask(block)
-            block = []
-    if block:
-        ask(block)
-    if found is None:
-        found = spark.createDataFrame([], found_schema)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    count, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = max(int(longest or 0), int(asked.agg(F.max(F.size("v"))).first()[0] or 0))
+    groups = max(1, -(-count // GROUP_ROWS), min(-(-count // TREE_ROWS), 2 * spark.sparkContext.defaultParallelism))
+    group = F.pmod(F.xxhash64("id", "mark", F.spark_partition_id()), F.lit(groups)).cast("int")  # equal rows of several partitions too are dealt apart
+    row = lambda df, group, asks: df.select(group.alias("group"), F.lit(asks).alias("asks"), "mark", "id", "v")
+    stream = row(rows, group, 0).union(row(asked, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))), 1))
+    dealt = stream.repartition(groups, "group").sortWithinPartitions("group", "asks")
+    schema = T.StructType().add("mark", T.LongType()).add("query_id", T.LongType()).add("vec_id", T.LongType()).add("score", T.LongType())
+    found = dealt.mapInArrow(tidy(_searcher(width, k, to_arrow_schema(schema))), schema)
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
