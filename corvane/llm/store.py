@@ -15,13 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The shared folder, as a URI; a cluster must name one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not configured:
+        found = sc._jsc.sc().getCheckpointDir()
+        if found.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+            found = sc._jsc.sc().getCheckpointDir()
+        configured = found.get()
+    return qualified(spark, configured)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI: without a scheme it is on the cluster's default file system, for Spark and for tasks alike."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file:///") else whole
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -24,8 +24,8 @@ from corvane.llm.kernel import byte_blocks, tidy
 
 #: Payloads under this size are never written as revisits.
 LEAST_REVISIT = 100
-#: Parts into which the pages of one payload are dealt.
-SALTS = 16
+#: Repeated payloads' digests that are broadcast (some 110 bytes each); beyond, pages are dealt by digest, those of one payload into SALTS parts.
+BROADCAST_DIGESTS, SALTS = 200_000, 16
 STEP = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,14 +185,18 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     least id are responses, others revisit it (rows that repeat the least id are
     all responses; rows with a null id revisit unless no row has an id).  Null
     html is the empty payload; a null url is left out of its record; a null id
-    is an empty record id.
+    is an empty record id.  Other columns play no part.
     """
     store.ship(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
     keyed = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("n"))
     first = keyed.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1 AND first IS NOT NULL")
-    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
+    first = store.publish(first.select("digest", "first"), "repeated")
+    if first.count() <= BROADCAST_DIGESTS:  # pages stay where they are
+        dealt = keyed.join(F.broadcast(first), "digest", "left")
+    else:
+        salted = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
     rows = dealt.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", refers.alias("refers"), "digest", "html")
     schema = T.StructType().add("path", T.StringType()).add("records", T.LongType())
@@ -209,7 +213,6 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = store.fresh_path(spark, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     records = read_archives(write_archives(pages, folder), folder, with_payload=False)
     kind = pages.schema["page_id"].dataType
     good = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record "), F.coalesce("record_id", F.lit("?")), F.lit(": "), F.col("problem"))))

@@ -41,10 +41,12 @@ def test_damage_is_told():
     assert read(b"") == [] and zlib is not None
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
     rows = [(5, "http://a/5", BODY, 1), (3, "http://a/3", BODY, 1), (9, None, BODY, 1), (9, None, BODY, 1), (None, "u", BODY, 1), (4, "a\r\nb", "short", 1), (6, "c", "short", 1), (7, "d", None, 1), (8, "e", "", 1), (10, "f", "z" * 300_000, 1), (3, "http://a/3", BODY, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3)
-    folder = "file://" + store.fresh_path(spark, "warc").removeprefix("file:")
+    folder = store.fresh_path(spark, "warc")
     got = warc.read_archives(warc.write_archives(df, folder), folder).collect()
     assert len(got) == len(rows) and {r.problem for r in got} == {None}
     by = {}
@@ -62,3 +64,17 @@ def test_round_trip(spark):
     assert {kinds[k][0] for k in ("4", "6", "7", "8", "10")} == {("response", None)}
     empty = warc.write_archives(df.limit(0), folder + "-empty")
     assert warc.read_archives(empty, folder + "-empty").count() == 0
+
+
+def test_a_folder_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    """Spark and tasks must agree on it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    default = conf.get("fs.defaultFS")
+    assert store.qualified(spark, f"{tmp_path}/ck/") == f"file://{tmp_path}/ck"
+    try:
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./shared", f"file://{tmp_path}/shared")
+        assert store.qualified(spark, "/shared/ck") == "viewfs://cluster/shared/ck"
+        assert store.qualified(spark, f"file:{tmp_path}/ck") == f"file://{tmp_path}/ck"
+    finally:
+        conf.set("fs.defaultFS", default or "file:///")
