@@ -369,10 +369,6 @@ class Model:
             if len(rows):
                 self._move(name, rows, g)
 
-    def class_log(self, r: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Log-probability of each token's class."""
-        return (np.einsum("td,td->t", r, self.q[cls]) + self.b[cls, 0]) - _log_sums(r, self.q, self.b[:, 0])
-
 
 def _composed(shared: np.ndarray, own: np.ndarray, spelled: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = own[rows]
@@ -383,31 +379,25 @@ def _composed(shared: np.ndarray, own: np.ndarray, spelled: np.ndarray, rows: np
 
 def _row_sums(rows: np.ndarray, gradient: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a table of ``n`` that are met, and the sum of each one's gradients.  rows: one of each gradient, or four."""
-    if n <= 4 * rows.size:
-        columns = rows.reshape(len(gradient), -1).T.astype(np.intp)
-        met = np.flatnonzero(np.bincount(columns.ravel(), minlength=n))
-        weights = np.tile(gradient.T.astype(np.float64), len(columns))
-        return met, np.stack([np.bincount(columns.ravel(), w, n)[met] for w in weights], axis=1).astype(np.float32)
-    by = np.argsort(rows.ravel())
-    start, _ = runs(rows.ravel()[by])
-    return rows.ravel()[by][start], np.add.reduceat(gradient[by // (rows.size // len(gradient))], start, axis=0)
+    flat = rows.ravel().astype(np.uint16 if n <= 1 << 16 else np.int32)
+    by = np.argsort(flat, kind="stable")  # of 16 bits by radix
+    start, _ = runs(flat[by])
+    return flat[by[start]], np.add.reduceat(gradient[by >> (2 if rows.ndim == 2 else 0)], start, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-x))).astype(np.float32)
 
 
-def _log_sums(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of exp(r . q[k] + b[k]) over all k, shifted by the largest where that is out of range."""
+def _log_sums(r: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of exp(r . q[k]) over all k, shifted by the largest where that is out of range; biases are a last column, with ones in ``r``."""
     out = np.empty(len(r), dtype=np.float64)
-    turned = np.ascontiguousarray(np.column_stack((q, b)).T)
     for i in range(0, len(r), 512):
-        rows = np.column_stack((r[i : i + 512], np.ones(len(r[i : i + 512]), dtype=np.float32)))
-        s = rows @ turned
+        s = r[i : i + 512] @ q.T
         with np.errstate(over="ignore", divide="ignore"):
             out[i : i + 512] = np.log(np.exp(s, out=s).sum(axis=1))
         if len(odd := np.flatnonzero(~np.isfinite(out[i : i + 512]))):
-            s = rows[odd] @ turned
+            s = r[i + odd] @ q.T
             top = s.max(axis=1, keepdims=True)
             out[i + odd] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
     return out
@@ -418,7 +408,7 @@ class Scorer:
 
     def __init__(self, vocab: Vocabulary, model: Model):
         self.vocab, self.model = vocab, model
-        self.vector, self.bias = model.targets(vocab, np.arange(len(vocab.members)))
+        self.member, self.cls = np.column_stack(model.targets(vocab, np.arange(len(vocab.members)))), np.column_stack((model.q, model.b))
 
     def log_p(self, tokens: Tokens) -> np.ndarray:
         """Natural log-probability of each token's event."""
@@ -432,16 +422,16 @@ class Scorer:
         """The same after given predictions."""
         vocab = self.vocab
         cls, place = vocab.cls[event], vocab.place[event]
-        out = self.model.class_log(r, cls)
+        r = np.column_stack((r, np.ones(len(r), dtype=np.float32)))
+        out = np.einsum("td,td->t", r, self.cls[cls]) - _log_sums(r, self.cls)
         by = np.flatnonzero(place >= 0)
         by = by[np.argsort(place[by])]
         start, count = runs(vocab.group[place[by]])
         for at, n in zip(start.tolist(), count.tolist()):
             rows = by[at : at + n]
-            here = place[rows]
-            k = vocab.group[here[0]]
-            members = slice(vocab.bounds[k], vocab.bounds[k + 1])
-            out[rows] += np.einsum("td,td->t", r[rows], self.vector[here]) + self.bias[here] - _log_sums(r[rows], self.vector[members], self.bias[members]) + vocab.group_log[k]
+            k = vocab.group[place[rows[0]]]
+            out[rows] += vocab.group_log[k] - _log_sums(r[rows], self.member[vocab.bounds[k] : vocab.bounds[k + 1]])
+        out[by] += np.einsum("td,td->t", r[by], self.member[place[by]])
         return out
 
 
