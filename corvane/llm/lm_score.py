@@ -15,9 +15,9 @@ before, and the mean of the words before, predict r = a1 x1 + a2 x2 + a3 m.
 The most frequent words are classes of their own, all others are dealt to
 ``SHARED`` classes, and those to groups of about ``MEMBERS`` events, as many as
 the vocabulary needs: P(word) = P(class | r) P(group | class) P(word | group, r).
-Class and word have scores r . q + b, each trained by noise contrast against
-draws from the counts; groups are dealt at random, so that no context prefers
-one, and have their share.
+Class and word have scores r . q + b, trained by noise contrast: classes against
+draws by their counts, words against even draws from their group.  Groups are
+dealt at random, so that no context prefers one, and have their share.
 
 Training: each token is used once, in ``ROUNDS`` of growing parts of the texts.
 In a round tasks start from the same parameters and train apart; a tree of sums
@@ -52,7 +52,7 @@ OWN = 16
 #: Hashed trigrams; hashed suffixes, each the event of the rare words that end so.
 TRIGRAMS, SUFFIXES = 1 << 13, 1 << 10
 #: Vector size, tokens in a mini-batch, noise draws shared by a batch, noise draws of one token in its group, step.
-DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 16, 4096, 64, 1, 0.1
+DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 12, 4096, 64, 1, 0.1
 #: Words before that the mean takes.
 WINDOW = 64
 #: Parts (of 8) of the texts in each round of training; tokens of a training task at least.
@@ -169,13 +169,13 @@ class Vocabulary:
         group = np.arange(len(rest)) % groups
         self.cls[rest] = len(tops) + group % self.n_shared
         order = np.argsort(group, kind="stable")
-        #: Events of the members, the bounds of each group, and their weights summed from the first on.
+        #: Events of the members, and the bounds of each group.
         self.members = rest[order].astype(np.int32)
         self.bounds = np.searchsorted(group[order], np.arange(groups + 1))
         self.place[self.members] = np.arange(len(rest))
         self.group = group[order].astype(np.int32)
-        self.reach = np.concatenate(([0.0], np.cumsum(weight[self.members])))
-        per_group = np.diff(self.reach[self.bounds])
+        reach = np.concatenate(([0.0], np.cumsum(weight[self.members])))
+        per_group = np.diff(reach[self.bounds])
         per_class = np.concatenate((weight[tops], np.bincount(np.arange(groups) % self.n_shared, per_group)))
         self.class_share = per_class / per_class.sum()
         self.class_reach = np.cumsum(self.class_share)
@@ -338,12 +338,12 @@ class Model:
         if len(inner):
             ri, real = r[inner], vocab.place[event[inner]]
             bounds = vocab.bounds[vocab.group[real]], vocab.bounds[vocab.group[real] + 1]
-            low, high = vocab.reach[bounds[0]], vocab.reach[bounds[1]]
-            fake = np.searchsorted(vocab.reach, low[:, None] + rng.random((len(inner), MEMBER_NOISE)) * (high - low)[:, None], side="right") - 1
-            both = np.concatenate((real[:, None], np.clip(fake, bounds[0][:, None], bounds[1][:, None] - 1)), axis=1).ravel()
+            size = (bounds[1] - bounds[0])[:, None]
+            fake = bounds[0][:, None] + (rng.random((len(inner), MEMBER_NOISE), dtype=np.float32) * size).astype(np.int64)
+            both = np.concatenate((real[:, None], np.minimum(fake, bounds[1][:, None] - 1)), axis=1).ravel()
             vector, bias = self.targets(vocab, both)
-            vector, bias = vector.reshape(len(inner), -1, DIMENSION), (bias - vocab.member_log[both]).reshape(len(inner), -1)
-            over = np.einsum("td,tkd->tk", ri, vector) + bias - np.float32(math.log(MEMBER_NOISE))
+            vector, bias = vector.reshape(len(inner), -1, DIMENSION), bias.reshape(len(inner), -1)
+            over = np.einsum("td,tkd->tk", ri, vector) + bias + np.log(size / MEMBER_NOISE).astype(np.float32)
             pull = -_sigmoid(over) * scale
             pull[:, 0] += scale
             dr[inner] += np.einsum("tk,tkd->td", pull, vector)
