@@ -44,13 +44,16 @@ def topic(text: Column) -> Column:
     )
 
 
-def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """The rows and columns of ``docs`` with cv_source, cv_lang, cv_topic (never null) and cv_tokens; null text has none."""
+def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topics: Column | None = None) -> DataFrame:
+    """The rows and columns of ``docs`` with cv_source, cv_lang, cv_topic (never null) and cv_tokens; null text has none.
+
+    topics: the topic of a row, by the rules of ``topic`` unless given.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns({
         "cv_source": F.coalesce(F.col(source).cast("string"), F.lit("(none)")),
         "cv_lang": F.coalesce(F.col(lang).cast("string"), F.lit("(none)")),
-        "cv_topic": topic(body),
+        "cv_topic": F.coalesce(topics.cast("string"), F.lit("(none)")) if topics is not None else topic(body),
         "cv_tokens": F.regexp_count(body, F.lit(WORD)).cast("long"),
     })
 
@@ -112,11 +115,11 @@ def draw(key: Column, text: Column, seed: int = SEED) -> Column:
 class Mixture:
     """Probabilities of the cells of a table of documents, and the tokens that its marginals aim at."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", targets: Callable[[str, dict[str, float]], dict[str, float]] | None = None, budget: float = BUDGET):
+    def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", targets: Callable[[str, dict[str, float]], dict[str, float]] | None = None, budget: float = BUDGET, topics: Column | None = None):
         self.budget = budget
         self.names = names = [f"cv_{d}" for d in DIMENSIONS]
         docs = docs.drop(*names, "cv_tokens", "cv_probability", "cv_sampled")
-        self.described = describe(docs, text, source, lang)
+        self.described = describe(docs, text, source, lang, topics)
         #: (cv_source, cv_lang, cv_topic, t) of all cells with tokens.
         self.cells = store.publish(self.described.groupBy(*names).agg(F.sum("cv_tokens").cast("double").alias("t")).where("t > 0"), "cells")
         #: Of each dimension the values, their tokens, target shares and goals.
@@ -169,9 +172,11 @@ class Mixture:
         return joined.withColumn("cv_probability", p).withColumn("cv_sampled", draw(F.col(key), F.col(text)) < F.col("cv_probability"))
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", targets: Callable[[str, dict[str, float]], dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", targets: Callable[[str, dict[str, float]], dict[str, float]] | None = None, budget: float = BUDGET, topics: Column | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with cv_source, cv_lang, cv_topic, cv_tokens, cv_probability and cv_sampled.
 
+    topics: a column with each row's topic, such as a classifier's; by default
+    the kind of text that ``topic``'s rules tell.
     targets(dimension, token totals) gives the share of each value; a value
     without tokens can't get any.  Goals that contradict each other across
     dimensions can't all be met: ``Mixture.report`` gives what each value asked
@@ -180,7 +185,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     rows of the same id share a draw, rows without one of the same text; an
     empty table stays empty.
     """
-    return Mixture(docs, text, source, lang, targets, budget).sample(key, text)
+    return Mixture(docs, text, source, lang, targets, budget, topics).sample(key, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,9 @@
+import html
+import random
+from collections import Counter
+
+import pytest
+
 from corvane.llm import html_main
 from corvane.llm.html_main import Page
 
@@ -52,3 +58,43 @@ def test_hosts_beyond_the_bound_are_joined(spark, monkeypatch):
     monkeypatch.setattr(html_main, "BROADCAST_HOSTS", 0)
     df = spark.createDataFrame([(i, f"http://h{i % 3}.org/", f"<article><p>text {i}</p></article>") for i in range(9)], "page_id int, url string, html string")
     assert {r.page_id: r.text for r in html_main.extract(df).collect()} == {i: f"text {i}" for i in range(9)}
+
+
+def generated(seed, pages=160):
+    """Pages of eight hosts: an article of known blocks in one of several layouts, amid what must not be taken."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    run = lambda n: " ".join(word() for _ in range(n))
+    layouts = [
+        ("<main><article class='post post-{i}'>", "</article></main>"), ("<div id='content'><div class='entry-content e{i}'>", "</div></div>"),
+        ("<div class='wrap'><section class='story'>", "</section></div>"), ("<table><tr><td class='text'>", "</td></tr></table>"),
+    ]
+    noise = [
+        "<nav><ul>{}</ul></nav>".format("".join(f"<li><a href='/{k}'>{run(2)}</a></li>" for k in range(8))), f"<div class='cookie-notice'><p>{run(25)}</p></div>", f"<aside class='sidebar'><p>{run(30)}</p></aside>",
+        f"<div class='ad banner'>{run(12)}</div>", f"<form><label>{run(3)}</label><input name='q'></form>", f"<script>var x = '<p>{run(10)}</p>';</script>", f"<footer><p>{run(20)}</p></footer>", f"<header><div class='logo'>{run(3)}</div></header>",
+    ]
+    rows, want = [], {}
+    for i in range(pages):
+        host = rng.randrange(8)
+        a, b = layouts[host % len(layouts)]
+        blocks = [run(rng.randrange(8, 70)) + rng.choice((" &amp; ", " &#233; ", " ")) + word() for _ in range(rng.randrange(2, 9))]
+        tags = [rng.choice(("p", "p", "p", "h2", "blockquote")) for _ in blocks]
+        comments = "".join(f"<div class='comment'><p>{run(rng.randrange(5, 40))}</p></div>" for _ in range(rng.randrange(0, 6)))
+        inside = "".join(f"<{t}>{x}</{t}>" + (noise[3] if rng.random() < 0.2 else "") for t, x in zip(tags, blocks))
+        before, after = rng.sample(noise, 4), rng.sample(noise, 3)
+        page = f"<html><head><title>{run(4)}</title></head><body>{''.join(before)}{a.format(i=i)}{inside}{b}<section id='comments'>{comments}</section>{''.join(after)}</body></html>"
+        rows.append((i, f"https://h{host}.org/{i}", page))
+        want[i] = " ".join(html.unescape(x) for x in blocks)
+    return rows, want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_and_precision_against_known_articles(spark, seed):
+    rows, want = generated(seed)
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    found = total = given = 0
+    for i, text in want.items():
+        a, b = Counter(text.split()), Counter(got[i].split())
+        found, total, given = found + (a & b).total(), total + a.total(), given + b.total()
+    assert found >= 0.9 * total and found >= 0.9 * given
+    assert sum(got[i] == text for i, text in want.items()) >= 0.9 * len(want)

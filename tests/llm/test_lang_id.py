@@ -1,7 +1,10 @@
 import random
+import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvane.llm import lang_id
 
 SYLLABLES = {"xa": ["ka", "to", "mi", "ruk"], "xb": ["zel", "gri", "sno", "wub"], "xc": ["éa", "ñui", "ßo", "yth"]}
@@ -40,3 +43,27 @@ def test_texts_without_letters_and_empty_tables(spark, model):
     assert lang_id.identify(df.limit(0), model).count() == 0
     nothing = lang_id.learn(spark.createDataFrame([], "text string, lang string"))
     assert {r.lang_pred for r in lang_id.identify(df, nothing).collect()} == {"und"}
+
+
+def test_the_query_holds_out_by_the_id_and_predicts_what_it_never_saw(spark):
+    """Over the query itself, on texts of four languages."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in lang_id.query(spark, sf).collect()}
+    assert set(got) == set(docs)
+    right = []
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+        has = any(c.isalpha() for c in docs[d].text or "")
+        assert (r.lang_pred == "und") == (not has) and 0 <= r.score <= 1
+        if r.held_out and has and docs[d].lang:
+            right.append(r.lang_pred == docs[d].lang)
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("x"))
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    take = lambda sf: sorted(map(tuple, lang_id.query(spark, sf).collect()))
+    assert take("/root/testdata/sf0.001") == take(str(tmp_path))
