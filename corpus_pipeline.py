@@ -14,10 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents, sets each document's language, and drops those without one (no letter)."""
+    """Learns from the labelled documents, sets the language of those without a label, and drops texts without one (no letter)."""
     model = lang_id.learn(docs)
     found = lang_id.identify(docs.select(*COLUMNS), model)
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
