@@ -47,3 +47,8 @@ def grid_ticks(low: float, high: float) -> list[float]:
 def back_off(attempt: int, most: float = 60.0) -> float:
     """Seconds to wait before a retry."""
     return min(2.0**attempt, most)
+
+
+def hidden_cache_bytes(layers: Column, hidden: Column, tokens: Column, width: int = 2) -> Column:
+    """Keys and values of all layers by the model's hidden size, as if every head had its own."""
+    return tokens * 2 * layers * hidden * width

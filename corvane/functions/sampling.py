@@ -30,17 +30,19 @@ def choose(df: DataFrame, seed: int, keys: list[str], by: list[str] | None = Non
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
 
 
-def rank_by_draw(df: DataFrame, draw: Column, ties: list[str], name: str = "position", buckets: int = 256) -> DataFrame:
+def rank_by_draw(df: DataFrame, draw: Column, ties: list[str], name: str = "position", bucket_rows: int = 100_000) -> DataFrame:
     """The place of each row, from 0, in the order of a draw on [0, 1), then ``ties``.
 
-    Rows are ranked within buckets of the draw; the counts of the buckets before
-    (a row a bucket) give the offset, so no task sorts everything.
+    Rows are ranked within buckets of the draw, of some ``bucket_rows`` each; the
+    counts of the buckets before (a row a bucket) give the offset, so no task
+    sorts everything. Counts the rows first.
     """
+    buckets = max(1, -(-df.count() // bucket_rows))
     rows = df.withColumn("__draw", draw).withColumn("__bucket", F.floor(F.col("__draw") * buckets))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     local = F.row_number().over(Window.partitionBy("__bucket").orderBy("__draw", *ties))
-    placed = rows.join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__before") + local - 1)  # ``buckets`` rows
+    placed = rows.join(offsets, "__bucket").withColumn(name, F.col("__before") + local - 1)
     return placed.drop("__draw", "__bucket", "__before")
 
 

@@ -46,13 +46,17 @@ def first_shuffled(items: DataFrame, key: str, seed: int, most: int) -> DataFram
 
 
 def interleave(df: DataFrame, group: str, order: str, key: list[str], seed: int) -> DataFrame:
-    """place: a random order of all rows that keeps the order within each group.
+    """place: a uniformly random merge that keeps the order within each group.
 
-    A row's sort key is the greatest draw of its group so far.
+    The i-th row of a group takes the i-th smallest of the group's draws.
     """
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    drawn = df.withColumn("__u", uniform(seed, *key)).withColumn("__s", F.max("__u").over(w))
-    return rank_by_draw(drawn, F.col("__s"), [group, order], "place").drop("__u", "__s")
+    own = Window.partitionBy(group)
+    draw = uniform(seed, *key)
+    placed = df.withColumn("__i", F.row_number().over(own.orderBy(order)))
+    draws = df.select(F.col(group).alias("__g"), F.col(order).alias("__o"), draw.alias("__u"))
+    draws = draws.select("__g", "__u", F.row_number().over(Window.partitionBy("__g").orderBy("__u", "__o")).alias("__i"))
+    drawn = placed.join(draws, placed[group].eqNullSafe(draws["__g"]) & (placed["__i"] == draws["__i"])).drop("__g", "__i")
+    return rank_by_draw(drawn, F.col("__u"), [group, order], "place").drop("__u")
 
 
 def result_rows(results: DataFrame, scores: Column) -> DataFrame:
@@ -89,3 +93,9 @@ def method_source(name: Column, inputs: Column, values: Column) -> Column:
     """Python of a method that maps inputs to values."""
     branch = F.zip_with(inputs, values, lambda i, v: F.concat(F.lit("    if x == '"), i, F.lit("':\n        return "), v))
     return F.concat(F.lit("def "), name, F.lit("(x):\n"), F.array_join(branch, "\n"))
+
+
+def answers_by_key(needles: DataFrame, key: list[str], order: str, answer: str) -> DataFrame:
+    """(key, answers): the answers of all needles of a key, in order."""
+    rows = needles.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, answer))).alias("__a"))
+    return rows.select(*key, F.transform("__a", lambda x: x[answer]).alias("answers"))

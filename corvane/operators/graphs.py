@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.functions.sampling import below, uniform
 from corvane.runtime import materialize
 
 
 def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, level): 0 without dependencies in the set, else one more than the deepest dependency.
 
-    edges: (node, needs); edges to nodes outside the set don't count. One round a
-    level over nodes that only get fewer, each cut from its lineage by a checkpoint; a cycle or more than ``most`` levels
-    raises an error.
+    edges: (node, needs); edges to nodes outside the set don't count. One table a
+    level, (node, open): the nodes still left and how many of their needs are
+    open; it only gets shorter, and a checkpoint cuts its lineage. A cycle or
+    more than ``most`` levels raises an error.
     """
-    inside = materialize(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct())
-    left, done = materialize(nodes.select("node").distinct()), []
-    n_left = left.count()
-    while n_left:
-        blocked = inside.join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
-        ready = materialize(left.join(blocked, "node", "left_anti"))
-        n_ready = ready.count()
+    inside = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct()
+    inside = materialize(inside)
+    counted = inside.groupBy("node").agg(F.count("*").alias("open"))
+    left, done = materialize(nodes.select("node").distinct().join(counted, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))), []
+    while True:
+        n_ready, n_left = left.agg(F.count(F.when(F.col("open") == 0, 1)), F.count("*")).first()
+        if not n_left:
+            break
         if len(done) >= most or not n_ready:
             raise ValueError("the graph has a cycle")
+        ready = left.where("open = 0").select("node")
         done.append(ready.select("node", F.lit(len(done)).alias("level")))
-        n_left -= n_ready
-        left = materialize(left.join(ready, "node", "left_anti")) if n_left else left
+        if n_left == n_ready:
+            break
+        met = inside.join(ready.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count("*").alias("met"))
+        left = materialize(left.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
     out = nodes.select("node", F.lit(0).alias("level")).limit(0)
     for part in done:
         out = out.unionByName(part)
@@ -54,3 +60,26 @@ def call_chain(spark, calls: DataFrame, starts: DataFrame, follow_argument: bool
     if not found.where(call).isEmpty():
         raise ValueError("a chain of calls has a cycle")
     return found.select(F.col("method").alias("start"), "input", "literal", "depth")
+
+
+def random_calls(spark, programs: int, methods: int, words: list[str], seed: int, calls: float = 0.6) -> DataFrame:
+    """(program, method, input, kind, target, arg, literal): methods of random programs, each with an answer to every word.
+
+    Method m calls, by the share ``calls``, an earlier method of its program
+    with a drawn word, or gives a drawn literal; the first gives literals only,
+    so every chain ends. All draws are hashes, so any row can be made anywhere.
+    """
+    rows = spark.range(programs * methods).select((F.col("id") / methods).cast("long").alias("program"), (F.col("id") % methods).alias("m"), F.explode(F.array(*map(F.lit, words))).alias("input"))
+    key = ("program", "m", "input")
+    word = lambda s: F.element_at(F.array(*map(F.lit, words)), below(uniform(s, *key), len(words)) + 1)
+    call = (F.col("m") > 0) & (uniform(seed, *key) < calls)
+    name = lambda m: F.concat(F.lit("p"), F.col("program").cast("string"), F.lit("m"), m.cast("string"))
+    target = below(uniform(seed + 1, *key), F.greatest(F.lit(1), F.col("m").cast("int")))
+    return rows.select("program", name(F.col("m")).alias("method"), "input", F.when(call, "call").otherwise("literal").alias("kind"), F.when(call, name(target)).alias("target"), F.when(call, word(seed + 2)).alias("arg"), F.when(~call, word(seed + 3)).alias("literal"))
+
+
+def module_levels(modules: DataFrame, imports: DataFrame, most: int | None = None) -> DataFrame:
+    """(module, level) of modules that import each other, (module, imports) the edges; those above ``most`` are left out."""
+    found = levels(modules.select(F.col("module").alias("node")), imports.select(F.col("module").alias("node"), F.col("imports").alias("needs")))
+    found = found.select(F.col("node").alias("module"), "level")
+    return found if most is None else found.where(F.col("level") <= most)

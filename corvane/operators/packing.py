@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+#: Elements that are folded in one order unless the caller says otherwise.
+GROUP_ROWS = 1_000_000
 #: Marker tokens by model family and role (start, end, after the end).
 MARKERS = (
     ("llama", "user", [128006, 882, 128007, 271], [128009], []),
@@ -43,7 +45,7 @@ def cut_system_prompt(tokens: Column, most: int) -> Column:
     return F.when(F.size(tokens) <= most, tokens).otherwise(F.concat(F.slice(tokens, 1, most - 1), F.array(F.element_at(tokens, -1))))
 
 
-def _packer(length: int, truncate: bool, n_groups: int, schema: pa.Schema):
+def _packer(length: int, truncate: bool, schema: pa.Schema):
     def run(batches):
         group, batch_no, used = None, 0, 0
         for batch in batches:
@@ -75,33 +77,37 @@ def _packer(length: int, truncate: bool, n_groups: int, schema: pa.Schema):
     return run
 
 
-def pack(elements: DataFrame, order: Column, size: Column, key: str, length: int, mode: str = "pad", groups: int = 1) -> DataFrame:
+def pack(elements: DataFrame, order: Column, size: Column, key: str, length: int, mode: str = "pad", group: Column | None = None, groups: int | None = None) -> DataFrame:
     """(pack_group, key, batch): greedy packing in a total order.
 
     An element longer than a sequence stands alone. Where the next element
     doesn't fit, ``pad`` defers it and ``truncate`` admits it and closes the
-    batch. Packing is a fold over one order: with ``groups`` > 1 elements are
-    dealt by key and folded in each group at once, which is the mode for large
-    tables. Each task streams its rows in order and holds one counter.
+    batch. Packing is a fold over one order, so it is done in groups, each with
+    batch numbers of its own: those of the column ``group``, or ``groups`` by a
+    hash of the key, by default one for each GROUP_ROWS elements. Each task
+    streams its groups in order and holds one counter.
     """
     if mode not in ("pad", "truncate"):
         raise ValueError(mode)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = elements.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("pack_group"), F.col(key), size.cast("bigint").alias("__size"), order.alias("__order"))
-    rows = rows.repartition(groups, "pack_group").sortWithinPartitions("pack_group", "__order", key).drop("__order")
+    if group is None:
+        groups = groups or max(1, -(-elements.count() // GROUP_ROWS))
+        group = F.pmod(F.xxhash64(key), F.lit(groups))
+    rows = elements.select(group.cast("int").alias("pack_group"), F.col(key), size.cast("bigint").alias("__size"), order.alias("__order"))
+    rows = (rows.repartition(groups, "pack_group") if groups else rows.repartition("pack_group")).sortWithinPartitions("pack_group", "__order", key).drop("__order")
     schema = T.StructType([rows.schema["pack_group"], rows.schema[key], T.StructField("batch", T.LongType())])
-    return rows.mapInArrow(_packer(length, mode == "truncate", groups, to_arrow_schema(schema)), schema)
+    return rows.mapInArrow(_packer(length, mode == "truncate", to_arrow_schema(schema)), schema)
 
 
-def collate(packed: DataFrame, length: int, key: str) -> DataFrame:
-    """(batch, key, element_id, offset, kept): where each element lies in its sequence, cut at ``length``.
+def collate(packed: DataFrame, length: int, key: str, by: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """(by, key, element_id, offset, kept): where each element lies in its sequence, cut at ``length``.
 
-    packed has batch, position (the order within all elements), n_tokens.
+    packed has the columns that name a sequence, position (the order within all elements), n_tokens.
     """
-    w = Window.partitionBy("batch").orderBy("position", key)
+    w = Window.partitionBy(*by).orderBy("position", key)
     placed = packed.withColumns({"element_id": (F.row_number().over(w) - 1).cast("bigint"), "offset": (F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).cast("bigint")})
-    return placed.select("batch", key, "element_id", "offset", F.greatest(F.lit(0), F.least(F.col("n_tokens"), length - F.col("offset"))).cast("bigint").alias("kept"))
+    return placed.select(*by, key, "element_id", "offset", F.greatest(F.lit(0), F.least(F.col("n_tokens"), length - F.col("offset"))).cast("bigint").alias("kept"))
 
 
 def positions(collated: DataFrame, length: int) -> DataFrame:

@@ -4,39 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.runtime import materialize
-
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Fixed value: what stands where chunks were left out.
+OMITTED = "\n\n...<omitted chunks>...\n\n"
 
 
-def term_statistics(chunks: DataFrame, terms: Column) -> DataFrame:
-    """(term, df, total): in how many chunks each term occurs; the row of the empty term has the number of chunks and all their terms.
-
-    Counted from distinct terms, so tasks sum up before the shuffle.
-    """
-    per = chunks.select(terms.alias("terms")).select(F.concat(F.array_distinct("terms"), F.array(F.lit(""))).alias("each"), F.size("terms").alias("dl"))
-    rows = per.select(F.explode("each").alias("term"), "dl")
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total"))
+def document_frequency(chunks: DataFrame, terms: Column) -> DataFrame:
+    """(term, df): in how many chunks each term occurs, counted from distinct terms, so tasks sum up before the shuffle."""
+    return chunks.select(F.explode(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(chunks: DataFrame, terms: Column, queries: DataFrame, key: str, query_key: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(query_key, key, score) of chunks that share a term with the query, Okapi weights.
 
     queries: (query_key, term); repeated terms count again. A negative idf
-    becomes epsilon times the mean idf over all terms. Only terms that are
-    asked for are shuffled with their chunks.
+    becomes epsilon times the mean idf over all terms. One plan without jobs of
+    its own: postings of asked terms are dealt by chunk, so no term is a hot
+    key, and all sums of a chunk stay where its postings are; the weights join
+    by broadcast where Spark finds them small.
     """
-    stats = materialize(term_statistics(chunks, terms))
-    whole = stats.where("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    idf = stats.where("term <> ''").join(F.broadcast(whole), how="cross").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
-    mean = F.broadcast(idf.agg(F.avg("idf").alias("mean_idf")))  # one row
+    df = document_frequency(chunks, terms)
+    size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
+    same = df.groupBy("df").agg(F.count("*").alias("c"))  # terms of equal frequency, few rows
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = same.join(F.broadcast(size), how="cross").agg((F.sum(F.col("c") * idf) / F.sum("c")).alias("mean_idf"))
+    whole = F.broadcast(size.join(F.broadcast(mean), how="cross"))  # one row
     asked = queries.groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    weight = F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
-    wanted = idf.join(asked.select("term").distinct(), "term", "left_semi").join(mean, how="cross").select("term", weight.alias("w"), "avgdl")
+    weighed = asked.join(df, "term").join(whole, how="cross")
+    weights = weighed.select(query_key, "term", (F.col("qtf") * F.when(idf < 0, epsilon * F.col("mean_idf")).otherwise(idf)).alias("w"), "avgdl")
     held = chunks.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = held.join(wanted, "term").groupBy(key, "dl", "term", "w", "avgdl").agg(F.count("*").alias("tf"))
-    part = F.col("qtf") * F.col("w") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    return asked.join(postings, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    postings = held.join(queries.select("term").distinct(), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    part = F.col("w") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    return postings.repartition(key).join(weights, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
 def top_per_query(scores: DataFrame, query_key: str, key: str, k: int, digits: int = 6) -> DataFrame:
@@ -52,7 +51,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def reassemble(chosen: DataFrame, query_key: str, source: str, idx: str, chunk: str, separator: str = "\n\n...<omitted chunks>...\n\n", context: str | None = None) -> DataFrame:
+def reassemble(chosen: DataFrame, query_key: str, source: str, idx: str, chunk: str, separator: str = OMITTED, context: str | None = None) -> DataFrame:
     """(query_key, source, text): chosen chunks in source order, a separator where ones were left out.
 
     context: a column whose text chunks are left out if it holds them already.
@@ -63,3 +62,32 @@ def reassemble(chosen: DataFrame, query_key: str, source: str, idx: str, chunk:
     piece = rows.withColumn("__piece", F.concat(gap, F.col(chunk)))
     ordered = piece.groupBy(query_key, source).agg(F.array_sort(F.collect_list(F.struct(idx, "__piece"))).alias("p"))
     return ordered.select(query_key, source, F.array_join(F.transform("p", lambda x: x["__piece"]), "").alias("text"))
+
+
+def as_tool(requests: DataFrame, chunks: DataFrame, terms, key: str, source: str, idx: str, chunk: str, k: int, tool: str = "retrieve") -> DataFrame:
+    """(idx, tool, success, error, response) of retrieval requests (idx, input): the k best chunks of each in source order.
+
+    terms gives the terms of a text column. A request that no chunk shares a
+    term with succeeds with an empty response; one without terms is an error.
+    """
+    asked = requests.select(F.col("idx").alias("__q"), F.explode(terms(F.col("input"))).alias("term"))
+    best = top_per_query(bm25(chunks, terms(F.col(chunk)), asked, key, "__q"), "__q", key, k).join(chunks, key)
+    texts = reassemble(best, "__q", source, idx, chunk)
+    found = texts.groupBy("__q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(source, "text"))), lambda x: x["text"]), "\n\n").alias("__r"))
+    has = F.size(terms(F.col("input"))) > 0
+    out = requests.join(found, requests["idx"] == found["__q"], "left")
+    return out.select("idx", F.lit(tool).alias("tool"), F.coalesce(has, F.lit(False)).alias("success"), F.when(~F.coalesce(has, F.lit(False)), "nothing asked").alias("error"), F.when(has, F.coalesce("__r", F.lit(""))).alias("response"))
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024, digits: int = 5) -> DataFrame:
+    """(query_id, key, score): each query's k best other vectors; ties to the larger key.
+
+    queries: (query_id, q), a stated set. It is dealt in blocks of some
+    ``block`` rows, and every vector meets each block once; only the k best of
+    each query leave a task (a window limit).
+    """
+    n = max(1, -(-queries.count() // block))
+    numbered = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
+    met = vectors.select(key, F.col(vector).alias("__c")).join(numbered).select(key, "__c", F.explode("asks").alias("ask"))
+    scores = met.where(F.col("ask.query_id") != F.col(key)).select("ask.query_id", key, cosine(F.col("ask.q"), F.col("__c")).alias("score"))
+    return top_per_query(scores, "query_id", key, k, digits)

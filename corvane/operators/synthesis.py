@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -25,7 +27,7 @@ class EchoClient:
         return [f"reply {len(c)} {hashlib.md5(''.join(m['role'] + ':' + m['content'] for m in c).encode()).hexdigest()[:8]}" for c in chats]
 
 
-#: What a seed prompt asks for, by kind.
+#: What a seed prompt asks for, by kind.
 SEED_PROMPTS = (
     ("structuring", "Ask to give a part of the context in a structured format."),
     ("summarization", "Ask for a summary of one section of the context."),
@@ -53,12 +55,51 @@ def draw_seed_prompts(keys: DataFrame, key: str, draws: int, seed: int, kinds: t
     return rows.withColumn("kind", kind).withColumn("prompt", prompts[F.col("kind")])
 
 
-def rollout(prompts: DataFrame, key: str, client: Callable[[], Client], rounds: int = 1, batch: int = 32) -> DataFrame:
+#: A tool: its definition for the prompt, and what answers a list of arguments, one output each.
+Tool = tuple[str, Callable[[list[dict]], list[str]]]
+
+
+def tool_step(model: Client, tools: dict[str, Tool], contexts: list[str], talks: list[list[dict]]) -> list[list[tuple[str, bool, str]]]:
+    """(tool, success, output or error) of the calls that the model makes for each talk, in its order.
+
+    The model is asked once for all talks; calls of one tool run as one batch,
+    and each output goes to the talk that asked. An unknown tool, arguments that
+    aren't JSON and a tool that fails give errors for those calls alone.
+    """
+    listed = "\n".join(definition for definition, _ in tools.values())
+    asked = [[{"role": "system", "content": f"{c}\n\nTools:\n{listed}\nAnswer with <tool_call>{{\"name\": ..., \"arguments\": ...}}</tool_call>, or without one."}, *t] for c, t in zip(contexts, talks)]
+    out: list[list] = [[] for _ in talks]
+    by_tool: dict[str, list[tuple[int, int, dict]]] = {}
+    for i, reply in enumerate(model.chat(asked)):
+        for text in re.findall(r"<tool_call>\s*(.*?)\s*(?:</tool_call>|$)", reply, re.DOTALL):
+            place = len(out[i])
+            try:
+                call = json.loads(text)
+                name, arguments = call["name"], call.get("arguments", {})
+            except (ValueError, TypeError, KeyError):
+                out[i].append(("", False, "unreadable call"))
+                continue
+            out[i].append((name, False, "unknown tool"))
+            if name in tools:
+                by_tool.setdefault(name, []).append((i, place, arguments))
+    for name, calls in by_tool.items():
+        try:
+            done = [(name, True, x) for _, x in zip(calls, tools[name][1]([a for *_, a in calls]), strict=True)]
+        except Exception as e:  # noqa: BLE001  a tool may fail in any way
+            done = [(name, False, str(e) or type(e).__name__)] * len(calls)
+        for (i, place, _), result in zip(calls, done):
+            out[i][place] = result
+    return out
+
+
+def rollout(prompts: DataFrame, key: str, client: Callable[[], Client], rounds: int = 1, batch: int = 32, tools_a: dict[str, Tool] | None = None, tools_b: dict[str, Tool] | None = None) -> DataFrame:
     """(key, turn, role, text, error): conversations of two parties about a context.
 
     prompts: (key, context, prompt). Party A sees the context and the prompt
-    and opens; B sees the context and answers; roles flip for each side. A batch
-    that fails is rows with the error, not lost.
+    and opens; B sees the context and answers; roles flip for each side. Before
+    a party with tools speaks, the model may call them; what succeeds is added
+    to the talk's context for both parties and is a row of the role ``tool``.
+    A batch that fails is rows with the error, not lost.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
@@ -68,18 +109,34 @@ def rollout(prompts: DataFrame, key: str, client: Callable[[], Client], rounds:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
                 keys, talk, error = list(part[key]), [[] for _ in range(len(part))], None
+                contexts, shown = list(part["context"]), [[] for _ in range(len(part))]
+
+                def look_up(tools, view):
+                    for i, found in enumerate(tool_step(model, tools, contexts, [view(t) for t in talk])):
+                        text = "\n".join(f"{name}: {x}" for name, good, x in found if good)
+                        if text:
+                            contexts[i] += f"\n\n{text}"
+                            shown[i].append({"role": "tool", "content": text})
+
+                def say(role, texts):
+                    for i, text in enumerate(texts):
+                        talk[i].append({"role": role, "content": text})
+                        shown[i].append(talk[i][-1])
+
+                flipped = lambda t: [{"role": "user" if m["role"] == "assistant" else "assistant", "content": m["content"]} for m in t]
                 try:
                     for _ in range(rounds):
-                        side_a = [[{"role": "system", "content": f"{c}\n\n{p}"}] + [{"role": "user" if m["role"] == "assistant" else "assistant", "content": m["content"]} for m in t] for c, p, t in zip(part["context"], part["prompt"], talk)]
-                        for t, text in zip(talk, model.chat(side_a)):
-                            t.append({"role": "user", "content": text})
-                        side_b = [[{"role": "system", "content": c}, *t] for c, t in zip(part["context"], talk)]
-                        for t, text in zip(talk, model.chat(side_b)):
-                            t.append({"role": "assistant", "content": text})
+                        if tools_a:
+                            look_up(tools_a, flipped)
+                        side_a = [[{"role": "system", "content": f"{c}\n\n{p}"}] + flipped(t) for c, p, t in zip(contexts, part["prompt"], talk)]
+                        say("user", model.chat(side_a))
+                        if tools_b:
+                            look_up(tools_b, list)
+                        say("assistant", model.chat([[{"role": "system", "content": c}, *t] for c, t in zip(contexts, talk)]))
                 except Exception as e:  # noqa: BLE001  a client may fail in any way
                     error = str(e)
-                rows = [(k, i, m["role"], m["content"], None) for k, t in zip(keys, talk) for i, m in enumerate(t)]
-                rows += [(k, len(t), None, None, error) for k, t in zip(keys, talk)] if error else []
+                rows = [(k, i, m["role"], m["content"], None) for k, t in zip(keys, shown) for i, m in enumerate(t)]
+                rows += [(k, len(t), None, None, error) for k, t in zip(keys, shown)] if error else []
                 yield pd.DataFrame(rows, columns=[key, "turn", "role", "text", "error"])
 
     return prompts.select(key, "context", "prompt").mapInPandas(run, f"`{key}` {kind}, turn int, role string, text string, error string")
@@ -107,8 +164,6 @@ def render_tool_results(outputs: Column) -> Column:
 
 def render_tool(name: str, description: str, parameters: dict) -> str:
     """A tool's definition as JSON for a prompt."""
-    import json
-
     return json.dumps({"type": "function", "function": {"name": name, "description": description, "parameters": parameters}}, sort_keys=True)
 
 

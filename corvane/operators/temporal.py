@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.functions.arithmetic import estimate_tokens
+
 
 def rank_batches(df: DataFrame, time: str, key: str, size: int, most: int | None = None, unit: str = "day") -> DataFrame:
     """batch_id: every ``size`` rows in time order, rows without a time dropped, ``most`` batches at most.
@@ -55,3 +57,28 @@ def chat_included(name: Column, n: Column, least: int, groups: bool = True, sing
     if deny:
         out = out & ~F.exists(F.array(*map(F.lit, deny)), lambda x: F.contains(name, x))
     return out
+
+
+def request_windows(df: DataFrame, by: list[str], time: str, seconds: int, most: int) -> DataFrame:
+    """(by, window_start, n, over): windows of ``seconds`` that begin with the first request at or after the last one's end.
+
+    over: requests beyond ``most`` in a window, which a limiter would put off.
+    The fold is over one key's times, an array of a row.
+    """
+    times = df.where(F.col(time).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp")))).alias("__t"))
+    opened = F.aggregate("__t", F.array().cast("array<bigint>"), lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= seconds * 1_000_000), F.concat(s, F.array(t))).otherwise(s))
+    starts = times.withColumn("__s", opened).withColumn("__w", F.explode("__s"))
+    n = F.size(F.filter("__t", lambda t: (t >= F.col("__w")) & (t - F.col("__w") < seconds * 1_000_000)))
+    return starts.select(*by, F.timestamp_micros("__w").alias("window_start"), n.cast("bigint").alias("n"), F.greatest(F.lit(0), n - most).cast("bigint").alias("over"))
+
+
+def batch_prompt(batch: DataFrame, context: DataFrame, later: DataFrame, key: str = "batch_id") -> DataFrame:
+    """(key, prompt): a batch's context with a note on how many batches come after it; batches without a context have an empty one."""
+    n = F.coalesce(F.size("later"), F.lit(0))
+    note = F.when(n > 0, F.concat(F.lit("What comes after batch "), F.col(key).cast("string"), F.lit(" isn't known yet: "), n.cast("string"), F.lit(" more."))).otherwise(F.lit("This is the last batch."))
+    return batch.select(key).join(context, key, "left").join(later, key, "left").select(key, F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), note).alias("prompt"))
+
+
+def text_sizes(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with n_chars and n_tokens (a quarter of the code points, and one)."""
+    return texts.withColumns({"n_chars": F.length(text).cast("bigint"), "n_tokens": estimate_tokens(F.col(text))})

@@ -228,9 +228,9 @@ def word_filter(t: Tables) -> DataFrame:
     return t.part.where(tx.is_plain_word(word)).select("p_partkey", "p_type")
 
 
-@query("SELECT conv_id, string_agg('tool' || turn || ': ' || left(text, 10), chr(10) ORDER BY turn) FILTER (turn <> 1) AS rendered FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('tool' || turn || ': ' || text, chr(10) ORDER BY turn) FILTER (turn <> 1) AS rendered FROM conversations GROUP BY conv_id")
 def tool_results(t: Tables) -> DataFrame:
-    out = F.struct("turn", F.concat(F.lit("tool"), F.col("turn").cast("string")).alias("tool"), (F.col("turn") != 1).alias("success"), F.left("text", F.lit(10)).alias("response"))
+    out = F.struct("turn", F.concat(F.lit("tool"), F.col("turn").cast("string")).alias("tool"), (F.col("turn") != 1).alias("success"), F.col("text").alias("response"))
     per = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(out)).alias("outputs"))
     return per.select("conv_id", F.nullif(synthesis.render_tool_results(F.col("outputs")), F.lit("")).alias("rendered"))
 

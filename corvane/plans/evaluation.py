@@ -20,10 +20,10 @@ def sample_lookup(t: Tables) -> DataFrame:
     return found.select(F.substring("query", 2, 10).cast("bigint").alias("item_id"), "query", F.col("answers")[0].alias("answer"))
 
 
-@query("SELECT conv_id, md5(string_agg(role || ' ' || turn || chr(10) || left(text, 30) || chr(10) || 'end', chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg(role || ' ' || turn || chr(10) || text || chr(10) || 'end', chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def section_rendering(t: Tables) -> DataFrame:
     name = F.concat("role", F.lit(" "), F.col("turn").cast("string"))
-    per = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("name"), F.array(F.left("text", F.lit(30)), F.lit("end")).alias("p")))).alias("m"))
+    per = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("name"), F.array("text", F.lit("end")).alias("p")))).alias("m"))
     text = bm.render_sections(F.transform("m", lambda x: x["name"]), F.transform("m", lambda x: x["p"]))
     return per.select("conv_id", F.md5(text.cast("binary")).alias("digest"))
 
@@ -50,7 +50,7 @@ def question_shuffle(t: Tables) -> DataFrame:
     return bm.first_shuffled(t.benchmark.select("item_id"), "item_id", 70, 15)
 
 
-@query(f"WITH s AS (SELECT conv_id, turn, max({sql_uniform(71, 'conv_id', 'turn')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) SELECT conv_id, turn, row_number() OVER (ORDER BY s, conv_id, turn) - 1 AS place FROM s")
+@query(f"WITH s AS (SELECT conv_id, turn, {sql_uniform(71, 'conv_id', 'turn')} AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY {sql_uniform(71, 'conv_id', 'turn')}, turn) AS r FROM conversations) SELECT a.conv_id, a.turn, row_number() OVER (ORDER BY b.u, a.conv_id, a.turn) - 1 AS place FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.p = b.r")
 def random_interleave(t: Tables) -> DataFrame:
     return bm.interleave(t.conversations.select("conv_id", "turn"), "conv_id", "turn", ["conv_id", "turn"], 71)
 
@@ -117,5 +117,5 @@ def judge_mock(t: Tables) -> DataFrame:
 
     asked = t.benchmark.select("item_id", F.lit(0).alias("sample_idx"), F.col("text").alias("prompt"))
     said = bm.generate(asked, "item_id", Judge).join(t.benchmark, "item_id")
-    fallback = scoring.qa_match(F.left("text", F.lit(30)), F.col("text")).isin(*scoring.RIGHT)
+    fallback = scoring.qa_match(F.upper("text"), F.col("text")).isin(*scoring.RIGHT)
     return said.select("item_id", F.coalesce(scoring.judge_verdict(F.col("pred")), fallback).alias("correct"))

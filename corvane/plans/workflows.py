@@ -102,7 +102,7 @@ def stream_temporal(t: Tables) -> DataFrame:
     """Daily counts of the event stream, which must be those of the table."""
     source = stream.read_stream(t.spark, t.sf_dir, t.events, "events.parquet")
     counted = stream.window_counts(source, "1 day", "2 days", ["event_type"])
-    return stream.run_to_table(counted, "cv_stream_temporal", "complete", scratch(t.spark, "stream"))
+    return stream.run_to_table(counted, scratch(t.spark, "stream"), "complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -110,7 +110,7 @@ def stream_dedup(t: Tables) -> DataFrame:
     """Each user and kind of event once, from the stream; the watermark spans the table."""
     source = stream.read_stream(t.spark, t.sf_dir, t.events, "events.parquet")
     once = stream.distinct_events(source, ["user_id", "event_type"], "60 days").select("user_id", "event_type")
-    return stream.run_to_table(once, "cv_stream_dedup", "append", scratch(t.spark, "stream"))
+    return stream.run_to_table(once, scratch(t.spark, "stream"), "append").drop("epoch")
 
 
 @query("SELECT user_id, count(*) AS n_sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR ts - p >= INTERVAL '6 hours' GROUP BY user_id")

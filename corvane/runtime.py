@@ -24,16 +24,28 @@ def ship(spark: SparkSession) -> None:
     sc._corvane_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only in local mode where that is unset, as in tests."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own below the checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
-    return f"{base.rstrip('/')}/corvane-{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"

@@ -6,10 +6,11 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from corvane.functions.text import frame_file, strip_latex_comments
+from corvane.operators.graphs import module_levels
 from corvane.operators.temporal import joined_text
 
 
@@ -96,3 +97,62 @@ def question_items(spark: SparkSession, path: str, skip_first: bool = False) ->
     doc = text.select(F.from_json("value", "map<string, array<struct<question:string, answer:string>>>").alias("d"))
     rows = doc.select(F.explode("d").alias("key", "items")).select("key", F.posexplode("items").alias("i", "x"))
     return rows.where(F.col("i") > 0 if skip_first else F.lit(True)).select("key", "i", "x.question", "x.answer")
+
+
+def read_repository(spark: SparkSession, root: str, package: str, most: int | None = None) -> DataFrame:
+    """(path, module, level, text) of a package's Python files: level 0 imports none of its modules, others one more than the deepest they import.
+
+    Modules above ``most`` are left out, and so are imports that only name the
+    module itself; modules that import each other in a circle raise an error.
+    """
+    files = read_tree(spark, root, (".py",)).withColumn("module", F.concat_ws(".", F.lit(package), module_of(F.col("path"))))
+    edges = files.select("module", F.explode(imported_modules(F.col("text"), F.col("module"))).alias("imports")).where("imports <> module")
+    known = files.select("module")
+    inside = edges.join(known.select(F.col("module").alias("imports")), "imports", "left_semi")
+    return files.join(module_levels(known, inside, most), "module").select("path", "module", "level", "text")
+
+
+def module_of(path) -> Column:
+    """Dotted name of a file within its package; a package's own file has the package's name, the root's null."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"(^|/)__init__$", "")
+    return F.when(bare != "", F.replace(bare, F.lit("/"), F.lit(".")))
+
+
+def absolute_imports(source: str, module: str) -> list[str]:
+    """Dotted names that a module may import: of each import the module, and the names from it; relative ones from the module's place."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return []
+    names = set()
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            names.update(a.name for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            parts = module.split(".")[: -node.level] if node.level else []
+            base = ".".join([*parts, *([node.module] if node.module else [])])
+            names.update([base, *(f"{base}.{a.name}" for a in node.names)])
+    return sorted(n for n in names if n)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def imported_modules(source: pd.Series, module: pd.Series) -> pd.Series:
+    return pd.Series([absolute_imports(s or "", m) for s, m in zip(source, module)])
+
+
+def patient_items(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
+    """(patient, question_id, question, options, correct) of {patient: {questions: [{No, question, correct, answer_a..e}]}}; question_id is patient_No; ids keep those patients."""
+    letters = [f"answer_{x}" for x in "abcde"]
+    question = "struct<No:int, question:string, correct:string, " + ", ".join(f"{x}:string" for x in letters) + ">"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, struct<questions: array<{question}>>>").alias("d"))
+    rows = doc.select(F.explode("d").alias("patient", "p")).select("patient", F.explode("p.questions").alias("q"))
+    rows = rows if ids is None else rows.where(F.col("patient").isin(*ids))
+    return rows.select("patient", F.concat_ws("_", "patient", F.col("q.No").cast("string")).alias("question_id"), "q.question", F.array(*(f"q.{x}" for x in letters)).alias("options"), "q.correct")
+
+
+def expect_rows(df: DataFrame, n: int) -> DataFrame:
+    """The rows, after a check that there are exactly ``n``; else ValueError."""
+    found = df.limit(n + 1).count()
+    if found != n:
+        raise ValueError(f"expected {n} rows, found {'more' if found > n else found}")
+    return df

@@ -39,12 +39,20 @@ def _known(charset: str | None) -> bool:
         return False
 
 
-def read_maildir(spark: SparkSession, root: str, users: list[str] | None = None, folders: list[str] | None = None, per_user: int | None = None) -> DataFrame:
-    """Mails below root/user/folder/, with user_id, folder and parsed_date; the first ``per_user`` of each user by path."""
+def read_maildir(spark: SparkSession, root: str, users: list[str] | None = None, folders: list[str] | None = None, per_user: int | None = None, first_users: int | None = 10, selected: DataFrame | None = None) -> DataFrame:
+    """Mails below root/user/folder/, with user_id, folder and parsed_date; the first ``per_user`` of each user by path.
+
+    Without ``users`` those of the first ``first_users`` folders by name, None for all; selected, (user_id) or
+    (user_id, folder), chooses by a table instead.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     tail = F.split(F.regexp_replace(F.element_at(F.split("path", re.escape(root.rstrip("/")) + "/"), -1), "^/", ""), "/")
     files = files.withColumns({"user_id": tail[0], "folder": tail[1]})
-    if users is not None:
+    if selected is not None:
+        files = files.join(selected.select(*(c for c in ("user_id", "folder") if c in selected.columns)).distinct(), [c for c in ("user_id", "folder") if c in selected.columns], "left_semi").select("path", "content", "user_id", "folder")
+    elif users is None and first_users is not None:
+        files = files.join(F.broadcast(files.select("user_id").distinct().orderBy("user_id").limit(first_users)), "user_id", "left_semi").select("path", "content", "user_id", "folder")
+    elif users is not None:
         files = files.where(F.col("user_id").isin(*users))
     if folders is not None:
         files = files.where(F.col("folder").isin(*folders))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corvane.operators.analytics import latest
 
@@ -29,11 +31,47 @@ def distinct_events(events: DataFrame, keys: list[str], late: str, time: str = "
     return timed.dropDuplicatesWithinWatermark(keys) if events.isStreaming else timed.dropDuplicates(keys)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all there is into an in-memory table; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def sliding_counts(events: DataFrame, width: str, slide: str, late: str, by: list[str], time: str = "ts") -> DataFrame:
+    """(window_start, by, n): windows of ``width`` that begin every ``slide``, so an event is in several."""
+    counted = event_time(events, time).withWatermark(time, late).groupBy(F.window(time, width, slide), *by).agg(F.count("*").alias("n"))
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *by, "n")
+
+
+def streaks(events: DataFrame, by: str, late: str, time: str = "ts", key: str = "event_id", value: str = "event_type") -> DataFrame:
+    """(by, n, changes, last): per key the events so far, how often ``value`` changed from one to the next, and its last value.
+
+    A stateful operator: state is three numbers a key, kept between batches;
+    events of a batch are taken in order of time, then key. One row a key and batch that
+    touches it.
+    """
+    kind = events.schema[by].dataType.simpleString()
+
+    def step(group, batches, state):
+        n, changes, last = state.get if state.exists else (0, 0, None)
+        rows = pd.concat(list(batches)).sort_values([time, key])
+        values = rows[value].tolist()
+        changes += sum(a != b for a, b in zip([last, *values], values) if a is not None)
+        state.update((n + len(values), changes, values[-1]))
+        yield pd.DataFrame({by: [group[0]], "n": [n + len(values)], "changes": [changes], "last": [values[-1]]})
+
+    timed = event_time(events, time).withWatermark(time, late).select(by, time, key, value)
+    return timed.groupBy(by).applyInPandasWithState(step, f"`{by}` {kind}, n long, changes long, last string", "n long, changes long, last string", "update", "NoTimeout")
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over all there is into Parquet below ``folder``, a place of its own, and reads it back.
+
+    complete: the last result; append and update: the rows of all batches, with
+    ``epoch``. A batch that is run again after a failure overwrites its own files.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table" if mode == "complete" else f"{folder}/table/epoch={epoch}")
+
+    schema = stream.schema
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema if mode == "complete" else StructType([*schema, StructField("epoch", LongType())])).parquet(f"{folder}/table")
 
 
 def upsert_each_batch(stream: DataFrame, path: str, by: list[str], recency: list, checkpoint: str) -> None:
