@@ -10,8 +10,11 @@ OMITTED = "\n\n...<omitted chunks>...\n\n"
 
 
 def document_frequency(chunks: DataFrame, terms: Column) -> DataFrame:
-    """(term, df): in how many chunks each term occurs, counted from distinct terms, so tasks sum up before the shuffle."""
-    return chunks.select(F.explode(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): in how many chunks each term occurs, counted from distinct terms, so tasks sum up before the shuffle.
+
+    An outer explode infers no filter on the terms' number, which would make them twice.
+    """
+    return chunks.select(F.explode_outer(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(chunks: DataFrame, terms: Column, queries: DataFrame, key: str, query_key: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
@@ -32,7 +35,7 @@ def bm25(chunks: DataFrame, terms: Column, queries: DataFrame, key: str, query_k
     asked = queries.groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     weighed = asked.join(df, "term").join(whole, how="cross")
     weights = weighed.select(query_key, "term", (F.col("qtf") * F.when(idf < 0, epsilon * F.col("mean_idf")).otherwise(idf)).alias("w"), "avgdl")
-    held = chunks.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    held = chunks.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     postings = held.join(queries.select("term").distinct(), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("w") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     return postings.repartition(key).join(weights, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))

@@ -74,13 +74,45 @@ def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     return spark.read.schema(schema if mode == "complete" else StructType([*schema, StructField("epoch", LongType())])).parquet(f"{folder}/table")
 
 
-def upsert_each_batch(stream: DataFrame, path: str, by: list[str], recency: list, checkpoint: str) -> None:
-    """Keeps the latest row of each key: each micro-batch is merged into a new version of a table of its own path."""
-    spark = stream.sparkSession
+def upsert_each_batch(stream: DataFrame, path: str, by: list[str], recency: list, checkpoint: str, parts: int = 64) -> None:
+    """Keeps the latest row of each key in a table of ``parts`` parts by a hash of the key.
+
+    A micro-batch rewrites only the parts that it touches, each into a version
+    of its own, v=<epoch>/part=<n>; a batch that is run again overwrites its
+    own version. ``read_upserted`` reads the newest version of every part.
+    """
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}") if epoch else None
-        both = batch if before is None else before.unionByName(batch)
-        latest(both, by, recency).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        fresh = batch.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+        touched = {r[0] for r in fresh.select("part").distinct().collect()}  # at most ``parts``
+        held = {n: folder for n, folder in _newest_parts(spark, path, epoch).items() if n in touched}
+        before = _read_parts(spark, held, schema).withColumn("part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+        latest(fresh.unionByName(before), by, recency).write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={epoch}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _newest_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """Folder of the newest complete version of each part, of versions below ``before``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return {}
+    number = lambda x: int(x.getPath().getName().split("=")[1])
+    versions = [x for x in system.listStatus(root) if x.getPath().getName().startswith("v=") and system.exists(hadoop(x.getPath(), "_SUCCESS"))]
+    out = {}
+    for version in sorted(versions, key=number):
+        if before is None or number(version) < before:
+            out |= {number(x): x.getPath().toString() for x in system.listStatus(version.getPath()) if x.getPath().getName().startswith("part=")}
+    return out
+
+
+def _read_parts(spark: SparkSession, parts: dict[int, str], schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*parts.values()) if parts else spark.createDataFrame([], schema)
+
+
+def read_upserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that ``upsert_each_batch`` keeps."""
+    return _read_parts(spark, _newest_parts(spark, path), schema)

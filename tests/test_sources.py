@@ -109,8 +109,9 @@ def test_stream_upsert(spark, tmp_path):
     table = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     events.upsert_each_batch(source, f"{tmp_path}/out", ["k"], [F.desc("t")], f"{tmp_path}/cp")
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert {r.k: r.v for r in spark.read.parquet(str(last)).collect()} == {1: "c", 2: "b"}
+    assert {r.k: r.v for r in events.read_upserted(spark, f"{tmp_path}/out", table.schema).collect()} == {1: "c", 2: "b"}
+    assert len(list((tmp_path / "out" / "v=1").glob("part=*"))) == 1  # only what the second batch touches
+    assert events.read_upserted(spark, f"{tmp_path}/none", table.schema).count() == 0
 
 
 def test_preview_of_all_conversations_has_no_limit(spark):
