@@ -46,13 +46,13 @@ END = hash_word(b" end ")
 #: Words that are events of their own; the counts of rarer ones are joined.
 HEAD_WORDS = 1 << 19
 #: Words that are classes of their own, classes of the others, events of a group of these.
-TOP, SHARED, MEMBERS = 192, 64, 256
+TOP, SHARED, MEMBERS = 96, 32, 256
 #: Words with vectors of their own for each root of the number of words.
 OWN = 16
 #: Hashed trigrams; hashed suffixes, each the event of the rare words that end so.
 TRIGRAMS, SUFFIXES = 1 << 13, 1 << 10
 #: Vector size, tokens in a mini-batch, noise draws shared by a batch, noise draws of one token in its group, step.
-DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 12, 4096, 64, 1, 0.1
+DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 8, 4096, 64, 1, 0.12
 #: Words before that the mean takes.
 WINDOW = 64
 #: Parts (of 8) of the texts in each round of training; tokens of a training task at least.
