@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.llm import compress, decontam, html_main, lang_id, licenses, lm_score, mixing, mtree, near_dup, pieces, secrets, warc
+from corvane.llm import compress, decontam, html_main, lang_id, licenses, lm_score, mixing, mtree, near_dup, pieces, secrets, spelling, warc
 
-_MODULES = (secrets, decontam, near_dup, lang_id, lm_score, warc, mixing, mtree, html_main, licenses, pieces, compress)
+_MODULES = (secrets, decontam, near_dup, lang_id, lm_score, warc, mixing, mtree, html_main, licenses, spelling, pieces, compress)
 
 
 def queries() -> dict:
