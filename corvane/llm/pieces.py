@@ -2,26 +2,27 @@
 
 A normalised text is a row of chunks: white space marks, then what follows up to
 the next mark.  Where no piece holds a mark behind another character, no piece
-crosses chunks, and a merge in one never depends on another: so every distinct
-chunk is segmented once, and a text's ids are its chunks' ids joined by position.
-
-The most frequent short chunks, at most HEAD of at most HEAD_CHARS, are broadcast;
-they cover nearly all positions, hot chunks among them.  A text's other chunks are
-joined to the table by a shuffle, as rows of (text, position, chunk), and what is
-known of such a text waits in a written table.
+crosses chunks, and a merge in one never depends on another: so a distinct chunk
+is segmented once, and a text's ids are its chunks' ids joined by position.
+
+Tasks count chunks, a shuffle sums them, and the HEAD most frequent of at most
+HEAD_CHARS characters are the table: segmented once for all texts, then broadcast.
+They hold nearly all positions, every hot chunk among them.  The rest, of which
+each is rare or long, is segmented once in each task that meets it (in bounded
+portions), as shuffling rare chunks to the table and back moves every text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import chain
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.llm import store
@@ -29,10 +30,10 @@ from corvane.llm.kernel import BLOCK_BYTES, tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Broadcast chunks, and the characters of the longest: some 40 MB in a worker at most.
-HEAD, HEAD_CHARS = 1 << 17, 32
-#: Chunks that a task counts before it hands its counts on.
-COUNTED = 1 << 18
+#: Chunks of the broadcast table, and the characters of the longest: some 80 MB in a worker at most.
+HEAD, HEAD_CHARS = 1 << 19, 32
+#: Chunks that a task counts, or keeps the ids of, at once.
+HELD = 1 << 18
 #: Bytes of a tokenizer file; one beyond is refused, as it is broadcast.
 MODEL_BYTES = 64 << 20
 
@@ -85,7 +86,7 @@ def _counter(model, column: int):
             for _, _, texts in _slices(batch.column(column)):
                 for text in sp.normalize(texts):
                     n.update(CHUNK.findall(text))
-                if len(n) > COUNTED:
+                if len(n) > HELD:
                     yield portion()
                     n.clear()
         if n:
@@ -94,66 +95,101 @@ def _counter(model, column: int):
     return run
 
 
-def _segmenter(model):
-    """Adds each distinct chunk's ids; the library puts the first mark of a text in front itself."""
+def _segment(sp, chunks: list[str]) -> list[list[int]]:
+    """Each chunk's ids; the library puts the first mark of a text in front itself."""
+    lone = sp.encode("a ")[len(sp.encode("a")) :]  # as a text of its own it would be empty
+    return [ids if len(c) > 1 else lone for ids, c in zip(sp.encode([c[1:] for c in chunks], num_threads=1), chunks)] if chunks else []
+
 
+def _segmenter(model):
     def run(batches):
         sp = processor(model.value)
-        lone = sp.encode("a ")[len(sp.encode("a")) :]  # as a text of its own it would be empty
         for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            ids = [i if len(c) > 1 else lone for i, c in zip(sp.encode([c[1:] for c in chunks], num_threads=1) if chunks else [], chunks)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_segment(sp, batch.column(0).to_pylist()), pa.list_(pa.int32()))], names=["chunk", "ids"])
 
     return run
 
 
-def chunk_table(spark: SparkSession, texts: DataFrame, column: str, model) -> DataFrame:
-    """(chunk, n, ids): every distinct chunk of a text column, counted and segmented once; a written table."""
+def chunk_counts(texts: DataFrame, column: str, model) -> DataFrame:
+    """(chunk, n): every distinct chunk of a text column; a written table."""
     schema = T.StructType().add("chunk", T.StringType()).add("n", T.LongType())
-    counted = texts.select(column).mapInArrow(tidy(_counter(model, 0)), schema).groupBy("chunk").agg(F.sum("n").alias("n"))
-    return store.publish(counted.mapInArrow(tidy(_segmenter(model)), T.StructType([*schema.fields]).add("ids", T.ArrayType(T.IntegerType()))), "chunks")
+    return store.publish(texts.select(column).mapInArrow(tidy(_counter(model, 0)), schema).groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
 
 
-def _head(table: DataFrame) -> tuple[dict[str, list[int]], bool]:
-    """Ids of the most frequent short chunks, and whether they are all: the counts' magnitudes give the bound, so at most HEAD rows are gathered."""
+def chunk_table(counts: DataFrame, model) -> pa.Table:
+    """(chunk, ids) of the most frequent short chunks, each segmented once: the counts' magnitudes give a bound, so at most HEAD rows are gathered."""
     short = F.length("chunk") <= HEAD_CHARS
     level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = {(r.level, r.short): r["count"] for r in table.groupBy(level.alias("level"), short.alias("short")).count().collect()}  # at most 1,024 rows
-    least, held = None, 0
-    for value in sorted({k for k, s in sizes if s}, reverse=True):
-        if held + sizes[value, True] > HEAD:
+    sizes = {r.level: r["count"] for r in counts.where(short).groupBy(level.alias("level")).count().collect()}  # at most 512 rows
+    least, held = 1 << 30, 0
+    for value in sorted(sizes, reverse=True):
+        held += sizes[value]
+        if held > HEAD:
             break
-        least, held = value, held + sizes[value, True]
-    if least is None:
-        return {}, not sizes
-    return {r.chunk: r.ids for r in table.where(short & (level >= least)).select("chunk", "ids").collect()}, held == sum(sizes.values())
-
-
-def _resolver(model, head, column: int, schema: pa.Schema):
-    """Adds the ids that broadcast chunks give: one list a text, or lists between the chunks still to be joined, with those chunks."""
+        least = value
+    schema = T.StructType().add("chunk", T.StringType()).add("ids", T.ArrayType(T.IntegerType()))
+    return counts.where(short & (level >= least)).select("chunk").mapInArrow(tidy(_segmenter(model)), schema).toArrow()
+
+
+class ChunkIds:
+    """Ids of texts by the broadcast table, and by a table of the task's own for other chunks."""
+
+    def __init__(self, sp, table: pa.Table):
+        self.sp, self.rest = sp, {}
+        self.place = dict(zip(table.column(0).to_pylist(), range(len(table))))
+        ids = table.column(1).combine_chunks()
+        self.flat = ids.flatten().to_numpy(zero_copy_only=False)
+        self.size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, text: str) -> np.ndarray:
+        """The ids of a normalised text, a bounded number of chunks at a time."""
+        found, parts = [], CHUNK.finditer(text)
+        while chunks := [m[0] for m in islice(parts, HELD)]:
+            found.append(self._portion(chunks))
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
+
+    def _portion(self, chunks: list[str]) -> np.ndarray:
+        at = np.array([self.place.get(c, -1) for c in chunks])
+        missed = np.flatnonzero(at < 0).tolist()
+        if not missed:
+            return self._gather(at)
+        if len(self.rest) > HELD:
+            self.rest.clear()
+        new = list({c for i in missed if (c := chunks[i]) not in self.rest})
+        self.rest.update(zip(new, _segment(self.sp, new)))
+        pieces, a = [], 0
+        for i in missed:
+            pieces += [self._gather(at[a:i]), np.array(self.rest[chunks[i]], dtype=np.int32)]
+            a = i + 1
+        return np.concatenate([*pieces, self._gather(at[a:])])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _resolver(model, table, column: int, schema: pa.Schema):
+    """Adds the ids of each text."""
 
     def run(batches):
         sp = processor(model.value)
+        if _resolver.held is None or _resolver.held[0] is not table.value:  # once in a worker
+            _resolver.held = (table.value, ChunkIds(sp, table.value))
+        known = _resolver.held[1]
         for batch in batches:
             for a, b, texts in _slices(batch.column(column)):
-                known, rest = [], []
-                for text in sp.normalize(texts):
-                    parts = CHUNK.findall(text)
-                    found = [head.value.get(c) for c in parts]
-                    if None not in found:
-                        known.append([list(chain.from_iterable(found))])
-                        rest.append([])
-                        continue
-                    gaps = [i for i, x in enumerate(found) if x is None]
-                    known.append([list(chain.from_iterable(found[i:j])) for i, j in zip([0, *(g + 1 for g in gaps)], [*gaps, len(found)])])
-                    rest.append([parts[i] for i in gaps])
-                arrays = [*batch.slice(a, b - a).columns, pa.array(known, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                ids = [known.of(text) for text in sp.normalize(texts)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], schema=schema)
 
     return run
 
 
+_resolver.held = None
+
+
 def _whole(model, column: int, schema: pa.Schema):
     """Encodes whole texts, for tokenizers whose pieces cross chunks."""
 
@@ -181,24 +217,13 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "pie
     plain = docs.toDF(*own)
     at, ids = docs.columns.index(text), T.ArrayType(T.IntegerType())
     names = [*docs.columns, out]
+    schema = T.StructType([*plain.schema.fields]).add("__ids", ids)
     if not chunks_apart(proto):
-        schema = T.StructType([*plain.schema.fields]).add("__ids", ids)
         return plain.mapInArrow(tidy(_whole(model, at, to_arrow_schema(schema))), schema).toDF(*names)
-    table = chunk_table(spark, plain, own[at], model)
-    found, complete = _head(table)
-    head = spark.sparkContext.broadcast(found)
-    schema = T.StructType([*plain.schema.fields]).add("__known", T.ArrayType(ids)).add("__rest", T.ArrayType(T.StringType()))
-    part = plain.mapInArrow(tidy(_resolver(model, head, at, to_arrow_schema(schema))), schema)
-    if complete:
-        store.discard(table)
-        return part.select(*own, F.col("__known")[0].alias("__ids")).toDF(*names)
-    part = store.publish(part.withColumn("__row", F.monotonically_increasing_id()), "texts-with-gaps")
-    done = part.where(F.size("__rest") == 0).select(*own, F.col("__known")[0].alias("__ids"))
-    open_ = part.where(F.size("__rest") > 0)
-    asked = open_.select("__row", F.posexplode("__rest").alias("__at", "chunk"))
-    gaps = asked.join(table.select("chunk", "ids"), "chunk").groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "ids"))), lambda s: s["ids"]).alias("__gaps"))
-    joined = F.flatten(F.zip_with("__known", "__gaps", lambda k, g: F.concat(k, F.coalesce(g, F.array().cast(ids)))))
-    return done.unionByName(open_.join(gaps, "__row").select(*own, joined.alias("__ids"))).toDF(*names)
+    counts = chunk_counts(plain, own[at], model)
+    table = spark.sparkContext.broadcast(chunk_table(counts, model))
+    store.discard(counts)
+    return plain.mapInArrow(tidy(_resolver(model, table, at, to_arrow_schema(schema))), schema).toDF(*names)
 
 
 def _decoder(model, column: int, schema: pa.Schema):
