@@ -17,21 +17,21 @@ def _pack_sql(mode: str) -> str:
     # A batch number is given to each element; state after it: next batch number and tokens used.
     following = "batch + 1" if mode == "truncate" else f"CASE WHEN n > {_LENGTH} THEN batch + 2 ELSE batch + 1 END"
     return f"""
-WITH RECURSIVE e AS (SELECT doc_id, doc_id % 16 AS g, length(text) AS n, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY {sql_uniform(40, 'doc_id')}, doc_id) AS i FROM documents),
-s(g, i, doc_id, own, batch, used) AS (
-  SELECT DISTINCT g, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM e
+WITH RECURSIVE e AS MATERIALIZED (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY {sql_uniform(40, 'doc_id')}, doc_id) AS i FROM documents),
+s(i, doc_id, own, batch, used) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT
   UNION ALL
-  SELECT e.g, e.i, e.doc_id,
+  SELECT e.i, e.doc_id,
     CASE WHEN used = 0 AND n > {_LENGTH} THEN batch WHEN used + n > {_LENGTH} THEN {over} ELSE batch END,
     CASE WHEN used = 0 AND n > {_LENGTH} THEN batch + 1 WHEN used + n > {_LENGTH} THEN {following} ELSE batch END,
     CASE WHEN used = 0 AND n > {_LENGTH} THEN 0 WHEN used + n > {_LENGTH} THEN {used} ELSE used + n END
-  FROM s JOIN e ON e.g = s.g AND e.i = s.i + 1)
-SELECT g::INTEGER AS pack_group, doc_id, own AS batch FROM s WHERE i > 0"""
+  FROM s JOIN e ON e.i = s.i + 1)
+SELECT doc_id, own AS batch FROM s WHERE i > 0"""
 
 
 def _packed(t: Tables, mode: str) -> DataFrame:
-    """Packed in sixteen groups by id."""
-    return packing.pack(t.documents, sampling.uniform(40, "doc_id"), F.length("text"), "doc_id", _LENGTH, mode, F.col("doc_id") % 16)
+    """Packed in one order over the whole table."""
+    return packing.pack(t.documents, sampling.uniform(40, "doc_id"), F.length("text"), "doc_id", _LENGTH, mode)
 
 
 @query(_pack_sql("pad"))
@@ -45,16 +45,16 @@ def pack_truncate(t: Tables) -> DataFrame:
 
 
 _COLLATE = f"""
-WITH p AS ({{pack}}), o AS (SELECT doc_id, pack_group, batch, length(text) AS n, row_number() OVER (ORDER BY {sql_uniform(40, 'doc_id')}, doc_id) AS position FROM p JOIN documents USING (doc_id)),
-c AS (SELECT pack_group, batch, doc_id, n, row_number() OVER w - 1 AS element_id, sum(n) OVER w - n AS "offset" FROM o WINDOW w AS (PARTITION BY pack_group, batch ORDER BY position ROWS UNBOUNDED PRECEDING))
-SELECT pack_group, batch, doc_id, element_id, "offset"::BIGINT AS "offset", greatest(0, least(n, {_LENGTH} - "offset"))::BIGINT AS kept FROM c"""
+WITH p AS ({{pack}}), o AS (SELECT doc_id, batch, length(text) AS n, row_number() OVER (ORDER BY {sql_uniform(40, 'doc_id')}, doc_id) AS position FROM p JOIN documents USING (doc_id)),
+c AS (SELECT batch, doc_id, n, row_number() OVER w - 1 AS element_id, sum(n) OVER w - n AS "offset" FROM o WINDOW w AS (PARTITION BY batch ORDER BY position ROWS UNBOUNDED PRECEDING))
+SELECT batch, doc_id, element_id, "offset"::BIGINT AS "offset", greatest(0, least(n, {_LENGTH} - "offset"))::BIGINT AS kept FROM c"""
 
 
 @query(_COLLATE.format(pack=_pack_sql("truncate")))
 def collate_positions(t: Tables) -> DataFrame:
     sizes = t.documents.select("doc_id", F.length("text").cast("bigint").alias("n_tokens"))
     order = sampling.shuffled(t.documents.select("doc_id"), 40, ["doc_id"])
-    return packing.collate(_packed(t, "truncate").join(sizes, "doc_id").join(order, "doc_id"), _LENGTH, "doc_id", ("pack_group", "batch"))
+    return packing.collate(_packed(t, "truncate").join(sizes, "doc_id").join(order, "doc_id"), _LENGTH, "doc_id")
 
 
 @query("""

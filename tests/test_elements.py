@@ -277,17 +277,6 @@ def test_runs(spark):
     assert (rows.count(), m.n, m.n_failed, m.mean_score, m.step) == (6, 6, 0, 1.0, 7)
 
 
-def test_packing_in_groups(spark):
-    df = spark.createDataFrame([(i, 1 + i * 7 % 5) for i in range(200)], "id long, n long")
-    got = packing.pack(df, F.col("id"), F.col("n"), "id", 9, groups=4).collect()
-    sizes = {}
-    n = dict(df.collect())
-    for r in got:
-        sizes.setdefault((r.pack_group, r.batch), []).append(n[r.id])
-    assert len(got) == 200 and all(sum(x) <= 9 for x in sizes.values()) and len({g for g, _ in sizes}) == 4
-    assert {r.pack_group for r in packing.pack(df, F.col("id"), F.col("n"), "id", 9).collect()} == {0}
-
-
 def test_merges_are_uniform(spark):
     """Of two lists of two, all six merges come about equally often."""
     rows = [(k, g, i) for k in range(600) for g in "ab" for i in range(2)]

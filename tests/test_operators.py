@@ -92,13 +92,39 @@ def test_packing_is_the_greedy_fold(spark, sizes, mode):
     assert got == pack_by_hand(sizes, 10, mode)
 
 
-def test_packing_in_groups_partitions_the_elements(spark):
-    df = spark.range(500).withColumn("n", F.col("id") % 9 + 1)
-    got = packing.pack(df, F.col("id"), F.col("n"), "id", 20, groups=4)
-    assert got.count() == 500 and got.select("pack_group").distinct().count() == 4
-    assert got.join(df, "id").groupBy("pack_group", "batch").agg(F.sum("n").alias("s")).where("s > 20").count() == 0
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 1, 2, 3, 7, 10, 11, 40]), min_size=1, max_size=60), st.sampled_from(["pad", "truncate"]), st.integers(1, 9))
+def test_packing_over_ranges_is_one_fold(spark, sizes, mode, rows):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, n int").repartition(3)
+    kept, packing.RANGE_ROWS = packing.RANGE_ROWS, rows
+    try:
+        got = [r.batch for r in packing.pack(df, F.col("id"), F.col("n"), "id", 10, mode).orderBy("id").collect()]
+    finally:
+        packing.RANGE_ROWS = kept
+    assert got == pack_by_hand(sizes, 10, mode)
+
+
+@pytest.mark.parametrize("mode", ["pad", "truncate"])
+def test_packing_of_many_ranges_in_few_rounds(spark, monkeypatch, mode):
+    rows = [(i, (i * 7919) % 23) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n int").repartition(5)
+    monkeypatch.setattr(packing, "RANGE_ROWS", 100)
+    rounds = []
+    plain = packing.publish
+    monkeypatch.setattr(packing, "publish", lambda df, name: rounds.append(name) or plain(df, name))
+    got = [r.batch for r in packing.pack(df, F.col("id"), F.col("n"), "id", 50, mode).orderBy("id").collect()]
+    assert got == pack_by_hand([n for _, n in rows], 50, mode)
+    assert rounds.count("jumps") <= 6  # 30 ranges: five doublings and the one that finds none
+
+
+def test_packing_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 2)
+    df = spark.createDataFrame([("b", 1, None), ("a", 1, 5), ("a", 1, 5), (None, None, 4), ("c", 2, -3), ("d", 3, 6)], "id string, o int, batch int")
+    got = packing.pack(df, F.col("o"), F.col("batch"), "id", 9)
+    assert sorted((r.id or "", r.batch) for r in got.collect()) == [("", 0), ("a", 0), ("a", 1), ("b", 1), ("c", 1), ("d", 2)]
+    assert packing.pack(df.limit(0), F.col("o"), F.col("batch"), "id", 9).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(df, F.col("id"), F.col("n"), "id", 20, "other")
+        packing.pack(df, F.col("o"), F.col("batch"), "id", 20, "other")
 
 
 def test_bm25_by_hand(spark):
