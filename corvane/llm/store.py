@@ -1,75 +1,7 @@
-"""Intermediate tables in the folder that the whole cluster shares.
-
-The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests,
-is one made.  A written table cuts lineage and outlives any executor.
-"""
+"""The library's shared tables, under the name that this subpackage uses."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a URI; a cluster must name one."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-            found = sc._jsc.sc().getCheckpointDir()
-        configured = found.get()
-    return qualified(spark, configured)
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder's URI: without a scheme it is on the cluster's default file system, for Spark and for tasks alike."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file:///") else whole
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the session ends."""
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def publish(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a published table that nothing will read again."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/corvane/" in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+from corvane.runtime import discard, fresh_path, publish, qualified, shared_dir, ship
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once in a Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_corvane_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane_package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent).as_posix())
-    sc.addPyFile(str(archive))
-    sc._corvane_shipped = True
+__all__ = ["discard", "fresh_path", "publish", "qualified", "shared_dir", "ship"]
