@@ -29,11 +29,12 @@ from corvane.llm import store
 from corvane.llm.kernel import BLOCK_BYTES, tidy
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Chunks of the broadcast table, and the characters of the longest: some 80 MB in a worker at most.
-HEAD, HEAD_CHARS = 1 << 19, 32
-#: Chunks that a task counts, or keeps the ids of, at once.
-HELD = 1 << 18
+#: A chunk is kept without its first mark, which the library puts in front of a text.
+CHUNK = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
+#: Chunks of the broadcast table, and the characters of the longest: some 40 MB in a worker at most.
+HEAD, HEAD_CHARS = 1 << 18, 32
+#: Chunks that a task counts, segments or keeps at once; characters of a text beyond which it is cut into such portions.
+HELD, LONG = 1 << 17, 1 << 22
 #: Bytes of a tokenizer file; one beyond is refused, as it is broadcast.
 MODEL_BYTES = 64 << 20
 
@@ -76,6 +77,29 @@ def _slices(column, most: int = BLOCK_BYTES):
         a = b
 
 
+def _portions(texts: list[str]):
+    """Yields the chunks of normalised texts, in order and bounded in number, with how many belong to each text."""
+    chunks, counts = [], []
+
+    def of(text):
+        if len(text) > LONG:
+            found = (m[1] for m in CHUNK.finditer(text))
+            while part := list(islice(found, HELD)):
+                yield part
+        elif text:
+            yield text.split(MARK)[1:] if MARK + MARK not in text else CHUNK.findall(text)
+
+    for i, text in enumerate(texts):
+        for part in of(text):
+            chunks += part
+            counts.append((i, len(part)))
+            if len(chunks) >= HELD:
+                yield chunks, counts
+                chunks, counts = [], []
+    if chunks:
+        yield chunks, counts
+
+
 def _counter(model, column: int):
     """(chunk, n) of the chunks of a task's texts, in portions."""
 
@@ -84,11 +108,11 @@ def _counter(model, column: int):
         portion = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["chunk", "n"])
         for batch in batches:
             for _, _, texts in _slices(batch.column(column)):
-                for text in sp.normalize(texts):
-                    n.update(CHUNK.findall(text))
-                if len(n) > HELD:
-                    yield portion()
-                    n.clear()
+                for chunks, _ in _portions(sp.normalize(texts)):
+                    n.update(chunks)
+                    if len(n) > HELD:
+                        yield portion()
+                        n.clear()
         if n:
             yield portion()
 
@@ -96,9 +120,9 @@ def _counter(model, column: int):
 
 
 def _segment(sp, chunks: list[str]) -> list[list[int]]:
-    """Each chunk's ids; the library puts the first mark of a text in front itself."""
-    lone = sp.encode("a ")[len(sp.encode("a")) :]  # as a text of its own it would be empty
-    return [ids if len(c) > 1 else lone for ids, c in zip(sp.encode([c[1:] for c in chunks], num_threads=1), chunks)] if chunks else []
+    """Each chunk's ids; a lone mark would be an empty text."""
+    lone = sp.encode("a ")[len(sp.encode("a")) :]
+    return [ids if c else lone for ids, c in zip(sp.encode(chunks, num_threads=1), chunks)] if chunks else []
 
 
 def _segmenter(model):
@@ -131,43 +155,59 @@ def chunk_table(counts: DataFrame, model) -> pa.Table:
     return counts.where(short & (level >= least)).select("chunk").mapInArrow(tidy(_segmenter(model)), schema).toArrow()
 
 
+class _Ids:
+    """Ids of numbered chunks, one after the other."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False)
+        self.size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+
 class ChunkIds:
     """Ids of texts by the broadcast table, and by a table of the task's own for other chunks."""
 
     def __init__(self, sp, table: pa.Table):
-        self.sp, self.rest = sp, {}
+        self.sp, self.head, self.own = sp, _Ids(table.column(1).combine_chunks()), {}
         self.place = dict(zip(table.column(0).to_pylist(), range(len(table))))
-        ids = table.column(1).combine_chunks()
-        self.flat = ids.flatten().to_numpy(zero_copy_only=False)
-        self.size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.start = np.cumsum(self.size) - self.size
 
-    def of(self, text: str) -> np.ndarray:
-        """The ids of a normalised text, a bounded number of chunks at a time."""
-        found, parts = [], CHUNK.finditer(text)
-        while chunks := [m[0] for m in islice(parts, HELD)]:
-            found.append(self._portion(chunks))
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
-
-    def _portion(self, chunks: list[str]) -> np.ndarray:
-        at = np.array([self.place.get(c, -1) for c in chunks])
-        missed = np.flatnonzero(at < 0).tolist()
-        if not missed:
-            return self._gather(at)
-        if len(self.rest) > HELD:
-            self.rest.clear()
-        new = list({c for i in missed if (c := chunks[i]) not in self.rest})
-        self.rest.update(zip(new, _segment(self.sp, new)))
-        pieces, a = [], 0
-        for i in missed:
-            pieces += [self._gather(at[a:i]), np.array(self.rest[chunks[i]], dtype=np.int32)]
-            a = i + 1
-        return np.concatenate([*pieces, self._gather(at[a:])])
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        size = self.size[at]
+    def of(self, texts: list[str]) -> pa.ListArray:
+        """The ids of normalised texts, a bounded number of chunks at a time."""
+        total, found = np.zeros(len(texts) + 1, dtype=np.int64), []
+        for chunks, counts in _portions(texts):
+            ids, size = self._portion(chunks)
+            found.append(ids)
+            at = 0
+            for i, n in counts:
+                total[i + 1] += int(size[at : at + n].sum())
+                at += n
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(total), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0), pa.int32()))
+
+    def _portion(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and their number by chunk."""
+        get = self.place.get
+        at = np.array([get(c, -1) for c in chunks])
+        missed = np.flatnonzero(at < 0)
+        size = self.head.size[at] if len(self.place) else np.zeros(len(at), dtype=np.int64)
+        rest = [chunks[i] for i in missed.tolist()]
+        if len(self.own) > HELD:
+            self.own.clear()
+        new = list({c for c in rest if c not in self.own})
+        self.own.update(zip(new, (np.array(x, dtype=np.int32) for x in _segment(self.sp, new))))
+        lists = [self.own[c] for c in rest]
+        size[missed] = [len(x) for x in lists]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        out = np.empty(int(ends[-1]), dtype=np.int32)
+        if lists:
+            kept = np.zeros(len(out) + 1, dtype=np.int32)  # which ids are the rest's: a chunk's first adds one, what follows its last takes it back
+            np.add.at(kept, (ends - size)[missed], 1)
+            np.add.at(kept, ends[missed], -1)
+            out[np.cumsum(kept[:-1]) > 0] = np.concatenate(lists)
+        known = np.flatnonzero(at >= 0)
+        n = size[known]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat((ends - size)[known], n) + within] = self.head.flat[np.repeat(self.head.start[at[known]], n) + within]
+        return out, size
 
 
 def _resolver(model, table, column: int, schema: pa.Schema):
@@ -180,9 +220,7 @@ def _resolver(model, table, column: int, schema: pa.Schema):
         known = _resolver.held[1]
         for batch in batches:
             for a, b, texts in _slices(batch.column(column)):
-                ids = [known.of(text) for text in sp.normalize(texts)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, known.of(sp.normalize(texts))], schema=schema)
 
     return run
 
@@ -227,17 +265,18 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "pie
 
 
 def _decoder(model, column: int, schema: pa.Schema):
+    """Adds the texts of lists of ids, some 1,000,000 ids of whole texts at a time."""
+
     def run(batches):
         sp = processor(model.value)
         for batch in batches:
-            lists = batch.column(column)
-            # whole texts, some 1,000,000 ids at a time
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            a = 0
+            sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            ends, a = np.cumsum(sizes), 0
             while a < len(batch):
                 b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, side="right")), a + 1)
-                asked = lists.slice(a, b - a).to_pylist()
-                texts = [None if ids is None else sp.decode(ids) if ids else "" for ids in asked]
+                lists = batch.column(column).slice(a, b - a)
+                flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *sizes[a:b].tolist()]).tolist()
+                texts = [None if empty else sp.decode(flat[i:j]) if j > i else "" for i, j, empty in zip(cuts, cuts[1:], lists.is_null().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], schema=schema)
                 a = b
 
