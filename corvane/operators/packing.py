@@ -206,7 +206,7 @@ def pack(elements: DataFrame, order: Column, size: Column, key: str, length: int
     looked = known.where("size > 0").select("index", "start", "size", "own_start", F.explode("earlier").alias("e")).where(F.col("own_start") + F.col("e.gap") <= length)
     stream = known.select("range", F.lit(0).cast("bigint").alias("ahead"), "index", "start", "size").unionByName(looked.select(F.col("e.r").alias("range"), F.lit(1).cast("bigint").alias("ahead"), "index", "start", "size"))
     node = T.StructType([T.StructField(c, T.LongType()) for c in ("range", "at", "to", "n")])
-    nodes = publish(stream.repartition(n, "range").sortWithinPartitions("range", "ahead", "index").mapInArrow(_exits(length, truncate, total), node), "range-exits")
+    nodes = publish(stream.repartition(n, F.xxhash64("range")).sortWithinPartitions("range", "ahead", "index").mapInArrow(_exits(length, truncate, total), node), "range-exits")
     passed = _on_the_way(nodes).join(nodes.select("at", "range", "n"), "at").collect()  # one row a range at most
     entry = {r["range"]: (r["at"], r["before"], r["n"]) for r in passed}
     known_starts, before = [], 0

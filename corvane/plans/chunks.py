@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import sampling, text as tx
 from corvane.operators import chunking, haystack, retrieval, synthesis
+from corvane.operators.bm25_index import FORMAT, Bm25Index
 from corvane.plans.registry import Tables, query, sql_uniform
+from corvane.runtime import kept_path, version
 
 _U = sql_uniform
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
@@ -142,11 +144,12 @@ top AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER
 
 
 def _bm25(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Chunks and the five best of each item; the index is kept and reused while the documents' files are the same."""
     chunks = chunking.fixed_chunks(t.documents, "text", 2000, ["doc_id"]).withColumn("id", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
-    terms = tx.retrieval_terms(F.col("chunk"))
+    path = kept_path(t.spark, "bm25", FORMAT, f"{t.sf_dir}/documents.parquet", version(t.spark, f"{t.sf_dir}/documents.parquet"))
+    index = Bm25Index.at(t.spark, path) or Bm25Index.build(chunks, tx.retrieval_terms(F.col("chunk")), "id", path)
     queries = t.benchmark.select("item_id", F.explode(tx.retrieval_terms(F.col("text"))).alias("term"))
-    scores = retrieval.bm25(chunks, terms, queries, "id", "item_id")
-    return chunks, retrieval.top_per_query(scores, "item_id", "id", 5)
+    return chunks, index.top(queries, "item_id", 5).rows.withColumnRenamed("key", "id")
 
 
 @query(f"WITH {_BM25} SELECT item_id, rank, id, round(score, 4) AS score FROM top WHERE rank <= 5")

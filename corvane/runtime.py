@@ -6,6 +6,7 @@ is one made.  A written table cuts lineage and outlives any executor.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -67,12 +68,34 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(hadoop, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder; false where the target is there already."""
+    system, hadoop = _hadoop(spark, source)
+    goal = _hadoop(spark, target)[1]
+    if system.exists(goal):
+        return False
+    system.mkdirs(goal.getParent())
+    return system.rename(hadoop, goal)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, in order; none where there is no folder."""
     system, hadoop = _hadoop(spark, path)
     return sorted(x.getPath().getName() for x in system.listStatus(hadoop)) if system.exists(hadoop) else []
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of a path's files: names, lengths and times of change; another one after any write."""
+    system, hadoop = _hadoop(spark, path)
+    files = sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in system.listStatus(hadoop))
+    return hashlib.sha256(repr(files).encode()).hexdigest()[:32]
+
+
+def kept_path(spark: SparkSession, name: str, *parts: str) -> str:
+    """A path in the shared folder that the same name and parts lead to again, in this session and later ones."""
+    return f"{shared_dir(spark)}/corvane-kept/{name}-{hashlib.sha256(repr(parts).encode()).hexdigest()[:32]}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
