@@ -150,7 +150,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         dealt = rows
     else:
         dealt = rows.join(large, "part", "left_anti").unionByName(_dealt_by_gram(rows.join(large, "part", "left_semi")))
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_find), _PAIRS).distinct()
+    return dealt.repartition(F.xxhash64("part")).sortWithinPartitions("part").mapInArrow(tidy(_find), _PAIRS).distinct()
 
 
 def word_counts(runs: DataFrame, word: str = "word", least: int = 5, length: int = LEAST) -> DataFrame:
