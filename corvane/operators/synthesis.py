@@ -79,6 +79,9 @@ def tool_step(model: Client, tools: dict[str, Tool], contexts: list[str], talks:
             except (ValueError, TypeError, KeyError):
                 out[i].append(("", False, "unreadable call"))
                 continue
+            if not isinstance(name, str):
+                out[i].append(("", False, "unreadable call"))
+                continue
             out[i].append((name, False, "unknown tool"))
             if name in tools:
                 by_tool.setdefault(name, []).append((i, place, arguments))
@@ -99,44 +102,67 @@ def rollout(prompts: DataFrame, key: str, client: Callable[[], Client], rounds:
     and opens; B sees the context and answers; roles flip for each side. Before
     a party with tools speaks, the model may call them; what succeeds is added
     to the talk's context for both parties and is a row of the role ``tool``.
-    A batch that fails is rows with the error, not lost.
+    Where a batch of chats fails, each is asked alone; a talk whose own chat fails
+    ends with a row that has the error, and the others go on.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
+    def answers(model, chats):
+        try:
+            return [(x, None) for _, x in zip(chats, model.chat(chats), strict=True)]
+        except Exception:  # noqa: BLE001  a client may fail in any way
+            out = []
+            for chat in chats:
+                try:
+                    out.append((model.chat([chat])[0], None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, str(e) or type(e).__name__))
+            return out
+
     def run(batches):
         model = client()
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                keys, talk, error = list(part[key]), [[] for _ in range(len(part))], None
-                contexts, shown = list(part["context"]), [[] for _ in range(len(part))]
+                keys, talk, errors = list(part[key]), [[] for _ in range(len(part))], [None] * len(part)
+                contexts, prompt, shown = list(part["context"]), list(part["prompt"]), [[] for _ in range(len(part))]
+                going = lambda: [i for i, e in enumerate(errors) if e is None]
+                flipped = lambda t: [{"role": "user" if m["role"] == "assistant" else "assistant", "content": m["content"]} for m in t]
 
                 def look_up(tools, view):
-                    for i, found in enumerate(tool_step(model, tools, contexts, [view(t) for t in talk])):
-                        text = "\n".join(f"{name}: {x}" for name, good, x in found if good)
+                    at = going()
+                    try:
+                        found = dict(zip(at, tool_step(model, tools, [contexts[i] for i in at], [view(talk[i]) for i in at])))
+                    except Exception:  # noqa: BLE001  each talk alone
+                        found = {}
+                        for i in at:
+                            try:
+                                found[i] = tool_step(model, tools, [contexts[i]], [view(talk[i])])[0]
+                            except Exception as e:  # noqa: BLE001
+                                errors[i] = str(e) or type(e).__name__
+                    for i, calls in found.items():
+                        text = "\n".join(f"{name}: {x}" for name, good, x in calls if good)
                         if text:
                             contexts[i] += f"\n\n{text}"
                             shown[i].append({"role": "tool", "content": text})
 
-                def say(role, texts):
-                    for i, text in enumerate(texts):
-                        talk[i].append({"role": role, "content": text})
-                        shown[i].append(talk[i][-1])
-
-                flipped = lambda t: [{"role": "user" if m["role"] == "assistant" else "assistant", "content": m["content"]} for m in t]
-                try:
-                    for _ in range(rounds):
-                        if tools_a:
-                            look_up(tools_a, flipped)
-                        side_a = [[{"role": "system", "content": f"{c}\n\n{p}"}] + flipped(t) for c, p, t in zip(contexts, part["prompt"], talk)]
-                        say("user", model.chat(side_a))
-                        if tools_b:
-                            look_up(tools_b, list)
-                        say("assistant", model.chat([[{"role": "system", "content": c}, *t] for c, t in zip(contexts, talk)]))
-                except Exception as e:  # noqa: BLE001  a client may fail in any way
-                    error = str(e)
+                def say(role, chat):
+                    at = going()
+                    for i, (text, error) in zip(at, answers(model, [chat(i) for i in at])):
+                        errors[i] = error
+                        if error is None:
+                            talk[i].append({"role": role, "content": text})
+                            shown[i].append(talk[i][-1])
+
+                for _ in range(rounds):
+                    if tools_a:
+                        look_up(tools_a, flipped)
+                    say("user", lambda i: [{"role": "system", "content": f"{contexts[i]}\n\n{prompt[i]}"}, *flipped(talk[i])])
+                    if tools_b:
+                        look_up(tools_b, list)
+                    say("assistant", lambda i: [{"role": "system", "content": contexts[i]}, *talk[i]])
                 rows = [(k, i, m["role"], m["content"], None) for k, t in zip(keys, shown) for i, m in enumerate(t)]
-                rows += [(k, len(t), None, None, error) for k, t in zip(keys, shown)] if error else []
+                rows += [(k, len(t), None, None, e) for k, t, e in zip(keys, shown, errors) if e is not None]
                 yield pd.DataFrame(rows, columns=[key, "turn", "role", "text", "error"])
 
     return prompts.select(key, "context", "prompt").mapInPandas(run, f"`{key}` {kind}, turn int, role string, text string, error string")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import sampling, text as tx
-from corvane.operators import chunking, haystack, retrieval, synthesis
+from corvane.operators import chunking, haystack, requests, retrieval, synthesis
 from corvane.operators.bm25_index import FORMAT, Bm25Index
+from corvane.operators.embedding_cache import EmbeddingCache
 from corvane.plans.registry import Tables, query, sql_uniform
 from corvane.runtime import kept_path, version
 
@@ -185,6 +186,40 @@ def embedding_cache_key(t: Tables) -> DataFrame:
     return per.select(F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ",").cast("binary"), 256).alias("cache_key"), "n", F.ceil(F.col("n") / 150).alias("n_batches"))
 
 
+def _letters():
+    """A stand-in for a model: how often each vowel and the blank occur, by code points."""
+    return lambda texts: [[float(t.count(c)) for c in "aeiou "] for t in texts]
+
+
+_COUNT = "(length(text) - length(replace(text, '{c}', '')))"
+
+
+@query(f"SELECT doc_id, 6::INTEGER AS width, (a + 2 * e + 3 * i + 4 * o + 5 * u + 6 * x)::DOUBLE AS checksum FROM (SELECT doc_id, text, {', '.join(_COUNT.format(c=c) + ' AS ' + ('x' if c == ' ' else c) for c in 'aeiou ')} FROM documents WHERE text IS NOT NULL)")
+def embedding_lookup(t: Tables) -> DataFrame:
+    """Vectors of all whole texts, through a cache that is kept: a second call computes none."""
+    cache = EmbeddingCache(t.spark, kept_path(t.spark, "embeddings", "letters"))
+    rows = cache.embed(t.documents.where("text IS NOT NULL").select("doc_id", "text"), "text", _letters).rows
+    weighed = F.aggregate(F.zip_with("vector", F.sequence(F.lit(1), F.lit(6)), lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("vector").alias("width"), weighed.alias("checksum"))
+
+
+_SHAPES = "CASE WHEN i % 3 = 0 THEN 1 WHEN i % 3 = 1 THEN 2 ELSE 3 END"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations WHERE role = 'user'),
+k AS (SELECT conv_id, turn, len(w[i + 1]) AS n, {_SHAPES} AS kept FROM w, unnest(range(len(w))) AS r(i))
+SELECT w.conv_id, w.turn, len(w)::INTEGER AS n_tokens, coalesce(sum(kept), 0)::BIGINT AS n_targets, coalesce(sum(n), 0)::BIGINT AS id_sum,
+       coalesce(sum(kept * n + kept * (kept - 1) // 2), 0)::BIGINT AS target_sum
+FROM w LEFT JOIN k USING (conv_id, turn) GROUP BY w.conv_id, w.turn, len(w)""")
+def reply_elements(t: Tables) -> DataFrame:
+    """Replies with alternatives to every user message, thinned at 0.9 of the mass, as training elements."""
+    chats = t.conversations.where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), F.array(F.struct("role", F.col("text").alias("content"))).alias("chat"))
+    made = requests.elements(requests.conversations(requests.ask(chats, requests.WordClient, mass=0.9), "id"), "id")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return made.select("id.*", F.size("input_ids").alias("n_tokens"), F.size("targets").cast("bigint").alias("n_targets"), total(F.col("input_ids")).alias("id_sum"), total(F.transform("targets", lambda x: x["token_id"])).alias("target_sum"))
+
+
 _CHAIN_NAME = "'V' || upper(substr(md5(concat_ws(':', '30', item_id::VARCHAR, {h}::VARCHAR)), 1, 5))"
 
 
