@@ -9,7 +9,7 @@ from corvane.operators import benchmarks, chunking, graphs, prompts, runs, tempo
 from corvane.plans.registry import Tables, query, sql_uniform as _U
 from corvane.runtime import scratch
 from corvane.sources import catalogs
-from corvane.streaming import events as stream
+from corvane.streaming import events as stream, stateful
 
 
 
@@ -247,3 +247,16 @@ def level_filter(t: Tables) -> DataFrame:
     modules = t.part.select(name(F.col("p_partkey")).alias("module"))
     edges = t.part.where("p_partkey > 0").select(name(F.col("p_partkey")).alias("module"), name(F.expr("p_partkey div 2")).alias("imports"))
     return graphs.module_levels(modules, edges, 2)
+
+
+@query("""
+WITH m AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts IS NOT NULL),
+e AS (SELECT user_id, ms, lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS p FROM m),
+s AS (SELECT user_id, ms, sum(CASE WHEN p IS NULL OR ms - p >= 6 * 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms) AS k FROM e),
+c AS (SELECT user_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT c.* FROM c WHERE last_ms + 6 * 3600000 <= (SELECT max(ms) - 2 * 86400000 FROM m)""")
+def stream_closed_sessions(t: Tables) -> DataFrame:
+    """Sessions that end by a timer when the watermark, two days behind, has passed them by six hours; later ones are still open."""
+    source = stream.read_stream(t.spark, t.sf_dir, t.events, "events.parquet")
+    with stateful.rocksdb(t.spark):
+        return stream.run_to_table(stateful.closed_sessions(source, "user_id", 6 * 3600, "2 days"), scratch(t.spark, "stream"), "append").drop("epoch")
