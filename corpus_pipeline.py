@@ -1,7 +1,11 @@
 """From raw documents to a training mixture, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs.  Stages take the
+columns of documents and no others, so further columns of the input, whatever
+their names, play no part.  Null and empty texts have no letter and go at the
+first stage; repeated rows are near-duplicates of each other, of which the one with the least
+id stays, ties to any one row.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,8 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents, sets the language of those without a label, and drops texts without one (no letter)."""
+    """Learns from the labelled documents, sets the language of those without a label, and drops texts without a letter.
+
+    Where no document has a label, no language is set, and the same texts are kept.
+    """
     model = lang_id.learn(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     found = lang_id.identify(docs.select(*COLUMNS), model)
     return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
