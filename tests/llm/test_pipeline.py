@@ -63,3 +63,23 @@ def test_columns_and_odd_rows(spark):
 def test_run_chains_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[:5] == list(corpus_pipeline.COLUMNS)
+
+
+def test_texts_without_any_label_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_languages(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    assert kept.where("lang IS NOT NULL").count() == 0 and kept.columns == docs.select(*corpus_pipeline.COLUMNS).columns
+
+
+def test_very_long_text_and_further_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = "word " * 200_000
+    rows = [(1, long, "en", "a", len(long), "x", 1), (2, "Ein kurzer Satz mit vielen Worten.", None, "b", 3, "y", 2), (3, None, "en", None, None, None, None), (4, "12 34", None, "a", 5, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score int")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("kept out"))
+        assert {r.doc_id for r in docs.collect()} == {1, 2}
