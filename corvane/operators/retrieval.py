@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from corvane.runtime import ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Fixed value: what stands where chunks were left out.
@@ -82,15 +88,61 @@ def as_tool(requests: DataFrame, chunks: DataFrame, terms, key: str, source: str
     return out.select("idx", F.lit(tool).alias("tool"), F.coalesce(has, F.lit(False)).alias("success"), F.when(~F.coalesce(has, F.lit(False)), "nothing asked").alias("error"), F.when(has, F.coalesce("__r", F.lit(""))).alias("response"))
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024, digits: int = 5) -> DataFrame:
+def _products(asked, k: int, slack: float, schema: pa.Schema):
+    """(query_id, key, score) of a task's best vectors for each query: one product of a block of vectors with all queries."""
+
+    def run(batches):
+        names, units = asked.value
+        unknown = {x: i for i, x in enumerate(names.to_pylist())}
+        best = np.full((len(units), k), -np.inf)
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(size == units.shape[1])
+            keys = batch.column(0).take(pa.array(fit))
+            vectors = batch.column(1).take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), units.shape[1])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = units @ (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T
+            s[np.isnan(s)] = -np.inf
+            own = [(unknown[x], j) for j, x in enumerate(keys.to_pylist()) if x in unknown]
+            if own:
+                s[tuple(zip(*own))] = -np.inf
+            low = best[:, 0]
+            if len(fit) > k:
+                low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k])
+            row, column = np.nonzero((s >= low[:, None] - slack) & (s > -np.inf))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), keys.take(pa.array(column)), pa.array(s[row, column])], schema=schema)
+            best = np.sort(np.concatenate((best, s), axis=1), axis=1)[:, -k:]
+
+    return run
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096, digits: int = 5) -> DataFrame:
     """(query_id, key, score): each query's k best other vectors; ties to the larger key.
 
-    queries: (query_id, q), a stated set. It is dealt in blocks of some
-    ``block`` rows, and every vector meets each block once; only the k best of
-    each query leave a task (a window limit).
+    queries: (query_id, q), a stated set of vectors of one length. They are broadcast in
+    blocks of some ``block``, each with a pass over the vectors; a task multiplies its
+    batches with all of a block and hands on what may be among the k best of
+    what it has seen. Null vectors, those of zeros, with null or NaN components or of
+    another length have no score and are left out.
     """
-    n = max(1, -(-queries.count() // block))
-    numbered = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
-    met = vectors.select(key, F.col(vector).alias("__c")).join(numbered).select(key, "__c", F.explode("asks").alias("ask"))
-    scores = met.where(F.col("ask.query_id") != F.col(key)).select("ask.query_id", key, cosine(F.col("ask.q"), F.col("__c")).alias("score"))
-    return top_per_query(scores, "query_id", key, k, digits)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(vectors.sparkSession)
+    whole = F.forall("q", lambda x: x.isNotNull())
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where(F.col("q").isNotNull() & whole)
+    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    n = max(1, -(-asked.count() // block))
+    schema = StructType([asked.schema["query_id"], rows.schema[key], StructField("score", DoubleType())])
+    out = None
+    for i in range(n):
+        part = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toArrow()
+        lists = part.column("q").combine_chunks()
+        width = len(lists[0]) if len(lists) else 0
+        q = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            units = q / np.sqrt((q**2).sum(axis=1))[:, None]
+        held = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), units))
+        found = rows.mapInArrow(_products(held, k, 2 * 10.0**-digits, to_arrow_schema(schema)), schema)
+        out = found if out is None else out.unionByName(found)
+    return top_per_query(out, "query_id", key, k, digits)

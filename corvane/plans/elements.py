@@ -8,7 +8,7 @@ from corvane.functions import arithmetic, sampling
 from corvane.operators import benchmarks, chunking, graphs, prompts, runs, temporal, tokens
 from corvane.plans.registry import Tables, query, sql_uniform as _U
 from corvane.runtime import scratch
-from corvane.sources import catalogs
+from corvane.sources import catalogs, shards
 from corvane.streaming import events as stream, stateful
 
 
@@ -260,3 +260,20 @@ def stream_closed_sessions(t: Tables) -> DataFrame:
     source = stream.read_stream(t.spark, t.sf_dir, t.events, "events.parquet")
     with stateful.rocksdb(t.spark):
         return stream.run_to_table(stateful.closed_sessions(source, "user_id", 6 * 3600, "2 days"), scratch(t.spark, "stream"), "append").drop("epoch")
+
+
+@query("""
+WITH v AS (SELECT * FROM documents WHERE doc_id % 3 <> 0)
+SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, 0::BIGINT AS unreadable FROM v GROUP BY lang
+UNION ALL SELECT 'unreadable shard', 0, 0, 1""")
+def shard_scan(t: Tables) -> DataFrame:
+    """The newest version of a catalogue of shards, one of them broken, through the data source."""
+    folder = scratch(t.spark, "catalogue")
+    t.documents.repartition(4).write.parquet(f"{folder}/v1/data")
+    t.documents.where("doc_id % 3 <> 0").repartition(4).write.parquet(f"{folder}/v2/data")
+    shards.put_broken(folder, "v2/data/zz-broken.parquet")
+    shards.register(t.spark)
+    rows = t.spark.read.format("corvane_shards").option("path", folder).load()
+    lang = F.when(F.col("error").isNotNull(), F.lit("unreadable shard")).otherwise(F.col("lang")).alias("lang")
+    found = F.col("error").isNull()
+    return rows.groupBy(lang).agg(F.count_if(found).alias("n"), F.coalesce(F.sum(F.when(found, F.length("text"))), F.lit(0)).cast("bigint").alias("chars"), F.count_if(~found).alias("unreadable"))

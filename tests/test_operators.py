@@ -127,6 +127,24 @@ def test_packing_of_odd_rows(spark, monkeypatch):
         packing.pack(df, F.col("o"), F.col("batch"), "id", 20, "other")
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_cosine_by_products(spark, block):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [0.0] * 4), (202, [1.0, 2.0]), (203, [1.0, None, 1.0, 1.0]), (204, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "id int, v array<float>").repartition(5)
+    queries = df.where("id % 20 = 0 AND id < 200").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = retrieval.cosine_top(df, queries, "id", "v", 6, block=block).select("query_id", "rank", "id", "score").collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = set()
+    for q, v in [r for r in rows[:120] if r[0] % 20 == 0]:
+        scored = sorted(((round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 5), i) for i, w in rows[:120] if i != q), reverse=True)[:6]
+        want |= {(q, n + 1, i) for n, (_, i) in enumerate(scored)}
+    assert {(r.query_id, r.rank, r.id) for r in got} == want
+    assert retrieval.cosine_top(df, queries.limit(0), "id", "v", 6).count() == 0
+
+
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a", "c"]), (3, ["d"]), (4, [])], "id long, t array<string>")
     queries = spark.createDataFrame([("q", "a"), ("q", "a"), ("q", "d")], "qid string, term string")
