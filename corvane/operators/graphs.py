@@ -5,37 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.sampling import below, uniform
-from corvane.runtime import materialize
+from corvane.runtime import discard, materialize, publish
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, level): 0 without dependencies in the set, else one more than the deepest dependency.
+def _followed(links: DataFrame, nodes: int) -> DataFrame:
+    """(node, to, b, d) with every ``to`` moved to the end of its chain of links, by pointer doubling.
 
-    edges: (node, needs); edges to nodes outside the set don't count. One table a
-    level, (node, open): the nodes still left and how many of their needs are
-    open; it only gets shorter, and a checkpoint cuts its lineage. A cycle or
-    more than ``most`` levels raises an error.
+    A link says level(node) = max(b, level(to) + d); two in a row are one of the same form.
     """
-    inside = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct()
-    inside = materialize(inside)
-    counted = inside.groupBy("node").agg(F.count("*").alias("open"))
-    left, done = materialize(nodes.select("node").distinct().join(counted, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))), []
+
+    def doubled(rows):
+        on = rows.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("b").alias("b2"), F.col("d").alias("d2"))
+        far = F.coalesce(F.col("d2"), F.lit(0))
+        return rows.join(on, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), F.greatest("b", F.col("b2") + F.col("d")).alias("b"), (F.col("d") + far).alias("d"))
+
+    reach = 1
     while True:
-        n_ready, n_left = left.agg(F.count(F.when(F.col("open") == 0, 1)), F.count("*")).first()
-        if not n_left:
-            break
-        if len(done) >= most or not n_ready:
+        links = publish(links, "level-links")
+        if links.join(links.select(F.col("node").alias("to")), "to", "left_semi").isEmpty():
+            return links
+        if reach > nodes:
+            raise ValueError("the graph has a cycle")
+        links, reach = doubled(doubled(links)), reach * 4
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): 0 without dependencies in the set, else one more than the deepest dependency.
+
+    edges: (node, needs); edges to nodes outside the set don't count, nor do
+    repeated ones. A node with one need is as deep as that and one more, so chains of such
+    nodes are contracted by pointer doubling; nodes without needs are then
+    settled, and what they say to others is a least level of these. Both leave fewer
+    needs, so more nodes have one or none. Rounds are as many as nodes of
+    several needs lie on top of each other, each with the logarithm of its longest
+    chain; there is no bound on levels. A cycle raises an error.
+    """
+    names = publish(nodes.where("node IS NOT NULL").select("node").distinct(), "level-nodes")
+    needs = edges.join(names.select(F.col("node").alias("needs")), "needs", "left_semi").join(names, "node", "left_semi").select("node", "needs").distinct()
+    zero, n = F.lit(0).cast("bigint"), names.count()
+    open_ = publish(names.join(needs, "node", "left").select("node", "needs", zero.alias("b"), F.lit(1).cast("bigint").alias("d")), "level-open")  # a row a need, one without any
+    settled, deferred = [], []
+    while not open_.isEmpty():
+        counted = open_.groupBy("node").agg(F.count("needs").alias("n"), F.max("b").alias("b"), F.first("needs", ignorenulls=True).alias("to"), F.max("d").alias("d"))
+        counted = publish(counted, "level-counts")
+        ready = counted.where("n = 0").select("node", F.col("b").alias("level"))
+        links = _followed(counted.where("n = 1").select("node", "to", "b", "d"), n)
+        settled.append(ready)
+        deferred.append(links)
+        rest = open_.join(counted.where("n > 1").select("node"), "node", "left_semi")
+        to = links.select(F.col("node").alias("needs"), F.col("to").alias("far"), F.col("b").alias("lb"), F.col("d").alias("ld"))
+        moved = rest.join(to, "needs", "left").select("node", F.coalesce("far", "needs").alias("needs"), F.greatest("b", F.col("lb") + F.col("d")).alias("b"), (F.col("d") + F.coalesce("ld", F.lit(0))).alias("d"))
+        told = moved.join(ready.select(F.col("node").alias("needs"), "level"), "needs", "left")
+        after = told.select("node", F.when(F.col("level").isNull(), F.col("needs")).alias("needs"), F.greatest("b", F.col("level") + F.col("d")).alias("b"), "d")
+        merged = after.groupBy("node", "needs").agg(F.max("b").alias("b"), F.max("d").alias("d"))
+        least = merged.groupBy("node").agg(F.max("b").alias("least"), F.count("needs").alias("k"))
+        left = merged.join(least, "node").where(F.col("needs").isNotNull() | (F.col("k") == 0)).select("node", "needs", F.col("least").alias("b"), "d")
+        before, open_ = open_, publish(left, "level-open")
+        if ready.isEmpty() and links.isEmpty():
             raise ValueError("the graph has a cycle")
-        ready = left.where("open = 0").select("node")
-        done.append(ready.select("node", F.lit(len(done)).alias("level")))
-        if n_left == n_ready:
-            break
-        met = inside.join(ready.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count("*").alias("met"))
-        left = materialize(left.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-    out = nodes.select("node", F.lit(0).alias("level")).limit(0)
-    for part in done:
-        out = out.unionByName(part)
-    return out
+        discard(before)
+    out = names.limit(0).select("node", zero.alias("level"))
+    for ready, links in zip(reversed(settled), reversed(deferred)):
+        out = out.unionByName(ready)  # later rounds' nodes are known; so are these now, and the chains that end at either
+        ends = out.select(F.col("node").alias("to"), "level")
+        out = publish(out.unionByName(links.join(ends, "to").select("node", F.greatest("b", F.col("level") + F.col("d")).alias("level"))), "levels")
+    return out.select("node", F.col("level").cast("int").alias("level"))
 
 
 def call_chain(spark, calls: DataFrame, starts: DataFrame, follow_argument: bool = True) -> DataFrame:

@@ -127,6 +127,37 @@ def test_packing_of_odd_rows(spark, monkeypatch):
         packing.pack(df, F.col("o"), F.col("batch"), "id", 20, "other")
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    size = 60
+    needs = {i: {rng.randrange(max(0, i - 4), i) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} if i else set() for i in range(size)}
+    level = {}
+    for i in range(size):
+        level[i] = 1 + max((level[j] for j in needs[i]), default=-1)
+    edges = [(i, j) for i, js in needs.items() for j in js] * 2 + [(3, 999), (998, 1)]
+    got = graphs.levels(spark.range(size).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "node long, needs long"))
+    assert {r.node: r.level for r in got.collect()} == level
+
+
+def test_a_long_chain_in_few_rounds(spark, monkeypatch):
+    """100,000 modules, each needing the one before: links double twice a round."""
+    n, tables = 100_000, []
+    plain = graphs.publish
+    monkeypatch.setattr(graphs, "publish", lambda df, name: tables.append(name) or plain(df, name))
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    got = graphs.levels(nodes, nodes.where("node > 0").select("node", (F.col("node") - 1).alias("needs")))
+    assert got.where("node <> level").count() == 0 and got.count() == n
+    assert len(tables) < 20
+    ring = nodes.where("node < 1500").select("node", ((F.col("node") + 1) % 1500).alias("needs"))
+    with pytest.raises(ValueError, match="cycle"):
+        graphs.levels(nodes.where("node < 1500"), ring)
+    deep = nodes.where("node < 1500")
+    assert graphs.levels(deep, ring.where("needs > 0")).agg(F.max("level")).first()[0] == 1499
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_cosine_by_products(spark, block):
     import random
