@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.sampling import uniform
-from corvane.operators import benchmarks as bm, chunking, scoring
+from corvane.operators import batched_runs, benchmarks as bm, chunking, scoring
 from corvane.operators.synthesis import EchoClient
 from corvane.plans.registry import Tables, query, sql_uniform
+from corvane.runtime import scratch
 
 
 @query("SELECT item_id, 'q' || item_id AS query, upper(left(text, 3)) AS answer FROM benchmark WHERE item_id % 4 = 2")
@@ -119,3 +120,12 @@ def judge_mock(t: Tables) -> DataFrame:
     said = bm.generate(asked, "item_id", Judge).join(t.benchmark, "item_id")
     fallback = scoring.qa_match(F.upper("text"), F.col("text")).isin(*scoring.RIGHT)
     return said.select("item_id", F.coalesce(scoring.judge_verdict(F.col("pred")), fallback).alias("correct"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
+def batched_days(t: Tables) -> DataFrame:
+    """Every day's summary as a batch of one run, written under its own name."""
+    path = scratch(t.spark, "days")
+    events = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+    batched_runs.run(events, "day", lambda rows: rows.groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users")), path, together=16)
+    return batched_runs.results(t.spark, path, "day").select("day", "n", "n_users")
