@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import posixpath
 import tarfile
-from collections.abc import Callable
+import time
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow.parquet as pq
@@ -15,6 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.functions.sampling import choose
 from corvane.functions.text import section_between
 from corvane.sources.files import read_tree
+from corvane.sources.remote import with_retry
+
+#: Characters of a frame of texts, but for the last text.
+FRAME_CHARS = 4 << 20
+_FILES = "archive string, path string, text string, error string"
 
 
 def footer_counts(spark: SparkSession, paths: DataFrame, path: str = "path") -> DataFrame:
@@ -56,23 +64,24 @@ def with_config(datasets: DataFrame, configs: DataFrame, path: str = "path") ->
 
 
 def read_source(spark: SparkSession, source: dict, fetch: Callable[[str], bytes] | None = None, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(name, text) of one source by its kind: text, file, folder, url, pdf or section.
+    """(name, text, error) of one source by its kind: text, file, folder, url, pdf or section.
 
     url and pdf go through the caller's ``fetch`` and ``pdf_text`` in a task;
-    section is what stands between two marks, ends included, of another source
-    ({of, start, end}).
+    what fails there is a row with its error. section is what stands between two
+    marks, ends included, of another source ({of, start, end}).
     """
     kind = source["kind"]
+    no_error = F.lit(None).cast("string").alias("error")
     name = F.lit(source.get("name", source.get("path", source.get("url", kind))))
     if kind == "text":
-        return spark.createDataFrame([(source["text"],)], "text string").select(name.alias("name"), "text")
+        return spark.createDataFrame([(source["text"],)], "text string").select(name.alias("name"), "text", no_error)
     if kind == "folder":
-        return read_tree(spark, source["path"], tuple(source.get("extensions", ())), source.get("recursive", True)).select(F.col("path").alias("name"), "text")
+        return read_tree(spark, source["path"], tuple(source.get("extensions", ())), source.get("recursive", True)).select(F.col("path").alias("name"), "text", no_error)
     if kind == "file":
-        return spark.read.text(source["path"], wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
+        return spark.read.text(source["path"], wholetext=True).select(name.alias("name"), F.col("value").alias("text"), no_error)
     if kind == "section":
         inner = read_source(spark, source["of"], fetch, pdf_text)
-        return inner.select("name", section_between(F.col("text"), source["start"], source["end"]).alias("text"))
+        return inner.select("name", section_between(F.col("text"), source["start"], source["end"]).alias("text"), "error")
     if kind not in ("url", "pdf"):
         raise ValueError(f"unknown kind of source: {kind}")
     if kind == "pdf" and pdf_text is None or "url" in source and fetch is None:
@@ -82,16 +91,22 @@ def read_source(spark: SparkSession, source: dict, fetch: Callable[[str], bytes]
     else:
         rows = spark.read.format("binaryFile").load(source["path"]).select(F.col("path").alias("location"), "content")
 
+    def read(location, content):
+        try:
+            data = content if content is not None else fetch(location)
+            return (pdf_text(data) if kind == "pdf" else data.decode("utf-8", "replace")), None
+        except Exception as e:  # noqa: BLE001  a fetch or a parser may fail in any way
+            return None, str(e) or type(e).__name__
+
     def run(batches):
         for pdf in batches:
-            data = [c if c is not None else fetch(u) for u, c in zip(pdf["location"], pdf["content"])]
-            yield pd.DataFrame({"text": [pdf_text(d) if kind == "pdf" else d.decode("utf-8", "replace") for d in data]})
+            yield pd.DataFrame([read(*x) for x in zip(pdf["location"], pdf["content"])], columns=["text", "error"])
 
-    return rows.mapInPandas(run, "text string").select(name.alias("name"), "text")
+    return rows.mapInPandas(run, "text string, error string").select(name.alias("name"), "text", "error")
 
 
 def read_sources(spark: SparkSession, sources: list[dict], **readers) -> DataFrame:
-    """(name, text) of several sources."""
+    """(name, text, error) of several sources."""
     out = None
     for source in sources:
         part = read_source(spark, source, **readers)
@@ -106,35 +121,74 @@ def one_file(files: DataFrame, seed: int) -> DataFrame:
     return choose(files, seed, ["path"])
 
 
+def _files(name: str, content: bytes | None, extensions: tuple[str, ...]) -> Iterator[tuple]:
+    """(archive, path, text, error) of an archive's files, one after the other."""
+    if content is None:
+        yield name, None, None, "no content"
+        return
+    found = False
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for member in tar:
+                found, path = True, posixpath.normpath(member.name)
+                if member.isfile() and not path.startswith(("/", "..")) and (not extensions or path.endswith(extensions)):
+                    yield name, path, tar.extractfile(member).read().decode("utf-8", "replace"), None
+    except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
+        if found or not isinstance(e, tarfile.ReadError):
+            yield name, None, None, str(e) or type(e).__name__
+            return
+        try:
+            yield name, name, gzip.decompress(content).decode("utf-8", "replace"), None
+        except (OSError, EOFError, zlib.error) as inner:
+            yield name, None, None, str(inner) or type(inner).__name__
+
+
+def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of a bounded number of characters, but for the last text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2] or "")
+        if size > FRAME_CHARS or len(held) >= 4096:
+            yield pd.DataFrame(held, columns=["archive", "path", "text", "error"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["archive", "path", "text", "error"])
+
+
 def unpack_archives(archives: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
     """(archive, path, text, error) of the files in tar archives (archive, content).
 
     Members that lead outside, links and devices are never read; an archive that
-    is a single compressed file is one text of its own name; one that can't be
-    read is a row with its error.
+    is a single compressed file is one text of its own name. One that can't be
+    read, or breaks off, is a row with its error after the files before; null
+    content is an error. A task holds one archive and some texts.
     """
 
-    def texts(name: str, content: bytes):
+    def run(batches):
+        yield from _frames(row for pdf in batches for x in zip(pdf["archive"], pdf["content"]) for row in _files(*x, extensions))
+
+    return archives.select("archive", "content").mapInPandas(run, _FILES)
+
+
+def fetch_archives(locations: DataFrame, fetch: Callable[[str], bytes], extensions: tuple[str, ...] = (), attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(archive, path, text, error) of the files in the archives that ``fetch`` gives for each location (archive), fetched and unpacked in one pass.
+
+    A location that can't be fetched after some attempts is a row with its error; a null one is left out.
+    """
+
+    def files(location):
         try:
-            with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                for member in tar:
-                    path = posixpath.normpath(member.name)
-                    if member.isfile() and not path.startswith(("/", "..")) and (not extensions or path.endswith(extensions)):
-                        yield name, path, tar.extractfile(member).read().decode("utf-8", "replace"), None
-        except tarfile.ReadError:
-            import gzip
-
-            try:
-                yield name, name, gzip.decompress(content).decode("utf-8", "replace"), None
-            except (OSError, EOFError) as e:
-                yield name, None, None, str(e)
+            content = with_retry(lambda: fetch(location), attempts, sleep)
+        except Exception as e:  # noqa: BLE001  a fetch may fail in any way
+            yield location, None, None, str(e) or type(e).__name__
+            return
+        yield from _files(location, content, extensions)
 
     def run(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["archive"], pdf["content"]):
-                yield pd.DataFrame(list(texts(name, content)), columns=["archive", "path", "text", "error"])
+        yield from _frames(row for pdf in batches for location in pdf["archive"] for row in files(location))
 
-    return archives.select("archive", "content").mapInPandas(run, "archive string, path string, text string, error string")
+    return locations.where("archive IS NOT NULL").select("archive").mapInPandas(run, _FILES)
 
 
 def write_json(rows: DataFrame, path: str, name: Column | None = None, folder: str = "config") -> None:

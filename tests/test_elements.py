@@ -206,6 +206,32 @@ def test_archives_are_unpacked_safely(spark, tmp_path):
     got = sorted((r.archive, str(r.path), r.text, bool(r.error)) for r in catalogs.unpack_archives(spark.createDataFrame(rows, "archive string, content binary"), (".tex",)).collect())
     assert got == [("bad", "None", None, True), ("g", "g", "alone", False), ("t", "main.tex", "in main.tex", False), ("t", "sub/x.tex", "in sub/x.tex", False)]
 
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w:gz") as tar:
+        for i in range(40):
+            info = tarfile.TarInfo(f"{i}.tex")
+            data = bytes((i * j * 7919) % 251 for j in range(4000))
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    cut = whole.getvalue()[: len(whole.getvalue()) // 2]
+    rows = [("cut", cut), ("cut gz", gzip.compress(bytes(range(256)) * 99)[:200]), ("none", None), ("t", held.getvalue())]
+    got = catalogs.unpack_archives(spark.createDataFrame(rows, "archive string, content binary")).collect()
+    assert {r.archive for r in got if r.error} == {"cut", "cut gz", "none"} and {r.path for r in got if r.archive == "t"} == {"main.tex", "sub/x.tex", "fig.png"}
+
+    stored = dict(rows)
+
+    def fetch(name):
+        if name == "away":
+            raise OSError("not there")
+        return stored[name]
+
+    asked = spark.createDataFrame([("t",), ("away",), (None,), ("cut",)], "archive string")
+    got = catalogs.fetch_archives(asked, fetch, (".tex",), sleep=lambda s: None).collect()
+    assert {(r.archive, r.error) for r in got if r.archive == "away"} == {("away", "not there")} and sorted(r.path for r in got if r.archive == "t") == ["main.tex", "sub/x.tex"]
+    assert sum(bool(r.error) for r in got if r.archive == "cut") == 1
+    failed = catalogs.read_source(spark, {"kind": "url", "url": "away"}, fetch=fetch).collect()
+    assert [(r.name, r.text, r.error) for r in failed] == [("away", None, "not there")]
+
 
 def test_json_folders_and_uploads(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string")
