@@ -69,13 +69,17 @@ def _marks(attributes: str) -> tuple[set[str], str, bool]:
     return words, shown, hidden
 
 
+#: Share of a page's text below which its rules have left nothing; characters of the least article that is looked for then.
+NOTHING, ARTICLE = 0.1, 400
+
+
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "dropped", "container", "in_article")
+    __slots__ = ("tag", "dropped", "container", "in_article", "mark")
 
-    def __init__(self, tag, dropped, container, in_article):
-        self.tag, self.dropped, self.container, self.in_article = tag, dropped, container, in_article
+    def __init__(self, tag, dropped, container, in_article, mark):
+        self.tag, self.dropped, self.container, self.in_article, self.mark = tag, dropped, container, in_article, mark
 
 
 class Page:
@@ -83,12 +87,15 @@ class Page:
 
     blocks: (text, length in links, innermost container); containers: (path,
     parent, whether its name says content, depth).  Container 0 is the page.
+    marks: (characters of its own, enclosing mark, whether it may hold an article) of
+    the elements that a word or being a form drops; those in ``spared`` stay.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] = frozenset()):
+        self.total, self.marks = 0, []
         self.blocks: list[tuple[str, int, int]] = []
         self.containers: list[tuple[str, int, bool, int]] = [("", -1, False, 0)]
-        stack = [_Open("", False, 0, False)]
+        stack = [_Open("", False, 0, False, -1)]
         piece: list[str] = []
         linked, in_link, at, n = 0, 0, 0, len(source)
         last_end, opened = source.rfind(">"), Counter()  # no tag ends beyond; how often each tag is open
@@ -104,6 +111,11 @@ class Page:
 
         def keep(text: str):
             nonlocal linked
+            if text and not in_link:
+                size = len(text.strip())
+                self.total += size
+                if stack[-1].mark >= 0:
+                    self.marks[stack[-1].mark][0] += size
             if text and not stack[-1].dropped:
                 piece.append(text)
                 if in_link:
@@ -151,14 +163,19 @@ class Page:
             named = tag in ("article", "main") or bool(words & CONTENT)
             in_article = top.in_article or named
             marked = bool(words & BOILERPLATE) and tag not in ("html", "body", "article", "main")
-            dropped = top.dropped or tag in DROPPED or hidden or marked or (tag == "header" or bool(words & HEADER)) and not top.in_article and tag not in ("html", "body", "article", "main")
+            form, mark = tag == "form", top.mark
+            if marked or form:
+                mark = len(self.marks)
+                self.marks.append([0, top.mark, form or bool(words & CONTENT)])
+                marked, form = marked and mark not in spared, form and mark not in spared
+            dropped = top.dropped or form or tag in DROPPED and tag != "form" or hidden or marked or (tag == "header" or bool(words & HEADER)) and not top.in_article and tag not in ("html", "body", "article", "main")
             container = top.container
             if tag in CONTAINERS and not dropped:
                 path, _, _, depth = self.containers[container]
                 self.containers.append((f"{path}/{tag}" + (f".{shown}" if shown else ""), container, named, depth + 1))
                 container = len(self.containers) - 1
-            if tag in BLOCKS or tag in CONTAINERS or dropped != top.dropped:
-                stack.append(_Open(tag, dropped, container, in_article))
+            if tag in BLOCKS or tag in CONTAINERS or dropped != top.dropped or mark != top.mark:
+                stack.append(_Open(tag, dropped, container, in_article, mark))
                 opened[tag] += 1
         flush()
 
@@ -192,6 +209,25 @@ class Page:
         return text or self.text({self.best()})
 
 
+def read_page(source: str) -> Page:
+    """The page; where its rules leave next to nothing, without them for elements that hold most of its text.
+
+    Such an element is named as content too (``content has-sidebar``), or is a
+    form around the page, and has as much text as an article: a word or a tag
+    alone never empties a page.
+    """
+    page = Page(source)
+    kept = sum(max(0, len(text) - linked) for text, linked, _ in page.blocks)
+    if not page.marks or kept > NOTHING * page.total:
+        return page
+    sizes = [m[0] for m in page.marks]
+    for i in range(len(sizes) - 1, -1, -1):
+        if page.marks[i][1] >= 0:
+            sizes[page.marks[i][1]] += sizes[i]
+    spared = frozenset(i for i, size in enumerate(sizes) if page.marks[i][2] and size >= max(ARTICLE, page.total / 2))
+    return Page(source, spared) if spared else page
+
+
 def host_of(url):
     """The host of a URL, lower case, without port and user; null and odd URLs share the empty host."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -202,7 +238,7 @@ def _voter(schema: pa.Schema):
         for batch in batches:
             hosts, paths, weights = batch.column(0).to_pylist(), [], []
             for source in batch.column(1).to_pylist():
-                page = Page(source)
+                page = read_page(source)
                 best = page.best()
                 paths.append(page.containers[best][0] if page.blocks else None)
                 weights.append(1 if page.blocks else 0)
@@ -226,7 +262,7 @@ def _extractor(fields: list[str], schema: pa.Schema):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sources, paths = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("__cv_html", "__cv_path"))
-                texts = [Page(s).by_path(p) for s, p in zip(sources, paths)]
+                texts = [read_page(s).by_path(p) for s, p in zip(sources, paths)]
                 made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
                 yield pa.RecordBatch.from_arrays([made[f] if f in made else part.column(f).cast(schema.field(f).type) for f in fields], schema=schema)
 

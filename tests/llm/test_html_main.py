@@ -98,3 +98,25 @@ def test_recall_and_precision_against_known_articles(spark, seed):
         found, total, given = found + (a & b).total(), total + a.total(), given + b.total()
     assert found >= 0.9 * total and found >= 0.9 * given
     assert sum(got[i] == text for i, text in want.items()) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("open_,close", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="entry-content no-comments">', "</div>"), ('<div class="post-body social-on">', "</div>"),
+    ('<section class="main-search">', "</section>"), ('<form id="aspnetForm" action="./">', "</form>"), ('<form><div class="content with-banner">', "</div></form>"),
+])
+def test_a_word_or_a_form_never_empties_an_article(open_, close):
+    article = " ".join(f"Sentence {i} of the article says something of its own." for i in range(20))
+    source = f'<html><body><nav><a href="/">Home</a></nav>{open_}<h1>Title</h1><p>{article}</p><div class="comments"><p>A reader says so.</p></div><form><input><label>Search here</label></form>{close}<footer>All rights reserved</footer></body></html>'
+    page = html_main.read_page(source)
+    assert page.by_path(None) == f"Title {article}"
+
+
+@pytest.mark.parametrize("body", ['<div class="cookie-notice"><p>{long}</p></div>', '<div class="comments"><p>{long}</p></div>', '<form><p>Name and password</p></form>', '<div class="content sidebar"><p>short</p></div>'])
+def test_pages_without_an_article_stay_empty(body):
+    long = "We use cookies, and readers say what they like about it. " * 30
+    assert html_main.read_page(f"<html><body>{body.format(long=long)}</body></html>").by_path(None) == ""
+
+
+def test_comments_longer_than_the_article_go():
+    source = f'<html><body><article><p>{"The article is short. " * 10}</p></article><section class="comments content"><p>{"A reader says a lot. " * 60}</p></section></body></html>'
+    assert html_main.read_page(source).by_path(None) == ("The article is short. " * 10).strip()
