@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from corvane.functions.sampling import below, uniform
+
 
 def pad_to(values: Column, n: Column | int, fill) -> Column:
     """The array with ``fill`` behind it up to n elements."""
@@ -55,6 +57,69 @@ def flatten_json(df: DataFrame, column: str, keys: list[str], separator: str = "
     return df.select(*keys, column).mapInPandas(run, schema)
 
 
+#: Texts nested deeper aren't read by the JVM's parser.
+DEEPEST = 1000
+
+
+def node_array(document: Column, separator: str = "/") -> Column:
+    """array<struct<path, kind, value, leaf>> by path: the nodes of a VARIANT, built level by level.
+
+    kind: object, array or value.  value: JSON without white space, numbers in
+    their shortest form, strings bare.  An empty object or array is a leaf.
+    Object keys are sorted; a null gives null.  One row's nodes are held at once.
+    """
+    at = lambda n, k: F.when(n["path"] == "", k).otherwise(F.concat(n["path"], F.lit(separator), k))
+    as_map = lambda n: F.try_variant_get(n["value"], "$", "map<string,variant>")
+    as_list = lambda n: F.try_variant_get(n["value"], "$", "array<variant>")
+    node = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+
+    def below_it(n: Column) -> Column:
+        fields = F.transform(F.map_entries(as_map(n)), lambda e: node(at(n, e["key"]), e["value"]))
+        places = F.transform(as_list(n), lambda x, i: node(at(n, i.cast("string")), x))
+        return F.coalesce(fields, places, F.array().cast("array<struct<path:string,value:variant>>"))
+
+    def level(s: Column, _: Column) -> Column:
+        deeper = F.struct(F.concat(s["done"], s["open"]).alias("done"), F.flatten(F.transform(s["open"], below_it)).alias("open"))
+        return F.when(F.size(s["open"]) == 0, s).otherwise(deeper)
+
+    def shown(n: Column) -> Column:
+        kind = F.when(as_map(n).isNotNull(), "object").when(as_list(n).isNotNull(), "array").otherwise("value")
+        value = F.when(F.is_variant_null(n["value"]), "null").otherwise(F.try_variant_get(n["value"], "$", "string"))
+        leaf = F.coalesce(F.size(as_map(n)) == 0, F.size(as_list(n)) == 0, F.lit(True))
+        return F.struct(n["path"].alias("path"), kind.alias("kind"), value.alias("value"), leaf.alias("leaf"))
+
+    # No document has more levels than opening brackets.
+    text = F.to_json(document)
+    levels = F.least(F.length(F.regexp_replace(text, r"[^\[{]", "")) + 1, F.lit(DEEPEST + 1))
+    nothing = F.array().cast("array<struct<path:string,value:variant>>")
+    start = F.struct(nothing.alias("done"), F.array(node(F.lit(""), document)).alias("open"))
+    return F.when(document.isNotNull(), F.array_sort(F.transform(F.aggregate(F.sequence(F.lit(1), levels), start, level)["done"], shown)))
+
+
+def json_nodes(df: DataFrame, column: str, keys: list[str], separator: str = "/") -> DataFrame:
+    """(*keys, path, kind, value, leaf): every node of JSON texts, all in the JVM, without a shuffle.
+
+    A text that isn't JSON, repeats a key or is nested over 1,000 deep gives one
+    row of the kind ``unreadable`` with null path and value; a null text gives none.
+    """
+    unreadable = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("leaf")))
+    nodes = F.coalesce(node_array(F.try_parse_json(column), separator), F.when(F.col(column).isNotNull(), unreadable))
+    return df.select(*keys, F.inline(nodes))
+
+
+def draw_nodes(df: DataFrame, column: str, keys: list[str], seed: int, draws: int = 1, leaves_only: bool = False, separator: str = "/") -> DataFrame:
+    """(*keys, draw, path, kind, value): nodes of each JSON text, drawn evenly with replacement, with all that is below them.
+
+    A draw is a hash of (seed, keys, draw) over the nodes by path, so it doesn't
+    depend on the partitioning.  Texts that are null or unreadable give no rows.
+    """
+    nodes = node_array(F.try_parse_json(column), separator)
+    held = df.select(*keys, (F.filter(nodes, lambda n: n["leaf"]) if leaves_only else nodes).alias("__nodes")).where("__nodes IS NOT NULL")
+    drawn = held.select(*keys, "__nodes", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")) if draws > 0 else held.limit(0).withColumn("draw", F.lit(0))
+    one = F.get("__nodes", below(uniform(seed, *keys, "draw"), F.size("__nodes")))
+    return drawn.withColumn("__node", one).select(*keys, "draw", "__node.path", "__node.kind", "__node.value")
+
+
 def unflatten(pairs: dict[str, object]) -> object:
     """Nested value of dotted keys; nulls are dropped, keys 0..n-1 make a list."""
     root: dict = {}

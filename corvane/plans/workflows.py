@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import nested, sampling
 from corvane.operators import analytics, scoring, synthesis, tables
-from corvane.plans.registry import Tables, query
+from corvane.plans.registry import Tables, query, sql_uniform
 from corvane.runtime import scratch
 from corvane.sources.files import python_imports
 from corvane.sources.mail import payload_body
@@ -18,7 +18,34 @@ from corvane.streaming import events as stream
 
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def json_flatten(t: Tables) -> DataFrame:
-    return nested.flatten_json(t.events, "props", ["event_id"])
+    return nested.json_nodes(t.events, "props", ["event_id"]).where("leaf").select("event_id", "path", "value")
+
+
+_EVENT_NODES = """SELECT event_id, p AS path, CASE p WHEN 'none' THEN 'array' WHEN 'at/what' THEN 'array' WHEN '' THEN 'object' WHEN 'at' THEN 'object' WHEN 'props' THEN 'object' ELSE 'value' END AS kind,
+  CASE p WHEN '' THEN '{"at":' || inner_doc || ',"none":[],"props":' || props || '}' WHEN 'at' THEN inner_doc WHEN 'at/user' THEN user_id::VARCHAR WHEN 'at/what' THEN what WHEN 'at/what/0' THEN event_type WHEN 'at/what/1' THEN k WHEN 'none' THEN '[]' WHEN 'props' THEN props ELSE k END AS value,
+  p NOT IN ('', 'at', 'at/what', 'props') AS leaf
+FROM (SELECT *, '{"user":' || user_id || ',"what":' || what || '}' AS inner_doc, '{"k":' || k || '}' AS props FROM (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k') AS k, '["' || event_type || '",' || json_extract_string(props, '$.k') || ']' AS what FROM events)),
+  (VALUES (''), ('at'), ('at/user'), ('at/what'), ('at/what/0'), ('at/what/1'), ('none'), ('props'), ('props/k')) AS v(p)"""
+
+
+def _event_documents(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    what = F.concat(F.lit('["'), "event_type", F.lit('",'), k.cast("string"), F.lit("]"))
+    return t.events.select("event_id", F.concat(F.lit('{"props": '), "props", F.lit(', "none": [], "at": {"user": '), F.col("user_id").cast("string"), F.lit(', "what": '), what, F.lit("}}")).alias("doc"))
+
+
+@query(_EVENT_NODES)
+def json_all_nodes(t: Tables) -> DataFrame:
+    return nested.json_nodes(_event_documents(t), "doc", ["event_id"])
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY path) - 1 AS place, count(*) OVER (PARTITION BY event_id) AS n FROM ({_EVENT_NODES})),
+d AS (SELECT event_id, draw::INTEGER AS draw FROM events, range(3) AS r(draw))
+SELECT event_id, draw, path, 'The following is located at ' || path || ': ' || value AS context FROM n JOIN d USING (event_id) WHERE place = floor({sql_uniform(31, 'event_id', 'draw')} * n)""")
+def json_subtree_draws(t: Tables) -> DataFrame:
+    """Contexts from subtrees of JSON documents."""
+    drawn = nested.draw_nodes(_event_documents(t), "doc", ["event_id"], 31, draws=3)
+    return drawn.select("event_id", "draw", "path", F.concat(F.lit("The following is located at "), "path", F.lit(": "), "value").alias("context"))
 
 
 @query("SELECT event_id, p AS path, CASE p WHEN '' THEN '{\"a\": [1, {\"k\": ' || k || '}]}' WHEN 'a' THEN '[1, {\"k\": ' || k || '}]' WHEN 'a/0' THEN '1' WHEN 'a/1' THEN '{\"k\": ' || k || '}' ELSE k END AS value FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events), (VALUES (''), ('a'), ('a/0'), ('a/1'), ('a/1/k')) AS v(p)")

@@ -45,6 +45,28 @@ def test_flattening_follows_the_documented_paths(spark):
     assert nested.unflatten({"a.0": 1, "a.1": 2, "b.c": None, "d": float("nan"), "e.x": 3}) == {"a": [1, 2], "e": {"x": 3}}
 
 
+def test_nodes_and_draws_of_json(spark):
+    deep = "[" * 400 + "7" + "]" * 400
+    rows = [(1, '{"b": [1, {"k": 1.50}], "a": {"x/y": "q\\"r"}, "n": null, "e": {}}'), (2, "nope"), (3, '{"a": 1, "a": 2}'), (4, None), (5, '"s"'), (6, deep), (7, "[" * 1200 + "]" * 1200), (8, "null"), (9, "[]"), (10, "")]
+    df = spark.createDataFrame(rows, "id int, doc string")
+    got = nested.json_nodes(df, "doc", ["id"]).collect()
+    of = lambda i: [(r.path, r.kind, r.value, r.leaf) for r in got if r.id == i]
+    assert of(1) == [
+        ("", "object", '{"a":{"x/y":"q\\"r"},"b":[1,{"k":1.5}],"e":{},"n":null}', False), ("a", "object", '{"x/y":"q\\"r"}', False), ("a/x/y", "value", 'q"r', True),
+        ("b", "array", '[1,{"k":1.5}]', False), ("b/0", "value", "1", True), ("b/1", "object", '{"k":1.5}', False), ("b/1/k", "value", "1.5", True), ("e", "object", "{}", True), ("n", "value", "null", True),
+    ]
+    assert of(2) == of(3) == of(7) == of(10) == [(None, "unreadable", None, False)] and of(4) == []
+    assert of(5) == [("", "value", "s", True)] and of(8) == [("", "value", "null", True)] and of(9) == [("", "array", "[]", True)]
+    assert len(of(6)) == 401 and of(6)[-1] == ("/".join(["0"] * 400), "value", "7", True)
+    draws = nested.draw_nodes(df, "doc", ["id"], 5, draws=2000)
+    seen = draws.where("id = 1").groupBy("path", "value").count().collect()
+    assert {(r.path, r.value) for r in seen} == {x[::2] for x in of(1)} and all(130 < r["count"] < 320 for r in seen)
+    assert {r.id for r in draws.select("id").distinct().collect()} == {1, 5, 6, 8, 9}
+    assert sorted(draws.collect()) == sorted(nested.draw_nodes(df.repartition(7), "doc", ["id"], 5, draws=2000).collect())
+    assert {r.path for r in nested.draw_nodes(df, "doc", ["id"], 5, draws=300, leaves_only=True).where("id = 1").collect()} == {"a/x/y", "b/0", "b/1/k", "e", "n"}
+    assert nested.draw_nodes(df, "doc", ["id"], 5, draws=0).count() == 0
+
+
 def dense(spark, rows):
     return spark.createDataFrame([(0, i, k, 10 * (k + 1), lp) for i, row in enumerate(rows) for k, lp in enumerate(row)], "msg_id long, token_idx int, k int, token_id int, logprob double")
 
