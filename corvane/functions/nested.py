@@ -90,7 +90,7 @@ def node_array(document: Column, separator: str = "/") -> Column:
 
     # No document has more levels than opening brackets.
     text = F.to_json(document)
-    levels = F.least(F.length(F.regexp_replace(text, r"[^\[{]", "")) + 1, F.lit(DEEPEST + 1))
+    levels = F.least(F.length(text) - F.length(F.translate(text, "[{", "")) + 1, F.lit(DEEPEST + 1))
     nothing = F.array().cast("array<struct<path:string,value:variant>>")
     start = F.struct(nothing.alias("done"), F.array(node(F.lit(""), document)).alias("open"))
     return F.when(document.isNotNull(), F.array_sort(F.transform(F.aggregate(F.sequence(F.lit(1), levels), start, level)["done"], shown)))
@@ -114,7 +114,8 @@ def draw_nodes(df: DataFrame, column: str, keys: list[str], seed: int, draws: in
     depend on the partitioning.  Texts that are null or unreadable give no rows.
     """
     nodes = node_array(F.try_parse_json(column), separator)
-    held = df.select(*keys, (F.filter(nodes, lambda n: n["leaf"]) if leaves_only else nodes).alias("__nodes")).where("__nodes IS NOT NULL")
+    readable = df.where(F.try_parse_json(column).isNotNull())
+    held = readable.select(*keys, (F.filter(nodes, lambda n: n["leaf"]) if leaves_only else nodes).alias("__nodes"))
     drawn = held.select(*keys, "__nodes", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")) if draws > 0 else held.limit(0).withColumn("draw", F.lit(0))
     one = F.get("__nodes", below(uniform(seed, *keys, "draw"), F.size("__nodes")))
     return drawn.withColumn("__node", one).select(*keys, "draw", "__node.path", "__node.kind", "__node.value")
