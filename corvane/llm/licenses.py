@@ -7,7 +7,9 @@ increasing subsequence, gaps are aligned the same way, a gap without such words
 by its longest common subsequence, and the share of template words matched is
 the coverage.  Copies that stand together are sought around the rare words of
 the template first; then each stretch between them is aligned as a whole, so
-that any number of foreign words may stand inside an occurrence.
+that any number of foreign words may stand inside an occurrence.  No occurrence
+holds words that its template excludes, so the text is cut at these beforehand.
+Of the words that match, those nearest to each other are taken.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ COVERAGE = 80
 
 @dataclass(frozen=True)
 class Template:
-    """must, never: words without which, or with which inside it, a match doesn't count.
+    """must: words without which a match doesn't count.  never: words, or words in a row, that no occurrence holds.
 
     phrase: a notice of few and common words, which must stand together: within
     half its length more of foreign words.
@@ -66,8 +68,8 @@ TEMPLATES = (
     Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered",)),
     Template("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     Template("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ("apache",)),
-    Template("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("2", "gnu"), ("lesser", "affero")),
-    Template("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("3", "gnu"), ("lesser", "affero")),
+    Template("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("2", "gnu"), ("gnu lesser", "gnu affero")),
+    Template("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("3", "gnu"), ("gnu lesser", "gnu affero")),
     Template("LGPL-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("lesser", "gnu")),
     Template("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("affero", "gnu")),
 )
@@ -137,18 +139,30 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _nearest(text: list, end: int, words: list) -> list[int]:
+    """Places of the words, in their order, in the shortest stretch of the text whose last word is at ``end`` or before it."""
+    i = end + 1
+    for w in reversed(words):
+        i -= 1
+        while text[i] != w:
+            i -= 1
+    out = []
+    for w in words:
+        while text[i] != w:
+            i += 1
+        out.append(i)
+        i += 1
+    return out
+
+
 class _Prepared:
     """Templates as lists of word hashes, and for each distinct word how many places it fills."""
 
     def __init__(self, templates: tuple[Template, ...]):
         self.names = [t.name for t in templates]
-        lists = []
-        for column in ([t.text for t in templates], [" ".join(t.must) for t in templates], [" ".join(t.never) for t in templates]):
-            found = []
-            for a, b, words in blocks(pa.array(column, pa.string()), ALNUM_WORDS):
-                found += [words.hash[words.first[i] : words.first[i + 1]] for i in range(b - a)]
-            lists.append(found)
-        self.words, self.must, self.never = [x.tolist() for x in lists[0]], *([set(x.tolist()) for x in y] for y in lists[1:])
+        lists = [self._hashes([t.text for t in templates]), self._hashes([" ".join(t.must) for t in templates])]
+        self.words, self.must = [x.tolist() for x in lists[0]], [set(x.tolist()) for x in lists[1]]
+        self.never = [[x.tolist() for x in self._hashes(list(t.never)) if len(x)] for t in templates]
         self.phrase = [t.phrase for t in templates]
         self.vocabulary = np.unique(np.concatenate(lists[0])) if templates else np.zeros(0, dtype=np.uint64)
         self.places = np.zeros((len(self.vocabulary), len(templates)), dtype=np.int32)
@@ -156,10 +170,31 @@ class _Prepared:
             np.add.at(self.places, (np.searchsorted(self.vocabulary, words), i), 1)
         self.size = np.array([len(x) for x in self.words])
 
+    @staticmethod
+    def _hashes(texts: list[str]) -> list[np.ndarray]:
+        found = []
+        for a, b, words in blocks(pa.array(texts, pa.string()), ALNUM_WORDS):
+            found += [words.hash[words.first[i] : words.first[i + 1]] for i in range(b - a)]
+        return found
+
     def scan(self, hashes: list, which: int, coverage: int) -> list[tuple[int, int, int]]:
         """(first word, word after the last, matched words) of each occurrence, not overlapping."""
+        cuts = []
+        for run in self.never[which]:
+            cuts += [(i, i + len(run)) for i, w in enumerate(hashes) if w == run[0] and hashes[i : i + len(run)] == run]
+        out, start = [], 0
+        for a, b in [*sorted(cuts), (len(hashes), len(hashes) + 1)]:
+            for hit in self._scan(hashes[start : b - 1], which, coverage):
+                out.append((hit[0] + start, hit[1] + start, hit[2]))
+            start = max(a + 1, out[-1][1] if out else 0)
+        return out
+
+    def _scan(self, hashes: list, which: int, coverage: int) -> list[tuple[int, int, int]]:
+        """The same, of a stretch without excluded words."""
         template, m = self.words[which], self.size[which]
         need = -(-m * coverage // 100)
+        if len(hashes) < need:
+            return []
         counts = Counter(hashes)
         # An occurrence lacks at most m - need places: of any more, one is there.
         places = sorted(range(m), key=lambda j: (counts[template[j]], j))[: m - need + 1]
@@ -182,9 +217,11 @@ class _Prepared:
                 if len(wider) <= len(matched):
                     break
                 lo, hi, matched = first, last, wider
-            if hit := self._hit(hashes, lo, matched, which, need):
-                out.append(hit)
-                free = hit[1]
+            if len(matched) >= need:
+                *hit, right = self._hit(hashes, lo, matched, which, need)
+                if right:
+                    out.append(tuple(hit))
+                    free = hit[1]
         if self.phrase[which]:
             return out
         edges = [0, *(x for hit in out for x in hit[:2]), len(hashes)]
@@ -194,16 +231,28 @@ class _Prepared:
             here = set(hashes[lo:hi]) if hi - lo >= need else ()
             if sum(w in here for w in template) < need:
                 continue
-            if hit := self._hit(hashes, lo, align(hashes[lo:hi], template), which, need):
-                out.append(hit)
+            if len(matched := align(hashes[lo:hi], template)) >= need:
+                *hit, right = self._hit(hashes, lo, matched, which, need)
                 todo += [(lo, hit[0]), (hit[1], hi)]
-        return out
+                if right:
+                    out.append(tuple(hit))
+        return sorted(out)
 
-    def _hit(self, hashes: list, lo: int, matched: list[tuple[int, int]], which: int, need: int) -> tuple[int, int, int] | None:
-        if len(matched) < need or not self.must[which] <= {self.words[which][j] for _, j in matched}:
-            return None
-        a, b = lo + matched[0][0], lo + matched[-1][0] + 1
-        return None if self.never[which] and self.never[which] & set(hashes[a:b]) else (a, b, len(matched))
+    def _hit(self, hashes: list, lo: int, matched: list[tuple[int, int]], which: int, need: int) -> tuple[int, int, int, bool]:
+        """First word, word after the last, matched words, and whether none that must be there is missing."""
+        template, m = self.words[which], self.size[which]
+        places = _nearest(hashes, lo + matched[-1][0], [template[j] for _, j in matched])
+        first, last, few = 0, len(places), max(1, m // 20)
+        for _ in range(m - need):  # a few words far off are chance
+            ahead = next((k for k in range(first + 1, min(first + few, last - 1) + 1) if places[k] - places[k - 1] > m), 0)
+            behind = next((k for k in range(last - 1, max(last - few, first + 1) - 1, -1) if places[k] - places[k - 1] > m), 0)
+            if ahead and last - ahead >= need and not self.must[which] & {template[j] for _, j in matched[first:ahead]}:
+                first = ahead
+            elif behind and behind - first >= need and not self.must[which] & {template[j] for _, j in matched[behind:last]}:
+                last = behind
+            else:
+                break
+        return places[first], places[last - 1] + 1, last - first, self.must[which] <= {template[j] for _, j in matched[first:last]}
 
     @staticmethod
     def _tighter(region: list, template: list, at: int, m: int) -> list[tuple[int, int]]:
