@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.sampling import uniform
-from corvane.operators import batched_runs, benchmarks as bm, chunking, scoring
+from corvane.operators import batched_runs, benchmarks as bm, chunking, panels, scoring
 from corvane.operators.synthesis import EchoClient
 from corvane.plans.registry import Tables, query, sql_uniform
 from corvane.runtime import scratch
@@ -129,3 +129,39 @@ def batched_days(t: Tables) -> DataFrame:
     events = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
     batched_runs.run(events, "day", lambda rows: rows.groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users")), path, together=16)
     return batched_runs.results(t.spark, path, "day").select("day", "n", "n_users")
+
+
+def _talk_frame(body, n):
+    return F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit(" ("), F.col("first_role"), F.lit(" begins), "), n.cast("string"), F.lit(" parts\n"), panels.tagged(F.lit("talk"), body))
+
+
+def _talk_part(part, text):
+    return panels.tagged(F.concat(F.lit("turn-"), part.cast("string")), text)
+
+
+def _talks(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"))
+
+
+_FIRST_ROLES = "SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id"
+_TALK = "'Talk ' || conv_id || ' (' || first_role || ' begins), ' || n_parts || ' parts' || chr(10) || '<talk>' || chr(10) || body || chr(10) || '</talk>'"
+_TALK_PART = "'<turn-' || turn || '>' || chr(10) || {} || chr(10) || '</turn-' || turn || '>'"
+
+
+@query(f"""WITH l AS (SELECT conv_id, row_number() OVER (ORDER BY {sql_uniform(51, 'conv_id')}, conv_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT draw, floor({sql_uniform(52, 'draw')} * n) AS pos, 1 + floor({sql_uniform(53, 'draw')} * 3) AS k FROM (SELECT unnest(range(n)) AS draw, n FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations))),
+r AS (SELECT draw, k, conv_id, turn, text, row_number() OVER (PARTITION BY draw ORDER BY {sql_uniform(54, 'draw', 'turn')}, turn) - 1 AS place FROM d JOIN l USING (pos) JOIN conversations USING (conv_id)),
+w AS (SELECT *, CASE WHEN length(text) > 40 THEN '... ' || substr(text, floor({sql_uniform(55, 'draw', 'turn')} * (length(text) - 39))::BIGINT + 1, 40) || ' ...' ELSE text END AS shown FROM r WHERE place < k),
+g AS (SELECT draw, conv_id, count(*)::INTEGER AS n_parts, string_agg({_TALK_PART.format('shown')}, chr(10) ORDER BY place) AS body FROM w GROUP BY draw, conv_id)
+SELECT draw, conv_id, n_parts, md5({_TALK}) AS digest FROM g JOIN ({_FIRST_ROLES}) USING (conv_id)""")
+def record_part_draws(t: Tables) -> DataFrame:
+    """As many contexts as there are conversations, each of one to three drawn messages of a drawn conversation, long ones cut to a drawn window."""
+    talks = _talks(t)
+    made = panels.drawn_contexts(talks, t.conversations, "conv_id", "turn", "text", _talk_part, _talk_frame, talks.count(), 51, 1, 3, max_chars=40)
+    return made.select("draw", "conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT conv_id, n_parts, md5({_TALK}) AS digest FROM (SELECT conv_id, count(*)::INTEGER AS n_parts, string_agg({_TALK_PART.format('text')}, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) JOIN ({_FIRST_ROLES}) USING (conv_id)")
+def record_contexts(t: Tables) -> DataFrame:
+    made = panels.whole_contexts(_talks(t), t.conversations, "conv_id", "turn", "text", _talk_part, _talk_frame)
+    return made.select("conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("digest"))

@@ -150,6 +150,25 @@ def patient_items(spark: SparkSession, path: str, ids: list[str] | None = None)
     return rows.select("patient", F.concat_ws("_", "patient", F.col("q.No").cast("string")).alias("question_id"), "q.question", F.array(*(f"q.{x}" for x in letters)).alias("options"), "q.correct")
 
 
+def patient_notes(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
+    """(patient, name, birthday, diagnosis, note, text), a row a note, of {patient: {name, birthday, diagnosis, texts: {note: text}}}; ids keep those patients."""
+    body = "struct<name:string, birthday:string, diagnosis:string, texts:map<string,string>>"
+    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {body}>")).alias("patient", "p"))
+    doc = doc if ids is None else doc.where(F.col("patient").isin(*ids))
+    return doc.select("patient", "p.name", "p.birthday", "p.diagnosis", F.explode_outer("p.texts").alias("note", "text"))
+
+
+def paper_sections(papers: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """(paper, title, abstract, section, heading, text), a row a section, of (id, title, abstract, full_text struct<section_name, paragraphs>).
+
+    A missing paragraph list or heading is empty; asked ids that aren't there raise ValueError.
+    """
+    kept = papers if ids is None else expect_rows(papers.where(F.col("id").isin(*ids)), len(set(ids)))
+    zipped = F.arrays_zip(F.col("full_text.section_name").alias("heading"), F.col("full_text.paragraphs").alias("paragraphs"))
+    rows = kept.select(F.col("id").alias("paper"), "title", "abstract", F.posexplode_outer(zipped).alias("section", "s"))
+    return rows.select("paper", "title", "abstract", "section", F.coalesce("s.heading", F.lit("")).alias("heading"), F.coalesce(F.array_join("s.paragraphs", "\n"), F.lit("")).alias("text"))
+
+
 def expect_rows(df: DataFrame, n: int) -> DataFrame:
     """The rows, after a check that there are exactly ``n``; else ValueError."""
     found = df.limit(n + 1).count()
