@@ -22,7 +22,9 @@ dealt at random, so that no context prefers one, and have their share.
 Training: each token is used once, in ``ROUNDS`` of growing parts of the texts.
 In a round tasks start from the same parameters and train apart; a tree of sums
 averages each row of the parameters by the gradient that it met in each task.
-A task has ``TASK_TOKENS`` or more, so the result hardly hangs on how the table is cut.
+There is one task for each ``TASK_TOKENS`` training tokens begun, of which it meets
+a round's share: an eighth in the first, five eighths in the last.  A cut into
+many small tasks learns less than one task does.
 
 Scores: batched matrix products give both normalisers for every token, so its
 log-probabilities are normalised over all words.
@@ -55,7 +57,7 @@ TRIGRAMS, SUFFIXES = 1 << 13, 1 << 10
 DIMENSION, BATCH, NOISE, MEMBER_NOISE, RATE = 8, 4096, 64, 1, 0.12
 #: Words before that the mean takes.
 WINDOW = 64
-#: Parts (of 8) of the texts in each round of training; tokens of a training task at least.
+#: Parts (of 8) of the texts in each round of training; training tokens for which there is one task.
 ROUNDS, TASK_TOKENS = (1, 2, 5), 1_000_000
 
 _SPELL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
