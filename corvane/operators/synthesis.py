@@ -64,7 +64,7 @@ def tool_step(model: Client, tools: dict[str, Tool], contexts: list[str], talks:
 
     The model is asked once for all talks; calls of one tool run as one batch,
     and each output goes to the talk that asked. An unknown tool, arguments that
-    aren't JSON and a tool that fails give errors for those calls alone.
+    aren't JSON, a tool that fails and outputs that are exceptions give errors for those calls alone.
     """
     listed = "\n".join(definition for definition, _ in tools.values())
     asked = [[{"role": "system", "content": f"{c}\n\nTools:\n{listed}\nAnswer with <tool_call>{{\"name\": ..., \"arguments\": ...}}</tool_call>, or without one."}, *t] for c, t in zip(contexts, talks)]
@@ -87,7 +87,8 @@ def tool_step(model: Client, tools: dict[str, Tool], contexts: list[str], talks:
                 by_tool.setdefault(name, []).append((i, place, arguments))
     for name, calls in by_tool.items():
         try:
-            done = [(name, True, x) for _, x in zip(calls, tools[name][1]([a for *_, a in calls]), strict=True)]
+            found = zip(calls, tools[name][1]([a for *_, a in calls]), strict=True)
+            done = [(name, False, str(x) or type(x).__name__) if isinstance(x, Exception) else (name, True, x) for _, x in found]
         except Exception as e:  # noqa: BLE001  a tool may fail in any way
             done = [(name, False, str(e) or type(e).__name__)] * len(calls)
         for (i, place, _), result in zip(calls, done):

@@ -9,6 +9,7 @@ from corvane.operators import batched_runs, benchmarks as bm, chunking, panels,
 from corvane.operators.synthesis import EchoClient
 from corvane.plans.registry import Tables, query, sql_uniform
 from corvane.runtime import scratch
+from corvane.sources import toolserver
 
 
 @query("SELECT item_id, 'q' || item_id AS query, upper(left(text, 3)) AS answer FROM benchmark WHERE item_id % 4 = 2")
@@ -165,3 +166,13 @@ def record_part_draws(t: Tables) -> DataFrame:
 def record_contexts(t: Tables) -> DataFrame:
     made = panels.whole_contexts(_talks(t), t.conversations, "conv_id", "turn", "text", _talk_part, _talk_frame)
     return made.select("conv_id", "n_parts", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN replace(text, ' ', '-') WHEN 1 THEN length(text)::VARCHAR END AS response, CASE item_id % 4 WHEN 2 THEN 'not an allowed tool' WHEN 3 THEN 'missing argument: text' END AS error FROM benchmark")
+def tool_server_calls(t: Tables) -> DataFrame:
+    """Calls of a server of which two tools are allowed."""
+    server = toolserver.ToolServer(toolserver.TextServer, ("dashed", "count"))
+    kind = F.col("item_id") % 4
+    tool = F.when(kind == 0, "dashed").when(kind == 2, "drop").otherwise("count")
+    arguments = F.to_json(F.struct(F.when(kind != 3, F.col("text")).alias("text")))
+    return toolserver.call_tools(t.benchmark.select("item_id", tool.alias("tool"), arguments.alias("arguments")), server).select("item_id", "response", "error")

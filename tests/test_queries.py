@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
 
 def test_sql_queries_run_no_python(spark):
     """Queries that SQL can express stay in the JVM, but for parsers, footers, folds and states that can't."""
-    python = {"ast_imports", "json_flatten_containers", "json_unflatten", "mime_body", "tool_scatter_gather_mock", "pack_pad", "pack_truncate", "collate_positions", "stream_temporal", "stream_dedup", "topo_levels", "footer_counts", "wide_runs", "stream_streaks", "bm25_topk", "context_reassembly", "embedding_lookup", "reply_elements", "stream_closed_sessions", "shard_scan", "cosine_topk"}
+    python = {"ast_imports", "json_flatten_containers", "json_unflatten", "mime_body", "tool_scatter_gather_mock", "pack_pad", "pack_truncate", "collate_positions", "stream_temporal", "stream_dedup", "topo_levels", "footer_counts", "wide_runs", "stream_streaks", "bm25_topk", "context_reassembly", "embedding_lookup", "reply_elements", "stream_closed_sessions", "shard_scan", "cosine_topk", "tool_server_calls"}
     for name in set(catalog.SQL) - python:
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "ArrowEval" not in plan and "MapIn" not in plan, name
