@@ -132,18 +132,17 @@ def fill_sections(lines: DataFrame, by: list[str], order: str, text: str, tokens
     """(by, section, n_sections, content, tokens): lines put in order into sections until the next one with ``buffer`` tokens to spare no longer fits.
 
     A line that fits no section raises an error. The fold is over one
-    document's lines, an array of a row.
+    document's lines, an array of a row, and keeps where each section begins.
     """
     checked = F.when(F.col(tokens) + buffer < most, F.col(tokens)).otherwise(F.raise_error(F.lit("a line is longer than a section"))).cast("bigint")
     folded = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("line"), checked.alias("n")))).alias("__l"))
-    state = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("section"), F.array().cast("array<int>").alias("places"))
+    state = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("place"), F.array(F.lit(1)).alias("starts"))
 
     def put(s: Column, x: Column) -> Column:
-        over = s["used"] + x["n"] + buffer > most
-        section = F.when(over, s["section"] + 1).otherwise(s["section"])
-        return F.struct(F.when(over, x["n"]).otherwise(s["used"] + x["n"]).alias("used"), section.alias("section"), F.concat(s["places"], F.array(section)).alias("places"))
-
-    places = folded.withColumn("__p", F.aggregate("__l", state, put)["places"])
-    rows = places.select(*by, F.explode(F.arrays_zip(F.col("__l").alias("l"), F.col("__p").alias("p"))).alias("x")).select(*by, F.col("x.p").alias("section"), F.col("x.l").alias("l"))
-    made = rows.groupBy(*by, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("content"), F.sum("l.n").alias("tokens"))
-    return made.select(*by, (F.col("section") + 1).alias("section"), F.count("*").over(Window.partitionBy(*by)).alias("n_sections"), "content", "tokens")
+        over, place = s["used"] + x["n"] + buffer > most, s["place"] + 1
+        return F.struct(F.when(over, x["n"]).otherwise(s["used"] + x["n"]).alias("used"), place.alias("place"), F.when(over, F.concat(s["starts"], F.array(place))).otherwise(s["starts"]).alias("starts"))
+
+    cut = folded.withColumn("__s", F.aggregate("__l", state, put)["starts"]).select(*by, "__l", "__s", F.posexplode("__s").alias("__i", "__from"))
+    held = F.slice("__l", F.col("__from"), F.coalesce(F.get("__s", F.col("__i") + 1), F.size("__l") + 1) - F.col("__from"))
+    rows = cut.select(*by, (F.col("__i") + 1).alias("section"), F.size("__s").cast("bigint").alias("n_sections"), held.alias("__h"))
+    return rows.select(*by, "section", "n_sections", F.array_join(F.transform("__h", lambda x: x["line"]), "\n").alias("content"), F.aggregate("__h", F.lit(0).cast("bigint"), lambda t, x: t + x["n"]).alias("tokens"))

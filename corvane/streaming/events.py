@@ -93,19 +93,25 @@ def upsert_each_batch(stream: DataFrame, path: str, by: list[str], recency: list
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _newest_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """Folder of the newest complete version of each part, of versions below ``before``."""
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, dict[int, str]]]:
+    """Number and part folders of each complete version, oldest first."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     root = hadoop(path)
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(root):
-        return {}
+        return []
     number = lambda x: int(x.getPath().getName().split("=")[1])
     versions = [x for x in system.listStatus(root) if x.getPath().getName().startswith("v=") and system.exists(hadoop(x.getPath(), "_SUCCESS"))]
+    parts = lambda v: {number(x): x.getPath().toString() for x in system.listStatus(v.getPath()) if x.getPath().getName().startswith("part=")}
+    return sorted(((number(v), parts(v)) for v in versions), key=lambda v: v[0])
+
+
+def _newest_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """Folder of the newest complete version of each part, of versions below ``before``."""
     out = {}
-    for version in sorted(versions, key=number):
-        if before is None or number(version) < before:
-            out |= {number(x): x.getPath().toString() for x in system.listStatus(version.getPath()) if x.getPath().getName().startswith("part=")}
+    for number, folders in _versions(spark, path):
+        if before is None or number < before:
+            out |= folders
     return out
 
 
@@ -116,3 +122,24 @@ def _read_parts(spark: SparkSession, parts: dict[int, str], schema: StructType)
 def read_upserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table that ``upsert_each_batch`` keeps."""
     return _read_parts(spark, _newest_parts(spark, path), schema)
+
+
+def vacuum_upserted(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Deletes the parts of ``upsert_each_batch`` that ``keep`` newer complete versions replace; returns their folders.
+
+    A batch that is run again reads what was before it, so at least two versions of a
+    part stay.  Versions that aren't complete are left alone, as they may be in the making.
+    """
+    if keep < 2:
+        raise ValueError("the newest version of a part may be written again, from the one before it")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone, seen = [], {}
+    for _, folders in sorted(_versions(spark, path), key=lambda v: -v[0]):
+        for part, folder in folders.items():
+            seen[part] = seen.get(part, 0) + 1
+            if seen[part] > keep:
+                gone.append(folder)
+    for folder in gone:
+        system.delete(hadoop(folder), True)
+    return sorted(gone)

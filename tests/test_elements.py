@@ -330,3 +330,20 @@ def test_late_rows_are_left_out_and_state_is_kept(spark, tmp_path):
     told = events.run_to_table(events.streaks(source(), "user_id", "30 days"), f"{tmp_path}/s", "update")
     last = {r.user_id: tuple(r.s) for r in told.groupBy("user_id").agg(F.max_by(F.struct("n", "changes", "last"), "epoch").alias("s")).collect()}
     assert last[2] == (2, 0, "a") and last[1][0] == 5 and told.select("epoch").distinct().count() == 4
+
+
+def test_many_lines_in_one_document_fill_sections_as_a_loop_would(spark):
+    from random import Random
+
+    rng = Random(3)
+    sizes = [rng.randrange(1, 60) for _ in range(20_000)]
+    lines = spark.createDataFrame([(1, i, f"l{i}", n) for i, n in enumerate(sizes)], "d int, i int, t string, n int").repartition(5)
+    want, used = [[]], 0
+    for i, n in enumerate(sizes):
+        if used + n + 20 > 100:
+            want.append([])
+            used = 0
+        want[-1].append(i)
+        used += n
+    got = tokens.fill_sections(lines, ["d"], "i", "t", "n", 100).orderBy("section").collect()
+    assert [(r.section, r.n_sections, r.content, r.tokens) for r in got] == [(k + 1, len(want), "\n".join(f"l{i}" for i in s), sum(sizes[i] for i in s)) for k, s in enumerate(want)]

@@ -52,3 +52,23 @@ def test_nothing_to_keep(spark, rows):
     with stateful.rocksdb(spark):
         got = stream.run_to_table(stateful.closed_sessions(stream.read_stream(spark, folder, spark.read.parquet(folder)), "user", 600, "5 minutes"), state, "append")
     assert got.where(F.col("n") > 0).count() == 0
+
+
+def test_replaced_versions_of_an_upserted_table_are_deleted(spark):
+    root = tempfile.mkdtemp()
+    schema = spark.createDataFrame([], "k int, t int").schema
+    for t in range(5):
+        spark.createDataFrame([(k, t) for k in range(20) if k % 3 == 0 or t < 2], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = stream.read_stream(spark, f"{root}/in", spark.read.schema(schema).parquet(f"{root}/in"))
+        stream.upsert_each_batch(source, f"{root}/out", ["k"], [F.desc("t")], f"{root}/cp", parts=16)
+    want = {k: 4 if k % 3 == 0 else 1 for k in range(20)}
+    held = lambda: {r.k: r.t for r in stream.read_upserted(spark, f"{root}/out", schema).collect()}
+    assert held() == want
+    gone = stream.vacuum_upserted(spark, f"{root}/out")
+    assert gone and held() == want and stream.vacuum_upserted(spark, f"{root}/out") == []
+    spark.createDataFrame([(1, 9)], schema).write.mode("append").parquet(f"{root}/in")
+    stream.upsert_each_batch(stream.read_stream(spark, f"{root}/in", spark.read.schema(schema).parquet(f"{root}/in")), f"{root}/out", ["k"], [F.desc("t")], f"{root}/cp", parts=16)
+    assert held() == {**want, 1: 9}
+    with pytest.raises(ValueError):
+        stream.vacuum_upserted(spark, f"{root}/out", 1)
+    assert stream.vacuum_upserted(spark, f"{root}/none") == []
