@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.sampling import uniform
-from corvane.operators import batched_runs, benchmarks as bm, chunking, panels, scoring
+from corvane.operators import batched_runs, benchmarks as bm, chunking, panels, percentiles, scoring
 from corvane.operators.synthesis import EchoClient
 from corvane.plans.registry import Tables, query, sql_uniform
 from corvane.runtime import scratch
@@ -176,3 +176,9 @@ def tool_server_calls(t: Tables) -> DataFrame:
     tool = F.when(kind == 0, "dashed").when(kind == 2, "drop").otherwise("count")
     arguments = F.to_json(F.struct(F.when(kind != 3, F.col("text")).alias("text")))
     return toolserver.call_tools(t.benchmark.select("item_id", tool.alias("tool"), arguments.alias("arguments")), server).select("item_id", "response", "error")
+
+
+@query("SELECT l_returnflag, l_linestatus, n, round(q[1], 6) AS low, round(q[2], 6) AS p50, round(q[3], 6) AS p90, round(q[4], 6) AS p99, round(q[5], 6) AS high FROM (SELECT l_returnflag, l_linestatus, count(*) AS n, quantile_cont(l_extendedprice::DOUBLE, [0, 0.5, 0.9, 0.99, 1]) AS q FROM lineitem GROUP BY ALL)")
+def grouped_percentiles(t: Tables) -> DataFrame:
+    found = percentiles.exact_percentiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0, 0.5, 0.9, 0.99, 1], accuracy=500)
+    return found.select("l_returnflag", "l_linestatus", "n", *(F.round(F.col("percentiles")[i], 6).alias(c) for i, c in enumerate(("low", "p50", "p90", "p99", "high"))))
