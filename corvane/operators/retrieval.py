@@ -13,6 +13,8 @@ from corvane.runtime import ship
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Fixed value: what stands where chunks were left out.
 OMITTED = "\n\n...<omitted chunks>...\n\n"
+#: Vectors, and queries, of one product of cosine top-k; offers that a task holds back.
+TILE, HELD = 1024, 1 << 20
 
 
 def document_frequency(chunks: DataFrame, terms: Column) -> DataFrame:
@@ -89,30 +91,61 @@ def as_tool(requests: DataFrame, chunks: DataFrame, terms, key: str, source: str
 
 
 def _products(asked, k: int, slack: float, schema: pa.Schema):
-    """(query_id, key, score) of a task's best vectors for each query: one product of a block of vectors with all queries."""
+    """(query_id, key, score) of a task's best vectors for each query: products of TILE vectors with TILE queries.
+
+    What a batch offers is held back until all of it is seen, in portions of HELD, so memory doesn't grow with queries or vectors.
+    """
 
     def run(batches):
         names, units = asked.value
         unknown = {x: i for i, x in enumerate(names.to_pylist())}
         best = np.full((len(units), k), -np.inf)
-        for batch in batches:
-            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            fit = np.flatnonzero(size == units.shape[1])
-            keys = batch.column(0).take(pa.array(fit))
-            vectors = batch.column(1).take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), units.shape[1])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = units @ (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T
+
+        def offers(s, first, own):
+            """Places and scores of a tile that may be among the k best so far."""
             s[np.isnan(s)] = -np.inf
-            own = [(unknown[x], j) for j, x in enumerate(keys.to_pylist()) if x in unknown]
             if own:
                 s[tuple(zip(*own))] = -np.inf
-            low = best[:, 0]
-            if len(fit) > k:
-                low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k])
+            seen = best[first : first + len(s)]
+            low = seen[:, 0]
+            if s.shape[1] > k:
+                top = np.partition(s, -k, axis=1)[:, -k:]
+                low = np.maximum(low, top[:, 0])
+            else:
+                top = s
             row, column = np.nonzero((s >= low[:, None] - slack) & (s > -np.inf))
+            best[first : first + len(s)] = np.sort(np.concatenate((seen, top), axis=1), axis=1)[:, -k:]
+            return first + row, column, s[row, column]
+
+        def handed(keys, held):
+            row, column, score = (np.concatenate(x) for x in zip(*held))
+            kept = score >= best[row, 0] - slack
+            row, column, score = row[kept], column[kept], score[kept]
             if len(row):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), keys.take(pa.array(column)), pa.array(s[row, column])], schema=schema)
-            best = np.sort(np.concatenate((best, s), axis=1), axis=1)[:, -k:]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), keys.take(pa.array(column)), pa.array(score)], schema=schema)
+
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(size == units.shape[1])
+            keys, lists = (batch.column(i).take(pa.array(fit)) for i in range(2))
+            known = [(unknown[x], j) for j, x in enumerate(keys.to_pylist()) if x in unknown]
+            held, n = [], 0
+            for at in range(0, len(fit), TILE):
+                vectors = lists[at : at + TILE].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, units.shape[1])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    vectors = (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T
+                for first in range(0, len(units), TILE):
+                    with np.errstate(invalid="ignore"):
+                        s = units[first : first + TILE] @ vectors
+                    own = [(i - first, j - at) for i, j in known if 0 <= i - first < TILE and 0 <= j - at < TILE]
+                    row, column, score = offers(s, first, own)
+                    held.append((row, at + column, score))
+                    n += len(row)
+                    if n > HELD:
+                        yield from handed(keys, held)
+                        held, n = [], 0
+            if held:
+                yield from handed(keys, held)
 
     return run
 
@@ -122,7 +155,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
     queries: (query_id, q), a stated set of vectors of one length. They are broadcast in
     blocks of some ``block``, each with a pass over the vectors; a task multiplies its
-    batches with all of a block and hands on what may be among the k best of
+    batches with a block in tiles and hands on what may be among the k best of
     what it has seen. Null vectors, those of zeros, with null or NaN components or of
     another length have no score and are left out.
     """

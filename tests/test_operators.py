@@ -198,6 +198,32 @@ def test_cosine_by_products(spark, block):
     assert retrieval.cosine_top(df, queries.limit(0), "id", "v", 6).count() == 0
 
 
+def test_cosine_products_hold_little():
+    """A task's memory doesn't grow with the queries; offers handed on in portions give the same best."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vectors, units = rng.normal(size=(10_000, 8)), rng.normal(size=(4096, 8))
+    units /= np.sqrt((units**2).sum(axis=1))[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.ListArray.from_arrays(pa.array(np.arange(0, 80_001, 8), pa.int32()), pa.array(vectors.ravel()))], names=["id", "v"])
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    asked = SimpleNamespace(value=(pa.array(np.arange(4096) + 9_000), units))
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(retrieval._products(asked, 5, 2e-5, schema)(iter([batch]))), schema).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    best = got.sort_values("score", ascending=False).groupby("query_id").head(5)
+    for i in range(0, 4096, 500):
+        s = vectors @ units[i] / np.sqrt((vectors**2).sum(axis=1))
+        s[9_000 + i if i < 1_000 else []] = -np.inf
+        assert set(best[best["query_id"] == 9_000 + i]["id"]) == set(np.argsort(s)[-5:].tolist())
+
+
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a", "c"]), (3, ["d"]), (4, [])], "id long, t array<string>")
     queries = spark.createDataFrame([("q", "a"), ("q", "a"), ("q", "d")], "qid string, term string")
