@@ -1,8 +1,8 @@
 """A persisted inverted index for BM25, whose blocks' greatest weights spare top-k most of them.
 
 Chunks are dealt to ranges of RANGE, chunks of like terms side by side.  A
-block holds one term's postings in one range: places, weights without idf, and
-the greatest weight.  Blocks lie in folders by a hash of the term, sorted by it,
+block holds one term's postings in one range, each a place and a count in one
+number, and the greatest weight without idf.  Blocks lie in folders by a hash of the term, sorted by it,
 so a search reads the folders of asked terms only.  The greatest weights give a
 bound for each query and range; the ranges of the highest bounds are
 scored first, and of the others those whose bound reaches the k-th score found.
@@ -11,7 +11,6 @@ The result is that of scoring all chunks.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,52 +24,78 @@ from corvane.runtime import discard, exists, fresh_path, move, publish, ship
 
 #: Chunks of a range, folders of terms, ranges of each query that are scored first.
 RANGE, BUCKETS, FIRST = 64, 32, 4
-#: Blocks of a file, about.
-FILE_BLOCKS = 1 << 26
-BLOCKS = "term string, range bigint, places array<int>, weights array<double>, top double, bucket int"
+#: Rows that are counted together; tokens for each further file of a folder.
+TOGETHER, FILE_TOKENS = 1024, 1 << 26
+#: What stands between terms on their way to a task; a term that holds it is refused.
+BETWEEN = "\x1f"
+#: The folder of the ranges' keys and sizes.
+HEADS = -1
+BLOCKS = "term string, range bigint, posts array<int>, n int, top double, bucket int"
 #: Of the tables in a folder; kept indexes of another one are not read.
-FORMAT = "3"
+FORMAT = "4"
 #: (query, term) weights that are searched together; more are dealt to turns by query.
 TURN = 500_000
 #: Scores are rounded to six places before they are ranked.
 DIGITS, SLACK = 6, 2e-6
 
 
-def _indexer(schema: pa.Schema):
-    """Streams sorted (part, key, terms): for each range a row of its keys and sizes (term null), and a row for each term."""
+def _weight(k1: float, b: float, average: float):
+    """The weight without idf of a term that occurs ``tf`` times in a chunk of ``dl`` terms."""
+    return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
 
-    def run(batches):
-        keys, held, part, at = [], [], None, 0
-
-        def block():
-            lists: dict[str, tuple[list, list, list]] = {}
-            for i, terms in enumerate(held):
-                n = len(terms)
-                for term, tf in Counter(t for t in terms if t is not None).items():
-                    place = lists.get(term)
-                    if place is None:
-                        place = lists[term] = ([], [], [])
-                    place[0].append(i)
-                    place[1].append(tf)
-                    place[2].append(n)
-            names = [None, *lists]
-            columns = [list(range(len(held))), [0] * len(held), [len(t) for t in held]]
-            number = (part << 33) + at
-            arrays = [pa.array([number] * len(names), pa.int64()), pa.array(names, pa.string())]
-            arrays += [pa.array([columns[c], *(x[c] for x in lists.values())], pa.list_(pa.int32())) for c in range(3)]
-            arrays.append(pa.array([keys, *[None] * len(lists)], schema.field(5).type))
-            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+def _indexer(weight, schema: pa.Schema):
+    """Streams sorted (part, key, terms joined by BETWEEN, their number, and with nulls): for each range a row of its keys and sizes (term null), and a row for each term.
+
+    Terms are counted by sorting numbers of (range, term, place), some TOGETHER chunks at once.
+    """
+    # Closures, as tasks don't see a changed RANGE of the module.
+    def column(name, values):
+        return pa.array(values, schema.field(name).type)
+
+    def counted(part, at, rows):
+        first = (part << 33) + at
+        keys, joined, held = rows.column("key"), pc.fill_null(rows.column("joined"), ""), rows.column("held").to_numpy()
+        size = rows.column("size").to_numpy()
+        ranges = -(-len(rows) // RANGE)
+        cuts = pa.array(np.minimum(np.arange(ranges + 1) * RANGE, len(rows)), pa.int32())
+        heads = {"range": column("range", first + np.arange(ranges)), "keys": pa.ListArray.from_arrays(cuts, keys), "sizes": pa.ListArray.from_arrays(cuts, pa.array(size, pa.int32()))}
+        yield pa.RecordBatch.from_arrays([heads[f.name].cast(f.type) if f.name in heads else pa.nulls(ranges, f.type) for f in schema], schema=schema)
+        some = np.flatnonzero(held > 0)
+        lists = pc.split_pattern(joined.take(pa.array(some)), BETWEEN)
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        if (n != held[some]).any():
+            raise ValueError("a term holds the character U+001F")
+        if not len(n):
+            return
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(some, n)
+        number = (row // RANGE * len(coded.dictionary) + coded.indices.to_numpy()) * RANGE + row % RANGE
+        number, tf = np.unique(number, return_counts=True)
+        block, place = number // RANGE, number % RANGE
+        start = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
+        ends = np.concatenate((start, [len(block)])).astype(np.int32)
+        of, code = np.divmod(block[start], len(coded.dictionary))
+        top = np.maximum.reduceat(weight(tf, size[block // len(coded.dictionary) * RANGE + place]), start)
+        made = {"range": column("range", first + of), "term": coded.dictionary.take(pa.array(code)), "posts": pa.ListArray.from_arrays(pa.array(ends), pa.array((place + RANGE * tf).astype(np.int32))), "n": column("n", np.diff(ends)), "top": column("top", top)}
+        yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(len(start), f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        kept, part, at = None, 0, 0
+        step = max(1, TOGETHER // RANGE) * RANGE
         for batch in batches:
-            for number, key, terms in zip(*(c.to_pylist() for c in batch.columns)):
-                part = number
-                keys.append(key)
-                held.append(terms or [])
-                if len(held) == RANGE:
-                    yield block()
-                    keys, held, at = [], [], at + 1
-        if held:
-            yield block()
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            rows, part = rows.combine_chunks(), batch.column(0)[0].as_py()
+            whole = len(rows) // step * step
+            for i in range(0, whole, step):
+                yield from counted(part, at, rows.slice(i, step).combine_chunks().to_batches()[0])
+                at += step // RANGE
+            kept = rows.slice(whole)
+        if kept is not None and len(kept):
+            yield from counted(part, at, kept.combine_chunks().to_batches()[0])
 
     return run
 
@@ -101,17 +126,18 @@ class _Asked:
         return weights, there
 
 
-def _scorer(asked, k: int, schema: pa.Schema):
-    """Streams (range, term, places, weights, queries), sorted by range; a range's first row names its queries.
+def _scorer(asked, k: int, weight, schema: pa.Schema):
+    """Streams (range, term, posts, queries, sizes), sorted by range; a range's first row names its queries and the sizes of its chunks.
 
     A range's scores are one product of (queries x terms) and (terms x places);
     each query keeps the best places, those that rounding may lift among the k best too.
     """
 
-    def scores(number, chosen, parts):
-        columns, sizes, places, weights = (np.concatenate(x) for x in zip(*parts))
+    def scores(number, chosen, dl, parts):
+        columns, sizes, posts = (np.concatenate(x) for x in zip(*parts))
         held = np.zeros((len(columns), RANGE))
-        held[np.repeat(np.arange(len(columns)), sizes), places] = weights
+        tf, places = np.divmod(posts, RANGE)
+        held[np.repeat(np.arange(len(columns)), sizes), places] = weight(tf, dl[places])
         for a in range(0, len(chosen), 1024):
             asks, there = asked.value.matrix(columns, chosen[a : a + 1024])
             s = np.where(there @ (held > 0).astype(np.float32) > 0, asks @ held, -np.inf)
@@ -120,27 +146,28 @@ def _scorer(asked, k: int, schema: pa.Schema):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), number)), pa.array(chosen[a + row]), pa.array(place.astype(np.int32)), pa.array(s[row, place])], schema=schema)
 
     def run(batches):
-        current, chosen, parts = None, None, []
+        current, chosen, dl, parts = None, None, None, []
         for batch in batches:
             numbers, terms = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             columns = np.array([-1 if t is None else asked.value.place[t] for t in terms])
             lists = batch.column(2)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             offsets = np.concatenate(([0], np.cumsum(sizes)))
-            places, weights = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            posts = lists.flatten().to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
                 if numbers[i] != current:
                     if parts:
-                        yield from scores(current, chosen, parts)
-                    current, parts, chosen = int(numbers[i]), [], batch.column(4)[i].values.to_numpy()
+                        yield from scores(current, chosen, dl, parts)
+                    current, parts = int(numbers[i]), []
+                    chosen, dl = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
                     i += 1
                 if i < j:
-                    parts.append((columns[i:j], sizes[i:j], places[offsets[i] : offsets[j]], weights[offsets[i] : offsets[j]]))
+                    parts.append((columns[i:j], sizes[i:j], posts[offsets[i] : offsets[j]]))
         if parts:
-            yield from scores(current, chosen, parts)
+            yield from scores(current, chosen, dl, parts)
 
     return run
 
@@ -160,12 +187,12 @@ class Search:
 
 
 class Bm25Index:
-    """An index in a folder: ``blocks``, ``terms`` (term, df, idf), ``keys`` and, written last, ``stats``."""
+    """An index in a folder: ``blocks``, ``terms`` (term, df, idf), ``keys``, ``sizes`` and, written last, ``stats``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         ship(spark)
-        self.terms, self.keys = (spark.read.parquet(f"{path}/{x}") for x in ("terms", "keys"))
+        self.terms, self.keys, self.sizes = (spark.read.parquet(f"{path}/{x}") for x in ("terms", "keys", "sizes"))
         self.blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")  # no file says it of an empty corpus
 
     @classmethod
@@ -179,31 +206,35 @@ class Bm25Index:
 
         A negative idf becomes epsilon times the mean idf over all terms. The
         folder appears when the index is whole; an index that another session
-        finished there meanwhile is taken.
+        finished there meanwhile is taken. Terms go to tasks as one string a chunk, and
+        blocks come from them once, straight into their folders.
         """
         spark, goal = chunks.sparkSession, path
         ship(spark)
         path = fresh_path(spark, "bm25-index")
         like = F.array_min(F.transform("terms", lambda t: F.xxhash64(t)))
-        rows = publish(chunks.select(F.col(key).alias("key"), terms.alias("terms")).withColumn("like", like), "bm25-terms")  # dealing to ranges reads it twice
-        ordered = rows.repartitionByRange("like", "key").sortWithinPartitions("like", "key").select(F.spark_partition_id().cast("bigint").alias("part"), "key", "terms")
+        number = lambda c: F.when(F.col("terms").isNull(), 0).otherwise(F.size(c))
+        cut = chunks.select(F.col(key).alias("key"), terms.alias("terms"))
+        cut = cut.select("key", like.alias("like"), F.array_join("terms", BETWEEN).alias("joined"), number(F.array_compact("terms")).alias("held"), number("terms").alias("size"))
+        rows = publish(cut, "bm25-terms")  # dealing to ranges reads it twice
+        n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        average = tokens / n if tokens else 1.0
+        ordered = rows.repartitionByRange("like", "key").sortWithinPartitions("like", "key").select(F.spark_partition_id().cast("bigint").alias("part"), "key", "joined", "held", "size")
         ints = T.ArrayType(T.IntegerType())
-        schema = T.StructType([T.StructField("range", T.LongType()), T.StructField("term", T.StringType()), T.StructField("places", ints), T.StructField("tf", ints), T.StructField("dl", ints), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType))])
-        raw = publish(ordered.mapInArrow(_indexer(to_arrow_schema(schema)), schema), "bm25-raw")
-        lists, heads = raw.where("term IS NOT NULL"), raw.where("term IS NULL")
+        schema = T.StructType([T.StructField("range", T.LongType()), T.StructField("term", T.StringType()), T.StructField("posts", ints), T.StructField("n", T.IntegerType()), T.StructField("top", T.DoubleType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), T.StructField("sizes", ints)])
+        made = ordered.mapInArrow(_indexer(_weight(k1, b, average), to_arrow_schema(schema)), schema).withColumn("bucket", F.when(F.col("term").isNull(), F.lit(HEADS)).otherwise(_bucket(F.col("term"))))
+        dealt = made.repartition("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(1 + tokens // FILE_TOKENS))).sortWithinPartitions("bucket", "term", "range")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        written = spark.read.schema(T.StructType([*schema, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/blocks")
+        heads = written.where(F.col("bucket") == HEADS)
         heads.select("range", F.posexplode("keys").alias("place", "key")).write.mode("overwrite").parquet(f"{path}/keys")
-        n, tokens = heads.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.sum(F.aggregate("dl", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0))).first()
-        average = tokens / n if tokens else 1.0
-        df = lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+        heads.select("range", "sizes").write.mode("overwrite").parquet(f"{path}/sizes")
+        df = publish(written.where(F.col("bucket") != HEADS).groupBy("term").agg(F.sum("n").alias("df")), "bm25-df")
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = df.agg(F.avg(idf)).first()[0]
         df.withColumn("bucket", _bucket(F.col("term"))).withColumn("idf", F.when(idf < 0, F.lit(epsilon * (mean or 0.0))).otherwise(idf)).write.mode("overwrite").parquet(f"{path}/terms")
-        weight = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
-        blocks = lists.select(_bucket(F.col("term")).alias("bucket"), "term", "range", "places", F.zip_with("tf", "dl", weight).alias("weights"))
-        blocks = blocks.withColumn("top", F.array_max("weights")).repartition("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(1 + lists.count() // FILE_BLOCKS))).sortWithinPartitions("bucket", "term", "range")
-        blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-        spark.createDataFrame([(int(n), float(average))], "n bigint, average double").write.mode("overwrite").parquet(f"{path}/stats")
-        discard(raw)
+        spark.createDataFrame([(int(n), float(average), float(k1), float(b))], "n bigint, average double, k1 double, b double").write.mode("overwrite").parquet(f"{path}/stats")
+        discard(df)
         discard(rows)
         move(spark, path, goal)
         return cls(spark, goal)
@@ -225,13 +256,15 @@ class Bm25Index:
             asked = publish(asked, "bm25-asked")
             n = -(-asked.count() // TURN)
             turns = [asked.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow() for i in range(n)]
-        found = [self._turn(turn, query_key, k, first) for turn in turns]
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        weight = _weight(stats.k1, stats.b, stats.average)
+        found = [self._turn(turn, query_key, k, first, weight) for turn in turns]
         rows = found[0][0]
         for more, _, _ in found[1:]:
             rows = rows.unionByName(more)
         return Search(rows, [x[1] for x in found], [x[2] for x in found])
 
-    def _turn(self, asked: pa.Table, query_key: str, k: int, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _turn(self, asked: pa.Table, query_key: str, k: int, first: int, weight) -> tuple[DataFrame, DataFrame, DataFrame]:
         spark = self.spark
         keys = asked.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
         fields = T.StructType([T.StructField("asked_by", from_arrow_type(keys.dictionary.type)), T.StructField("q", T.LongType())])
@@ -247,20 +280,20 @@ class Bm25Index:
         held = spark.sparkContext.broadcast(_Asked(terms, q, w))
         blocks = blocks.join(weights.select("term").distinct(), "term", "left_semi")
         before = bounds.where(F.col("place") <= first).select("q", "range")
-        early = publish(self._scored(blocks, held, before, k), "bm25-early")
+        early = publish(self._scored(blocks, held, before, k, weight), "bm25-early")
         worst = top_per_query(early, "q", "key", k, DIGITS).where(F.col("rank") == k).select("q", F.col("score").alias("worst"))
         later = bounds.where(F.col("place") > first).join(worst, "q", "left").where(F.col("worst").isNull() | (F.col("bound") >= F.col("worst") - SLACK)).select("q", "range")
-        rows = top_per_query(early.unionByName(self._scored(blocks, held, later, k)), "q", "key", k, DIGITS).join(numbers, "q")
+        rows = top_per_query(early.unionByName(self._scored(blocks, held, later, k, weight)), "q", "key", k, DIGITS).join(numbers, "q")
         return rows.select(F.col("asked_by").alias(query_key), "rank", "key", "score"), bounds, before.unionByName(later)
 
-    def _scored(self, blocks: DataFrame, asked, pairs: DataFrame, k: int) -> DataFrame:
+    def _scored(self, blocks: DataFrame, asked, pairs: DataFrame, k: int, weight) -> DataFrame:
         """(q, key, score) of the best chunks of (q, range) pairs."""
-        heads = pairs.groupBy("range").agg(F.collect_list("q").alias("queries"))  # a turn's queries at most
-        met = blocks.join(heads.select("range"), "range", "left_semi").select("range", "term", "places", "weights", F.lit(None).cast("array<bigint>").alias("queries"))
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("places", "array<int>"), ("weights", "array<double>"))]
-        stream = met.unionByName(heads.select("range", *none, "queries")).repartition(F.xxhash64("range")).sortWithinPartitions("range", F.col("term").asc_nulls_first())
+        heads = pairs.groupBy("range").agg(F.collect_list("q").alias("queries")).join(self.sizes, "range")  # a turn's queries at most
+        met = blocks.join(heads.select("range"), "range", "left_semi").select("range", "term", "posts", F.lit(None).cast("array<bigint>").alias("queries"), F.lit(None).cast("array<int>").alias("sizes"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("posts", "array<int>"))]
+        stream = met.unionByName(heads.select("range", *none, "queries", "sizes")).repartition(F.xxhash64("range")).sortWithinPartitions("range", F.col("term").asc_nulls_first())
         schema = T.StructType([T.StructField("range", T.LongType()), T.StructField("q", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("score", T.DoubleType())])
-        scores = stream.mapInArrow(_scorer(asked, k, to_arrow_schema(schema)), schema)
+        scores = stream.mapInArrow(_scorer(asked, k, weight, to_arrow_schema(schema)), schema)
         return scores.join(self.keys, ["range", "place"]).select("q", "key", "score")
 
 
