@@ -9,7 +9,7 @@ from corvane.operators import chunking, haystack, requests, retrieval, synthesis
 from corvane.operators.bm25_index import FORMAT, Bm25Index
 from corvane.operators.embedding_cache import EmbeddingCache
 from corvane.plans.registry import Tables, query, sql_uniform
-from corvane.runtime import kept_path, version
+from corvane.runtime import kept_path, publish, version
 
 _U = sql_uniform
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
@@ -144,6 +144,18 @@ sc AS (SELECT item_id, id, round(sum(qtf * CASE WHEN idf < 0 THEN 0.25 * m ELSE
 top AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id DESC)::INTEGER AS rank FROM sc)"""
 
 
+#: Chosen chunks whose documents are broadcast; more are joined by a shuffle.
+_FEW = 100_000
+
+
+def _chunks_of(t: Tables, top: DataFrame) -> DataFrame:
+    """Chosen chunks (id) with their texts: only their documents are cut again, and no text is shuffled where few are chosen."""
+    few = (lambda x: F.broadcast(x)) if top.count() <= _FEW else (lambda x: x)
+    wanted = top.select(F.expr("(id - pmod(id, 100000)) div 100000").alias("doc_id")).distinct()
+    chunks = chunking.fixed_chunks(t.documents.join(few(wanted), "doc_id", "left_semi"), "text", 2000, ["doc_id"])
+    return chunks.withColumn("id", F.col("doc_id") * 100_000 + F.col("chunk_idx")).join(few(top), "id")
+
+
 def _bm25(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Chunks and the five best of each item; the index is kept and reused while the documents' files are the same."""
     chunks = chunking.fixed_chunks(t.documents, "text", 2000, ["doc_id"]).withColumn("id", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
@@ -163,8 +175,8 @@ def bm25_topk(t: Tables) -> DataFrame:
 ch AS (SELECT item_id, c.doc_id, c.idx, c.chunk, lag(c.idx) OVER (PARTITION BY item_id, c.doc_id ORDER BY c.idx) AS before FROM top JOIN c ON c.doc_id * 100000 + c.idx = top.id JOIN benchmark b USING (item_id) WHERE rank <= 5 AND NOT contains(b.text, c.chunk))
 SELECT item_id, doc_id, md5(string_agg(CASE WHEN idx <> before + 1 THEN chr(10) || chr(10) || '...<omitted chunks>...' || chr(10) || chr(10) ELSE '' END || chunk, '' ORDER BY idx)) AS digest FROM ch GROUP BY item_id, doc_id""")
 def context_reassembly(t: Tables) -> DataFrame:
-    chunks, top = _bm25(t)
-    chosen = top.join(chunks, "id").join(t.benchmark.select("item_id", F.col("text").alias("context")), "item_id")
+    top = publish(_bm25(t)[1], "bm25-top")
+    chosen = _chunks_of(t, top).join(t.benchmark.select("item_id", F.col("text").alias("context")), "item_id")
     out = retrieval.reassemble(chosen, "item_id", "doc_id", "chunk_idx", "chunk", context="context")
     return out.select("item_id", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 

@@ -71,3 +71,26 @@ def test_empty_corpus(spark):
     index = Bm25Index.build(chunks, F.col("terms"), "id", fresh_path(spark, "test-index"))
     search = index.top(spark.createDataFrame([(1, "x")], "q int, term string"), "q", 3)
     assert search.rows.count() == 0 and search.share() == 0.0
+
+
+def test_tasks_count_terms_without_lists_of_strings(spark):
+    """Terms reach tasks as one string a chunk; null terms count for the size alone, and a term with the separator is refused."""
+    schema = "id long, terms array<string>"
+    chunks = spark.createDataFrame([(1, ["x", "x", None, "", "y"]), (2, [None]), (3, [""]), (4, None)], schema)
+    index = Bm25Index.build(chunks, F.col("terms"), "id", fresh_path(spark, "test-index"))
+    assert [sorted(r.sizes) for r in index.sizes.collect()] == [[0, 1, 1, 5]]
+    held = {r.term: sorted(p // bm25_index.RANGE for p in r.posts) for r in index.blocks.where("term IS NOT NULL").collect()}
+    assert held == {"x": [2], "y": [1], "": [1, 1]}
+    with pytest.raises(Exception, match="U\\+001F"):
+        Bm25Index.build(spark.createDataFrame([(1, ["a\x1fb"])], schema), F.col("terms"), "id", fresh_path(spark, "test-index"))
+
+
+def test_chosen_chunks_are_cut_without_a_shuffle_of_texts(spark):
+    from corvane.plans import chunks as plans
+    from corvane.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    top = spark.createDataFrame([(r.doc_id * 100_000, 7) for r in t.documents.orderBy("doc_id").limit(3).collect()], "id long, item_id long")
+    got = plans._chunks_of(t, top)
+    assert "hashpartitioning(doc_id" not in got.select("id", "chunk")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert {r.id for r in got.collect()} == {r.id for r in top.collect()}
