@@ -269,8 +269,8 @@ UNION ALL SELECT 'unreadable shard', 0, 0, 1""")
 def shard_scan(t: Tables) -> DataFrame:
     """The newest version of a catalogue of shards, one of them broken, through the data source."""
     folder = scratch(t.spark, "catalogue")
-    t.documents.repartition(4).write.parquet(f"{folder}/v1/data")
-    t.documents.where("doc_id % 3 <> 0").repartition(4).write.parquet(f"{folder}/v2/data")
+    shards.write_version(t.documents, folder, 1)
+    shards.write_version(t.documents.where("doc_id % 3 <> 0"), folder, 2)
     shards.put_broken(folder, "v2/data/zz-broken.parquet")
     shards.register(t.spark)
     rows = t.spark.read.format("corvane_shards").option("path", folder).load()

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructType
@@ -175,6 +175,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ShardCatalog)
 
 
+def write_version(df: DataFrame, path: str, version: int, rows: int = 10_000) -> None:
+    """Writes a version of a catalogue in shards of at most ``rows`` rows, without a shuffle, so no task's share grows with the table."""
+    df.write.option("maxRecordsPerFile", rows).parquet(f"{path}/v{version}/data")
+
+
 def put_broken(path: str, name: str) -> None:
     """Writes a file that isn't Parquet, to try how a catalogue is read with one."""
     system, root = _open(path)

@@ -78,3 +78,13 @@ def test_a_stream_reads_each_shard_once(spark, folder):
     assert step() == [(2, 30), (10, 20_000)]
     put(11, "data/a.parquet", range(7))
     assert step() == [(2, 30), (10, 20_000), (11, 7)]
+
+
+def test_shards_are_bounded(spark):
+    """A table of any size is written and read in shards of at most so many rows, none through a shuffle to a fixed number."""
+    root = tempfile.mkdtemp()
+    shards.write_version(spark.range(95, numPartitions=1), root, 3, rows=10)
+    rows = load(spark, root)
+    assert rows.rdd.getNumPartitions() == 10
+    sizes = [r["count"] for r in rows.groupBy("shard").count().collect()]
+    assert max(sizes) == 10 and sum(sizes) == 95
