@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corvane.functions.sampling import rank_by_draw, uniform
 from corvane.operators.synthesis import Client
@@ -66,21 +68,29 @@ def result_rows(results: DataFrame, scores: Column) -> DataFrame:
 
 
 def generate(items: DataFrame, key: str, client: Callable[[], Client], batch: int = 32) -> DataFrame:
-    """(key, sample_idx, pred, error): what a client answers to (key, sample_idx, prompt); a failing batch is rows with the error."""
-    kind = items.schema[key].dataType.simpleString()
+    """(key, sample_idx, pred, error): what a client answers to (key, sample_idx, prompt); a failing batch is rows with the error.
 
+    A task holds an Arrow batch and the texts of ``batch`` prompts, no copy of all.
+    """
+    schema = StructType([items.schema[key], StructField("sample_idx", IntegerType()), StructField("pred", StringType()), StructField("error", StringType())])
+    asked = items.select(key, F.col("sample_idx").cast("int").alias("sample_idx"), "prompt")
+    return asked.mapInArrow(_answers(client, batch, to_arrow_schema(schema)), schema)
+
+
+def _answers(client: Callable[[], Client], batch: int, schema: pa.Schema):
     def run(batches):
         model = client()
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part, error = pdf.iloc[at : at + batch], None
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part, error = rows.slice(at, batch), None
                 try:
-                    pred = model.chat([[{"role": "user", "content": p}] for p in part["prompt"]])
+                    pred = model.chat([[{"role": "user", "content": p}] for p in part.column(2).to_pylist()])
                 except Exception as e:  # noqa: BLE001  a client may fail in any way
-                    pred, error = [None] * len(part), str(e)
-                yield pd.DataFrame({key: part[key], "sample_idx": part["sample_idx"], "pred": pred, "error": error})
+                    pred, error = [None] * part.num_rows, str(e)
+                answered = [part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array([error] * part.num_rows, pa.string())]
+                yield pa.RecordBatch.from_arrays(answered, schema=schema)
 
-    return items.select(key, "sample_idx", "prompt").mapInPandas(run, f"`{key}` {kind}, sample_idx int, pred string, error string")
+    return run
 
 
 def summarize(chunks: DataFrame, key: str, order: str, client: Callable[[], Client]) -> DataFrame:

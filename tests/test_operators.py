@@ -224,6 +224,31 @@ def test_cosine_products_hold_little():
         assert set(best[best["query_id"] == 9_000 + i]["id"]) == set(np.argsort(s)[-5:].tolist())
 
 
+def test_answers_hold_few_prompts():
+    """A task turns only some prompts of an Arrow batch into texts at once; a failing call is rows with the error."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corvane.operators import benchmarks
+
+    class Sizes:
+        def chat(self, chats):
+            if chats[0][0]["content"] is None:
+                raise ValueError("nothing asked")
+            return [str(len(c[0]["content"])) for c in chats]
+
+    schema = pa.schema([("id", pa.int64()), ("sample_idx", pa.int32()), ("pred", pa.string()), ("error", pa.string())])
+    n = 2_000
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array(["x" * 10_000] * (n - 8) + [None] * 8)], names=["id", "sample_idx", "prompt"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(benchmarks._answers(Sizes, 8, schema)(iter([rows])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000 and [r["id"] for r in got] == list(range(n))
+    assert {(r["pred"], r["error"]) for r in got[:-8]} == {("10000", None)} and {(r["pred"], r["error"]) for r in got[-8:]} == {(None, "nothing asked")}
+
+
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a", "c"]), (3, ["d"]), (4, [])], "id long, t array<string>")
     queries = spark.createDataFrame([("q", "a"), ("q", "a"), ("q", "d")], "qid string, term string")
