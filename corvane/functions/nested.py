@@ -83,10 +83,13 @@ def node_array(document: Column, separator: str = "/") -> Column:
         return F.when(F.size(s["open"]) == 0, s).otherwise(deeper)
 
     def shown(n: Column) -> Column:
-        kind = F.when(as_map(n).isNotNull(), "object").when(as_list(n).isNotNull(), "array").otherwise("value")
-        value = F.when(F.is_variant_null(n["value"]), "null").otherwise(F.try_variant_get(n["value"], "$", "string"))
-        leaf = F.coalesce(F.size(as_map(n)) == 0, F.size(as_list(n)) == 0, F.lit(True))
-        return F.struct(n["path"].alias("path"), kind.alias("kind"), value.alias("value"), leaf.alias("leaf"))
+        def as_json(j: Column) -> Column:  # written once a node; its first character tells containers
+            begins = F.substring(j, 1, 1)
+            kind = F.when(begins == "{", "object").when(begins == "[", "array").otherwise("value")
+            value = F.when(begins.isin("{", "["), j).when(F.is_variant_null(n["value"]), "null").otherwise(F.try_variant_get(n["value"], "$", "string"))
+            return F.struct(n["path"].alias("path"), kind.alias("kind"), value.alias("value"), (~begins.isin("{", "[") | j.isin("{}", "[]")).alias("leaf"))
+
+        return F.get(F.transform(F.array(F.to_json(n["value"])), as_json), F.lit(0))
 
     # No document has more levels than opening brackets.
     text = F.to_json(document)

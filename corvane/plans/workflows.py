@@ -31,7 +31,8 @@ FROM (SELECT *, '{"user":' || user_id || ',"what":' || what || '}' AS inner_doc,
 def _event_documents(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     what = F.concat(F.lit('["'), "event_type", F.lit('",'), k.cast("string"), F.lit("]"))
-    return t.events.select("event_id", F.concat(F.lit('{"props": '), "props", F.lit(', "none": [], "at": {"user": '), F.col("user_id").cast("string"), F.lit(', "what": '), what, F.lit("}}")).alias("doc"))
+    events = t.events.repartition("event_id")  # walking a document costs far more than moving it, and few row groups would be few tasks
+    return events.select("event_id", F.concat(F.lit('{"props": '), "props", F.lit(', "none": [], "at": {"user": '), F.col("user_id").cast("string"), F.lit(', "what": '), what, F.lit("}}")).alias("doc"))
 
 
 @query(_EVENT_NODES)

@@ -347,3 +347,12 @@ def test_many_lines_in_one_document_fill_sections_as_a_loop_would(spark):
         used += n
     got = tokens.fill_sections(lines, ["d"], "i", "t", "n", 100).orderBy("section").collect()
     assert [(r.section, r.n_sections, r.content, r.tokens) for r in got] == [(k + 1, len(want), "\n".join(f"l{i}" for i in s), sum(sizes[i] for i in s)) for k, s in enumerate(want)]
+
+
+def test_documents_are_walked_by_many_tasks(spark):
+    """Few row groups don't make few tasks: rows are dealt out before JSON is walked."""
+    from corvane.plans import workflows
+    from corvane.plans.registry import Tables
+
+    plan = workflows._event_documents(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in plan
