@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -130,6 +131,50 @@ def test_averaged_tasks_learn_too(spark, monkeypatch):
     assert gains[1] > 0.5 * gains[0] > 0.1
 
 
+def _fastest(f, times=40):
+    took = []
+    for _ in range(times):
+        start = time.perf_counter()
+        f()
+        took.append(time.perf_counter() - start)
+    return min(took)
+
+
+def test_rows_are_taken_in_less_time_than_by_an_index():
+    """A mini-batch's vectors and the sums of its gradients: the values of plain indexing, and the vectors in less time."""
+    rng = np.random.default_rng(5)
+    table, own = (rng.standard_normal((n, lm_score.DIMENSION)).astype(np.float32) for n in (lm_score.TRIGRAMS, 10_000))
+    spelled, rows = rng.integers(0, len(table), (lm_score.BATCH, 4)).astype(np.uint16), rng.integers(0, len(own), lm_score.BATCH).astype(np.int32)
+    gradient = rng.standard_normal((lm_score.BATCH, lm_score.DIMENSION)).astype(np.float32)
+
+    def composed():
+        return own[rows] + table[spelled[:, 0]] + table[spelled[:, 1]] + table[spelled[:, 2]] + table[spelled[:, 3]]
+
+    def sums():
+        flat = spelled.ravel()
+        by = np.argsort(flat, kind="stable")
+        start, _ = lm_score.runs(flat[by])
+        return flat[by[start]], np.add.reduceat(gradient[by >> 2], start, axis=0)
+
+    np.testing.assert_allclose(lm_score._composed(table, own, spelled, rows), composed(), rtol=1e-6)
+    for got, want in zip(lm_score._row_sums(spelled, gradient, len(table)), sums()):
+        np.testing.assert_array_equal(got, want)
+    assert _fastest(lambda: lm_score._composed(table, own, spelled, rows)) < 0.7 * _fastest(composed)
+
+
+def test_normalisers_of_pieces_even_out_of_range():
+    rng = np.random.default_rng(7)
+    r, q = rng.standard_normal((300, 9)).astype(np.float32), rng.standard_normal((50, 9)).astype(np.float32)
+    r[[3, 140, 299]] *= 200  # beyond what exp takes
+    r[[7, 150], :] = [0] * 8 + [-300]
+    q[:, 8] = 1
+    pieces = [(0, 2, 0, 1), (2, 150, 1, 20), (150, 300, 20, 50)]
+    got = lm_score._log_sums(r, q, pieces)
+    for a, b, c, d in pieces:
+        np.testing.assert_allclose(got[a:b], np.logaddexp.reduce(r[a:b].astype(float) @ q[c:d].T.astype(float), axis=1), rtol=1e-4, atol=1e-4)
+    assert not len(lm_score._log_sums(r[:0], q, []))
+
+
 def test_empty_training_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     fitted = lm_score.fit(df.limit(0))
