@@ -259,7 +259,7 @@ def stream_closed_sessions(t: Tables) -> DataFrame:
     """Sessions that end by a timer when the watermark, two days behind, has passed them by six hours; later ones are still open."""
     source = stream.read_stream(t.spark, t.sf_dir, t.events, "events.parquet")
     with stateful.rocksdb(t.spark):
-        return stream.run_to_table(stateful.closed_sessions(source, "user_id", 6 * 3600, "2 days"), scratch(t.spark, "stream"), "append").drop("epoch")
+        return stream.run_to_table(stateful.closed_sessions(source, "user_id", 6 * 3600, "2 days", buckets=8192), scratch(t.spark, "stream"), "append").drop("epoch")
 
 
 @query("""

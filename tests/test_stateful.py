@@ -3,6 +3,7 @@
 import tempfile
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,41 @@ def test_sessions_close_by_timer_and_leave_no_state(spark):
     assert held() == {9}
 
 
+def test_keys_share_states_and_give_the_same_sessions(spark):
+    """60 keys and null in four states, over batches that reopen and join sessions: as many calls on state as there are buckets, rows by the plain rule."""
+    folder, state = tempfile.mkdtemp() + "/in", tempfile.mkdtemp()
+    rng, events = np.random.default_rng(4), []
+    for batch in range(3):
+        fresh = [(None if u == 60 else int(u), batch * 90 + int(m)) for u, m in zip(rng.integers(0, 61, 400), rng.integers(0, 100, 400))]
+        events += fresh
+        feed(spark, folder, fresh)
+        with stateful.rocksdb(spark):
+            source = stream.read_stream(spark, folder, spark.read.parquet(folder), files=100)
+            got = stream.run_to_table(stateful.closed_sessions(source, "user", 600, "20 minutes", buckets=4), state, "append").collect()
+    held = spark.read.format("statestore").option("path", f"{state}/checkpoint").option("stateVarName", "times").load()
+    assert 0 < held.count() <= 4
+    least = max(m for _, m in events) - 20
+    want = []
+    for u in {u for u, _ in events}:
+        times = stateful.split_sessions([m for x, m in events if x == u], 10)
+        want += [(u, x[0], x[-1], len(x)) for x in times if x[-1] + 10 <= least]
+    minutes = lambda ms: int(ms // 60000 - START.timestamp() // 60)
+    assert got[0].asDict().keys() == {"user", "first_ms", "last_ms", "n", "epoch"}
+    assert sorted(((r.user, minutes(r.first_ms), minutes(r.last_ms), r.n) for r in got), key=repr) == sorted(want, key=repr)
+    assert any(u is None for u, *_ in want) and len(want) > 100
+
+
+@pytest.mark.parametrize("cut", [1, 7, 500])
+def test_sessions_joined_in_parts_are_those_of_all_events(cut):
+    rng = np.random.default_rng(cut)
+    events = np.column_stack((rng.integers(0, 5, 500), *[rng.integers(-(2**52), 2**52, 500) // 2**39 * 2**39] * 2, np.ones(500, dtype=np.int64)))
+    got = np.empty((0, 4), dtype=np.int64)
+    for i in range(0, 500, cut):
+        got = stateful.merge_sessions(np.concatenate((events[i : i + cut], got)), 2**43)
+    want = [(k, s[0], s[-1], len(s)) for k in range(5) for s in stateful.split_sessions(events[events[:, 0] == k, 1].tolist(), 2**43)]
+    assert [tuple(r) for r in got.tolist()] == want and 5 < len(want) < 500
+
+
 def test_split_sessions():
     assert stateful.split_sessions([5, 1, 20, 11], 6) == [[1, 5], [11], [20]] and stateful.split_sessions([], 6) == []
 
